@@ -7,8 +7,10 @@ weighted shingles.
 
 Equal texts are one node. Nodes that share a band's registers share a bucket. A bucket emits a star, not all pairs: one member, another
 in each band, is compared with all others, and pairs count only if the Jaccard similarity of their sets of shingles is at least
-the threshold. Buckets that still hold several groups then go through further stars, led by members of the smaller groups, and at
-last through all pairs of members of different groups, so that no link that would join two groups is lost.
+the threshold. Buckets that still hold several groups then go through further stars, led by members of the smaller groups. What is
+still mixed then goes through all pairs of members of different groups: at once in small buckets, and in large ones (many texts that
+share a passage, say) where two also share a finer band of other registers, which a pair of similarity 0.8 does with probability
+0.998 in each of the buckets that it shares.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from causeway.llm.tokens import chunks, ragged
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands of registers: two documents of similarity 0.8 share none of them once in 20,000 times.
 BANDS, ROWS = 25, 5
-REGISTERS = 128
+#: Finer bands of further registers, which cut the buckets of more than ``SMALL`` members that stars leave mixed.
+FINE_BANDS, FINE_ROWS, SMALL = 12, 4, 40
+REGISTERS = BANDS * ROWS + FINE_BANDS * FINE_ROWS
 #: Further stars before the rest of mixed buckets is compared pair by pair.
 STARS = 2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -90,31 +94,34 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_docs:
     return came.reshape(n_docs, registers)
 
 
-def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """n_docs x bands keys; a key holds its band's number."""
+def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS, first: int = 0) -> np.ndarray:
+    """n_docs x bands keys of the registers from ``first`` on; a key holds its band's number."""
     keys = np.zeros((len(registers), bands), np.uint64)
     for b in range(bands):
         h = np.full(len(registers), b, np.uint64)
         for r in range(rows):
-            h = mixed(h * _GOLD + registers[:, b * rows + r])
+            h = mixed(h * _GOLD + registers[:, first + b * rows + r])
         keys[:, b] = h
     return keys.view(np.int64)
 
 
 def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, node, keys``; ``keys`` is null for texts without words."""
+    """``doc_id, node, keys, fine, n``: keys of the bands and of the finer bands (null for texts without words), number of shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, most=4_000_000):
                 doc, hashes, times = shingles(part.column("text"), words)
-                keys = band_keys(signatures(doc, hashes, 1 + np.log(times), part.num_rows), bands, rows)
-                none = np.bincount(doc, minlength=part.num_rows) == 0
-                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()), mask=pa.array(none))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), lists], names=["doc_id", "node", "keys"])
+                registers = signatures(doc, hashes, 1 + np.log(times), part.num_rows, bands * rows + FINE_BANDS * FINE_ROWS)
+                n = np.bincount(doc, minlength=part.num_rows)
 
-    return docs.mapInArrow(sign, "doc_id long, node binary, keys array<bigint>")
+                def listed(keys: np.ndarray, n: np.ndarray = n) -> pa.Array:
+                    return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()), mask=pa.array(n == 0))
+
+                fine = band_keys(registers, FINE_BANDS, FINE_ROWS, bands * rows)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), listed(band_keys(registers, bands, rows)), listed(fine), pa.array(n)], names=["doc_id", "node", "keys", "fine", "n"])
+
+    return docs.mapInArrow(sign, "doc_id long, node binary, keys array<bigint>, fine array<bigint>, n long")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -165,7 +172,7 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float =
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     texts = rows_in.withColumn("node", F.unhex(F.md5("text")))
     table = materialize(signed(texts, words, bands, rows), "signatures")
-    nodes = materialize(table.groupBy("node").agg(F.first("keys").alias("keys")).filter("keys IS NOT NULL"), "nodes")
+    nodes = materialize(table.groupBy("node").agg(*[F.first(c).alias(c) for c in ("keys", "fine", "n")]).filter("keys IS NOT NULL"), "nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     # the smallest by a hash of its own leads a bucket, so that a group has other leaders in other bands
     lead = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("lead")
@@ -183,7 +190,7 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float =
         placed = members.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), "node")).alias("lead"))
         order = F.struct(F.col("n"), F.col("component"))
-        several = sizes.groupBy("key").agg(F.max(order)["component"].alias("largest"), F.count("*").alias("groups"), F.min_by("lead", F.struct("n", "component"))["node"].alias("leader")).filter("groups > 1")
+        several = sizes.groupBy("key").agg(F.max(order)["component"].alias("largest"), F.count("*").alias("groups"), F.sum("n").alias("members"), F.min_by("lead", F.struct("n", "component"))["node"].alias("leader")).filter("groups > 1")
         several = materialize(several, f"mixed{k}")
         if several.isEmpty():
             break
@@ -191,9 +198,7 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float =
         if k < stars:
             more = ordered_pairs(open_members.filter("node <> leader"), "leader", "node")
         else:
-            # all pairs of members of different groups; those within the largest group, which may hold most rows, never meet
-            outside = open_members.filter("component <> largest").select("key", F.col("node").alias("leader"), F.col("component").alias("other"))
-            more = ordered_pairs(open_members.drop("leader").join(outside, "key").filter(F.col("component") != F.col("other")), "leader", "node")
+            more = across(open_members.drop("leader"), nodes, threshold)
         more = materialize(more.join(tried, ["a", "b"], "left_anti"), f"more{k}")
         if more.isEmpty() and k == stars:
             break
@@ -203,6 +208,19 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float =
     return classed(table.select("doc_id", "node"), groups)
 
 
+def across(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of members of a bucket that are of different groups; those within the largest group, which may hold most rows, never meet.
+
+    Sets whose sizes differ too much can't be similar enough and don't meet either.
+    """
+    known = members.join(nodes.select("node", "fine", F.col("n").alias("size")), "node")
+    cut = F.when(F.col("members") > SMALL, F.col("fine")).otherwise(F.array(F.lit(0).cast("long")))
+    known = known.select("key", "node", "component", "largest", "size", F.explode(cut).alias("part"))
+    outside = known.filter("component <> largest").select("key", "part", F.col("node").alias("leader"), F.col("component").alias("other"), F.col("size").alias("other_size"))
+    apart = (F.col("component") != F.col("other")) & (F.least("size", "other_size") >= F.lit(threshold) * F.greatest("size", "other_size"))
+    return ordered_pairs(known.join(outside, ["key", "part"]).filter(apart), "leader", "node")
+
+
 def ordered_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
