@@ -2,5 +2,464 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from causeway.functions import text
+from causeway.operators import contract, decision, graph, rollback, schema, snapshots
+from causeway.plans import adapters as a
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None, name: str | None = None) -> Callable:
+    """Register a function of ``Tables`` with its SQL."""
+
+    def wrap(f: Callable[[a.Tables], DataFrame]) -> Callable[[a.Tables], DataFrame]:
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: f(a.Tables(spark, sf_dir))
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return wrap
+
+
+def _grown(origins: str, hops: int, graph_name: str = "edges") -> str:
+    """CTEs ``step`` and ``found`` of all simple paths up to ``hops``."""
+    kinds = " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in graph.WEIGHTS.items())
+    level = "p{h} AS (SELECT origin, list_append(nodes, s.target) AS nodes, list_append(kinds, s.kind) AS kinds, product * s.w AS product, {h} AS hops FROM p{b} JOIN step s ON s.source = nodes[-1] WHERE NOT list_contains(nodes, s.target))"
+    levels = ", ".join(level.format(h=h, b=h - 1) for h in range(1, hops + 1))
+    return f"""step AS (SELECT source, target, max(kind) AS kind, CASE max(kind) {kinds} ELSE 0.5::DOUBLE END AS w FROM {graph_name} GROUP BY source, target),
+origins AS ({origins}), p0 AS (SELECT origin, [origin] AS nodes, []::VARCHAR[] AS kinds, 1.0::DOUBLE AS product, 0 AS hops FROM origins),
+{levels}, found AS ({' UNION ALL '.join(f'SELECT * FROM p{h}' for h in range(1, hops + 1))})"""
+
+
+_SCORED = """scored AS (SELECT origin, nodes, kinds, hops, round_even(product / (1 + 0.5::DOUBLE * (hops - 1)), 6) AS severity, row_number() OVER (PARTITION BY origin ORDER BY hops, nodes) AS place FROM found),
+blast AS (SELECT origin, nodes[-1] AS entity, hops::INT AS hops, array_to_string(nodes, '>') AS path, severity, CASE WHEN severity >= 0.9 THEN 'CRITICAL' WHEN severity >= 0.7 THEN 'HIGH' WHEN severity >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS level,
+  CASE WHEN hops = 1 THEN 'DIRECT' ELSE 'INDIRECT' END AS category, array_to_string(kinds, ' -> ') AS reason FROM scored WHERE place <= {k})"""
+_ALL_REGIONS = "SELECT 'region:' || r_regionkey AS origin FROM region"
+
+
+def _blast_sql(origins: str, hops: int, k: int, tail: str) -> str:
+    return f"WITH {a.EDGES_SQL}, {_grown(origins, hops)}, {_SCORED.format(k=k)} {tail}"
+
+
+def _regions(t: a.Tables) -> DataFrame:
+    return t.region.select(a.node("region", "r_regionkey").alias("origin"))
+
+
+@query(_blast_sql("SELECT 'region:0' AS origin", 3, 1000, "SELECT * FROM blast"))
+def blast_radius_region(t):
+    return graph.blast_radius(a.edges(t), a.origins(t, "region:0"), 3, 1000)
+
+
+@query(_blast_sql("SELECT 'region:0' AS origin", 3, 100, "SELECT * FROM blast"))
+def blast_radius_top100(t):
+    return graph.blast_radius(a.edges(t), a.origins(t, "region:0"), 3, 100)
+
+
+@query(_blast_sql("SELECT 'supplier:0' AS origin", 2, 1000, "SELECT * FROM blast"))
+def blast_radius_cycles(t):
+    return graph.blast_radius(a.edges(t), a.origins(t, "supplier:0"), 2, 1000)
+
+
+_SUMMARY = "SELECT origin, count(DISTINCT entity) FILTER (category = 'DIRECT') AS direct, count(DISTINCT entity) FILTER (category = 'INDIRECT') AS indirect, count(DISTINCT entity) AS affected, max(severity) AS max_severity FROM blast GROUP BY origin"
+
+
+@query(_blast_sql("SELECT 'region:0' AS origin", 3, 1000, _SUMMARY))
+def blast_radius_summary(t):
+    return graph.impact_summary(blast_radius_region(t))
+
+
+@query(_blast_sql(_ALL_REGIONS, 2, 500, "SELECT * FROM blast"))
+def blast_radius_multi_target(t):
+    return graph.blast_radius(a.edges(t), _regions(t), 2, 500)
+
+
+@query(_blast_sql(_ALL_REGIONS, 2, 500, "SELECT count(*) FILTER (category = 'DIRECT') AS direct, count(*) FILTER (category = 'INDIRECT') AS indirect, count(DISTINCT entity) AS affected FROM blast"))
+def blast_radius_merged_summary(t):
+    return graph.merged_summary(blast_radius_multi_target(t))
+
+
+@query(_blast_sql("SELECT 'supplier:' || s_suppkey AS origin FROM supplier WHERE s_suppkey < 5", 1, 1000, "SELECT entity, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins, count(DISTINCT origin)::INT AS n_origins FROM blast GROUP BY entity HAVING count(DISTINCT origin) >= 2"))
+def convergence(t):
+    starts = t.supplier.filter("s_suppkey < 5").select(a.node("supplier", "s_suppkey").alias("origin"))
+    return graph.convergence(graph.blast_radius(a.edges(t), starts, 1, 1000))
+
+
+@query(f"WITH {a.TRANSITIONS_SQL}, {_grown(chr(39).join(['SELECT ', 'event:click', ' AS origin']), 5)} SELECT origin, array_to_string(nodes, '>') AS path, hops::INT AS hops FROM found")
+def downstream_paths_events(t):
+    return graph.all_paths(a.transitions(t), a.origins(t, "event:click")).select("origin", F.concat_ws(">", "nodes").alias("path"), "hops")
+
+
+@query(f"WITH {a.EDGES_SQL}, {_grown(chr(39).join(['SELECT ', 'region:0', ' AS origin']), 3)} SELECT origin, hops::INT AS hops, array_to_string(nodes, '>') AS path FROM found WHERE nodes[-1] = 'part:1' ORDER BY hops, nodes LIMIT 1")
+def canonical_path(t):
+    return graph.canonical_path(a.edges(t), a.origins(t, "region:0"), "part:1", 3)
+
+
+_REACH = "r0 AS (SELECT {o} AS node, 0 AS hop), r1 AS (SELECT DISTINCT target AS node, 1 AS hop FROM {e} e JOIN r0 ON e.source = r0.node), r2 AS (SELECT DISTINCT target AS node, 2 AS hop FROM {e} e JOIN r1 ON e.source = r1.node), r3 AS (SELECT DISTINCT target AS node, 3 AS hop FROM {e} e JOIN r2 ON e.source = r2.node), seen AS (SELECT node, min(hop)::INT AS hop FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) GROUP BY node)"
+
+
+@query(f"WITH {a.EDGES_SQL}, {_REACH.format(o=repr('region:1'), e='edges')} SELECT node, hop FROM seen")
+def reachable_set(t):
+    return graph.reachable(a.edges(t), a.origins(t, "region:1"), 3)
+
+
+@query(f"WITH {a.EDGES_SQL}, back AS (SELECT target AS source, source AS target FROM edges), {_REACH.format(o=repr('part:1'), e='back')} SELECT node, hop FROM seen")
+def reverse_chain(t):
+    return graph.reachable(graph.reversed_edges(a.edges(t)), a.origins(t, "part:1"), 3)
+
+
+@query(f"WITH {a.EDGES_SQL}, {_REACH.format(o=repr('region:1'), e='edges')} SELECT hop, count(*) AS n_nodes, min(node) AS first_node FROM seen GROUP BY hop")
+def hop_layers(t):
+    return reachable_set(t).groupBy("hop").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"))
+
+
+@query(f"WITH {a.EDGES_SQL} SELECT source, target, max(kind) AS kind FROM parallel WHERE source LIKE 'nation:%' GROUP BY source, target")
+def parallel_edge_collapse(t):
+    return graph.collapse(a.edges(t, parallel=True).filter(F.col("source").startswith("nation:")))
+
+
+@query(f"WITH {a.EDGES_SQL}, {a.ENTITIES_SQL} SELECT DISTINCT e AS entity_id FROM (SELECT source AS e FROM edges UNION ALL SELECT target FROM edges) WHERE e NOT IN (SELECT entity_id FROM entities)")
+def graph_validate_dangling(t):
+    return graph.dangling(a.entities(t), a.edges(t))
+
+
+@query(f"WITH {a.EDGES_SQL}, doubled AS (SELECT * FROM edges UNION ALL SELECT * FROM edges WHERE kind = 'HTTP_CALL') SELECT source, target, kind, count(*) AS n FROM doubled GROUP BY ALL HAVING count(*) > 1")
+def graph_validate_duplicates(t):
+    edges = a.edges(t)
+    return graph.duplicate_edges(edges.unionByName(edges.filter("kind = 'HTTP_CALL'")))
+
+
+@query("SELECT 'n:' || n_nationkey AS source, 'n:' || n_regionkey AS target, 'CALL' AS kind FROM nation WHERE n_nationkey = n_regionkey")
+def graph_validate_self_loops(t):
+    return graph.self_loops(t.nation.select(a.node("n", "n_nationkey").alias("source"), a.node("n", "n_regionkey").alias("target"), F.lit("CALL").alias("kind")))
+
+
+@query(f"WITH {a.EDGES_SQL} SELECT kind, count(*) AS n_edges FROM edges GROUP BY kind")
+def edge_kind_histogram(t):
+    return graph.kind_histogram(a.edges(t))
+
+
+@query("WITH e AS (SELECT 't' || (p_partkey % 50) || '.c' || p_partkey AS entity_id FROM part WHERE p_partkey % 2 = 0), o AS (SELECT 't' || (p_partkey % 50) || '.c' || p_partkey AS object FROM part WHERE p_partkey < 40), x AS (SELECT object, entity_id FROM o JOIN e ON object = entity_id) SELECT * FROM x UNION ALL SELECT object, entity_id FROM o JOIN e ON split_part(object, '.', 1) = split_part(entity_id, '.', 1) WHERE object NOT IN (SELECT object FROM x)")
+def prefix_correlation(t):
+    name = F.concat(F.lit("t"), (F.col("p_partkey") % 50).cast("string"), F.lit(".c"), F.col("p_partkey").cast("string"))
+    return graph.correlate(t.part.filter("p_partkey % 2 = 0").select(name.alias("entity_id")), t.part.filter("p_partkey < 40").select(name.alias("object")))
+
+
+def _diff(t):
+    return snapshots.difference(a.files(t, False), a.files(t, True))
+
+
+@query(f"WITH {a.FILES_SQL} SELECT path, status, old_sha256, new_sha256 FROM diff")
+def snapshot_diff(t):
+    return _diff(t)
+
+
+@query(f"WITH {a.FILES_SQL} SELECT count(*) FILTER (status = 'ADDED') AS added, count(*) FILTER (status = 'MODIFIED') AS modified, count(*) FILTER (status = 'REMOVED') AS removed, count(*) FILTER (status = 'SAME') AS same FROM diff")
+def snapshot_diff_counts(t):
+    return snapshots.counts(_diff(t))
+
+
+@query(f"WITH {a.FILES_SQL} SELECT path, status, old_sha256, new_sha256 FROM diff WHERE status <> 'SAME'")
+def changed_only(t):
+    return snapshots.changed(_diff(t))
+
+
+_DOMAIN = "CASE WHEN path LIKE '%.sql' THEN 'DATABASE' WHEN path LIKE '%/openapi.yaml' THEN 'API' WHEN path LIKE '%.py' OR path LIKE '%.js' THEN 'SOURCE' WHEN path LIKE '%/settings.yml' THEN 'CONFIG' WHEN path LIKE '%/k8s/%' THEN 'DEPLOYMENT' WHEN path LIKE '%/package.json' THEN 'DEPENDENCY' ELSE 'UNKNOWN' END"
+
+
+@query(f"WITH {a.FILES_SQL} SELECT {_DOMAIN} AS domain, count(*) AS n_files FROM diff WHERE status <> 'SAME' GROUP BY 1")
+def changed_domains(t):
+    return snapshots.changed_domains(_diff(t))
+
+
+@query(f"WITH {a.FILES_SQL} SELECT path, {_DOMAIN} AS domains FROM new_files")
+def domain_labels(t):
+    return a.files(t, True).select("path", F.concat_ws(",", snapshots.domains(F.col("path"))).alias("domains"))
+
+
+@query(f"WITH {a.FILES_SQL} SELECT CASE WHEN path LIKE 'node_modules/%' THEN 'ignored' WHEN path LIKE '%/openapi.yaml' THEN 'api_contract' WHEN path LIKE '%.py' THEN 'semantic' WHEN path LIKE '%.sql' THEN 'migration_candidate' ELSE 'other' END AS class, count(*) AS n_files FROM new_files GROUP BY 1")
+def manifest_classify(t):
+    return a.files(t, True).groupBy(snapshots.classify(F.col("path")).alias("class")).agg(F.count("*").alias("n_files"))
+
+
+@query(f"WITH {a.FILES_SQL} SELECT 'python' AS language, count(*) AS n_files FROM new_files WHERE path LIKE '%.py'")
+def language_histogram(t):
+    return a.files(t, True).groupBy(snapshots.language(F.col("path")).alias("language")).agg(F.count("*").alias("n_files")).filter("language IS NOT NULL")
+
+
+@query(f"WITH {a.FILES_SQL} SELECT path FROM new_files WHERE path LIKE '%/package.json'")
+def framework_signals(t):
+    return a.files(t, True).filter(snapshots.name_of(F.col("path")).isin(*snapshots.MARKERS)).select("path")
+
+
+@query(f"WITH {a.FILES_SQL} SELECT max(path) AS path FROM new_files WHERE path LIKE '%.sql'")
+def pick_migration_file(t):
+    return snapshots.pick_migration(a.files(t, True))
+
+
+@query(f"WITH {a.FILES_SQL} SELECT min(path) AS path FROM new_files WHERE path LIKE '%/openapi.yaml'")
+def pick_contract_file(t):
+    return snapshots.pick_first(a.files(t, True), "openapi.yaml")
+
+
+@query("WITH e AS (SELECT event_id AS ordinal, CASE event_id % 7 WHEN 0 THEN '../x' WHEN 1 THEN '/abs' WHEN 2 THEN 'C:\\x' ELSE 'ok/f' || event_id END AS name, event_id % 19 = 0 AS link, (event_id * 997) % 30000000 AS fs, (event_id * 31) % 50000 AS cs FROM events WHERE event_id < 2000), s AS (SELECT *, sum(fs) OVER (ORDER BY ordinal) AS total FROM e) SELECT ordinal, total::BIGINT AS total, CASE WHEN event_v.name LIKE '../%' OR name LIKE '/%' OR name LIKE 'C:%' THEN 'UNSAFE_PATH' WHEN link THEN 'SYMLINK' WHEN ordinal >= 5000 THEN 'TOO_MANY' WHEN fs > 20971520 THEN 'TOO_LARGE' WHEN fs > 1048576 AND fs > 200.0 * greatest(cs, 1) THEN 'BOMB' WHEN total > 157286400 THEN 'TOTAL' ELSE 'OK' END AS verdict FROM s AS event_v")
+def archive_plan(t):
+    key = F.col("event_id")
+    name = F.when(key % 7 == 0, "../x").when(key % 7 == 1, "/abs").when(key % 7 == 2, "C:\\x").otherwise(F.concat(F.lit("ok/f"), key.cast("string")))
+    listing = t.events.filter("event_id < 2000").select(key.alias("ordinal"), name.alias("name"), F.lit(False).alias("is_dir"), (key % 19 == 0).alias("is_symlink"), ((key * 997) % 30000000).alias("file_size"), ((key * 31) % 50000).alias("compress_size"))
+    return snapshots.archive_plan(listing).select("ordinal", "total", "verdict")
+
+
+@query(f"WITH {a.COLUMNS_SQL} SELECT coalesce(o.\"table\", n.\"table\") AS \"table\", coalesce(o.\"column\", n.\"column\") AS \"column\", CASE WHEN o.\"table\" IS NULL THEN 'ADDED' WHEN n.\"table\" IS NULL THEN 'REMOVED' WHEN o.data_type = n.data_type AND o.nullable = n.nullable THEN 'UNCHANGED' ELSE 'CHANGED' END AS status, o.data_type AS old_type, n.data_type AS new_type FROM old_columns o FULL JOIN new_columns n ON o.\"table\" = n.\"table\" AND o.\"column\" = n.\"column\"")
+def schema_diff(t):
+    return schema.difference(a.columns(t, False), a.columns(t, True))
+
+
+@query(f"WITH {a.MIGRATION_SQL} SELECT ordinal, kind, \"table\", object_name, after, category, severity FROM changes")
+def schema_changes(t):
+    return schema.changes(a.migration(t)).drop("statement")
+
+
+@query(f"WITH {a.COLUMNS_SQL}, {a.MIGRATION_SQL}, f AS (SELECT * FROM changes WHERE object_name IS NOT NULL) SELECT coalesce(o.\"table\", f.\"table\") AS \"table\", coalesce(o.\"column\", f.object_name) AS \"column\", CASE WHEN f.kind IN ('ADD_COLUMN', 'ALTER_COLUMN_TYPE') THEN f.after ELSE o.data_type END AS data_type, CASE WHEN f.kind = 'ALTER_NULLABILITY' THEN false ELSE coalesce(o.nullable, true) END AS nullable FROM old_columns o FULL JOIN f ON o.\"table\" = f.\"table\" AND o.\"column\" = f.object_name WHERE coalesce(f.kind, '') <> 'DROP_COLUMN' AND (o.data_type IS NOT NULL OR f.kind = 'ADD_COLUMN')")
+def schema_evolution(t):
+    return schema.evolve(a.columns(t, False), schema.changes(a.migration(t)))
+
+
+@query(f"WITH {a.MIGRATION_SQL} SELECT \"table\", ordinal, kind FROM (SELECT *, row_number() OVER (PARTITION BY \"table\" ORDER BY CASE category WHEN 'DESTRUCTIVE' THEN 5 WHEN 'DATA_DEPENDENT' THEN 4 WHEN 'ADDITIVE' THEN 2 WHEN 'UNSUPPORTED' THEN 1 ELSE 0 END DESC, CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END DESC, ordinal) AS r FROM changes) WHERE r = 1")
+def primary_change(t):
+    return schema.primary(schema.changes(a.migration(t)), ["table"]).select("table", "ordinal", "kind")
+
+
+@query(f"WITH {a.MIGRATION_SQL} SELECT ordinal, CASE WHEN category = 'DESTRUCTIVE' THEN 'UNSAFE' WHEN category = 'DATA_DEPENDENT' THEN CASE WHEN ordinal % 4 = 0 THEN 'UNSAFE' ELSE 'COMPATIBLE' END WHEN category = 'ADDITIVE' THEN 'SAFE' ELSE 'UNKNOWN' END AS status, CASE kind WHEN 'DROP_COLUMN' THEN CASE WHEN ordinal % 4 = 0 THEN 'drop_column_active_dependency' ELSE 'drop_column_no_dependency' END WHEN 'DROP_TABLE' THEN CASE WHEN ordinal % 4 = 0 THEN 'drop_table_active_dependency' ELSE 'drop_table_no_dependency' END WHEN 'ALTER_NULLABILITY' THEN 'not_null_data_dependent' WHEN 'ALTER_COLUMN_TYPE' THEN 'type_narrowing_data_dependent' WHEN 'ADD_COLUMN' THEN 'additive_safe_change' ELSE 'unsupported_change' END AS explanation FROM changes")
+def deployment_status(t):
+    used = F.col("ordinal") % 4 == 0
+    return schema.changes(a.migration(t)).select("ordinal", schema.deployment_status(F.col("category"), used).alias("status"), schema.explanation_key(F.col("kind"), used).alias("explanation"))
+
+
+def _symbols(t, new):
+    return t.part.filter(F.col("p_partkey") % 10 != (1 if new else 0)).select(F.concat("p_brand", F.lit(".py")).alias("file"), F.lit("FUNCTION").alias("kind"), F.col("p_name").alias("name"))
+
+
+_SYMBOLS = "old AS (SELECT DISTINCT p_brand || '.py' AS file, 'FUNCTION' AS kind, p_name AS name FROM part WHERE p_partkey % 10 <> 0), new AS (SELECT DISTINCT p_brand || '.py' AS file, 'FUNCTION' AS kind, p_name AS name FROM part WHERE p_partkey % 10 <> 1)"
+
+
+@query(f"WITH {_SYMBOLS} SELECT * FROM old EXCEPT SELECT * FROM new")
+def symbols_removed(t):
+    return snapshots.symbols_missing(_symbols(t, False).distinct(), _symbols(t, True))
+
+
+@query(f"WITH {_SYMBOLS} SELECT * FROM new EXCEPT SELECT * FROM old")
+def symbols_added(t):
+    return snapshots.symbols_missing(_symbols(t, True).distinct(), _symbols(t, False))
+
+
+@query(f"WITH {a.OPERATIONS_SQL} SELECT path, method, 'API-ENDPOINT-REMOVED' AS rule_id, 'endpoint' AS location, 'BREAKING' AS compatibility FROM old_ops WHERE key NOT IN (SELECT key FROM new_ops) UNION ALL SELECT path, method, 'API-ENDPOINT-ADDED', 'endpoint', 'SAFE' FROM new_ops WHERE key NOT IN (SELECT key FROM old_ops)")
+def endpoint_diff(t):
+    return contract.endpoints(a.operations(t, False), a.operations(t, True))
+
+
+@query(f"WITH {a.OPERATIONS_SQL} SELECT o.path, o.method, 'API-SECURITY-REQUIRED' AS rule_id, 'security' AS location, 'CAUTION' AS compatibility FROM old_ops o JOIN new_ops n ON o.key = n.key WHERE o.key % 5 = 0")
+def security_diff(t):
+    return contract.security(a.operations(t, False), a.operations(t, True))
+
+
+_PARAMS = f"""WITH {a.PARAMETERS_SQL}, b AS (SELECT coalesce(o.path, n.path) AS path, coalesce(o.method, n.method) AS method, coalesce(o.name, n.name) AS name, o.location AS ol, n.location AS nl, o.required AS oreq, n.required AS nreq FROM old_params o FULL JOIN new_params n ON o.path = n.path AND o.name = n.name),
+out AS (SELECT path, method, 'API-PARAM-REMOVED' AS rule_id, 'parameters.' || name AS location, 'BREAKING' AS compatibility FROM b WHERE nl IS NULL
+UNION ALL SELECT path, method, 'API-REQUIRED-ADDED', 'parameters.' || name, 'BREAKING' FROM b WHERE nl IS NOT NULL AND nreq AND NOT coalesce(oreq, false)
+UNION ALL SELECT path, method, 'API-PARAM-LOCATION-CHANGED', 'parameters.' || name, 'CAUTION' FROM b WHERE ol <> nl)"""
+
+
+@query(_PARAMS + " SELECT * FROM out")
+def param_diff(t):
+    return contract.parameters(a.parameters(t, False), a.parameters(t, True))
+
+
+@query(_PARAMS + " SELECT CASE max(CASE compatibility WHEN 'BREAKING' THEN 3 WHEN 'CAUTION' THEN 1 ELSE 0 END) WHEN 3 THEN 'BREAKING' WHEN 1 THEN 'CAUTION' ELSE 'SAFE' END AS status, count(*) AS n_changes FROM out")
+def api_status(t):
+    return contract.status(param_diff(t))
+
+
+@query("WITH b AS (SELECT '/s/' || (o_orderkey // 5) AS path, 'GET' AS method, CAST(200 + o_orderkey % 5 AS VARCHAR) AS status, o_orderkey AS k FROM orders) SELECT path, method, 'API-RESPONSE-REMOVED' AS rule_id, 'responses.' || status AS location, 'BREAKING' AS compatibility FROM b WHERE k % 10 = 1 UNION ALL SELECT path, method, 'API-RESPONSE-ADDED', 'responses.' || status, 'SAFE' FROM b WHERE k % 10 = 0")
+def response_diff(t):
+    key = F.col("o_orderkey")
+    rows = t.orders.select(F.concat(F.lit("/s/"), F.floor(key / 5).cast("string")).alias("path"), F.lit("GET").alias("method"), (200 + key % 5).cast("string").alias("status"), key.alias("k"))
+    return contract.responses(rows.filter("k % 10 <> 0").drop("k"), rows.filter("k % 10 <> 1").drop("k"))
+
+
+@query(f"""WITH {a.NODES_SQL}, r AS (
+SELECT *, 'API-PROPERTY-REMOVED' AS rule_id, CASE WHEN direction = 'RESPONSE' THEN 'BREAKING' ELSE 'CAUTION' END AS compatibility FROM joined WHERE nt IS NULL
+UNION ALL SELECT *, 'API-REQUIRED-ADDED', 'BREAKING' FROM joined WHERE ot IS NULL AND nreq
+UNION ALL SELECT *, 'API-REQUIRED-ADDED', 'BREAKING' FROM joined WHERE ot IS NOT NULL AND nt IS NOT NULL AND nreq AND NOT oreq
+UNION ALL SELECT *, 'API-TYPE-NARROWED', 'BREAKING' FROM joined WHERE ot <> nt
+UNION ALL SELECT *, 'API-ENUM-VALUE-REMOVED', 'BREAKING' FROM joined WHERE ov > 0 AND nv > 0 AND ov > nv
+UNION ALL SELECT *, 'API-ENUM-CONSTRAINT-ADDED', 'BREAKING' FROM joined WHERE ov = 0 AND nv > 0)
+SELECT path, method, rule_id, direction || '.' || location AS location, compatibility FROM r""")
+def schema_node_diff(t):
+    return contract.schema_nodes(a.nodes(t, False), a.nodes(t, True))
+
+
+_RB = f"""WITH {a.COLUMNS_SQL}, {a.DEPENDENCIES_SQL}, j AS (SELECT dependency, o.data_type AS ot, o.nullable AS oin, n.data_type AS nt, n.nullable AS nin FROM deps LEFT JOIN old_columns o ON dependency = o."table" || '.' || o."column" LEFT JOIN new_columns n ON dependency = n."table" || '.' || n."column"),
+rb AS (SELECT dependency, CASE WHEN ot IS NOT NULL AND nt IS NULL THEN 'RB-SCHEMA-REMOVED-OLD-DEPENDENCY' WHEN ot <> nt THEN 'RB-SCHEMA-TYPE-CHANGED' WHEN ot IS NOT NULL AND oin AND NOT nin THEN 'RB-SCHEMA-NOT-NULL-OLD-DEPENDENCY' END AS rule_id FROM j),
+out AS (SELECT dependency, rule_id, CASE WHEN rule_id LIKE '%REMOVED%' THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity, CASE WHEN rule_id LIKE '%REMOVED%' THEN 'UNSAFE' ELSE 'CAUTION' END AS status FROM rb WHERE rule_id IS NOT NULL)"""
+
+
+@query(_RB + " SELECT * FROM out")
+def rollback_schema(t):
+    return rollback.schema_dependencies(a.dependencies(t), a.columns(t, False), a.columns(t, True))
+
+
+@query(_RB + " SELECT CASE WHEN bool_or(status = 'UNSAFE') THEN 'UNSAFE' WHEN count(*) > 0 THEN 'CAUTION' ELSE 'SAFE' END AS status, count(*) AS n_findings FROM out")
+def rollback_status(t):
+    return rollback.status(rollback_schema(t))
+
+
+@query(f"WITH {a.OPERATIONS_SQL} SELECT method || ' ' || path AS dependency, 'RB-API-ENDPOINT-REMOVED' AS rule_id, 'CRITICAL' AS severity, 'UNSAFE' AS status FROM old_ops WHERE key % 2 = 1 AND key NOT IN (SELECT key FROM new_ops)")
+def rollback_api(t):
+    return rollback.api_dependencies(a.operations(t, False).filter("key % 2 = 1").select("path", "method"), a.operations(t, False), a.operations(t, True))
+
+
+@query(f"WITH {a.COLUMNS_SQL}, {a.DEPENDENCIES_SQL} SELECT dependency, 'RB-FORWARD-MISSING-DEPENDENCY' AS rule_id, 'UNSAFE' AS status FROM deps WHERE dependency NOT IN (SELECT \"table\" || '.' || \"column\" FROM new_columns)")
+def forward_missing(t):
+    return rollback.forward_missing(a.dependencies(t), a.columns(t, True))
+
+
+@query(f"WITH {a.MIGRATION_SQL}, {a.DEPENDENCIES_SQL} SELECT ordinal, concat_ws('.', \"table\", object_name) AS dependency, 'EXPAND_CONTRACT_VIOLATION' AS rule_id, 'UNSAFE' AS status FROM changes WHERE kind LIKE 'DROP%' AND concat_ws('.', \"table\", object_name) IN (SELECT dependency FROM deps)")
+def expand_contract(t):
+    return rollback.expand_contract(schema.changes(a.migration(t)), a.dependencies(t))
+
+
+@query(_RB + ", src AS (SELECT CASE WHEN p_partkey = 5 THEN '' ELSE 't' || (p_partkey % 50) || '.c' || p_partkey END AS entity, p_brand || '.py' AS source_file, p_size AS line FROM part) SELECT dependency, rule_id, source_file, line FROM out JOIN src ON entity = dependency OR entity = ''")
+def provenance_lookup(t):
+    key = F.col("p_partkey")
+    sources = t.part.select(F.when(key == 5, "").otherwise(F.concat(F.lit("t"), (key % 50).cast("string"), F.lit(".c"), key.cast("string"))).alias("entity"), F.concat("p_brand", F.lit(".py")).alias("source_file"), F.col("p_size").alias("line"))
+    return rollback.provenance(rollback_schema(t), sources)
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT * FROM feats")
+def risk_features(t):
+    return decision.features(a.findings(t), ["scope"])
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, base_risk, multiplier, risk FROM risked")
+def final_risk(t):
+    return decision.risk(decision.features(a.findings(t), ["scope"])).select("scope", "base_risk", "multiplier", "risk")
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, risk, rules, verdict FROM decided")
+def policy_verdict(t):
+    return decision.decide(a.findings(t), ["scope"]).select("scope", "risk", "rules", "verdict")
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, 'COMPOUND-API-SCHEMA' AS compound, 1.08::DOUBLE AS multiplier FROM feats WHERE api_blocking AND db UNION ALL SELECT scope, 'COMPOUND-BLAST-ROLLBACK', 1.1::DOUBLE FROM feats WHERE blast_critical AND rollback_blocking UNION ALL SELECT scope, 'COMPOUND-ROLLBACK-SCHEMA', 1.12::DOUBLE FROM feats WHERE db_blocking AND removed_dependency")
+def compound_risks(t):
+    return decision.compound_risks(decision.features(a.findings(t), ["scope"]), ["scope"])
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, rule_id AS source, 'feature:' || lower(category) AS target, 'contributes_to' AS relation, severity AS value FROM findings UNION ALL SELECT scope, 'risk_features', 'base_risk', 'formula', base_risk::VARCHAR FROM decided UNION ALL SELECT scope, 'COMPOUND-API-SCHEMA', 'compound_adjustment', 'multiplier', '1.08' FROM feats WHERE api_blocking AND db UNION ALL SELECT scope, 'COMPOUND-BLAST-ROLLBACK', 'compound_adjustment', 'multiplier', '1.1' FROM feats WHERE blast_critical AND rollback_blocking UNION ALL SELECT scope, 'COMPOUND-ROLLBACK-SCHEMA', 'compound_adjustment', 'multiplier', '1.12' FROM feats WHERE db_blocking AND removed_dependency UNION ALL SELECT scope, 'policy', 'verdict', 'selected', verdict FROM decided")
+def evidence_chain(t):
+    found = a.findings(t)
+    return decision.evidence_chain(found, decision.decide(found, ["scope"]), ["scope"])
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, finding_id, severity, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY severity DESC, finding_id DESC) AS place FROM findings) WHERE place <= 5")
+def top_findings(t):
+    return decision.top_findings(a.findings(t), ["scope"]).select("scope", "finding_id", "severity", "place")
+
+
+@query(f"WITH {a.FINDINGS_SQL}, d AS (SELECT * FROM findings WHERE rule_id IN ('DROP_COLUMN', 'DROP_TABLE')) SELECT finding_id || ':expand' AS step_id, CASE WHEN severity IN ('CRITICAL', 'HIGH', 'MEDIUM') THEN severity ELSE 'LOW' END AS priority FROM d UNION ALL SELECT finding_id || ':verify', 'HIGH' FROM d")
+def remediation_steps(t):
+    return decision.remediation(a.findings(t))
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT category, rule_id, count(*) AS n, count(DISTINCT entity) AS entities FROM findings GROUP BY category, rule_id")
+def findings_by_rule(t):
+    return a.findings(t).groupBy("category", "rule_id").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("entities"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(password\\s*=\\s*[''\"][^''\"]+[''\"])', '<redacted>', 'gi'), '(api[_-]?key\\s*=\\s*[''\"][^''\"]+[''\"])', '<redacted>', 'gi'), '(token\\s*=\\s*[''\"][^''\"]+[''\"])', '<redacted>', 'gi'), '(secret\\s*=\\s*[''\"][^''\"]+[''\"])', '<redacted>', 'gi'), '([''\"](?:password|token|secret|api_key|api-key)[''\"]\\s*:\\s*[''\"][^''\"]+[''\"])', '<redacted>', 'gi')) AS redacted_sha256 FROM documents")
+def redact_sql(t):
+    return t.documents.select("doc_id", F.sha2(text.redact_sql(F.col("text")), 256).alias("redacted_sha256"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(text, '((?:api[_-]?key|secret|password|token|authorization|credential)=)[^&\\s]+', '\\1<redacted>', 'gi')) AS redacted_sha256 FROM documents")
+def redact_url(t):
+    return t.documents.select("doc_id", F.sha2(text.redact_url(F.col("text")), 256).alias("redacted_sha256"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(bearer\\s+[A-Za-z0-9._~+/=-]+|AKIA[0-9A-Z]{16}|eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9._-]+\\.[A-Za-z0-9._-]+)', '[REDACTED]', 'gi'), '\\b(?:postgres|mysql|mongodb(?:\\+srv)?|redis)://[^\\s]+', '[REDACTED]', 'gi')) AS redacted_sha256 FROM documents")
+def redact_tokens(t):
+    return t.documents.select("doc_id", F.sha2(text.redact_tokens(F.col("text")), 256).alias("redacted_sha256"))
+
+
+_SERVICE = "nullif(split_part(regexp_extract(url, '^https?://([^/]*)', 1), ':', 1), '')"
+
+
+@query(f"SELECT page_id, {_SERVICE} AS service FROM pages")
+def service_from_url(t):
+    return t.pages.select("page_id", text.service_of(F.col("url")).alias("service"))
+
+
+@query(f"SELECT page_id, array_to_string(list_transform(list_filter(regexp_split_to_array({_SERVICE}, '[-_.\\s]+'), lambda w: w <> ''), lambda w: CASE WHEN lower(w) IN ('api', 'db', 'id', 'url', 'http', 'https', 'sql', 'ui', 'io', 'rpc') THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), '') AS class_name FROM pages")
+def api_class_name(t):
+    return t.pages.select("page_id", text.class_name(text.service_of(F.col("url"))).alias("class_name"))
+
+
+_ROUTE = "WITH r AS (SELECT page_id, coalesce(" + _SERVICE + ", '') AS service, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '[0-9]+', '{id}', 'g'), '^https?://[^/]*', ''), '/+$', '') AS x FROM pages), routes AS (SELECT page_id, service, CASE WHEN x = '' THEN '/' ELSE x END AS route FROM r)"
+
+
+@query(_ROUTE + " SELECT page_id, service, route FROM routes WHERE page_id % 2 = 0")
+def route_normalize(t):
+    return a.calls(t)[0]
+
+
+@query(_ROUTE + ", providers AS (SELECT DISTINCT service, route FROM routes WHERE page_id % 2 = 1) SELECT page_id, count(p.service) AS n_providers, CASE WHEN count(p.service) = 1 THEN 'MATCHED' WHEN count(p.service) = 0 THEN 'UNRESOLVED' ELSE 'AMBIGUOUS' END AS state FROM routes c LEFT JOIN providers p ON c.route = p.route WHERE c.page_id % 2 = 0 GROUP BY page_id")
+def route_match(t):
+    callers, providers = a.calls(t)
+    offers = providers.groupBy("route").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return callers.join(offers, "route", "left").select("page_id", n.alias("n_providers"), F.when(n == 1, "MATCHED").when(n == 0, "UNRESOLVED").otherwise("AMBIGUOUS").alias("state"))
+
+
+@query("SELECT p_partkey, substr(sha256(concat_ws('|', p_brand, p_name)), 1, 16) AS stable_id, 'svc/' || replace(p_brand, '\\', '/') || '::FUNCTION::' || p_name AS symbol_id FROM part")
+def stable_ids(t):
+    return t.part.select("p_partkey", text.stable_id(F.col("p_brand"), F.col("p_name")).alias("stable_id"), text.symbol_id(F.lit("svc"), F.col("p_brand"), F.lit("FUNCTION"), F.col("p_name")).alias("symbol_id"))
+
+
+@query(f"WITH {a.EDGES_SQL} SELECT source, sha256(string_agg(target || ':' || kind, ',' ORDER BY target, kind)) AS edges_sha256 FROM edges WHERE kind IN ('HTTP_CALL', 'CONFIG_DEPENDENCY') GROUP BY source")
+def canonical_edge_hash(t):
+    few = a.edges(t).filter(F.col("kind").isin("HTTP_CALL", "CONFIG_DEPENDENCY"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", "kind"))), lambda e: F.concat_ws(":", e["target"], e["kind"])), ",")
+    return few.groupBy("source").agg(F.sha2(listed, 256).alias("edges_sha256"))
+
+
+@query("WITH refs AS (SELECT l_orderkey AS ref, l_linenumber AS n, l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_orderkey < 200), c AS (SELECT ref, n, 1 AS level, s_suppkey AS hit FROM refs JOIN supplier ON s_suppkey = p UNION ALL SELECT ref, n, 2, p_partkey FROM refs JOIN part ON p_partkey = p AND p_size < 25 UNION ALL SELECT ref, n, 3, c_custkey FROM refs JOIN customer ON c_nationkey = p % 25 AND c_custkey < 60), b AS (SELECT *, min(level) OVER (PARTITION BY ref, n) AS best FROM c), d AS (SELECT ref, n, min(level) AS level, count(*) AS hits FROM b WHERE level = best GROUP BY ref, n) SELECT r.ref, r.n, coalesce(level, 0)::INT AS level, CASE WHEN hits IS NULL THEN 'UNRESOLVED' WHEN hits = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS state FROM refs r LEFT JOIN d ON r.ref = d.ref AND r.n = d.n")
+def resolve_references(t):
+    """The first level of a cascade with any candidate decides; several candidates there are ambiguous."""
+    refs = t.lineitem.filter("l_orderkey < 200").select(F.col("l_orderkey").alias("ref"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"))
+    levels = [
+        refs.join(t.supplier, F.col("s_suppkey") == F.col("p")).select("ref", "n", F.lit(1).alias("level")),
+        refs.join(t.part.filter("p_size < 25"), F.col("p_partkey") == F.col("p")).select("ref", "n", F.lit(2).alias("level")),
+        refs.join(t.customer.filter("c_custkey < 60"), F.col("c_nationkey") == F.col("p") % 25).select("ref", "n", F.lit(3).alias("level")),
+    ]
+    per = levels[0].unionByName(levels[1]).unionByName(levels[2]).groupBy("ref", "n", "level").agg(F.count("*").alias("hits"))
+    best = per.groupBy("ref", "n").agg(F.min(F.struct("level", "hits")).alias("b"))
+    return refs.join(best, ["ref", "n"], "left").select("ref", "n", F.coalesce("b.level", F.lit(0)).alias("level"), F.when(F.col("b.hits").isNull(), "UNRESOLVED").when(F.col("b.hits") == 1, "RESOLVED").otherwise("AMBIGUOUS").alias("state"))
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, 'risk:' || CASE category WHEN 'BLAST_RADIUS' THEN 'blast_severity' WHEN 'ROLLBACK' THEN 'rollback_unsafety' ELSE 'deployment_severity' END AS target, count(*) AS n_edges FROM findings GROUP BY ALL")
+def evidence_edges(t):
+    target = F.when(F.col("category") == "BLAST_RADIUS", "risk:blast_severity").when(F.col("category") == "ROLLBACK", "risk:rollback_unsafety").otherwise("risk:deployment_severity")
+    return a.findings(t).groupBy("scope", target.alias("target")).agg(F.count("*").alias("n_edges"))
+
+
+@query(f"WITH {a.FINDINGS_SQL}, alt AS (SELECT scope, bool_or(blocking AND rule_id <> 'DROP_COLUMN') AS b FROM findings GROUP BY scope) SELECT d.scope, d.verdict, alt.b AS still_blocking FROM decided d JOIN alt USING (scope)")
+def counterfactual_compare(t):
+    found = a.findings(t)
+    other = found.groupBy("scope").agg(F.bool_or(F.col("blocking") & (F.col("rule_id") != "DROP_COLUMN")).alias("still_blocking"))
+    return decision.decide(found, ["scope"]).select("scope", "verdict").join(other, "scope")
