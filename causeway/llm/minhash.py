@@ -5,12 +5,14 @@ register keeps the shingle that came first. A shingle stops as soon as its next
 shingles of a long text stop after one point. Two documents agree on a register with the probability Jaccard similarity of their
 weighted shingles.
 
-Equal texts are one node. Nodes that share a band's registers share a bucket. A bucket emits a star, not all pairs: one member, another
-in each band, is compared with all others, and pairs count only if the Jaccard similarity of their sets of shingles is at least
+Equal texts are one node. Nodes that share a band's registers share a bucket. A bucket emits a star, not all pairs: one member is compared with all others, and pairs count only if the Jaccard similarity of their sets of shingles is at least
 the threshold. Buckets that still hold several groups then go through further stars, led by members of the smaller groups. What is
-still mixed then goes through all pairs of members of different groups: at once in small buckets, and in large ones (many texts that
-share a passage, say) where two also share a finer band of other registers, which a pair of similarity 0.8 does with probability
-0.998 in each of the buckets that it shares.
+still mixed then goes through all pairs of members of different groups. Of these, those whose registers differ too often for the
+threshold are left out by the join itself (four bits of each register are compared; a pair of similarity 0.8 is left out once in
+15,000 times), so that many unlike texts that share a passage cost comparisons of a few longs and make no rows.
+
+The member of a bucket that shares most buckets with others leads it, so that the original of a group of edited copies, which is
+nearer to each of them than they are to each other, is compared with them first.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.common import materialize, read_table, text_of
@@ -31,11 +33,9 @@ from causeway.llm.tokens import chunks, ragged
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands of registers: two documents of similarity 0.8 share none of them once in 20,000 times.
 BANDS, ROWS = 25, 5
-#: Finer bands of further registers, which cut the buckets of more than ``SMALL`` members that stars leave mixed.
-FINE_BANDS, FINE_ROWS, SMALL = 12, 4, 40
-REGISTERS = BANDS * ROWS + FINE_BANDS * FINE_ROWS
+REGISTERS = 128
 #: Further stars before the rest of mixed buckets is compared pair by pair.
-STARS = 2
+STARS = 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,34 +94,51 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_docs:
     return came.reshape(n_docs, registers)
 
 
-def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS, first: int = 0) -> np.ndarray:
-    """n_docs x bands keys of the registers from ``first`` on; a key holds its band's number."""
+def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """n_docs x bands keys; a key holds its band's number."""
     keys = np.zeros((len(registers), bands), np.uint64)
     for b in range(bands):
         h = np.full(len(registers), b, np.uint64)
         for r in range(rows):
-            h = mixed(h * _GOLD + registers[:, first + b * rows + r])
+            h = mixed(h * _GOLD + registers[:, b * rows + r])
         keys[:, b] = h
     return keys.view(np.int64)
 
 
-def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, node, keys, fine, n``: keys of the bands and of the finer bands (null for texts without words), number of shingles."""
+def nibbles(registers: np.ndarray) -> np.ndarray:
+    """Four bits of each register, 16 registers to a long (n_docs x longs)."""
+    few = np.zeros((len(registers), -(-registers.shape[1] // 16) * 16), np.uint64)
+    few[:, : registers.shape[1]] = mixed(registers) & np.uint64(15)
+    return (few.reshape(len(few), -1, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def differing(a: str, b: str, longs: int) -> Column:
+    """Of two columns of ``nibbles``: how many registers differ."""
+    total = F.lit(0)
+    for i in range(longs):
+        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def signed(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, node, keys, few, n``: keys of the bands and ``nibbles`` of the registers (null for texts without words), number of shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, most=4_000_000):
                 doc, hashes, times = shingles(part.column("text"), words)
-                registers = signatures(doc, hashes, 1 + np.log(times), part.num_rows, bands * rows + FINE_BANDS * FINE_ROWS)
+                registers = signatures(doc, hashes, 1 + np.log(times), part.num_rows)
                 n = np.bincount(doc, minlength=part.num_rows)
 
                 def listed(keys: np.ndarray, n: np.ndarray = n) -> pa.Array:
                     return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()), mask=pa.array(n == 0))
 
-                fine = band_keys(registers, FINE_BANDS, FINE_ROWS, bands * rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), listed(band_keys(registers, bands, rows)), listed(fine), pa.array(n)], names=["doc_id", "node", "keys", "fine", "n"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), listed(band_keys(registers, bands, rows)), listed(nibbles(registers)), pa.array(n)], names=["doc_id", "node", "keys", "few", "n"])
 
-    return docs.mapInArrow(sign, "doc_id long, node binary, keys array<bigint>, fine array<bigint>, n long")
+    return docs.mapInArrow(sign, "doc_id long, node binary, keys array<bigint>, few array<bigint>, n long")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -161,7 +178,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float = THRESHOLD, stars: int = STARS) -> DataFrame:
     """``doc_id, node, class_id, class_size, kept`` for every row of ``docs`` (doc_id, text).
 
     ``node`` is the digest of the text; documents whose texts are equal or linked, directly or through others, have one class. ``class_id``
@@ -171,26 +188,29 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float =
     """
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     texts = rows_in.withColumn("node", F.unhex(F.md5("text")))
-    table = materialize(signed(texts, words, bands, rows), "signatures")
-    nodes = materialize(table.groupBy("node").agg(*[F.first(c).alias(c) for c in ("keys", "fine", "n")]).filter("keys IS NOT NULL"), "nodes")
+    table = materialize(signed(texts, words), "signatures")
+    nodes = materialize(table.groupBy("node").agg(*[F.first(c).alias(c) for c in ("keys", "few", "n")]).filter("keys IS NOT NULL"), "nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    # the smallest by a hash of its own leads a bucket, so that a group has other leaders in other bands
-    lead = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("lead")
-    buckets = materialize(keyed.groupBy("key").agg(lead, F.count("*").alias("n")).filter("n > 1").select("key", F.col("lead.node").alias("leader")), "buckets")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("together")).filter("together > 1")
     members = materialize(keyed.join(buckets, "key"), "members")
-    pairs = materialize(ordered_pairs(members.filter("leader <> node"), "leader", "node"), "pairs")
+    degrees = members.groupBy("node").agg(F.sum("together").alias("degree"))
+    members = materialize(members.join(degrees, "node").select("key", "node", "degree"), "ranked")
+    leaders = members.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("leader"))
+    pairs = materialize(ordered_pairs(members.join(leaders, "key").filter("leader <> node"), "leader", "node"), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     # every member of a bucket is in a pair of that bucket, so these sets serve all later rounds
-    held = texts.select("node", "text").join(asked, "node", "left_semi")
+    held = texts.select("node", "text").hint("merge").join(asked.hint("merge"), "node", "left_semi")
     sets = materialize(shingle_sets(held.dropDuplicates(["node"]), words), "sets")
     links = materialize(verified(pairs, sets, threshold), "links")
     tried = pairs
     for k in range(stars + 1):
         groups = components(links)
-        placed = members.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), "node")).alias("lead"))
-        order = F.struct(F.col("n"), F.col("component"))
-        several = sizes.groupBy("key").agg(F.max(order)["component"].alias("largest"), F.count("*").alias("groups"), F.sum("n").alias("members"), F.min_by("lead", F.struct("n", "component"))["node"].alias("leader")).filter("groups > 1")
+        placed = members.join(groups, "node", "left").select("key", "node", "degree", F.coalesce("component", "node").alias("component"))
+        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.max(F.struct("degree", "node")).alias("lead"))
+        sizes = materialize(sizes, f"sizes{k}")
+        open_keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("groups")).filter("groups > 1")
+        smaller = sizes.join(open_keys, "key").filter("component <> largest")
+        several = smaller.groupBy("key").agg(F.first("largest").alias("largest"), F.max("lead")["node"].alias("leader"))
         several = materialize(several, f"mixed{k}")
         if several.isEmpty():
             break
@@ -213,12 +233,11 @@ def across(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
     Sets whose sizes differ too much can't be similar enough and don't meet either.
     """
-    known = members.join(nodes.select("node", "fine", F.col("n").alias("size")), "node")
-    cut = F.when(F.col("members") > SMALL, F.col("fine")).otherwise(F.array(F.lit(0).cast("long")))
-    known = known.select("key", "node", "component", "largest", "size", F.explode(cut).alias("part"))
-    outside = known.filter("component <> largest").select("key", "part", F.col("node").alias("leader"), F.col("component").alias("other"), F.col("size").alias("other_size"))
-    apart = (F.col("component") != F.col("other")) & (F.least("size", "other_size") >= F.lit(threshold) * F.greatest("size", "other_size"))
-    return ordered_pairs(known.join(outside, ["key", "part"]).filter(apart), "leader", "node")
+    known = members.join(nodes.select("node", "few", F.col("n").alias("size")), "node").select("key", "node", "component", "largest", "size", "few")
+    outside = known.filter("component <> largest").select("key", F.col("node").alias("leader"), F.col("component").alias("other"), F.col("size").alias("other_size"), F.col("few").alias("other_few"))
+    most = REGISTERS * (1 - threshold) + 4 * (REGISTERS * threshold * (1 - threshold)) ** 0.5
+    apart = (differing("few", "other_few", REGISTERS // 16) <= int(most)) & (F.col("component") != F.col("other")) & (F.least("size", "other_size") >= F.lit(threshold) * F.greatest("size", "other_size"))
+    return ordered_pairs(known.join(outside, "key").filter(apart), "leader", "node")
 
 
 def ordered_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
