@@ -33,7 +33,7 @@ from causeway.llm.tokens import chunks, ragged
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands of registers: two documents of similarity 0.8 share none of them once in 20,000 times.
 BANDS, ROWS = 25, 5
-REGISTERS = 128
+REGISTERS = 256
 #: Further stars before the rest of mixed buckets is compared pair by pair.
 STARS = 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -233,11 +233,14 @@ def across(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
     Sets whose sizes differ too much can't be similar enough and don't meet either.
     """
-    known = members.join(nodes.select("node", "few", F.col("n").alias("size")), "node").select("key", "node", "component", "largest", "size", "few")
-    outside = known.filter("component <> largest").select("key", F.col("node").alias("leader"), F.col("component").alias("other"), F.col("size").alias("other_size"), F.col("few").alias("other_few"))
-    most = REGISTERS * (1 - threshold) + 4 * (REGISTERS * threshold * (1 - threshold)) ** 0.5
+    known = members.join(nodes.select("node", "keys", "few", F.col("n").alias("size")), "node").select("key", "node", "component", "largest", "size", "few", "keys")
+    outside = known.filter("component <> largest").select("key", F.col("node").alias("leader"), F.col("component").alias("other"), F.col("size").alias("other_size"), F.col("few").alias("other_few"), F.col("keys").alias("other_keys"))
+    p = (1 - threshold) * 15 / 16  # that a register of a pair just similar enough differs
+    most = REGISTERS * p + 4 * (REGISTERS * p * (1 - p)) ** 0.5
     apart = (differing("few", "other_few", REGISTERS // 16) <= int(most)) & (F.col("component") != F.col("other")) & (F.least("size", "other_size") >= F.lit(threshold) * F.greatest("size", "other_size"))
-    return ordered_pairs(known.join(outside, "key").filter(apart), "leader", "node")
+    # a pair that shares several buckets meets in one of them
+    once = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
+    return ordered_pairs(known.join(outside, "key").filter(apart & once), "leader", "node")
 
 
 def ordered_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
