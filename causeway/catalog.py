@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions import text
-from causeway.operators import contract, decision, graph, rollback, schema, snapshots
+from causeway.operators import contract, decision, evidence, graph, resolution, rollback, schema, snapshots
 from causeway.plans import adapters as a
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,9 +85,9 @@ def blast_radius_merged_summary(t):
     return graph.merged_summary(blast_radius_multi_target(t))
 
 
-@query(_blast_sql("SELECT 'supplier:' || s_suppkey AS origin FROM supplier WHERE s_suppkey < 5", 1, 1000, "SELECT entity, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins, count(DISTINCT origin)::INT AS n_origins FROM blast GROUP BY entity HAVING count(DISTINCT origin) >= 2"))
+@query(_blast_sql("SELECT 'supplier:' || s_suppkey AS origin FROM supplier", 1, 1000, "SELECT entity, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins, count(DISTINCT origin)::INT AS n_origins FROM blast GROUP BY entity HAVING count(DISTINCT origin) >= 2"))
 def convergence(t):
-    starts = t.supplier.filter("s_suppkey < 5").select(a.node("supplier", "s_suppkey").alias("origin"))
+    starts = t.supplier.select(a.node("supplier", "s_suppkey").alias("origin"))
     return graph.convergence(graph.blast_radius(a.edges(t), starts, 1, 1000))
 
 
@@ -119,9 +119,9 @@ def hop_layers(t):
     return reachable_set(t).groupBy("hop").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"))
 
 
-@query(f"WITH {a.EDGES_SQL} SELECT source, target, max(kind) AS kind FROM parallel WHERE source LIKE 'nation:%' GROUP BY source, target")
+@query(f"WITH {a.EDGES_SQL} SELECT source, target, max(kind) AS kind FROM parallel GROUP BY source, target")
 def parallel_edge_collapse(t):
-    return graph.collapse(a.edges(t, parallel=True).filter(F.col("source").startswith("nation:")))
+    return graph.collapse(a.edges(t, parallel=True))
 
 
 @query(f"WITH {a.EDGES_SQL}, {a.ENTITIES_SQL} SELECT DISTINCT e AS entity_id FROM (SELECT source AS e FROM edges UNION ALL SELECT target FROM edges) WHERE e NOT IN (SELECT entity_id FROM entities)")
@@ -145,10 +145,10 @@ def edge_kind_histogram(t):
     return graph.kind_histogram(a.edges(t))
 
 
-@query("WITH e AS (SELECT 't' || (p_partkey % 50) || '.c' || p_partkey AS entity_id FROM part WHERE p_partkey % 2 = 0), o AS (SELECT 't' || (p_partkey % 50) || '.c' || p_partkey AS object FROM part WHERE p_partkey < 40), x AS (SELECT object, entity_id FROM o JOIN e ON object = entity_id) SELECT * FROM x UNION ALL SELECT object, entity_id FROM o JOIN e ON split_part(object, '.', 1) = split_part(entity_id, '.', 1) WHERE object NOT IN (SELECT object FROM x)")
+@query("WITH e AS (SELECT 't' || (p_partkey // 20) || '.c' || p_partkey AS entity_id FROM part WHERE p_partkey % 2 = 0), o AS (SELECT 't' || (p_partkey // 20) || '.c' || p_partkey AS object FROM part), x AS (SELECT object, entity_id FROM o JOIN e ON object = entity_id) SELECT * FROM x UNION ALL SELECT object, entity_id FROM o JOIN e ON split_part(object, '.', 1) = split_part(entity_id, '.', 1) WHERE object NOT IN (SELECT object FROM x)")
 def prefix_correlation(t):
-    name = F.concat(F.lit("t"), (F.col("p_partkey") % 50).cast("string"), F.lit(".c"), F.col("p_partkey").cast("string"))
-    return graph.correlate(t.part.filter("p_partkey % 2 = 0").select(name.alias("entity_id")), t.part.filter("p_partkey < 40").select(name.alias("object")))
+    name = F.concat(F.lit("t"), F.floor(F.col("p_partkey") / 20).cast("string"), F.lit(".c"), F.col("p_partkey").cast("string"))
+    return graph.correlate(t.part.filter("p_partkey % 2 = 0").select(name.alias("entity_id")), t.part.select(name.alias("object")))
 
 
 def _diff(t):
@@ -208,12 +208,13 @@ def pick_contract_file(t):
     return snapshots.pick_first(a.files(t, True), "openapi.yaml")
 
 
-@query("WITH e AS (SELECT event_id AS ordinal, CASE event_id % 7 WHEN 0 THEN '../x' WHEN 1 THEN '/abs' WHEN 2 THEN 'C:\\x' ELSE 'ok/f' || event_id END AS name, event_id % 19 = 0 AS link, (event_id * 997) % 30000000 AS fs, (event_id * 31) % 50000 AS cs FROM events WHERE event_id < 2000), s AS (SELECT *, sum(fs) OVER (ORDER BY ordinal) AS total FROM e) SELECT ordinal, total::BIGINT AS total, CASE WHEN event_v.name LIKE '../%' OR name LIKE '/%' OR name LIKE 'C:%' THEN 'UNSAFE_PATH' WHEN link THEN 'SYMLINK' WHEN ordinal >= 5000 THEN 'TOO_MANY' WHEN fs > 20971520 THEN 'TOO_LARGE' WHEN fs > 1048576 AND fs > 200.0 * greatest(cs, 1) THEN 'BOMB' WHEN total > 157286400 THEN 'TOTAL' ELSE 'OK' END AS verdict FROM s AS event_v")
+@query("WITH e AS (SELECT event_id, event_id // 6000 AS archive, event_id % 6000 AS ordinal, CASE event_id % 97 WHEN 0 THEN '../x' WHEN 1 THEN '/abs' WHEN 2 THEN 'C:\\x' ELSE 'ok/f' || event_id END AS name, event_id % 19 = 0 AS link, CASE WHEN event_id % 211 = 0 THEN 21000000 WHEN event_id % 101 = 0 THEN 1500000 ELSE (event_id * 997) % 40000 END AS fs, (event_id * 31) % 50000 AS cs FROM events), s AS (SELECT *, sum(fs) OVER (PARTITION BY archive ORDER BY ordinal) AS total FROM e) SELECT archive, ordinal, total::BIGINT AS total, CASE WHEN name LIKE '../%' OR name LIKE '/%' OR name LIKE 'C:%' THEN 'UNSAFE_PATH' WHEN link THEN 'SYMLINK' WHEN ordinal >= 5000 THEN 'TOO_MANY' WHEN fs > 20971520 THEN 'TOO_LARGE' WHEN fs > 1048576 AND fs > 200.0 * greatest(cs, 1) THEN 'BOMB' WHEN total > 157286400 THEN 'TOTAL' ELSE 'OK' END AS verdict FROM s")
 def archive_plan(t):
     key = F.col("event_id")
-    name = F.when(key % 7 == 0, "../x").when(key % 7 == 1, "/abs").when(key % 7 == 2, "C:\\x").otherwise(F.concat(F.lit("ok/f"), key.cast("string")))
-    listing = t.events.filter("event_id < 2000").select(key.alias("ordinal"), name.alias("name"), F.lit(False).alias("is_dir"), (key % 19 == 0).alias("is_symlink"), ((key * 997) % 30000000).alias("file_size"), ((key * 31) % 50000).alias("compress_size"))
-    return snapshots.archive_plan(listing).select("ordinal", "total", "verdict")
+    name = F.when(key % 97 == 0, "../x").when(key % 97 == 1, "/abs").when(key % 97 == 2, "C:\\x").otherwise(F.concat(F.lit("ok/f"), key.cast("string")))
+    size = F.when(key % 211 == 0, 21000000).when(key % 101 == 0, 1500000).otherwise((key * 997) % 40000).cast("long")
+    listing = t.events.select(F.floor(key / 6000).alias("archive"), (key % 6000).alias("ordinal"), name.alias("name"), F.lit(False).alias("is_dir"), (key % 19 == 0).alias("is_symlink"), size.alias("file_size"), ((key * 31) % 50000).alias("compress_size"))
+    return snapshots.archive_plan(listing).select("archive", "ordinal", "total", "verdict")
 
 
 @query(f"WITH {a.COLUMNS_SQL} SELECT coalesce(o.\"table\", n.\"table\") AS \"table\", coalesce(o.\"column\", n.\"column\") AS \"column\", CASE WHEN o.\"table\" IS NULL THEN 'ADDED' WHEN n.\"table\" IS NULL THEN 'REMOVED' WHEN o.data_type = n.data_type AND o.nullable = n.nullable THEN 'UNCHANGED' ELSE 'CHANGED' END AS status, o.data_type AS old_type, n.data_type AS new_type FROM old_columns o FULL JOIN new_columns n ON o.\"table\" = n.\"table\" AND o.\"column\" = n.\"column\"")
@@ -431,25 +432,17 @@ def stable_ids(t):
     return t.part.select("p_partkey", text.stable_id(F.col("p_brand"), F.col("p_name")).alias("stable_id"), text.symbol_id(F.lit("svc"), F.col("p_brand"), F.lit("FUNCTION"), F.col("p_name")).alias("symbol_id"))
 
 
-@query(f"WITH {a.EDGES_SQL} SELECT source, sha256(string_agg(target || ':' || kind, ',' ORDER BY target, kind)) AS edges_sha256 FROM edges WHERE kind IN ('HTTP_CALL', 'CONFIG_DEPENDENCY') GROUP BY source")
+@query(f"WITH {a.EDGES_SQL}, hashed AS (SELECT source, sha256(target || ':' || kind) AS h FROM edges), per AS (SELECT source, h[1:4] AS b, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM hashed GROUP BY source, h[1:4]) SELECT source, sha256(string_agg(h, ',' ORDER BY h)) AS edges_sha256 FROM per GROUP BY source")
 def canonical_edge_hash(t):
-    few = a.edges(t).filter(F.col("kind").isin("HTTP_CALL", "CONFIG_DEPENDENCY"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", "kind"))), lambda e: F.concat_ws(":", e["target"], e["kind"])), ",")
-    return few.groupBy("source").agg(F.sha2(listed, 256).alias("edges_sha256"))
+    return graph.adjacency_digest(a.edges(t))
 
 
-@query("WITH refs AS (SELECT l_orderkey AS ref, l_linenumber AS n, l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_orderkey < 200), c AS (SELECT ref, n, 1 AS level, s_suppkey AS hit FROM refs JOIN supplier ON s_suppkey = p UNION ALL SELECT ref, n, 2, p_partkey FROM refs JOIN part ON p_partkey = p AND p_size < 25 UNION ALL SELECT ref, n, 3, c_custkey FROM refs JOIN customer ON c_nationkey = p % 25 AND c_custkey < 60), b AS (SELECT *, min(level) OVER (PARTITION BY ref, n) AS best FROM c), d AS (SELECT ref, n, min(level) AS level, count(*) AS hits FROM b WHERE level = best GROUP BY ref, n) SELECT r.ref, r.n, coalesce(level, 0)::INT AS level, CASE WHEN hits IS NULL THEN 'UNRESOLVED' WHEN hits = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS state FROM refs r LEFT JOIN d ON r.ref = d.ref AND r.n = d.n")
+@query("WITH refs AS (SELECT l_orderkey AS ref, l_linenumber AS n, l_partkey AS p FROM lineitem), i1 AS (SELECT s_suppkey AS k, count(*) AS c FROM supplier GROUP BY k), i2 AS (SELECT p_partkey AS k, count(*) AS c FROM part WHERE p_size < 25 GROUP BY k), i3 AS (SELECT c_nationkey AS k, count(*) AS c FROM customer GROUP BY k), j AS (SELECT ref, n, CASE WHEN i1.c IS NOT NULL THEN 1 WHEN i2.c IS NOT NULL THEN 2 WHEN i3.c IS NOT NULL THEN 3 ELSE 0 END AS level, coalesce(i1.c, i2.c, i3.c) AS hits FROM refs LEFT JOIN i1 ON i1.k = p LEFT JOIN i2 ON i2.k = p LEFT JOIN i3 ON i3.k = p % 40) SELECT ref, n, level::INT AS level, CASE WHEN hits IS NULL THEN 'UNRESOLVED' WHEN hits = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS state FROM j")
 def resolve_references(t):
-    """The first level of a cascade with any candidate decides; several candidates there are ambiguous."""
-    refs = t.lineitem.filter("l_orderkey < 200").select(F.col("l_orderkey").alias("ref"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"))
-    levels = [
-        refs.join(t.supplier, F.col("s_suppkey") == F.col("p")).select("ref", "n", F.lit(1).alias("level")),
-        refs.join(t.part.filter("p_size < 25"), F.col("p_partkey") == F.col("p")).select("ref", "n", F.lit(2).alias("level")),
-        refs.join(t.customer.filter("c_custkey < 60"), F.col("c_nationkey") == F.col("p") % 25).select("ref", "n", F.lit(3).alias("level")),
-    ]
-    per = levels[0].unionByName(levels[1]).unionByName(levels[2]).groupBy("ref", "n", "level").agg(F.count("*").alias("hits"))
-    best = per.groupBy("ref", "n").agg(F.min(F.struct("level", "hits")).alias("b"))
-    return refs.join(best, ["ref", "n"], "left").select("ref", "n", F.coalesce("b.level", F.lit(0)).alias("level"), F.when(F.col("b.hits").isNull(), "UNRESOLVED").when(F.col("b.hits") == 1, "RESOLVED").otherwise("AMBIGUOUS").alias("state"))
+    refs = t.lineitem.select(F.col("l_orderkey").alias("ref"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"))
+    symbols = [t.supplier.select(F.col("s_suppkey").alias("key")), t.part.filter("p_size < 25").select(F.col("p_partkey").alias("key")), t.customer.select(F.col("c_nationkey").alias("key"))]
+    keys = [F.col("p"), F.col("p"), F.col("p") % 40]
+    return resolution.resolve(refs, list(zip(keys, symbols, strict=True))).drop("p")
 
 
 @query(f"WITH {a.FINDINGS_SQL} SELECT scope, 'risk:' || CASE category WHEN 'BLAST_RADIUS' THEN 'blast_severity' WHEN 'ROLLBACK' THEN 'rollback_unsafety' ELSE 'deployment_severity' END AS target, count(*) AS n_edges FROM findings GROUP BY ALL")
@@ -463,3 +456,99 @@ def counterfactual_compare(t):
     found = a.findings(t)
     other = found.groupBy("scope").agg(F.bool_or(F.col("blocking") & (F.col("rule_id") != "DROP_COLUMN")).alias("still_blocking"))
     return decision.decide(found, ["scope"]).select("scope", "verdict").join(other, "scope")
+
+
+@query(f"WITH {a.EDGES_SQL}, w AS (SELECT source, target, round_even(CASE max(kind) {' '.join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in graph.WEIGHTS.items())} ELSE 0.5::DOUBLE END, 6) AS severity FROM parallel GROUP BY source, target) SELECT *, CASE WHEN severity >= 0.9 THEN 'CRITICAL' WHEN severity >= 0.7 THEN 'HIGH' WHEN severity >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM w")
+def impact_score(t):
+    return graph.scored_edges(a.edges(t, parallel=True))
+
+
+@query(f"WITH {a.EDGES_SQL}, {_REACH.format(o="unnest(['supplier:0', 'supplier:1', 'customer:1'])", e='edges')} SELECT node, hop FROM seen")
+def graph_context(t):
+    return graph.reachable(a.edges(t), a.origins(t, "supplier:0", "supplier:1", "customer:1"), 3)
+
+
+@query(f"WITH {a.FILES_SQL}, f AS (SELECT regexp_replace(path, '^docs/n([0-9]+)[.]md$', 'docs/n\\1/schema.sql') AS path FROM new_files WHERE NOT starts_with(path, 'node_modules/')), s AS (SELECT min(path) AS schema_path FROM f WHERE path LIKE '%/schema.sql') SELECT schema_path, (SELECT max(path) FROM f WHERE path LIKE '%/migration/%.sql') AS migration_path FROM s")
+def pick_schema_file(t):
+    files = a.files(t, True).select(F.regexp_replace("path", r"^docs/n([0-9]+)[.]md$", "docs/n$1/schema.sql").alias("path"))
+    return snapshots.pick_files(files)
+
+
+@query("SELECT p_partkey, t.table, t.column, t.operation FROM (SELECT p_partkey, unnest(CASE p_partkey % 5 WHEN 0 THEN [{'table': 't' || p_partkey, 'column': 'id', 'operation': 'SELECT'}, {'table': 't' || p_partkey, 'column': 'c' || p_partkey, 'operation': 'SELECT'}] WHEN 4 THEN [] ELSE [{'table': 't' || p_partkey, 'column': 'unknown', 'operation': ['UPDATE', 'INSERT', 'DELETE'][p_partkey % 5]}] END) AS t FROM part)")
+def sql_literal_access(t):
+    return resolution.sql_accesses(a.literals(t))
+
+
+@query(f"WITH {a.MIGRATION_SQL}, {a.DEPENDENCIES_SQL}, c AS (SELECT *, concat_ws('.', \"table\", object_name) IN (SELECT dependency FROM deps) AS used FROM changes) SELECT ordinal, CASE kind WHEN 'DROP_COLUMN' THEN 'drop_column_' || CASE WHEN used THEN 'active_dependency' ELSE 'no_dependency' END WHEN 'DROP_TABLE' THEN 'drop_table_' || CASE WHEN used THEN 'active_dependency' ELSE 'no_dependency' END WHEN 'ALTER_NULLABILITY' THEN 'not_null_data_dependent' WHEN 'ALTER_COLUMN_TYPE' THEN 'type_narrowing_data_dependent' WHEN 'ADD_COLUMN' THEN 'additive_safe_change' ELSE 'unsupported_change' END AS explanation_key FROM c")
+def explanation_key(t):
+    used = a.dependencies(t).distinct().withColumn("used", F.lit(True))
+    changes = schema.changes(a.migration(t)).withColumn("dependency", F.concat_ws(".", "table", "object_name")).join(used, "dependency", "left")
+    return changes.select("ordinal", schema.explanation_key(F.col("kind"), F.coalesce("used", F.lit(False))).alias("explanation_key"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def content_sha256(t):
+    return t.documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(text, '\\b(?:postgres|mysql|mongodb(?:\\+srv)?|redis)://[^\\s]+', '[REDACTED]', 'gi')) AS redacted_sha256 FROM documents")
+def redact_connection(t):
+    return t.documents.select("doc_id", F.sha2(text.redact_connection(F.col("text")), 256).alias("redacted_sha256"))
+
+
+@query(_RB + f""", {a.MIGRATION_SQL}, {a.OPERATIONS_SQL}
+SELECT 'DATABASE' AS category, kind AS rule_id, severity, concat_ws('.', "table", object_name) AS entity, category = 'DESTRUCTIVE' AS blocking FROM changes
+UNION ALL SELECT 'API_CONTRACT', 'API-ENDPOINT-REMOVED', 'HIGH', method || ' ' || path, true FROM old_ops WHERE key NOT IN (SELECT key FROM new_ops)
+UNION ALL SELECT 'API_CONTRACT', 'API-ENDPOINT-ADDED', 'LOW', method || ' ' || path, false FROM new_ops WHERE key NOT IN (SELECT key FROM old_ops)
+UNION ALL SELECT 'ROLLBACK', rule_id, severity, dependency, status = 'UNSAFE' FROM out""")
+def findings_union(t):
+    """Findings of schema changes, contract changes and rollback in one table."""
+    return decision.from_schema(schema.changes(a.migration(t))).unionByName(decision.from_contract(endpoint_diff(t))).unionByName(decision.from_rollback(rollback_schema(t)))
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, finding_id, (row_number() OVER (PARTITION BY scope, category ORDER BY finding_id) - 1)::INT AS place FROM findings")
+def finding_positions(t):
+    return decision.positions(a.findings(t), ["scope", "category"]).select("scope", "finding_id", "place")
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, finding_id, rule_id FROM findings WHERE uncertainty IS NOT NULL OR confidence = 0")
+def unknowns(t):
+    return decision.unknowns(a.findings(t)).select("scope", "finding_id", "rule_id")
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT DISTINCT scope, entity FROM findings")
+def affected_entities(t):
+    return a.findings(t).select("scope", "entity").distinct()
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, base_risk FROM risked")
+def base_risk(t):
+    return decision.risk(decision.features(a.findings(t), ["scope"])).select("scope", "base_risk")
+
+
+_EVIDENCE = f"WITH {a.FINDINGS_SQL}, rules AS (SELECT *, unnest(string_split(rules, ',')) AS rule FROM decided), weighed AS (SELECT *, unnest(['blast_severity', 'deployment_severity', 'rollback_unsafety']) AS f, unnest([blast_severity, deployment_severity, rollback_unsafety]) AS value FROM rules)"
+
+
+@query(_EVIDENCE + """ SELECT DISTINCT scope, 'entity:' || entity AS node_id, 'SOURCE_SYMBOL' AS kind, entity AS label, 0 AS layer FROM findings
+UNION ALL SELECT scope, 'finding:' || finding_id, 'FINDING', rule_id, 90 FROM findings
+UNION ALL SELECT scope, 'risk:' || f, 'RISK_FEATURE', f, 91 FROM (SELECT scope, unnest(['blast_severity', 'deployment_severity', 'rollback_unsafety']) AS f FROM decided)
+UNION ALL SELECT scope, 'policy:' || rule, 'POLICY_RULE', rule, 92 FROM rules
+UNION ALL SELECT scope, 'verdict', 'VERDICT', verdict, 93 FROM decided""")
+def evidence_nodes(t):
+    found = a.findings(t)
+    return evidence.nodes(found, decision.decide(found, ["scope"]), ["scope"])
+
+
+@query(_EVIDENCE + """ SELECT scope, 'entity:' || entity AS source, 'finding:' || finding_id AS target, 'PRODUCES' AS kind FROM findings
+UNION ALL SELECT scope, 'finding:' || finding_id, 'risk:' || CASE category WHEN 'BLAST_RADIUS' THEN 'blast_severity' WHEN 'ROLLBACK' THEN 'rollback_unsafety' ELSE 'deployment_severity' END, 'CONTRIBUTES_TO' FROM findings
+UNION ALL SELECT scope, 'risk:' || f, 'policy:' || rule, 'TRIGGERS' FROM weighed WHERE value > 0
+UNION ALL SELECT scope, 'policy:' || rule, 'verdict', 'DETERMINES' FROM rules""")
+def evidence_graph_edges(t):
+    found = a.findings(t)
+    return evidence.edges(found, decision.decide(found, ["scope"]), ["scope"])
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT DISTINCT 'f:' || l_orderkey AS evidence_id FROM lineitem WHERE 'f:' || l_orderkey NOT IN (SELECT finding_id FROM findings)")
+def explanation_claims(t):
+    """Claims that no finding bears out."""
+    return evidence.ungrounded(t.lineitem.select(F.concat(F.lit("f:"), F.col("l_orderkey").cast("string")).alias("evidence_id")).distinct(), a.findings(t))

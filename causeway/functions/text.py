@@ -32,7 +32,11 @@ def redact_url(text: Column) -> Column:
 
 
 def redact_tokens(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, TOKEN_SECRET, "[REDACTED]"), CONNECTION, "[REDACTED]")
+    return redact_connection(F.regexp_replace(text, TOKEN_SECRET, "[REDACTED]"))
+
+
+def redact_connection(text: Column) -> Column:
+    return F.regexp_replace(text, CONNECTION, "[REDACTED]")
 
 
 def host(value: Column) -> Column:

@@ -104,3 +104,26 @@ def remediation(findings: DataFrame) -> DataFrame:
     rank = F.when(F.col("severity") == "CRITICAL", "CRITICAL").when(F.col("severity") == "HIGH", "HIGH").when(F.col("severity") == "MEDIUM", "MEDIUM").otherwise("LOW")
     steps = F.array(F.struct(F.lit("expand").alias("step"), rank.alias("priority")), F.struct(F.lit("verify").alias("step"), F.lit("HIGH").alias("priority")))
     return findings.filter(F.col("rule_id").isin("DROP_COLUMN", "DROP_TABLE")).select("finding_id", F.explode(steps).alias("s")).select(F.concat_ws(":", "finding_id", "s.step").alias("step_id"), F.col("s.priority").alias("priority"))
+
+
+def from_schema(changes: DataFrame) -> DataFrame:
+    return changes.select(F.lit("DATABASE").alias("category"), F.col("kind").alias("rule_id"), "severity", F.concat_ws(".", "table", "object_name").alias("entity"), (F.col("category") == "DESTRUCTIVE").alias("blocking"))
+
+
+def from_contract(changes: DataFrame) -> DataFrame:
+    level = F.when(F.col("compatibility") == "BREAKING", "HIGH").when(F.col("compatibility") == "CAUTION", "MEDIUM").otherwise("LOW")
+    return changes.select(F.lit("API_CONTRACT").alias("category"), "rule_id", level.alias("severity"), F.concat_ws(" ", "method", "path").alias("entity"), (F.col("compatibility") == "BREAKING").alias("blocking"))
+
+
+def from_rollback(found: DataFrame) -> DataFrame:
+    return found.select(F.lit("ROLLBACK").alias("category"), "rule_id", "severity", F.col("dependency").alias("entity"), (F.col("status") == "UNSAFE").alias("blocking"))
+
+
+def positions(findings: DataFrame, by: list[str]) -> DataFrame:
+    """``findings`` with their place (from 0) among those of their group, by finding_id."""
+    return findings.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("finding_id")) - 1)
+
+
+def unknowns(findings: DataFrame) -> DataFrame:
+    """Findings that say that evidence is missing."""
+    return findings.filter(F.col("uncertainty").isNotNull() | (F.col("confidence") == 0))

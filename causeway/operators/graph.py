@@ -149,3 +149,18 @@ def correlate(entities: DataFrame, objects: DataFrame) -> DataFrame:
     rest = objects.join(exact.select("object").distinct(), "object", "left_anti")
     table = entities.withColumn("table", F.substring_index("entity_id", ".", 1))
     return exact.unionByName(rest.join(table, F.substring_index("object", ".", 1) == F.col("table")).select("object", "entity_id"))
+
+
+def adjacency_digest(edges: DataFrame) -> DataFrame:
+    """Of each source a digest of its edges: their hashes joined in order within buckets, then those of the buckets, so that hubs are shared out."""
+    def joined(column: str) -> Column:
+        return F.sha2(F.array_join(F.array_sort(F.collect_list(column)), ","), 256)
+
+    each = edges.select("source", F.sha2(F.concat_ws(":", "target", "kind"), 256).alias("h"))
+    return each.groupBy("source", F.substring("h", 1, 4).alias("b")).agg(joined("h").alias("h")).groupBy("source").agg(joined("h").alias("edges_sha256"))
+
+
+def scored_edges(edges: DataFrame) -> DataFrame:
+    """Every collapsed edge with the score and level of a direct impact over it."""
+    score = severity(weight(F.col("kind")), F.lit(1))
+    return collapse(edges).select("source", "target", score.alias("severity"), severity_level(score).alias("level"))

@@ -79,11 +79,20 @@ def pick_first(files: DataFrame, name: str) -> DataFrame:
     return files.filter(name_of(F.col("path")) == name).agg(F.min("path").alias("path"))
 
 
+def pick_files(files: DataFrame) -> DataFrame:
+    """One row ``schema_path, migration_path``: the first file named schema.sql, and the last other SQL file, those in a folder named after
+    migrations before others. Null where there is none."""
+    sql = files.filter(F.col("path").endswith(".sql") & ~ignored(F.col("path"))).select("path")
+    schema = sql.filter(name_of(F.col("path")) == "schema.sql").agg(F.min("path").alias("schema_path"))
+    rest = sql.join(schema, F.col("path") == F.col("schema_path"), "left_anti")
+    folder = F.lower(F.element_at(F.concat(F.array(F.lit("")), F.split("path", "/")), -2))
+    migration = rest.agg(F.max_by("path", F.struct(folder.contains("migration").cast("int"), F.col("path"))).alias("migration_path"))
+    return schema.join(migration)
+
+
 def pick_migration(files: DataFrame) -> DataFrame:
-    """The last SQL file other than a schema, those below a directory named after migrations before others."""
-    sql = files.filter((suffix_of(F.col("path")) == ".sql") & (name_of(F.col("path")) != "schema.sql"))
-    below = F.lower(F.regexp_replace("path", "/?[^/]*$", "")).contains("migration")
-    return sql.agg(F.max_by("path", F.struct(below.cast("int"), F.col("path"))).alias("path"))
+    """The migration of ``pick_files``."""
+    return pick_files(files).select(F.col("migration_path").alias("path"))
 
 
 def symbols_missing(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -92,10 +101,10 @@ def symbols_missing(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def archive_plan(entries: DataFrame, max_file: int = 20 * 2**20, max_total: int = 150 * 2**20, max_ratio: float = 200.0, ratio_from: int = 2**20, max_entries: int = 5000) -> DataFrame:
-    """Adds ``verdict`` to a listing (ordinal, name, is_dir, is_symlink, file_size, compress_size) of one archive."""
+    """Adds ``total`` (bytes so far) and ``verdict`` to listings (archive, ordinal, name, is_dir, is_symlink, file_size, compress_size)."""
     from pyspark.sql import Window
 
-    total = F.sum("file_size").over(Window.orderBy("ordinal"))
+    total = F.sum("file_size").over(Window.partitionBy("archive").orderBy("ordinal"))
     plain = F.replace(F.col("name"), F.lit("\\"), F.lit("/"))
     unsafe = (F.col("name") == "") | plain.startswith("/") | plain.rlike("^[A-Za-z]:") | F.array_contains(F.split(plain, "/"), "..")
     bomb = (F.col("file_size") > ratio_from) & (F.col("file_size") > max_ratio * F.greatest("compress_size", F.lit(1)))

@@ -253,3 +253,10 @@ def calls(t: Tables) -> tuple[DataFrame, DataFrame]:
     path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "[0-9]+", "{n}")
     rows = t.pages.select("page_id", F.coalesce(text.service_of(url), F.lit("")).alias("service"), text.route(path).alias("route"))
     return rows.filter("page_id % 2 = 0"), rows.filter("page_id % 2 = 1").select("service", "route").distinct()
+
+
+def literals(t: Tables) -> DataFrame:
+    """SQL texts of programs, one per part."""
+    key = F.col("p_partkey").cast("string")
+    forms = [F.concat(F.lit("SELECT id, c"), key, F.lit(" from t"), key, F.lit(" WHERE x = 1")), F.concat(F.lit(" update t"), key, F.lit(" SET a = 2")), F.concat(F.lit("INSERT into t"), key, F.lit(" VALUES (1)")), F.concat(F.lit("DELETE FROM t"), key), F.lit("VACUUM")]
+    return t.part.select("p_partkey", F.get(F.array(*forms), (F.col("p_partkey") % 5).cast("int")).alias("statement"))
