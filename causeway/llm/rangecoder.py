@@ -5,7 +5,7 @@ order 2 and order 1 name the id that followed the same two ids or the same id be
 frequencies of all ids. How far each prediction is trusted is counted for every pair of confidences. All of it is learned from the
 block itself, anew after each ``EPOCH`` steps, so that writer and reader hold the same model; nothing is kept from block to block.
 
-Layout (little-endian): ``CXR1``, u32 documents, u64 ids, u32 vocabulary, the documents' ids (i64, nulls by a bit mask) and numbers of ids (u32),
+Layout (little-endian): ``CXR2``, u32 documents, u64 ids, u32 vocabulary, the documents' ids (i64, nulls by a bit mask) and numbers of ids (u32),
 the lanes' numbers of 16-bit words (u32), the words, u32 crc32 of all before.
 """
 
@@ -16,22 +16,27 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CXR1"
+MAGIC = b"CXR2"
 LANE, EPOCH = 256, 16
-#: Bits of the frequencies of events and of ids.
-EVENT_BITS, ID_BITS = 12, 24
-_TOP, _BOT, _16, _48 = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16), np.uint64(48)
-_PAIRS = 1 << 18
+#: Bits of the frequencies of events and of ids; a step codes both at once.
+EVENT_BITS, ID_BITS = 12, 20
+_TOP, _BOT, _16, _48 = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(16), np.uint64(48)
+_STEP, _ID = np.uint64(EVENT_BITS + ID_BITS), np.uint64(ID_BITS)
+_PAIR_BITS = 18
 
 
 class Model:
-    """What the ids of a block so far tell about the next ones."""
+    """What the ids of a block so far tell about the next ones.
+
+    Orders 1 and 2 keep one number a context: the id that followed, times 4, plus how sure that is (0 to 3).
+    """
 
     def __init__(self, vocabulary: int) -> None:
+        if vocabulary > 1 << (ID_BITS - 1):
+            raise ValueError("the vocabulary is too large for the coder")
         self.size = vocabulary
         self.counts = np.zeros(vocabulary, np.int64)
-        self.next = [np.zeros(n, np.int64) for n in (vocabulary, _PAIRS)]
-        self.sure = [np.zeros(n, np.int64) for n in (vocabulary, _PAIRS)]
+        self.follow = [np.zeros(n, np.int32) for n in (vocabulary, 1 << _PAIR_BITS)]
         self.events = np.tile(np.array([2, 1, 4], np.int64), (16, 1))
         self.renew()
 
@@ -39,35 +44,30 @@ class Model:
         total = int(self.counts.sum())
         share = np.r_[0, np.cumsum(self.counts)]
         room = (1 << ID_BITS) - self.size
-        self.cum = np.arange(self.size + 1) + (share * room // total if total else np.arange(self.size + 1) * room // self.size)
+        cum = np.arange(self.size + 1) + (share * room // total if total else np.arange(self.size + 1) * room // self.size)
+        self.cum, self.freq = cum[:-1].astype(np.uint64), np.diff(cum).astype(np.uint64)
         parts = np.c_[np.zeros(16, np.int64), np.cumsum(self.events, axis=1)]
-        self.event_cum = np.arange(4) + parts * ((1 << EVENT_BITS) - 3) // parts[:, 3:]
-
-    @staticmethod
-    def places(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where order 1 and order 2 keep what followed ``one``, and ``two`` before it."""
-        return one, ((two * 0x9E3779B1 ^ one * 0x85EBCA6B) >> 5) & (_PAIRS - 1)
-
-    def predictions(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids that order 1 and order 2 name, and the context of both confidences."""
-        at1, at2 = self.places(one, two)
-        return self.next[0][at1], self.next[1][at2], self.sure[1][at2] * 4 + self.sure[0][at1]
-
-    def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        """Take in an epoch's ids with those before them."""
-        first, second, context = self.predictions(one, two)
-        event = np.where((context > 3) & (ids == second), 0, np.where((context % 4 > 0) & (ids == first), 1, 2))
-        self.events += np.bincount(context * 3 + event, minlength=48).reshape(16, 3)
+        event_cum = np.arange(4) + parts * ((1 << EVENT_BITS) - 3) // parts[:, 3:]
+        self.event_cum, self.event_freq = event_cum[:, :3].ravel().astype(np.uint64), np.diff(event_cum, axis=1).ravel().astype(np.uint64)
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """For readers: the event of each context and value, and the id of each value."""
+        kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        return np.repeat(np.tile(np.arange(3, dtype=np.uint8), 16), self.event_freq.astype(np.int64)), np.repeat(np.arange(self.size, dtype=kind), self.freq.astype(np.int64))
+
+    def look(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where order 2 keeps what followed ``one`` after ``two``, and what order 1 and order 2 keep."""
+        at = (two.astype(np.uint32) * np.uint32(0x9E3779B1) ^ one.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _PAIR_BITS)
+        return at, self.follow[0][one], self.follow[1][at]
+
+    def learn(self, ids: np.ndarray, one: np.ndarray, at: np.ndarray, first: np.ndarray, second: np.ndarray, code: np.ndarray) -> None:
+        """Take in an epoch's ids, with what ``look`` gave for them and their contexts times 3 plus events."""
+        self.events += np.bincount(code, minlength=48).reshape(16, 3)
         self.counts += np.bincount(ids, minlength=self.size)
-        for order, at in enumerate(self.places(one, two)):
-            sure, was = self.sure[order], self.sure[order][at]
-            hit = (was > 0) & (self.next[order][at] == ids)
-            miss, weak = ~hit, ~hit & (was <= 1)
-            sure[at[miss]] = was[miss] - 1
-            self.next[order][at[weak]] = ids[weak]
-            sure[at[weak]] = 1
-            kept = hit & (self.next[order][at] == ids)
-            sure[at[kept]] = np.minimum(was[kept] + 1, 3)
+        for table, place, was in ((self.follow[0], one, first), (self.follow[1], at, second)):
+            sure = was & 3
+            hit = ((was >> 2) == ids) & (sure > 0)
+            table[place] = np.where(hit, was + (sure < 3), np.where(sure > 1, was - 1, ids * 4 + 1))
         self.renew()
 
 
@@ -77,34 +77,36 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, n - (lanes - 1) * LANE
 
 
-def _before(x: np.ndarray, k: int) -> np.ndarray:
-    """The ids ``k`` steps before (rows are steps); 0 before a lane's start."""
-    out = np.zeros_like(x)
-    out[k:] = x[:-k]
-    return out
+def _moving(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """Lanes whose first 16 bits are settled or whose range is too small."""
+    return ((low ^ (low + rng)) < _TOP) | (rng < _BOT)
+
+
+def _shift(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both past the first 16 bits; a small range that isn't settled is cut at the next bound first."""
+    unsettled = (low ^ (low + rng)) >= _TOP
+    rng = np.where(unsettled, (~low + np.uint64(1)) & (_BOT - np.uint64(1)), rng)
+    return low << _16, rng << _16
 
 
 class _Writer:
     def __init__(self, lanes: int) -> None:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.words, self.used = np.zeros((lanes, 4 * LANE + 8), np.uint16), np.zeros(lanes, np.int64)
+        self.words, self.used = np.zeros((lanes, 6 * LANE + 8), np.uint16), np.zeros(lanes, np.int64)
 
-    def put(self, cum: np.ndarray, freq: np.ndarray, bits: int, n: int) -> None:
+    def put(self, cum: np.ndarray, freq: np.ndarray, n: int) -> None:
         low, rng = self.low[:n], self.range[:n]
-        rng >>= np.uint64(bits)
+        rng >>= _STEP
         low += cum * rng
         rng *= freq
-        while True:
-            same, small = (low ^ (low + rng)) < _TOP, rng < _BOT
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                return
-            cut = np.flatnonzero(small & ~same)
-            rng[cut] = (~low[cut] + np.uint64(1)) & (_BOT - np.uint64(1))
-            self.words[go, self.used[go]] = low[go] >> _48
-            self.used[go] += 1
-            low[go] <<= _16
-            rng[go] <<= _16
+        go = np.flatnonzero(_moving(low, rng))
+        while len(go):
+            some, width, to = low[go], rng[go], self.used[go]
+            self.words[go, to] = some >> _48
+            self.used[go] = to + 1
+            some, width = _shift(some, width)
+            low[go], rng[go] = some, width
+            go = go[_moving(some, width)]
 
     def close(self) -> None:
         for shift in (48, 32, 16, 0):
@@ -115,31 +117,28 @@ class _Writer:
 class _Reader:
     def __init__(self, words: np.ndarray, used: np.ndarray) -> None:
         lanes = len(used)
-        self.words, self.at = np.r_[words, np.zeros(8, np.uint16)].astype(np.uint64), np.cumsum(used) - used
+        self.words, self.at = np.r_[words, np.zeros(8, np.uint16)], np.cumsum(used) - used
         self.low, self.range, self.code = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(lanes, np.uint64)
         for _ in range(4):
             self.code = (self.code << _16) | self.words[self.at]
             self.at += 1
 
-    def value(self, bits: int, n: int) -> np.ndarray:
-        self.range[:n] >>= np.uint64(bits)
-        return np.minimum((self.code[:n] - self.low[:n]) // self.range[:n], np.uint64((1 << bits) - 1)).astype(np.int64)
+    def value(self, n: int) -> np.ndarray:
+        self.range[:n] >>= _STEP
+        return (self.code[:n] - self.low[:n]) // self.range[:n]
 
     def take(self, cum: np.ndarray, freq: np.ndarray, n: int) -> None:
         low, rng, code = self.low[:n], self.range[:n], self.code[:n]
         low += cum * rng
         rng *= freq
-        while True:
-            same, small = (low ^ (low + rng)) < _TOP, rng < _BOT
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                return
-            cut = np.flatnonzero(small & ~same)
-            rng[cut] = (~low[cut] + np.uint64(1)) & (_BOT - np.uint64(1))
-            code[go] = (code[go] << _16) | self.words[self.at[go]]
-            self.at[go] += 1
-            low[go] <<= _16
-            rng[go] <<= _16
+        go = np.flatnonzero(_moving(low, rng))
+        while len(go):
+            some, width, at = low[go], rng[go], self.at[go]
+            code[go] = (code[go] << _16) | self.words[at]
+            self.at[go] = at + 1
+            some, width = _shift(some, width)
+            low[go], rng[go] = some, width
+            go = go[_moving(some, width)]
 
 
 def code_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,39 +147,38 @@ def code_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.uint16), np.empty(0, np.uint32)
     lanes, last = _shape(n)
-    x = np.zeros(lanes * LANE, np.int64)
-    x[:n] = ids
-    x = np.ascontiguousarray(x.reshape(lanes, LANE).T)
-    one, two = _before(x, 1), _before(x, 2)
+    lane = np.zeros(lanes * LANE, np.int32)
+    lane[:n] = ids
+    x = np.zeros((LANE + 2, lanes), np.int32)  # two rows of 0 stand before the lanes' ids
+    x[2:] = lane.reshape(lanes, LANE).T
     model, out = Model(vocabulary), _Writer(lanes)
     for at in range(0, LANE if lanes > 1 else last, EPOCH):
-        part = slice(at, at + EPOCH)
-        first, second, context = model.predictions(one[part], two[part])
-        event = np.where((context > 3) & (x[part] == second), 0, np.where((context % 4 > 0) & (x[part] == first), 1, 2))
-        e_cum = model.event_cum[context, event]
-        e_freq = (model.event_cum[context, event + 1] - e_cum).astype(np.uint64)
-        cum = np.where(event == 2, model.cum[x[part]], 0)
-        freq = np.where(event == 2, model.cum[x[part] + 1] - cum, 1 << ID_BITS).astype(np.uint64)
-        e_cum, cum = e_cum.astype(np.uint64), cum.astype(np.uint64)
-        for s in range(len(x[part])):
+        ids, one, two = x[at + 2 : at + 2 + EPOCH], x[at + 1 : at + 1 + EPOCH], x[at : at + EPOCH]
+        place, first, second = model.look(one, two)
+        sure1, sure2 = first & 3, second & 3
+        event = np.where((sure2 > 0) & (ids == second >> 2), 0, np.where((sure1 > 0) & (ids == first >> 2), 1, 2))
+        code = (sure2 * 4 + sure1) * 3 + event
+        literal = event == 2
+        e_freq = model.event_freq[code]
+        cum = (model.event_cum[code] << _ID) + np.where(literal, model.cum[ids] * e_freq, np.uint64(0))
+        freq = e_freq * np.where(literal, model.freq[ids], np.uint64(1 << ID_BITS))
+        for s in range(EPOCH):
             m = lanes if at + s < last else lanes - 1
             if m:
-                out.put(e_cum[s, :m], e_freq[s, :m], EVENT_BITS, m)
-                out.put(cum[s, :m], freq[s, :m], ID_BITS, m)
-        _learn(model, x, one, two, at, lanes, last)
+                out.put(cum[s, :m], freq[s, :m], m)
+        _learn(model, at, lanes, last, ids, one, place, first, second, code)
     out.close()
     return out.words[np.arange(out.words.shape[1]) < out.used[:, None]], out.used.astype(np.uint32)
 
 
-def _learn(model: Model, x: np.ndarray, one: np.ndarray, two: np.ndarray, at: int, lanes: int, last: int) -> None:
+def _learn(model: Model, at: int, lanes: int, last: int, *rows: np.ndarray) -> None:
     """The model takes in the epoch from step ``at`` on, but for what the last lane doesn't have."""
-    part = slice(at, at + EPOCH)
-    there = np.ones((len(x[part]), lanes), bool)
-    there[:, -1] = np.arange(at, at + len(x[part])) < last
-    if there.all():
-        model.learn(x[part].ravel(), one[part].ravel(), two[part].ravel())
+    if at + EPOCH <= last:
+        model.learn(*(r.ravel() for r in rows))
     else:
-        model.learn(x[part][there], one[part][there], two[part][there])
+        there = np.ones((EPOCH, lanes), bool)
+        there[:, -1] = np.arange(at, at + EPOCH) < last
+        model.learn(*(r[there] for r in rows))
 
 
 def decode_ids(words: np.ndarray, used: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
@@ -188,29 +186,33 @@ def decode_ids(words: np.ndarray, used: np.ndarray, n: int, vocabulary: int) ->
     if not n:
         return np.empty(0, np.uint32)
     lanes, last = _shape(n)
-    x = np.zeros((LANE, lanes), np.int64)
-    nothing = np.zeros(lanes, np.int64)
+    x = np.zeros((LANE + 2, lanes), np.int32)
     model, source = Model(vocabulary), _Reader(words, used.astype(np.int64))
+    place, first, second, code = np.zeros((EPOCH, lanes), np.uint32), *(np.zeros((EPOCH, lanes), np.int32) for _ in range(3))
     for at in range(0, LANE if lanes > 1 else last, EPOCH):
-        for s in range(at, at + EPOCH):
-            m = lanes if s < last else lanes - 1
+        events, names = model.tables()
+        for s in range(EPOCH):
+            m = lanes if at + s < last else lanes - 1
             if not m:
                 break
-            first, second, context = model.predictions((x[s - 1] if s else nothing)[:m], (x[s - 2] if s > 1 else nothing)[:m])
-            v = source.value(EVENT_BITS, m)
-            bounds = model.event_cum[context]
-            event = (v >= bounds[:, 1]).astype(np.int64) + (v >= bounds[:, 2])
-            row = np.arange(m)
-            e_cum = bounds[row, event]
-            source.take(e_cum.astype(np.uint64), (bounds[row, event + 1] - e_cum).astype(np.uint64), m)
-            v = source.value(ID_BITS, m)
-            i = np.searchsorted(model.cum, v, side="right") - 1
-            literal = event == 2
-            cum = np.where(literal, model.cum[i], 0)
-            source.take(cum.astype(np.uint64), np.where(literal, model.cum[i + 1] - cum, 1 << ID_BITS).astype(np.uint64), m)
-            x[s, :m] = np.where(literal, i, np.where(event == 0, second, first))
-        _learn(model, x, _before(x, 1), _before(x, 2), at, lanes, last)
-    return x.T.ravel()[:n].astype(np.uint32)
+            place[s, :m], first[s, :m], second[s, :m] = model.look(x[at + s + 1, :m], x[at + s, :m])
+            one, two = first[s, :m], second[s, :m]
+            context = (two & 3) * 4 + (one & 3)
+            v = source.value(m)
+            event = events[(context << EVENT_BITS) + (v >> _ID).astype(np.int32)]
+            code[s, :m] = context * 3 + event
+            cum, freq = model.event_cum[code[s, :m]] << _ID, model.event_freq[code[s, :m]]
+            ids = np.where(event == 0, two, one) >> 2
+            lit = np.flatnonzero(event == 2)
+            mine = freq[lit]
+            ids[lit] = got = names[(v[lit] - cum[lit]) // mine]
+            freq <<= _ID
+            cum[lit] += model.cum[got] * mine
+            freq[lit] = model.freq[got] * mine
+            source.take(cum, freq, m)
+            x[at + s + 2, :m] = ids
+        _learn(model, at, lanes, last, x[at + 2 : at + 2 + EPOCH], x[at + 1 : at + 1 + EPOCH], place, first, second, code)
+    return x[2:].T.ravel()[:n].astype(np.uint32)
 
 
 def write_block(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:

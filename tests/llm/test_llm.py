@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from causeway.llm import exact, language, mixing, packing, pii, secrets, simhash, urls
+from causeway.llm import exact, language, mixing, packing, pii, rangecoder, secrets, simhash, urls
 from causeway.llm.binary import read_ids, write_ids
 from causeway.llm.common import scratch_path
 from causeway.llm.minhash import near_duplicates
@@ -168,6 +168,17 @@ def test_block_round_trip():
         read_block(bytes(block))
 
 
+def test_coder_round_trips_at_all_shapes():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 15, 17, 255, 256, 257, 5000):
+        for size in (1, 300, 50257, 70000):
+            for ids in (rng.integers(0, size, n), np.minimum(rng.zipf(1.3, n) - 1, size - 1), np.arange(n) % size % 7):
+                words, used = rangecoder.code_ids(ids.astype(np.uint32), size)
+                assert (rangecoder.decode_ids(words, used, n, size) == ids).all()
+    with pytest.raises(ValueError):
+        rangecoder.Model(1 << 20)
+
+
 def test_tokens_equal_the_library():
     texts = ["", " ", "a  b", "end.\nnext line", "x <|endoftext|>y", "\u00e9t\u00e9 na\u00efve, ok.", "foo\u00a0bar", "don't 'tis", "1 2 3", "tab\t b ", "\u65e5\u672c \u8a9e \u3000x", "  lead", "trail  ", "\x1c b \x1d"]
     t = PieceTokenizer(vocabulary())
