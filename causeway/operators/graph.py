@@ -58,31 +58,39 @@ def kind_histogram(edges: DataFrame) -> DataFrame:
     return edges.groupBy("kind").agg(F.count("*").alias("n_edges"))
 
 
-def paths(edges: DataFrame, origins: DataFrame, max_hops: int) -> DataFrame:
-    """All simple paths of 1 to ``max_hops`` edges from ``origins`` (origin): ``origin, nodes, kinds, product, hops``."""
-    step = collapse(edges).withColumn("w", weight(F.col("kind")))
-    front = origins.select("origin", F.array("origin").alias("nodes"), F.array().cast("array<string>").alias("kinds"), F.lit(1.0).alias("product"), F.col("origin").alias("at"))
-    found = None
-    for hop in range(1, max_hops + 1):
-        grown = front.join(step, front["at"] == step["source"]).filter(~F.array_contains("nodes", F.col("target")))
-        front = grown.select("origin", F.array_append("nodes", F.col("target")).alias("nodes"), F.array_append("kinds", F.col("kind")).alias("kinds"), (F.col("product") * F.col("w")).alias("product"), F.col("target").alias("at"))
-        level = front.withColumn("hops", F.lit(hop))
-        found = level if found is None else found.unionByName(level)
-    return found.drop("at")
+def _steps(edges: DataFrame) -> DataFrame:
+    """The collapsed edges with their weights, written once for all hops."""
+    return materialize(collapse(edges).withColumn("w", weight(F.col("kind"))), "steps")
 
 
-def all_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
-    """All simple paths, of any length; stops when a level is empty. For small or acyclic graphs."""
-    hop, found, step = 0, None, collapse(edges).withColumn("w", weight(F.col("kind")))
-    front = origins.select("origin", F.array("origin").alias("nodes"), F.array().cast("array<string>").alias("kinds"), F.lit(1.0).alias("product"))
-    while True:
+def _grow(front: DataFrame, step: DataFrame, hop: int) -> DataFrame:
+    """The paths of ``front``, each longer by an edge; written, so that the next hop's join is planned by their true size."""
+    grown = front.join(step, F.element_at("nodes", -1) == step["source"]).filter(~F.array_contains("nodes", F.col("target")))
+    return materialize(grown.select("origin", F.array_append("nodes", F.col("target")).alias("nodes"), F.array_append("kinds", F.col("kind")).alias("kinds"), (F.col("product") * F.col("w")).alias("product"), F.lit(hop).alias("hops")), f"paths{hop}")
+
+
+def _start(origins: DataFrame) -> DataFrame:
+    return origins.select("origin", F.array("origin").alias("nodes"), F.array().cast("array<string>").alias("kinds"), F.lit(1.0).alias("product"))
+
+
+def paths(edges: DataFrame, origins: DataFrame, max_hops: int | None) -> DataFrame:
+    """All simple paths of 1 to ``max_hops`` edges from ``origins`` (origin): ``origin, nodes, kinds, product, hops``.
+
+    Without ``max_hops``, of any length, until no path grows: for small or acyclic graphs.
+    """
+    step, front, found, hop = _steps(edges), _start(origins), None, 0
+    while max_hops is None or hop < max_hops:
         hop += 1
-        grown = front.join(step, F.element_at("nodes", -1) == step["source"]).filter(~F.array_contains("nodes", F.col("target")))
-        front = materialize(grown.select("origin", F.array_append("nodes", F.col("target")).alias("nodes"), F.array_append("kinds", F.col("kind")).alias("kinds"), (F.col("product") * F.col("w")).alias("product")), f"paths{hop}")
-        level = front.withColumn("hops", F.lit(hop))
-        found = level if found is None else found.unionByName(level)
+        front = _grow(front, step, hop)
+        found = front if found is None else found.unionByName(front)
         if front.isEmpty():
-            return found
+            break
+    return found
+
+
+def all_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
+    """All simple paths, of any length."""
+    return paths(edges, origins, None)
 
 
 def first_paths(found: DataFrame, max_paths: int) -> DataFrame:
