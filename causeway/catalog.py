@@ -552,3 +552,135 @@ def evidence_graph_edges(t):
 def explanation_claims(t):
     """Claims that no finding bears out."""
     return evidence.ungrounded(t.lineitem.select(F.concat(F.lit("f:"), F.col("l_orderkey").cast("string")).alias("evidence_id")).distinct(), a.findings(t))
+
+
+@query(f"WITH {a.ROUTES_SQL} SELECT method, host, route, n_candidates, CASE WHEN n_candidates = 1 THEN e END AS entity, CASE n_candidates WHEN 1 THEN 'MATCHED' WHEN 0 THEN 'UNRESOLVED' ELSE 'AMBIGUOUS' END AS state FROM matched")
+def route_registry_match(t):
+    return resolution.match_routes(*a.route_calls(t))
+
+
+@query(f"WITH {a.ROUTES_SQL} SELECT method, host, route, n_candidates FROM matched WHERE n_candidates > 1")
+def route_ambiguous(t):
+    return resolution.match_routes(*a.route_calls(t)).filter("state = 'AMBIGUOUS'").select("method", "host", "route", "n_candidates")
+
+
+_REGISTRY = "registry AS (SELECT path, method, 'svc.E' || (key % 7) AS entity, key AS ordinal FROM old_ops UNION ALL SELECT path, method, 'svc.F' || (key % 3), key + 1000000000 FROM old_ops WHERE key % 4 = 0)"
+
+
+@query(f"WITH {a.OPERATIONS_SQL}, {_REGISTRY}, last AS (SELECT path, method, arg_max(entity, ordinal) AS entity FROM registry GROUP BY ALL) SELECT DISTINCT entity FROM last JOIN old_ops USING (path, method) WHERE key NOT IN (SELECT key FROM new_ops)")
+def breaking_route_entities(t):
+    old, key = a.operations(t, False), F.col("key")
+    first = old.select("path", "method", F.concat(F.lit("svc.E"), (key % 7).cast("string")).alias("entity"), key.alias("ordinal"))
+    second = old.filter("key % 4 = 0").select("path", "method", F.concat(F.lit("svc.F"), (key % 3).cast("string")).alias("entity"), (key + 1000000000).alias("ordinal"))
+    return resolution.breaking_entities(endpoint_diff(t), first.unionByName(second))
+
+
+@query(f"WITH {a.EDGES_SQL} SELECT DISTINCT 'SCHEMA' AS family, source AS dependency FROM edges WHERE kind = 'DB_READ' UNION ALL SELECT DISTINCT 'API', CASE WHEN CAST(split_part(source, ':', 2) AS BIGINT) % 2 = 1 THEN 'GET /nations/' || split_part(source, ':', 2) ELSE source END FROM edges WHERE kind = 'API_CONSUMES'")
+def application_snapshot(t):
+    key = F.col("n_nationkey")
+    registry = t.nation.filter(key % 2 == 1).select(a.node("nation", "n_nationkey").alias("entity"), F.lit("GET").alias("method"), F.concat(F.lit("/nations/"), key.cast("string")).alias("path"), key.alias("ordinal"))
+    return resolution.application_dependencies(a.edges(t), registry)
+
+
+@query("WITH c AS (SELECT p_brand || '.py' AS file, CASE p_partkey % 4 WHEN 0 THEN 'Row' WHEN 1 THEN 'Order' || p_partkey || 'Service' WHEN 2 THEN 'ClientOf' || p_partkey ELSE 'Model' || p_partkey END AS name, p_partkey AS start FROM part), s AS (SELECT *, CASE WHEN regexp_matches(lower(name), 'client|service') THEN 3 ELSE 0 END + CASE WHEN name LIKE '%Service' THEN 2 ELSE 0 END - CASE WHEN name = 'Row' THEN 5 ELSE 0 END AS score FROM c) SELECT file, name FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, start DESC) AS r FROM s) WHERE r = 1")
+def primary_classes(t):
+    key = F.col("p_partkey")
+    name = F.when(key % 4 == 0, "Row").when(key % 4 == 1, F.concat(F.lit("Order"), key.cast("string"), F.lit("Service"))).when(key % 4 == 2, F.concat(F.lit("ClientOf"), key.cast("string"))).otherwise(F.concat(F.lit("Model"), key.cast("string")))
+    return resolution.primary_classes(t.part.select(F.concat("p_brand", F.lit(".py")).alias("file"), name.alias("name"), key.alias("start")))
+
+
+@query(f"WITH {a.NODES_SQL} SELECT 'POST ' || replace(path, '#', '-') || '#' || location AS dependency, 'RB-API-FIELD-REMOVED' AS rule_id, 'HIGH' AS severity, 'UNSAFE' AS status FROM old_nodes o WHERE CAST(substr(location, 2) AS BIGINT) % 3 = 0 AND path IN (SELECT path FROM new_nodes) AND (path, location) NOT IN (SELECT (path, location) FROM new_nodes)")
+def rollback_api_fields(t):
+    old, new = (a.nodes(t, n).withColumn("path", F.replace("path", F.lit("#"), F.lit("-"))) for n in (False, True))
+    deps = old.filter(F.substring("location", 2, 20).cast("long") % 3 == 0).select(F.concat("method", F.lit(" "), "path", F.lit("#"), "location").alias("dependency"))
+    return rollback.api_fields(deps, old, new, new)
+
+
+def _evidence(t):
+    return t.lineitem.select(a.node("part", "l_partkey").alias("source"), a.node("supplier", "l_suppkey").alias("target"), F.lit("IMPORT").alias("kind"), F.concat("l_returnflag", F.lit(".py")).alias("source_file"), F.col("l_linenumber").alias("line"), F.col("l_linestatus").alias("matched_pattern"), F.col("l_quantity").cast("long").cast("string").alias("extracted_value"), F.col("l_orderkey").alias("ordinal"))
+
+
+_ITEMS = "WITH m AS (SELECT 'part:' || l_partkey AS source, 'supplier:' || l_suppkey AS target, 'IMPORT' AS kind, l_returnflag || '.py' AS source_file, l_linenumber AS line, l_linestatus AS matched_pattern, l_quantity::BIGINT::VARCHAR AS extracted_value, max(l_orderkey) AS ordinal FROM lineitem GROUP BY ALL)"
+
+
+@query(_ITEMS + " SELECT * FROM m")
+def evidence_merge(t):
+    return graph.merge_evidence(_evidence(t), "ordinal")
+
+
+@query(_ITEMS + " SELECT source, target, kind, count(*) AS n_evidence FROM m GROUP BY ALL")
+def evidence_count(t):
+    return graph.evidence_count(evidence_merge(t))
+
+
+@query("SELECT 'user:' || user_id AS entity, arg_max(event_type, event_id) AS kind, max(event_id) AS event_id FROM events GROUP BY user_id")
+def entity_upsert(t):
+    return graph.last_written(t.events.select(a.node("user", "user_id").alias("entity"), F.col("event_type").alias("kind"), "event_id"), ["entity"], "event_id")
+
+
+@query("SELECT 'user:' || user_id AS entity, arg_min(event_type, event_id) AS kind, min(event_id) AS event_id FROM events GROUP BY user_id")
+def entity_first_written(t):
+    return graph.first_written(t.events.select(a.node("user", "user_id").alias("entity"), F.col("event_type").alias("kind"), "event_id"), ["entity"], "event_id")
+
+
+@query(f"WITH RECURSIVE {a.EDGES_SQL}, up AS (SELECT target, min(source) AS parent FROM edges WHERE kind <> 'IMPORT' GROUP BY target), walk AS (SELECT 'part:' || p_partkey AS node, ['part:' || p_partkey] AS nodes FROM part UNION ALL SELECT node, list_prepend(parent, nodes) FROM walk JOIN up ON target = nodes[1] WHERE NOT list_contains(nodes, parent)) SELECT node, array_to_string(arg_max(nodes, len(nodes)), '>') AS path FROM walk GROUP BY node")
+def causal_paths(t):
+    kinds = tuple(k for k in graph.WEIGHTS if k != "IMPORT")
+    return graph.causal_paths(a.edges(t), t.part.select(a.node("part", "p_partkey").alias("node")), kinds)
+
+
+@query(_blast_sql("SELECT 'region:0' AS origin", 3, 1000, "SELECT origin, 'blast:' || entity || ':' || (row_number() OVER (PARTITION BY origin ORDER BY severity DESC, hops, entity, string_split(path, '>')) - 1) AS finding_id, 'BLAST_RADIUS' AS category, level AS severity, 'BLAST-DOWNSTREAM-IMPACT' AS rule_id, entity FROM blast"))
+def blast_findings(t):
+    return decision.from_blast(blast_radius_region(t))
+
+
+@query("WITH s AS (SELECT p_partkey, p_partkey % 3 AS nodes, p_partkey % 2 AS unsupported, p_partkey % 5 <> 0 AS has_migration, p_partkey % 7 = 0 AS migration_failed, p_partkey % 11 <> 0 AS has_target, p_partkey % 4 <> 0 AS has_contract, p_partkey % 13 = 0 AS contract_failed FROM part) SELECT p_partkey, unnest(['source', 'database', 'blast_radius', 'api_contract', 'rollback']) AS component, unnest([CASE WHEN nodes > 0 THEN 'ANALYZED' WHEN unsupported > 0 THEN 'UNSUPPORTED' ELSE 'UNAVAILABLE' END, CASE WHEN NOT has_migration THEN 'UNAVAILABLE' WHEN migration_failed THEN 'PARSE_ERROR' ELSE 'ANALYZED' END, CASE WHEN nodes = 0 THEN 'UNAVAILABLE' WHEN NOT has_target THEN 'NOT_APPLICABLE' ELSE 'ANALYZED' END, CASE WHEN contract_failed THEN 'PARSE_ERROR' WHEN NOT has_contract THEN 'UNAVAILABLE' ELSE 'ANALYZED' END, 'UNKNOWN']) AS status FROM s")
+def capability_matrix(t):
+    k = F.col("p_partkey")
+    stats = t.part.select("p_partkey", (k % 3).alias("nodes"), (k % 2).alias("unsupported"), (k % 5 != 0).alias("has_migration"), (k % 7 == 0).alias("migration_failed"), (k % 11 != 0).alias("has_target"), (k % 4 != 0).alias("has_contract"), (k % 13 == 0).alias("contract_failed"), F.lit("UNKNOWN").alias("rollback"))
+    return decision.capabilities(stats, ["p_partkey"])
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, unnest(['blast_severity', 'deployment_severity', 'rollback_unsafety']) AS feature, unnest([floor(100::DOUBLE * 0.4::DOUBLE * blast_severity + 0.5::DOUBLE)::BIGINT, floor(100::DOUBLE * 0.35::DOUBLE * deployment_severity + 0.5::DOUBLE)::BIGINT, floor(100::DOUBLE * 0.25::DOUBLE * rollback_unsafety + 0.5::DOUBLE)::BIGINT]) AS points FROM feats")
+def risk_contributions(t):
+    return decision.contributions(decision.features(a.findings(t), ["scope"]), ["scope"])
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, CASE category WHEN 'DATABASE' THEN 'primary' WHEN 'BLAST_RADIUS' THEN 'blast' WHEN 'ROLLBACK' THEN 'rollback' WHEN 'API_CONTRACT' THEN 'api' ELSE 'other' END AS report_group, count(*) AS n_findings, count(*) FILTER (blocking) AS n_blocking FROM findings GROUP BY ALL")
+def report_groups(t):
+    return decision.report_groups(a.findings(t), ["scope"])
+
+
+@query(f"WITH {a.FINDINGS_SQL}, b AS (SELECT scope, finding_id, row_number() OVER (PARTITION BY scope ORDER BY category = 'ROLLBACK' DESC, category, rule_id, finding_id) AS r FROM findings WHERE blocking) SELECT DISTINCT f.scope, b.finding_id FROM findings f LEFT JOIN b ON f.scope = b.scope AND r = 1")
+def root_cause(t):
+    return decision.root_cause(a.findings(t), ["scope"])
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT DISTINCT scope, 'entity:' || entity AS node_id FROM findings WHERE (scope, entity) NOT IN (SELECT (scope, entity) FROM findings WHERE category <> 'ROLLBACK') UNION ALL SELECT scope, 'finding:' || finding_id FROM findings WHERE category = 'ROLLBACK'")
+def evidence_delta(t):
+    """Entities and findings that the graph has only with rollback analysis."""
+    found, by = a.findings(t), ["scope"]
+    less = found.filter("category <> 'ROLLBACK'")
+    now, before = (evidence.nodes(f, decision.decide(f, by), by).filter("kind IN ('SOURCE_SYMBOL', 'FINDING')") for f in (found, less))
+    return evidence.added_nodes(now, before, by).select("scope", "node_id")
+
+
+@query(f"WITH {a.FINDINGS_SQL}, f AS (SELECT scope, 'risk:' || CASE category WHEN 'BLAST_RADIUS' THEN 'blast_severity' WHEN 'ROLLBACK' THEN 'rollback_unsafety' ELSE 'deployment_severity' END AS feature, finding_id, entity FROM findings) SELECT scope, feature, 'finding:' || finding_id AS node_id FROM f UNION ALL SELECT DISTINCT scope, feature, 'entity:' || entity FROM f")
+def feature_lineage(t):
+    return evidence.lineage(evidence_graph_edges(t), ["scope"])
+
+
+_SHOWN = "SELECT page_id, CASE WHEN url LIKE '%://%' THEN '[REDACTED]' ELSE url END AS url, '[REDACTED]' AS api_key, CASE WHEN page_id % 3 = 0 THEN '[REDACTED]' ELSE 'plain' END AS note"
+
+
+@query(_SHOWN + " FROM pages")
+def redact_evidence(t):
+    items = F.create_map(F.lit("url"), F.col("url"), F.lit("API-Key"), F.lit("x"), F.lit("note"), F.when(F.col("page_id") % 3 == 0, "Bearer abc").otherwise("plain"))
+    return t.pages.select("page_id", text.redact_evidence(items).alias("m")).select("page_id", F.col("m")["url"].alias("url"), F.col("m")["API-Key"].alias("api_key"), F.col("m")["note"].alias("note"))
+
+
+@query("SELECT event_id, CASE event_id % 97 WHEN 0 THEN '../x' WHEN 1 THEN '/abs' ELSE 'C:\\x' END AS name FROM events WHERE event_id % 97 < 3")
+def unsafe_paths(t):
+    key = F.col("event_id")
+    name = F.when(key % 97 == 0, "../x").when(key % 97 == 1, "/abs").when(key % 97 == 2, "C:\\x").otherwise(F.concat(F.lit("ok/f"), key.cast("string")))
+    return t.events.select("event_id", name.alias("name")).filter(snapshots.unsafe(F.col("name")))

@@ -95,3 +95,19 @@ def symbol_id(service: Column, path: Column, kind: Column, name: Column) -> Colu
 
 def schema_object(table: Column, name: Column) -> Column:
     return F.concat_ws(".", table, name)
+
+
+# Keys of evidence whose values are never shown, and what marks a value that is not shown under any key.
+SECRET_KEY = r"(?i)(password|token|secret|api[_-]?key|authorization|database_url)"
+DECISION_MARKS, ROLLBACK_MARKS = ("Bearer ", "://"), ("Bearer ", "postgres://", "mysql://")
+
+
+def redact_evidence(evidence: Column, marks: tuple[str, ...] = DECISION_MARKS) -> Column:
+    """A map of strings without the values of secret keys and those that hold one of ``marks``; null values stay null."""
+    def hidden(key: Column, value: Column) -> Column:
+        test = key.rlike(SECRET_KEY)
+        for mark in marks:
+            test = test | F.coalesce(value.contains(mark), F.lit(False))
+        return test
+
+    return F.transform_values(evidence, lambda k, v: F.when(hidden(k, v), "[REDACTED]").otherwise(v))

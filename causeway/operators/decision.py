@@ -127,3 +127,51 @@ def positions(findings: DataFrame, by: list[str]) -> DataFrame:
 def unknowns(findings: DataFrame) -> DataFrame:
     """Findings that say that evidence is missing."""
     return findings.filter(F.col("uncertainty").isNotNull() | (F.col("confidence") == 0))
+
+
+def from_blast(found: DataFrame) -> DataFrame:
+    """Findings of ``graph.blast_radius`` with ids that number them, from 0, within their origin: worst, nearest and first by name first."""
+    order = Window.partitionBy("origin").orderBy(F.desc("severity"), "hops", "entity", F.split("path", ">"))
+    place = (F.row_number().over(order) - 1).cast("string")
+    return found.select("origin", F.concat(F.lit("blast:"), "entity", F.lit(":"), place).alias("finding_id"), F.lit("BLAST_RADIUS").alias("category"), F.col("level").alias("severity"), F.lit("BLAST-DOWNSTREAM-IMPACT").alias("rule_id"), "entity")
+
+
+def capabilities(stats: DataFrame, by: list[str]) -> DataFrame:
+    """``component, status`` of every analyzer per group, so that missing evidence never looks like evidence of nothing.
+
+    ``stats`` has nodes, unsupported, has_migration, migration_failed, has_target, has_contract, contract_failed and rollback.
+    """
+    status = {
+        "source": F.when(F.col("nodes") > 0, "ANALYZED").when(F.col("unsupported") > 0, "UNSUPPORTED").otherwise("UNAVAILABLE"),
+        "database": F.when(~F.col("has_migration"), "UNAVAILABLE").when(F.col("migration_failed"), "PARSE_ERROR").otherwise("ANALYZED"),
+        "blast_radius": F.when(F.col("nodes") == 0, "UNAVAILABLE").when(~F.col("has_target"), "NOT_APPLICABLE").otherwise("ANALYZED"),
+        "api_contract": F.when(F.col("contract_failed"), "PARSE_ERROR").when(~F.col("has_contract"), "UNAVAILABLE").otherwise("ANALYZED"),
+        "rollback": F.col("rollback"),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("component"), v.alias("status")) for k, v in status.items()])
+    return stats.select(*by, F.explode(rows).alias("_c")).select(*by, "_c.component", "_c.status")
+
+
+def contributions(feats: DataFrame, by: list[str]) -> DataFrame:
+    """Points that each feature gives to the base risk, halves rounded up, as reports show them."""
+    parts = (("blast_severity", BLAST), ("deployment_severity", DEPLOYMENT), ("rollback_unsafety", ROLLBACK))
+    points = F.array(*[F.struct(F.lit(f).alias("feature"), F.floor(F.lit(100.0) * F.lit(w) * F.col(f) + 0.5).alias("points")) for f, w in parts])
+    return feats.select(*by, F.explode(points).alias("_p")).select(*by, "_p.feature", "_p.points")
+
+
+# The groups under which reports show categories.
+REPORT_GROUPS = {"DATABASE": "primary", "SCHEMA": "primary", "BLAST_RADIUS": "blast", "ROLLBACK": "rollback", "API_CONTRACT": "api"}
+
+
+def report_groups(findings: DataFrame, by: list[str]) -> DataFrame:
+    group = F.lit("other")
+    for category, name in REPORT_GROUPS.items():
+        group = F.when(F.col("category") == category, name).otherwise(group)
+    return findings.groupBy(*by, group.alias("report_group")).agg(F.count("*").alias("n_findings"), F.count_if("blocking").alias("n_blocking"))
+
+
+def root_cause(findings: DataFrame, by: list[str]) -> DataFrame:
+    """The finding that explains a group's verdict: the first that blocks in category ROLLBACK, else the first that blocks; null without any."""
+    place, blocking = F.struct("category", "rule_id", "finding_id"), F.coalesce("blocking", F.lit(False))
+    first = lambda test: F.min(F.when(test, place))
+    return findings.groupBy(*by).agg(F.coalesce(first(blocking & (F.col("category") == "ROLLBACK")), first(blocking)).alias("_f")).select(*by, F.col("_f.finding_id").alias("finding_id"))

@@ -69,3 +69,15 @@ def edges(findings: DataFrame, decided: DataFrame, by: list[str]) -> DataFrame:
 def ungrounded(claims: DataFrame, findings: DataFrame) -> DataFrame:
     """Claims (evidence_id) that name a finding which isn't there; an explanation is valid only if there are none."""
     return claims.join(findings.select(F.col("finding_id").alias("evidence_id")), "evidence_id", "left_anti")
+
+
+def added_nodes(current: DataFrame, previous: DataFrame, by: list[str]) -> DataFrame:
+    """Nodes of ``current`` whose id ``previous`` lacks."""
+    return current.join(previous.select(*by, "node_id"), [*by, "node_id"], "left_anti")
+
+
+def lineage(graph_edges: DataFrame, by: list[str]) -> DataFrame:
+    """``feature, node_id``: of each risk feature the findings that contribute to it and the entities that produce these."""
+    feeds = graph_edges.filter("kind = 'CONTRIBUTES_TO'").select(*by, F.col("target").alias("feature"), F.col("source").alias("node_id"))
+    made = graph_edges.filter("kind = 'PRODUCES'").select(*by, F.col("target").alias("node_id"), F.col("source").alias("_entity"))
+    return feeds.unionByName(feeds.join(made, [*by, "node_id"]).select(*by, "feature", F.col("_entity").alias("node_id")).distinct())

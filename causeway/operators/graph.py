@@ -172,3 +172,43 @@ def scored_edges(edges: DataFrame) -> DataFrame:
     """Every collapsed edge with the score and level of a direct impact over it."""
     score = severity(weight(F.col("kind")), F.lit(1))
     return collapse(edges).select("source", "target", score.alias("severity"), severity_level(score).alias("level"))
+
+
+def last_written(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per ``keys``: the one written last. Needs no sort of what is under a key."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+
+
+def first_written(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+
+
+def merge_evidence(items: DataFrame, order: str) -> DataFrame:
+    """Evidence of edges (source, target, kind) without repeats of place, pattern and value; of repeats the last counts."""
+    return last_written(items, ["source", "target", "kind", "source_file", "line", "matched_pattern", "extracted_value"], order)
+
+
+def evidence_count(items: DataFrame) -> DataFrame:
+    return items.groupBy("source", "target", "kind").agg(F.count("*").alias("n_evidence"))
+
+
+def causal_paths(edges: DataFrame, starts: DataFrame, kinds: tuple[str, ...] = ("DEPENDS_ON", "AFFECTS")) -> DataFrame:
+    """The path that leads to each of ``starts`` (node) by each node's first parent over edges of ``kinds``: ``node, path``.
+
+    It ends at a node without parents, or before one that it has already. One parent per node is chosen first, so that a step is a
+    join without growth.
+    """
+    parents = edges.filter(F.col("kind").isin(*kinds)).groupBy(F.col("target").alias("_at")).agg(F.min("source").alias("_parent"))
+    parents = materialize(parents, "parents")
+    front, done, step = starts.select("node", F.array("node").alias("nodes")).distinct(), None, 0
+    while True:
+        step += 1
+        reached = materialize(front.join(parents, F.get("nodes", F.lit(0)) == F.col("_at"), "left").select("node", "nodes", "_parent"), f"causes{step}")
+        more = F.col("_parent").isNotNull() & ~F.coalesce(F.array_contains("nodes", F.col("_parent")), F.lit(False))
+        ended = reached.filter(~more).select("node", F.concat_ws(">", "nodes").alias("path"))
+        done = ended if done is None else done.unionByName(ended)
+        front = reached.filter(more).select("node", F.array_prepend("nodes", F.col("_parent")).alias("nodes"))
+        if front.isEmpty():
+            return done

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,19 @@ def provenance(findings: DataFrame, sources: DataFrame) -> DataFrame:
     own = findings.join(sources, findings["dependency"] == sources["entity"]).select("dependency", "rule_id", "source_file", "line")
     general = sources.filter("coalesce(entity, '') = ''").select(F.array_sort(F.collect_list(F.struct("source_file", "line"))).alias("g"))
     return own.unionByName(findings.join(general).select("dependency", "rule_id", F.explode("g").alias("s")).select("dependency", "rule_id", "s.source_file", "s.line"))
+
+
+def parse_dependency(value: Column) -> list[Column]:
+    """``method, path, field`` of "METHOD path#field"; without a method GET, without # no field."""
+    head = F.trim(F.substring_index(value, "#", 1))
+    two = head.contains(" ")
+    return [F.when(two, F.upper(F.substring_index(head, " ", 1))).otherwise("GET").alias("method"), F.when(two, F.regexp_replace(head, "^[^ ]* ", "")).otherwise(head).alias("path"), F.when(value.contains("#"), F.regexp_replace(value, "^[^#]*#", "")).alias("field")]
+
+
+def api_fields(deps: DataFrame, old: DataFrame, new: DataFrame, new_nodes: DataFrame) -> DataFrame:
+    """Findings for ``deps`` (dependency = METHOD path#field): fields of operations of both contracts that no schema of the new one has, at any depth."""
+    key = ["path", "method"]
+    named = deps.select("dependency", *parse_dependency(F.col("dependency"))).filter("field IS NOT NULL AND field <> ''")
+    kept = named.join(old.select(*key).distinct(), key, "left_semi").join(new.select(*key).distinct(), key, "left_semi")
+    have = new_nodes.select(*key, F.substring_index("location", ".", -1).alias("field"))
+    return kept.join(have, [*key, "field"], "left_anti").select("dependency", F.lit("RB-API-FIELD-REMOVED").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("UNSAFE").alias("status"))

@@ -100,13 +100,17 @@ def symbols_missing(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, ["file", "kind", "name"], "left_anti")
 
 
+def unsafe(name: Column) -> Column:
+    """Names of entries that would leave the folder they are put in."""
+    plain = F.replace(name, F.lit("\\"), F.lit("/"))
+    return (name == "") | plain.startswith("/") | plain.rlike("^[A-Za-z]:") | F.array_contains(F.split(plain, "/"), "..")
+
+
 def archive_plan(entries: DataFrame, max_file: int = 20 * 2**20, max_total: int = 150 * 2**20, max_ratio: float = 200.0, ratio_from: int = 2**20, max_entries: int = 5000) -> DataFrame:
     """Adds ``total`` (bytes so far) and ``verdict`` to listings (archive, ordinal, name, is_dir, is_symlink, file_size, compress_size)."""
     from pyspark.sql import Window
 
     total = F.sum("file_size").over(Window.partitionBy("archive").orderBy("ordinal"))
-    plain = F.replace(F.col("name"), F.lit("\\"), F.lit("/"))
-    unsafe = (F.col("name") == "") | plain.startswith("/") | plain.rlike("^[A-Za-z]:") | F.array_contains(F.split(plain, "/"), "..")
     bomb = (F.col("file_size") > ratio_from) & (F.col("file_size") > max_ratio * F.greatest("compress_size", F.lit(1)))
-    verdict = F.when(unsafe, "UNSAFE_PATH").when(F.col("is_symlink"), "SYMLINK").when(F.col("ordinal") >= max_entries, "TOO_MANY").when(F.col("file_size") > max_file, "TOO_LARGE").when(bomb, "BOMB").when(total > max_total, "TOTAL").otherwise("OK")
+    verdict = F.when(unsafe(F.col("name")), "UNSAFE_PATH").when(F.col("is_symlink"), "SYMLINK").when(F.col("ordinal") >= max_entries, "TOO_MANY").when(F.col("file_size") > max_file, "TOO_LARGE").when(bomb, "BOMB").when(total > max_total, "TOTAL").otherwise("OK")
     return entries.withColumn("total", total).withColumn("verdict", verdict)

@@ -260,3 +260,28 @@ def literals(t: Tables) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     forms = [F.concat(F.lit("SELECT id, c"), key, F.lit(" from t"), key, F.lit(" WHERE x = 1")), F.concat(F.lit(" update t"), key, F.lit(" SET a = 2")), F.concat(F.lit("INSERT into t"), key, F.lit(" VALUES (1)")), F.concat(F.lit("DELETE FROM t"), key), F.lit("VACUUM")]
     return t.part.select("p_partkey", F.get(F.array(*forms), (F.col("p_partkey") % 5).cast("int")).alias("statement"))
+
+
+def route_calls(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Calls and providers (with entities) of routes with and without parameters, from urls of pages with even and odd keys."""
+    from causeway.functions import text
+
+    key, plain = F.col("page_id"), F.regexp_replace("url", r"[?#].*$", "")
+    path = F.when(key % 5 < 3, F.regexp_replace(plain, "/[0-9]+", "/{n}")).otherwise(plain)
+    verb = F.when(key % 3 == 0, "POST").otherwise("GET")
+    rows = t.pages.select("page_id", verb.alias("method"), F.coalesce(text.service_of(F.col("url")), F.lit("")).alias("service"), text.route(path).alias("route"))
+    calls = rows.filter("page_id % 2 = 0").select("method", F.when(key % 4 == 0, F.col("service")).otherwise("").alias("host"), "route")
+    entity = F.concat("service", F.lit(".C"), (key % 5).cast("string"), F.when(key % 7 == 0, "Client").otherwise(""))
+    return calls, rows.filter("page_id % 2 = 1").select("method", F.col("service").alias("host"), "route", entity.alias("entity"))
+
+
+ROUTES_SQL = """
+plain AS (SELECT page_id, coalesce(nullif(split_part(regexp_extract(url, '^https?://([^/]*)', 1), ':', 1), ''), '') AS service, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
+  regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]*', ''), '/+$', '') AS x FROM pages),
+shaped AS (SELECT *, CASE WHEN x = '' THEN '/' WHEN page_id % 5 < 3 THEN regexp_replace(x, '/[0-9]+', '/{id}', 'g') ELSE x END AS route FROM plain),
+calls AS (SELECT DISTINCT method, CASE WHEN page_id % 4 = 0 THEN service ELSE '' END AS host, route, string_split(route, '/') AS a FROM shaped WHERE page_id % 2 = 0),
+offers AS (SELECT DISTINCT method, service AS host, string_split(route, '/') AS b, service || '.C' || (page_id % 5) || CASE WHEN page_id % 7 = 0 THEN 'Client' ELSE '' END AS entity FROM shaped WHERE page_id % 2 = 1),
+pairs AS (SELECT c.method, c.host, c.route, o.entity FROM calls c LEFT JOIN offers o ON c.method = o.method AND (c.host = '' OR c.host = o.host) AND len(a) = len(b)
+  AND len(list_filter(range(1, len(a) + 1), lambda i: NOT (a[i] = b[i] OR regexp_matches(a[i], '^[{].*[}]$') OR regexp_matches(b[i], '^[{].*[}]$')))) = 0),
+found AS (SELECT method, host, route, count(DISTINCT entity) AS n, min(entity) AS one, count(DISTINCT entity) FILTER (entity NOT LIKE '%Client') AS m, min(entity) FILTER (entity NOT LIKE '%Client') AS other FROM pairs GROUP BY ALL),
+matched AS (SELECT method, host, route, CASE WHEN m > 0 THEN m ELSE n END AS n_candidates, coalesce(other, one) AS e FROM found)"""
