@@ -25,7 +25,7 @@ _PLAIN = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<mar
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)) if b != 10}
 #: Characters of ``plain`` that need no such writing.
 _SAME = {*map(chr, range(128)), chr(_BYTES[32])}
-#: Words whose ids a worker keeps; beyond it, it starts anew.
+#: Words whose ids a worker keeps; beyond it, those seen in one batch alone since the last time go.
 CACHE = 400_000
 #: Bytes of text that go through at once.
 CHUNK = 8_000_000
@@ -69,6 +69,17 @@ class PieceTokenizer:
         self.flat = np.empty(0, np.uint32)
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
+        self.seen = np.empty(0, np.int32)
+
+    def shrink(self) -> None:
+        """Keep the words of several batches, of too many those of most batches."""
+        kept = np.flatnonzero(self.seen > 1)
+        if len(kept) > CACHE // 2:
+            kept = np.sort(kept[np.argsort(-self.seen[kept], kind="stable")[: CACHE // 2]])
+        self.flat = self.flat[ragged(self.starts[kept], self.lengths[kept])]
+        self.words, self.lengths = self.words.take(pa.array(kept)), self.lengths[kept]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.seen = np.minimum(self.seen[kept] // 2, 8)
 
     def as_they_are(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for i in range(0, len(texts), 8192) for e in self.tokenizer.encode_batch_fast(texts[i : i + 8192], add_special_tokens=False)]
@@ -115,13 +126,14 @@ class PieceTokenizer:
         at[~fits], size[~fits] = sum(map(len, flat)) + np.cumsum(more) - more, more
         self.starts = np.concatenate([self.starts, at + len(self.flat)])
         self.lengths = np.concatenate([self.lengths, size])
+        self.seen = np.concatenate([self.seen, np.zeros(n, np.int32)])
         self.flat = np.concatenate([self.flat, *flat, rest])
         self.words = pa.concat_arrays([self.words, words])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids (uint32) of all texts in turn, and the number of ids of each. No text is null."""
         if len(self.words) > CACHE:
-            self.clear()
+            self.shrink()
         n = len(texts)
         if not n:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
@@ -141,6 +153,7 @@ class PieceTokenizer:
         places = np.asarray(places.fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
         new = places < 0
         places[new] = m + np.arange(int(new.sum()))
+        self.seen[places] += 1
         # the first piece of a text stands after no space; those of odd texts are as they are
         firsts = parts.offsets.to_numpy()[:-1] - (parts.offsets[0].as_py() if len(parts) else 0)
         others, more = self.as_they_are([*words.dictionary.take(pa.array(codes[firsts])).to_pylist(), *chain.from_iterable(odd)])
