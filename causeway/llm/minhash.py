@@ -1,9 +1,10 @@
-"""Near-duplicate documents: ProbMinHash signatures of weighted word shingles, banding, and verification.
+"""Near-duplicate documents: ProbMinHash signatures of sets of word shingles, banding, and verification.
 
 Each shingle is a Poisson process whose rate is its weight: its points arrive at growing times and fall on random registers, and a
 register keeps the shingle that came first. A shingle stops as soon as its next point is later than all registers, so that most
 shingles of a long text stop after one point. Two documents agree on a register with the probability Jaccard similarity of their
-weighted shingles.
+weighted shingles. All distinct shingles weigh the same here, however often they occur, so that this is the Jaccard similarity of
+the sets, by which pairs are verified; weights by occurrence would lose pairs of which one text repeats what the other says once.
 
 Equal texts are one node. Nodes that share a band's registers share a bucket. A bucket emits a star, not all pairs: one member is compared with all others, and pairs count only if the Jaccard similarity of their sets of shingles is at least
 the threshold. Buckets that still hold several groups then go through further stars, led by members of the smaller groups. What is
@@ -129,8 +130,8 @@ def signed(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) ->
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, most=4_000_000):
-                doc, hashes, times = shingles(part.column("text"), words)
-                registers = signatures(doc, hashes, 1 + np.log(times), part.num_rows)
+                doc, hashes, _ = shingles(part.column("text"), words)
+                registers = signatures(doc, hashes, np.ones(len(hashes)), part.num_rows)
                 n = np.bincount(doc, minlength=part.num_rows)
 
                 def listed(keys: np.ndarray, n: np.ndarray = n) -> pa.Array:

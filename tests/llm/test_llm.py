@@ -105,6 +105,22 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
+def test_near_duplicates_with_lines_repeated_in_one_copy(spark):
+    rng = random.Random(11)
+    texts = []
+    for k in range(24):
+        base = [f"{rng.choice('abcdefghij')}{rng.randrange(5000)}" for _ in range(120)]
+        edited = list(base)
+        edited[rng.randrange(40, 116)] = f"z{k}"
+        texts += [" ".join(base), " ".join(edited[:30] * 1000 + edited[30:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert alike == {(i, i + 1) for i in range(0, len(texts), 2)}
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_mixing_targets(spark):
     rows = [(i, "w " * (1 + i % 40), f"s{i % 7 if i % 3 else 0}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
