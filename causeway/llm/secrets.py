@@ -1,13 +1,16 @@
 """Secret scans: base patterns, and high entropy in a sliding window over candidate strings.
 
-A candidate is a run of characters of keys that has digits and letters. Its character class (hexadecimal, letters and digits of one
-case, of both cases, with symbols) sets the threshold. A window of ``WINDOW`` characters goes over it; counts of the characters
-inside are kept as one enters and one leaves, and with them the sum of c*log2(c), from which the entropy follows.
-An allow-list suppresses what only looks random.
+A candidate is a run of characters of keys that has letters. It is cut at stretches of an allow-list (long runs, counted alphabets,
+placeholders, dates), so that no window touches them and the pieces between them are scored like candidates. The character class of a
+piece (hexadecimal, letters and digits of one case, of both cases, with symbols) sets the threshold. A window of ``WINDOW``
+characters goes over it; counts of the characters inside are kept as one enters and one leaves, and with them the sum of c*log2(c),
+from which the entropy follows. UUIDs and names made of words are no candidates.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +27,19 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
 #: Bits per character from which a window of a class counts as random.
 THRESHOLDS = (("^[0-9A-Fa-f]+$", 3.0), ("^[0-9a-z]+$", 3.4), ("^[0-9A-Z]+$", 3.4), ("^[0-9A-Za-z]+$", 3.6), ("", 3.8))
-#: UUIDs, words joined by separators, runs of one character, counted alphabets and placeholders.
+#: Window starts that are scored at a time.
+STEP = 480
+#: A word of one case, capitalised or in camel case; one of a single case that fills a window is none.
+_NAME = r"(?>(?:[A-Z]?[a-z]{1,18}|[A-Z]{1,19}|[a-z]{0,19}(?:[A-Z][a-z]{2,18}+)++)(?![A-Za-z]))"
+#: What is allowed as a whole: UUIDs, words joined by separators with a short number, and only words and symbols.
 ALLOW = (
     r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
-    r"^(?:[A-Za-z]+[-_/])+[A-Za-z]*[0-9]{0,4}$",
-    r"(.)\1{7,}",
-    r"(?i)0123456789|abcdefgh|example|placeholder|changeme|xxxx",
-    r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}",
+    rf"^(?:{_NAME}[-_/])++{_NAME}?[0-9]{{0,4}}$",
+    rf"^[-_/=+]*+(?:{_NAME}[-_/=+]++)*+{_NAME}?$",
 )
+_LETTERS = "".join(f"(?:{c}" for c in "ijklmnopqrstuvwxyz") + ")?+" * 18
+#: Stretches at which a candidate is cut: runs of one character, counted alphabets, placeholders that stand alone, a leading date.
+STRETCH = rf"(.)\1{{7,}}+|(?i:0123456789(?:abcdef)?+|abcdefgh{_LETTERS})|(?<![A-Za-z0-9])(?i:example|placeholder|changeme|x{{4,}})(?![A-Za-z0-9])[-_/=]*+|^[0-9]{{4}}[-/][0-9]{{2}}[-/][0-9]{{2}}[-_/=]*+"
 
 
 def valid(kind: int, value: Column) -> Column:
@@ -61,15 +69,28 @@ def top_entropy(value: Column, window: int = WINDOW) -> Column:
     return F.when(F.length(value) > 0, F.aggregate(F.sequence(F.lit(1), F.length(value)), start, move, lambda s: s["best"])).otherwise(0.0)
 
 
-def looks_random(value: Column) -> Column:
+def allowed(value: Column) -> Column:
+    return reduce(lambda a, b: a | b, [value.rlike(pattern) for pattern in ALLOW])
+
+
+def looks_random(value: Column, window: int = WINDOW) -> Column:
     limit = F.lit(THRESHOLDS[-1][1])
     for pattern, bits in reversed(THRESHOLDS[:-1]):
         limit = F.when(value.rlike(pattern), F.lit(bits)).otherwise(limit)
-    allowed = F.lit(False)
-    for pattern in ALLOW:
-        allowed = allowed | value.rlike(pattern)
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~allowed
-    return F.when(mixed, top_entropy(value) >= limit).otherwise(False)
+    last = F.floor((F.length(value) - window) / STEP).cast("int")
+    part = lambda k: F.substring(value, k * STEP + 1, F.lit(STEP + window - 1))
+    scored = (F.length(value) >= window) & value.rlike("[A-Za-z]") & ~allowed(value)
+    return F.when(scored, F.exists(F.sequence(F.lit(0), last), lambda k: top_entropy(part(k), window) >= limit)).otherwise(False)
+
+
+def pieces(found: Column) -> Column:
+    """The pieces of the spans ``found`` between stretches of the allow-list; none of a span that is allowed as a whole."""
+    cut = F.transform(
+        F.filter(found, lambda s: ~allowed(s["value"])),
+        lambda s: F.struct(s["start"].alias("start"), F.split(s["value"], STRETCH, -1).alias("kept"), F.concat(F.array(F.lit("")), all_matches(s["value"], STRETCH)).alias("dropped")),
+    )
+    moved = lambda at: lambda s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end"), s["value"].alias("value"))
+    return F.flatten(F.transform(cut, lambda c: F.transform(placed(c["kept"], c["dropped"], 3), moved(c["start"]))))
 
 
 def find_secrets(docs: DataFrame, *, keep: list[str]) -> DataFrame:
@@ -82,7 +103,8 @@ def find_secrets(docs: DataFrame, *, keep: list[str]) -> DataFrame:
     based = with_spans(rows, "__text", PATTERNS, valid, [*keep, "__text"])
     based = based.withColumn("__c", all_matches(F.col("__text"), CANDIDATE)).withColumn("__g", gaps(F.col("__text"), F.col("__c"), CANDIDATE))
     cut = based.select(*keep, "base", placed(F.col("__c"), F.col("__g"), 3).alias("__s"))
-    return cut.select(*keep, "base", F.filter("__s", lambda s: ~overlaps(F.col("base"), s["start"], s["end"]) & looks_random(s["value"])).alias("added"))
+    cut = cut.select(*keep, "base", pieces(F.filter("__s", lambda s: ~overlaps(F.col("base"), s["start"], s["end"]))).alias("__s"))
+    return cut.select(*keep, "base", F.filter("__s", lambda s: looks_random(s["value"])).alias("added"))
 
 
 def op7_secrets(spark, sf_dir):

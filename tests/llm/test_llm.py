@@ -244,6 +244,26 @@ def test_secrets(spark):
     assert got[0] == ([0, 2], []) and got[1] == ([], ["Zk3xQ9vR7tLp2WmN8yBc4HdJ6"]) and got[2] == ([], []) and got[3] == ([1], []) and got[4] == ([], [])
 
 
+def test_secrets_beside_allowed_stretches(spark):
+    key, rng = "Zk3xQ9vR7tLp2WmN8yBc4HdJ6", random.Random(2)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000))
+    letters = "ZkqxQsvRrtLpfWmNgyBcuHdJ"
+    want = {
+        f"see example/{key} now": [key], f"2024-01-02/{key}": [key], f"x {'A' * 12}{key}": [key], f"\U0001f600 {key}{'=' * 9}{key[::-1]}": [key, key[::-1]], "a ZkxxxxQ9vR7tLp2WmN8yBc4HdJ6": ["ZkxxxxQ9vR7tLp2WmN8yBc4HdJ6"],
+        f"b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW {letters}": ["AAAABG5vbmUAAAAEbm9uZQ", letters], f"/{letters}": [f"/{letters}"], f"{'aB' * 500}{blob}": [f"{'aB' * 500}{blob}"],
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": [], "xxxx-xxxx-xxxx-xxxx-xxxx": [], "/path/to/some/other/thing/getUserNameFromServer": [], "getUserNameFromServerByNumber": [], "11111111-e89b-12d3-a456-426614174000": [],
+    }
+    texts = list(want)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in secrets.find_secrets(docs, keep=["doc_id"]).collect():
+        text = texts[r["doc_id"]]
+        assert all(text[s["start"] : s["end"]] == s["value"] for s in r["added"])
+        if not text.startswith("b3Bl"):
+            assert [s["value"] for s in r["added"]] == want[text], text
+        else:
+            assert r["added"][-1]["value"] == letters and len(r["added"]) > 1
+
+
 def test_urls_both_ways(spark):
     pages = spark.createDataFrame([(1, "HTTP://M.Example.ORG/es/1?x"), (2, "https://a.com/de/"), (3, None), (4, "no scheme"), (5, "http://example.org"), (6, "x://Example.org/en/12")], "page_id bigint, url string")
     one = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(pages, urls.RULES).collect()}
