@@ -3,7 +3,12 @@
 Base spans are the seeds. An identifier stands in a lexical pattern, the word before it and its own shape (digits as 9, letters
 as a). Patterns and instances form a graph: a pattern scores the mean score of its distinct instances, an instance that is no
 seed the best score of its patterns; after a few rounds, instances of patterns with a high score and enough seeds become spans
-of the pattern's kind. All scoring is joins and sums of Spark over the whole corpus.
+of the pattern's kind.
+
+Apart from shapes, the lexical contexts (the word before, the word after, both) are scored too: the share of a kind's instances among
+the distinct candidates that are of a known kind or can't be of this one. Contexts with a high score and enough instances extract
+candidates of any shape that pass a loose check for the kind; what they extract counts as known in the next round, so that contexts
+without seeds are found as well. All scoring is joins and sums of Spark over the whole corpus.
 """
 
 from __future__ import annotations
@@ -24,10 +29,17 @@ PATTERNS = (
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
-#: Runs of tokens with digits or @ that single spaces join.
-CANDIDATE = r"(?<!\S)\S*?[0-9@]\S*+(?:\x20[^\s0-9]*+[0-9]\S*+)*+"
+#: Spelled-out addresses, and runs of tokens with digits or @ that single spaces join.
+CANDIDATE = r"(?<!\S)(?:\S++\x20(?i:at)\x20[^\s.]++(?:\x20(?i:dot)\x20[^\s.]++)++|\S+?\x20?[(\[{](?i:at)[)\]}]\x20?\S++(?:\x20?[(\[{](?i:dot)[)\]}]\x20?\S++)*+|\S*?[0-9@]\S*+(?:\x20[^\s0-9]*+[0-9]\S*+)*+)"
 #: Punctuation around a candidate.
 EDGE = r"""["'(<\[{,;:!?)>\]}.=]"""
+#: What a candidate of any shape must look like to be of a kind, and how many digits it may have.
+LOOSE = (
+    (r"^[^\s@]+@[^\s@]+$|(?i)^\S+ at \S+(?: dot \S+)+$|^\S+? ?[(\[{]at[)\]}] ?\S+", 0, 1000),
+    (r"^[0-9]+(?:(?:\.|[\[(](?:\.|dot)[\])])[0-9]+){3}(?:[:/][0-9]+)?$|^[0-9A-Fa-f]*(?::[0-9A-Fa-f]+){7}$|^[0-9A-Fa-f:]*::[0-9A-Fa-f:]*$", 0, 1000),
+    (r"^[0-9](?:[-\x20./_]{0,3}[0-9])+$", 12, 19),
+    (r"^(?!(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}$)[+(]*[0-9](?:[-\x20()./]{0,3}[0-9])+(?: ?(?:x|ext\.?) ?[0-9]+)?$", 7, 15),
+)
 #: Seeds a pattern needs, the score from which it extracts, and rounds of scoring.
 MIN_SEEDS, MIN_SCORE, ROUNDS = 3, 0.8, 3
 
@@ -56,14 +68,15 @@ def valid(kind: int, value: Column) -> Column:
 
 
 def candidates(text: Column, found: Column, between: Column) -> Column:
-    """array<struct<start, end, value, before>> of candidates without the punctuation around them."""
+    """array<struct<start, end, value, before, after>> of candidates without the punctuation around them; a bracketed area code stays."""
 
     def one(s: Column, i: Column) -> Column:
-        value = F.regexp_replace(s["value"], rf"^{EDGE}++", "")
+        value = F.regexp_replace(s["value"], rf"^(?:(?!\([0-9]+\)){EDGE})++", "")
         start = s["start"] + F.length(s["value"]) - F.length(value)
         core = F.regexp_replace(value, rf"{EDGE}++$", "")
         before = F.substring_index(F.regexp_replace(F.rtrim(F.get(between, i)), r"\s", " "), " ", -1)
-        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), F.lower(before).alias("before"))
+        after = F.regexp_extract(F.get(between, i + 1), r"^\s*+(\S++)", 1)
+        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), F.lower(before).alias("before"), F.lower(after).alias("after"))
 
     return F.filter(F.transform(placed(found, between, 0), one), lambda s: s["value"] != "")
 
@@ -72,6 +85,32 @@ def shape(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, r"[^\W\d_]+", "a"), "[0-9]", "9")
 
 
+def loosely(value: Column) -> Column:
+    """array<int> of the kinds that ``value`` could be of."""
+    n = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    return F.filter(F.array(*[F.when(value.rlike(p) & n.between(least, most), i) for i, (p, least, most) in enumerate(LOOSE)]), lambda k: k.isNotNull())
+
+
+def contextual(seen: DataFrame, min_seeds: int, min_score: float, rounds: int) -> DataFrame:
+    """``context, of, n, mean``: the contexts that extract, by the column ``contexts`` of ``seen`` (value, kind, fits, contexts)."""
+    edges = seen.select("value", "kind", "fits", F.explode("contexts").alias("context"))
+    edges = materialize(edges.groupBy("context", "value").agg(F.max("kind").alias("kind"), F.first("fits").alias("fits")), "contexts")
+    known = edges.withColumn("known", F.col("kind"))
+    for k in range(max(1, rounds)):
+        sums = [F.count(F.when(F.col("known") == i, 1)).alias(f"n{i}") for i in range(len(KINDS))]
+        # unknown values that can't be of a kind speak against it; those that could be are neither for nor against
+        sums += [F.count(F.when(F.col("known").isNull() & ~F.array_contains("fits", i), 1)).alias(f"u{i}") for i in range(len(KINDS))]
+        stats = known.groupBy("context").agg(F.count("known").alias("known"), *sums)
+        kinds = F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.lit(i).alias("of"), F.try_divide(f"n{i}", F.col("known") + F.col(f"u{i}")).alias("mean")) for i in range(len(KINDS))])
+        best = stats.select("context", F.array_max(F.filter(kinds, lambda s: s["n"] >= min_seeds)).alias("m")).filter(F.col("m.mean") >= min_score)
+        trusted = materialize(best.select("context", "m.*"), f"contexts{k}")
+        if k + 1 < rounds:
+            found = edges.filter("kind IS NULL").join(trusted, "context").filter(F.array_contains("fits", F.col("of")))
+            found = materialize(found.groupBy("value").agg(F.max(F.struct("mean", "n", "of"))["of"].alias("found")), f"found{k}")
+            known = edges.join(found, "value", "left").withColumn("known", F.coalesce("kind", "found"))
+    return trusted
+
+
 def find_pii(docs: DataFrame, *, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id``, ``base`` and ``added`` (array<struct<start, kind, end, value>>) for every row of ``docs`` (doc_id, text).
 
@@ -86,7 +125,12 @@ def find_pii(docs: DataFrame, *, min_seeds: int = MIN_SEEDS, min_score: float =
 
     seen = based.dropDuplicates(["id0", "h"]).select("id0", "h", "base", F.explode("candidates").alias("c"))
     kind = F.get(F.filter("base", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start"))), F.lit(0))["kind"]
-    seen = materialize(seen.select("id0", "h", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.value").alias("value"), F.col("c.before").alias("before"), shape(F.col("c.value")).alias("shape"), kind.alias("kind")), "occurrences")
+    seen = materialize(seen.select("id0", "h", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.value").alias("value"), F.col("c.before").alias("before"), F.col("c.after").alias("after"), shape(F.col("c.value")).alias("shape"), kind.alias("kind"), loosely(F.col("c.value")).alias("fits")), "occurrences")
+    bare = [F.regexp_replace(w, rf"^{EDGE}++|{EDGE}++$", "") for w in ("before", "after")]
+    sides = F.array(F.struct(bare[0].alias("before"), F.lit(None).cast("string").alias("after")), F.struct(F.lit(None).cast("string").alias("before"), bare[1].alias("after")), F.struct(bare[0].alias("before"), bare[1].alias("after")))
+    # no word at all is no context
+    sides = F.filter(sides, lambda s: F.concat(F.coalesce(s["before"], F.lit("")), F.coalesce(s["after"], F.lit(""))) != "")
+    seen = seen.withColumn("contexts", F.transform(sides, lambda s: F.to_json(s)))
 
     edges = materialize(seen.groupBy("before", "shape", "value").agg(F.max("kind").alias("kind")), "edges")
     seeds = edges.filter("kind IS NOT NULL").groupBy("before", "shape", "kind").agg(F.count("*").alias("n"))
@@ -104,7 +148,12 @@ def find_pii(docs: DataFrame, *, min_seeds: int = MIN_SEEDS, min_score: float =
         scored = graph.join(best, ["value", "of"], "left").withColumn("score", F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind").isNull(), F.coalesce("best", F.lit(0.0))).otherwise(0.0))
     if trusted is None:
         trusted = scored.groupBy("before", "shape", "of").agg(F.avg("score").alias("mean"))
-    fresh = seen.filter("kind IS NULL").join(trusted.filter(F.col("mean") >= min_score), ["before", "shape"])
+    unknown = seen.filter("kind IS NULL")
+    fresh = unknown.join(trusted.filter(F.col("mean") >= min_score), ["before", "shape"]).select("id0", "h", "start", "end", "value", "of", F.lit(2.0).alias("mean"))
+    loose = unknown.filter(F.size("fits") > 0).withColumn("context", F.explode("contexts")).join(contextual(seen, min_seeds, min_score, rounds), "context")
+    loose = loose.filter(F.array_contains("fits", F.col("of"))).select("id0", "h", "start", "end", "value", "of", "mean")
+    # a candidate is one span: of its pattern's kind, or else of its best context's
+    fresh = fresh.unionByName(loose).groupBy("id0", "h", "start", "end", "value").agg(F.max(F.struct("mean", "of"))["of"].alias("of"))
     spans = fresh.groupBy("id0", "h").agg(F.collect_set(F.struct("start", F.col("of").alias("kind"), "end", "value")).alias("added"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
     return based.join(spans, ["id0", "h"], "left").select("doc_id", "base", F.filter(F.coalesce("added", none), lambda s: ~overlaps(F.col("base"), s["start"], s["end"])).alias("added"))
