@@ -1,11 +1,13 @@
 """An adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-A block's ids are cut into lanes of ``LANE`` ids, which numpy codes side by side, one id of every lane a step. Three predictions meet:
-order 2 and order 1 name the id that followed the same two ids or the same id before, each with a confidence, and order 0 gives the
-frequencies of all ids. How far each prediction is trusted is counted for every pair of confidences. All of it is learned from the
-block itself, anew after each ``EPOCH`` steps, so that writer and reader hold the same model; nothing is kept from block to block.
-
-Layout (little-endian): ``CXR2``, u32 documents, u64 ids, u32 vocabulary, the documents' ids (i64, nulls by a bit mask) and numbers of ids (u32),
+A block's ids are cut into lanes of ``LANE`` ids, which numpy codes side by side, one id of every lane a step. Each id is coded under a
+mixture of three predictions: order 0 gives the frequencies of all ids; order 1 and order 2 give the id that followed the same id, or
+the same two ids, before. The weights of the mixture depend on how often order 1 and order 2 were right in this context (16 pairs of
+confidences), and move towards each prediction's share in the probability of the ids seen (one step of expectation-maximisation an
+epoch). All of it is learned from the block itself, anew after each ``EPOCH`` steps, so that writer and reader hold the same model;
+nothing is kept from block to block.
+
+Layout (little-endian): ``CXR3``, u32 documents, u64 ids, u32 vocabulary, the documents' ids (i64, nulls by a bit mask) and numbers of ids (u32),
 the lanes' numbers of 16-bit words (u32), the words, u32 crc32 of all before.
 """
 
@@ -16,19 +18,21 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CXR2"
+MAGIC = b"CXR3"
 LANE, EPOCH = 256, 16
-#: Bits of the frequencies of events and of ids; a step codes both at once.
-EVENT_BITS, ID_BITS = 12, 20
+#: Bits of the weights of a mixture and of the frequencies of order 0; their products share out a step's range.
+MIX_BITS, ID_BITS = 12, 20
 _TOP, _BOT, _16, _48 = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(16), np.uint64(48)
-_STEP, _ID = np.uint64(EVENT_BITS + ID_BITS), np.uint64(ID_BITS)
+_STEP, _32, _LOW = np.uint64(MIX_BITS + ID_BITS), np.uint64(32), np.uint64(0xFFFFFFFF)
 _PAIR_BITS = 18
+#: Which orders have a prediction at each pair of confidences.
+_THERE = np.array([[1, k % 4 > 0, k >= 4] for k in range(16)], np.int64)
 
 
 class Model:
     """What the ids of a block so far tell about the next ones.
 
-    Orders 1 and 2 keep one number a context: the id that followed, times 4, plus how sure that is (0 to 3).
+    Orders 1 and 2 keep one number a context: the id that followed, times 4, plus how sure that is (0, for nothing, to 3).
     """
 
     def __init__(self, vocabulary: int) -> None:
@@ -36,8 +40,9 @@ class Model:
             raise ValueError("the vocabulary is too large for the coder")
         self.size = vocabulary
         self.counts = np.zeros(vocabulary, np.int64)
-        self.follow = [np.zeros(n, np.int32) for n in (vocabulary, 1 << _PAIR_BITS)]
-        self.events = np.tile(np.array([2, 1, 4], np.int64), (16, 1))
+        self.follow = [np.zeros(n, np.int64) for n in (vocabulary, 1 << _PAIR_BITS)]
+        #: By pair of confidences (order 2 times 4, plus order 1): shares of orders 0, 1 and 2 in what was seen.
+        self.shares = np.tile(np.array([1024, 256, 512], np.int64), (16, 1)) * _THERE
         self.renew()
 
     def renew(self) -> None:
@@ -45,24 +50,50 @@ class Model:
         share = np.r_[0, np.cumsum(self.counts)]
         room = (1 << ID_BITS) - self.size
         cum = np.arange(self.size + 1) + (share * room // total if total else np.arange(self.size + 1) * room // self.size)
-        self.cum, self.freq = cum[:-1].astype(np.uint64), np.diff(cum).astype(np.uint64)
-        parts = np.c_[np.zeros(16, np.int64), np.cumsum(self.events, axis=1)]
-        event_cum = np.arange(4) + parts * ((1 << EVENT_BITS) - 3) // parts[:, 3:]
-        self.event_cum, self.event_freq = event_cum[:, :3].ravel().astype(np.uint64), np.diff(event_cum, axis=1).ravel().astype(np.uint64)
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """For readers: the event of each context and value, and the id of each value."""
-        kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        return np.repeat(np.tile(np.arange(3, dtype=np.uint8), 16), self.event_freq.astype(np.int64)), np.repeat(np.arange(self.size, dtype=kind), self.freq.astype(np.int64))
+        #: Start (upper half) and frequency (lower half) of each id in order 0.
+        self.order0 = (cum[:-1] << 32 | np.diff(cum)).astype(np.uint64)
+        weights = _THERE + self.shares * ((1 << MIX_BITS) - 3) // self.shares.sum(axis=1, keepdims=True)
+        weights[:, 0] += (1 << MIX_BITS) - weights.sum(axis=1)
+        #: Weight of order 0, and the mass that orders 1 and 2 add to their ids.
+        self.base = weights[:, 0].astype(np.uint64)
+        self.mass = (weights[:, 1:] << ID_BITS).astype(np.uint64).T.copy()
+
+    def names(self) -> np.ndarray:
+        """For readers: the id of each value of order 0."""
+        return np.repeat(np.arange(self.size, dtype=np.uint16 if self.size <= 1 << 16 else np.uint32), (self.order0 & _LOW).astype(np.int64))
 
     def look(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where order 2 keeps what followed ``one`` after ``two``, and what order 1 and order 2 keep."""
-        at = (two.astype(np.uint32) * np.uint32(0x9E3779B1) ^ one.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _PAIR_BITS)
+        at = (two * 0x9E3779B1 ^ one * 0x85EBCA6B) >> 14 & ((1 << _PAIR_BITS) - 1)
         return at, self.follow[0][one], self.follow[1][at]
 
-    def learn(self, ids: np.ndarray, one: np.ndarray, at: np.ndarray, first: np.ndarray, second: np.ndarray, code: np.ndarray) -> None:
-        """Take in an epoch's ids, with what ``look`` gave for them and their contexts times 3 plus events."""
-        self.events += np.bincount(code, minlength=48).reshape(16, 3)
+    def weights(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The context, and the weights there, of what orders 1 and 2 keep."""
+        context = (second & 3) * 4 + (first & 3)
+        return context, *(t.take(context, mode="clip") for t in (self.base, *self.mass))
+
+    def interval(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the mixture puts ``ids``, and how wide, when orders 1 and 2 say ``a`` and ``b``."""
+        cum, freq = self.parts(ids, w)
+        return cum + (a < ids) * wa + (b < ids) * wb, freq + (a == ids) * wa + (b == ids) * wb
+
+    def parts(self, ids: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for order 0 alone."""
+        own = self.order0[ids]
+        return (own >> _32) * w, (own & _LOW) * w
+
+    def learn(self, ids: np.ndarray, one: np.ndarray, at: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+        """Take in an epoch's ids, with their contexts and what ``look`` gave for them."""
+        a, b, context = first >> 2, second >> 2, (second & 3) * 4 + (first & 3)
+        # order 0 alone predicted most ids
+        hit = np.flatnonzero(((a == ids) & ((first & 3) > 0)) | ((b == ids) & ((second & 3) > 0)))
+        self.shares[:, 0] += np.bincount(context, minlength=16) << 8
+        x, a, b, (c, w, wa, wb) = ids[hit], a[hit], b[hit], self.weights(first[hit], second[hit])
+        parts = np.stack([(self.order0[x] & _LOW) * w, (a == x) * wa, (b == x) * wb])
+        parts = (parts << np.uint64(8)) // parts.sum(axis=0)
+        for k in range(3):
+            self.shares[:, k] += np.bincount(c, parts[k], 16).astype(np.int64)
+        self.shares[:, 0] -= np.bincount(c, minlength=16) << 8
         self.counts += np.bincount(ids, minlength=self.size)
         for table, place, was in ((self.follow[0], one, first), (self.follow[1], at, second)):
             sure = was & 3
@@ -147,26 +178,20 @@ def code_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.uint16), np.empty(0, np.uint32)
     lanes, last = _shape(n)
-    lane = np.zeros(lanes * LANE, np.int32)
+    lane = np.zeros(lanes * LANE, np.int64)
     lane[:n] = ids
-    x = np.zeros((LANE + 2, lanes), np.int32)  # two rows of 0 stand before the lanes' ids
+    x = np.zeros((LANE + 2, lanes), np.int64)  # two rows of 0 stand before the lanes' ids
     x[2:] = lane.reshape(lanes, LANE).T
     model, out = Model(vocabulary), _Writer(lanes)
     for at in range(0, LANE if lanes > 1 else last, EPOCH):
         ids, one, two = x[at + 2 : at + 2 + EPOCH], x[at + 1 : at + 1 + EPOCH], x[at : at + EPOCH]
         place, first, second = model.look(one, two)
-        sure1, sure2 = first & 3, second & 3
-        event = np.where((sure2 > 0) & (ids == second >> 2), 0, np.where((sure1 > 0) & (ids == first >> 2), 1, 2))
-        code = (sure2 * 4 + sure1) * 3 + event
-        literal = event == 2
-        e_freq = model.event_freq[code]
-        cum = (model.event_cum[code] << _ID) + np.where(literal, model.cum[ids] * e_freq, np.uint64(0))
-        freq = e_freq * np.where(literal, model.freq[ids], np.uint64(1 << ID_BITS))
+        cum, freq = model.interval(ids, first >> 2, second >> 2, *model.weights(first, second)[1:])
         for s in range(EPOCH):
             m = lanes if at + s < last else lanes - 1
             if m:
                 out.put(cum[s, :m], freq[s, :m], m)
-        _learn(model, at, lanes, last, ids, one, place, first, second, code)
+        _learn(model, at, lanes, last, ids, one, place, first, second)
     out.close()
     return out.words[np.arange(out.words.shape[1]) < out.used[:, None]], out.used.astype(np.uint32)
 
@@ -186,32 +211,36 @@ def decode_ids(words: np.ndarray, used: np.ndarray, n: int, vocabulary: int) ->
     if not n:
         return np.empty(0, np.uint32)
     lanes, last = _shape(n)
-    x = np.zeros((LANE + 2, lanes), np.int32)
+    x = np.zeros((LANE + 2, lanes), np.int64)
     model, source = Model(vocabulary), _Reader(words, used.astype(np.int64))
-    place, first, second, code = np.zeros((EPOCH, lanes), np.uint32), *(np.zeros((EPOCH, lanes), np.int32) for _ in range(3))
+    place, first, second = (np.zeros((EPOCH, lanes), np.int64) for _ in range(3))
     for at in range(0, LANE if lanes > 1 else last, EPOCH):
-        events, names = model.tables()
+        names = model.names()
         for s in range(EPOCH):
             m = lanes if at + s < last else lanes - 1
             if not m:
                 break
-            place[s, :m], first[s, :m], second[s, :m] = model.look(x[at + s + 1, :m], x[at + s, :m])
-            one, two = first[s, :m], second[s, :m]
-            context = (two & 3) * 4 + (one & 3)
+            place[s, :m], one, two = model.look(x[at + s + 1, :m], x[at + s, :m])
+            first[s, :m], second[s, :m] = one, two
+            _, w, wa, wb = model.weights(one, two)
+            a, b = one >> 2, two >> 2
             v = source.value(m)
-            event = events[(context << EVENT_BITS) + (v >> _ID).astype(np.int32)]
-            code[s, :m] = context * 3 + event
-            cum, freq = model.event_cum[code[s, :m]] << _ID, model.event_freq[code[s, :m]]
-            ids = np.where(event == 0, two, one) >> 2
-            lit = np.flatnonzero(event == 2)
-            mine = freq[lit]
-            ids[lit] = got = names[(v[lit] - cum[lit]) // mine]
-            freq <<= _ID
-            cum[lit] += model.cum[got] * mine
-            freq[lit] = model.freq[got] * mine
-            source.take(cum, freq, m)
+            below, same = b < a, a == b
+            at_a, wide_a = model.parts(a, w)
+            at_b, wide_b = model.parts(b, w)
+            at_a += below * wb
+            at_b += (a < b) * wa
+            past_a, past_b = v >= at_a + wide_a + wa + same * wb, v >= at_b + wide_b + wb + same * wa
+            is_a, is_b = (v >= at_a) & ~past_a, (v >= at_b) & ~past_b
+            # what orders 1 and 2 put before the id
+            added = past_a * wa + past_b * wb
+            ids = names.take(((v - added) // w).view(np.int64), mode="clip").astype(np.int64)
+            np.copyto(ids, b, where=is_b)
+            np.copyto(ids, a, where=is_a)
+            cum, freq = model.parts(ids, w)
+            source.take(cum + added, freq + is_a * wa + is_b * wb, m)
             x[at + s + 2, :m] = ids
-        _learn(model, at, lanes, last, x[at + 2 : at + 2 + EPOCH], x[at + 1 : at + 1 + EPOCH], place, first, second, code)
+        _learn(model, at, lanes, last, x[at + 2 : at + 2 + EPOCH], x[at + 1 : at + 1 + EPOCH], place, first, second)
     return x[2:].T.ravel()[:n].astype(np.uint32)
 
 
