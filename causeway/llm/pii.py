@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import materialize, read_table, text_of
 from causeway.llm.simhash import keyed_rows
-from causeway.llm.spans import all_matches, counted, gaps, joined, overlaps, placed, with_spans
+from causeway.llm.spans import all_matches, counted, gaps, joined, let, placed, touching, with_spans
 
 KINDS = ("email", "ip", "card", "phone")
 #: As the base patterns, in forms that take linear time on long runs. A match starts where the last one ended or at the start of a run;
@@ -67,18 +67,18 @@ def valid(kind: int, value: Column) -> Column:
     return F.lit(True)
 
 
-def candidates(text: Column, found: Column, between: Column) -> Column:
+def candidates(found: Column, between: Column) -> Column:
     """array<struct<start, end, value, before, after>> of candidates without the punctuation around them; a bracketed area code stays."""
 
-    def one(s: Column, i: Column) -> Column:
+    def one(g: Column, s: Column, i: Column) -> Column:
         value = F.regexp_replace(s["value"], rf"^(?:(?!\([0-9]+\)){EDGE})++", "")
         start = s["start"] + F.length(s["value"]) - F.length(value)
         core = F.regexp_replace(value, rf"{EDGE}++$", "")
-        before = F.substring_index(F.regexp_replace(F.rtrim(F.get(between, i)), r"\s", " "), " ", -1)
-        after = F.regexp_extract(F.get(between, i + 1), r"^\s*+(\S++)", 1)
+        before = F.substring_index(F.regexp_replace(F.rtrim(F.get(g, i)), r"\s", " "), " ", -1)
+        after = F.regexp_extract(F.get(g, i + 1), r"^\s*+(\S++)", 1)
         return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), F.lower(before).alias("before"), F.lower(after).alias("after"))
 
-    return F.filter(F.transform(placed(found, between, 0), one), lambda s: s["value"] != "")
+    return F.filter(let(between, lambda g: F.transform(placed(found, g, 0), lambda s, i: one(g, s, i))), lambda s: s["value"] != "")
 
 
 def shape(value: Column) -> Column:
@@ -121,11 +121,10 @@ def find_pii(docs: DataFrame, *, min_seeds: int = MIN_SEEDS, min_score: float =
     based = with_spans(rows, "text", PATTERNS, valid, ["id0", "h", "doc_id", "text"])
     based = based.withColumn("__c", all_matches(F.col("text"), CANDIDATE))
     based = based.withColumn("__g", gaps(F.col("text"), F.col("__c"), CANDIDATE))
-    based = materialize(based.select("id0", "h", "doc_id", "base", candidates(F.col("text"), F.col("__c"), F.col("__g")).alias("candidates")), "base")
+    based = materialize(based.select("id0", "h", "doc_id", "base", touching(F.col("base"), candidates(F.col("__c"), F.col("__g"))).alias("candidates")), "base")
 
-    seen = based.dropDuplicates(["id0", "h"]).select("id0", "h", "base", F.explode("candidates").alias("c"))
-    kind = F.get(F.filter("base", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start"))), F.lit(0))["kind"]
-    seen = materialize(seen.select("id0", "h", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.value").alias("value"), F.col("c.before").alias("before"), F.col("c.after").alias("after"), shape(F.col("c.value")).alias("shape"), kind.alias("kind"), loosely(F.col("c.value")).alias("fits")), "occurrences")
+    seen = based.select("id0", "h", "candidates").dropDuplicates(["id0", "h"]).select("id0", "h", F.explode("candidates").alias("c")).select("id0", "h", "c.kind", "c.span.*")
+    seen = materialize(seen.withColumn("shape", shape(F.col("value"))).withColumn("fits", loosely(F.col("value"))), "occurrences")
     bare = [F.regexp_replace(w, rf"^{EDGE}++|{EDGE}++$", "") for w in ("before", "after")]
     sides = F.array(F.struct(bare[0].alias("before"), F.lit(None).cast("string").alias("after")), F.struct(F.lit(None).cast("string").alias("before"), bare[1].alias("after")), F.struct(bare[0].alias("before"), bare[1].alias("after")))
     # no word at all is no context
@@ -156,7 +155,7 @@ def find_pii(docs: DataFrame, *, min_seeds: int = MIN_SEEDS, min_score: float =
     fresh = fresh.unionByName(loose).groupBy("id0", "h", "start", "end", "value").agg(F.max(F.struct("mean", "of"))["of"].alias("of"))
     spans = fresh.groupBy("id0", "h").agg(F.collect_set(F.struct("start", F.col("of").alias("kind"), "end", "value")).alias("added"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
-    return based.join(spans, ["id0", "h"], "left").select("doc_id", "base", F.filter(F.coalesce("added", none), lambda s: ~overlaps(F.col("base"), s["start"], s["end"])).alias("added"))
+    return based.join(spans, ["id0", "h"], "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 
 def op6_pii(spark, sf_dir):

@@ -9,13 +9,14 @@ from which the entropy follows. UUIDs and names made of words are no candidates.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.common import read_table, text_of
-from causeway.llm.spans import all_matches, counted, gaps, joined, overlaps, placed, with_spans
+from causeway.llm.spans import all_matches, counted, gaps, joined, let, placed, running, touching, with_spans
 
 KINDS = ("assign", "access", "hex", "entropy")
 PATTERNS = (
@@ -28,7 +29,7 @@ WINDOW = 20
 #: Bits per character from which a window of a class counts as random.
 THRESHOLDS = (("^[0-9A-Fa-f]+$", 3.0), ("^[0-9a-z]+$", 3.4), ("^[0-9A-Z]+$", 3.4), ("^[0-9A-Za-z]+$", 3.6), ("", 3.8))
 #: Window starts that are scored at a time.
-STEP = 480
+STEP = 4000
 #: A word of one case, capitalised or in camel case; one of a single case that fills a window is none.
 _NAME = r"(?>(?:[A-Z]?[a-z]{1,18}|[A-Z]{1,19}|[a-z]{0,19}(?:[A-Z][a-z]{2,18}+)++)(?![A-Za-z]))"
 #: What is allowed as a whole: UUIDs, words joined by separators with a short number, and only words and symbols.
@@ -49,24 +50,25 @@ def valid(kind: int, value: Column) -> Column:
 
 
 def top_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits per character, of any window of ``value`` (ASCII), by counts kept as the window moves."""
-    term = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0)
-    at = lambda i: F.when(i >= 1, F.ascii(F.substring(value, F.greatest(i, F.lit(1)), F.lit(1)))).otherwise(-1)
+    """The highest Shannon entropy, in bits per character, of any window of ``value`` (ASCII), by counts kept as the window moves.
+
+    A character that enters meets its equals among the ``window - 1`` before it, one that leaves those after it; each changes the sum of
+    c*log2(c) by what its count tells. The terms are whole numbers of 2**-20 bits, so that the running sum is exact.
+    """
+    terms = F.array(*[F.lit(round(c * math.log2(c) * 2**20) if c else 0).cast("long") for c in range(window + 1)])
     full = F.least(F.length(value), F.lit(window))
 
-    def move(s: Column, i: Column) -> Column:
-        enters, leaves = at(i), at(i - window)
-        up = F.get(s["n"], enters)
-        added = s["sum"] + term(up + 1) - term(up)
-        counts = F.transform(s["n"], lambda c, j: c + F.when(j == enters, 1).otherwise(0))
-        down = F.coalesce(F.get(counts, leaves), F.lit(0))
-        total = added + F.when(leaves >= 0, term(down - 1) - term(down)).otherwise(0.0)
-        counts = F.when(leaves >= 0, F.transform(counts, lambda c, j: c - F.when(j == leaves, 1).otherwise(0))).otherwise(counts)
-        bits = F.log2(full.cast("double")) - total / full
-        return F.struct(counts.alias("n"), total.alias("sum"), F.when(i >= full, F.greatest(s["best"], bits)).otherwise(s["best"]).alias("best"))
+    def lowest(chars: Column) -> Column:
+        equals = lambda x, first, n: F.size(F.filter(F.slice(chars, first, n), lambda y: y == x))
+        growth = lambda c: F.get(terms, c + 1) - F.get(terms, c)
+        enters = F.transform(chars, lambda x, i: growth(equals(x, F.greatest(i - (window - 2), F.lit(1)), F.least(i, F.lit(window - 1)))))
+        leaves = F.transform(chars, lambda x, i: growth(equals(x, i + 2, F.lit(window - 1))))
+        moved = let(leaves, lambda out: F.transform(enters, lambda x, i: x - F.when(i >= window, F.get(out, i - window)).otherwise(F.lit(0).cast("long"))))
+        sums = running(moved, F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.array_min(let(sums, lambda s: F.slice(s, F.least(F.size(s), F.lit(window)), F.size(s))))
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.when(F.length(value) > 0, F.aggregate(F.sequence(F.lit(1), F.length(value)), start, move, lambda s: s["best"])).otherwise(0.0)
+    bits = F.log2(full.cast("double")) - let(F.split(value, ""), lowest) / (full * F.lit(2.0**20))
+    return F.when(F.length(value) > 0, bits).otherwise(0.0)
 
 
 def allowed(value: Column) -> Column:
@@ -102,8 +104,8 @@ def find_secrets(docs: DataFrame, *, keep: list[str]) -> DataFrame:
     rows = docs.select(*keep, text_of(docs).alias("__text"))
     based = with_spans(rows, "__text", PATTERNS, valid, [*keep, "__text"])
     based = based.withColumn("__c", all_matches(F.col("__text"), CANDIDATE)).withColumn("__g", gaps(F.col("__text"), F.col("__c"), CANDIDATE))
-    cut = based.select(*keep, "base", placed(F.col("__c"), F.col("__g"), 3).alias("__s"))
-    cut = cut.select(*keep, "base", pieces(F.filter("__s", lambda s: ~overlaps(F.col("base"), s["start"], s["end"]))).alias("__s"))
+    cut = based.select(*keep, "base", touching(F.col("base"), placed(F.col("__c"), F.col("__g"), 3)).alias("__s"))
+    cut = cut.select(*keep, "base", pieces(F.transform(F.filter("__s", lambda s: s["kind"].isNull()), lambda s: s["span"])).alias("__s"))
     return cut.select(*keep, "base", F.filter("__s", lambda s: looks_random(s["value"])).alias("added"))
 
 
