@@ -9,15 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where none is set, a folder of our own, but only if driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="causeway-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
+    return f"{shared_dir(spark)}/causeway-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}/{label}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table and read it again: what follows starts from its files."""
-    path = f"{shared_dir(df.sparkSession)}/causeway-{uuid.uuid4().hex}/{label}"
+    """Write a table to the shared folder and read it again.
+
+    It cuts the lineage and fixes the rows, so that what follows neither repeats the work nor depends on the loss of an executor.
+    """
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Results that weren't written yet may still need them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
