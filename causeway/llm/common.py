@@ -1,42 +1,20 @@
-"""Shared pieces of the training-data operators: scratch tables, word patterns and row keys."""
+"""Shared pieces of the training-data operators: word patterns, texts and tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.storage import materialize, scratch_path
+
+__all__ = ["SPACE", "WORD", "materialize", "read_table", "scratch_path", "text_of"]
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Runs of ASCII white space, which separate words.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``, or one of our own where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="causeway-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/causeway-{uuid.uuid4().hex}/{label}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it again.
-
-    It cuts the lineage and fixes the rows, so that what follows neither repeats the work nor depends on the loss of an executor.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_of(df: DataFrame, text: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(df[text].cast("string"), F.lit(""))

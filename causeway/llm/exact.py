@@ -41,6 +41,10 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        """Forget the index; files at a ``path`` of the caller stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def append_new(self, groups: DataFrame) -> None:
         """Append those groups whose digest the index lacks. ``groups``: one row per digest."""
         known = self.table().select("digest")
@@ -54,8 +58,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex, *, doc_id: str = "doc_id",
     Texts are equal when identical without ASCII white space; null counts as empty, so that all empty texts are one group. The
     row with the most code points stays, then the one with the smallest id (a null id comes last). A text that the index had
     before keeps the index's ``keep_id``, and no row of this batch stays, but for the row of that very id if the batch has it.
-    Rows that repeat both id and text: each has ``kept``; use ``kept_rows`` for one row per text. Columns of the names added are
-    replaced. An empty table gives an empty table.
+    Rows that repeat both id and text: each has ``kept``. ``group_size`` counts the rows of the batch that brought the text into the
+    index; later batches don't change it. Columns of the names added are replaced. An empty table gives an empty table.
     """
     keep = [c for c in docs.columns if c not in ("digest", "keep_id", "group_size", "kept")]
     body = text_of(docs, text)
@@ -84,7 +88,9 @@ def op9_exact_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     body = text_of(docs)
     rows = materialize(docs.select("doc_id", F.sha2(normalized(body), 256).alias("digest"), F.length(body).cast("long").alias("__chars")), "digests")
-    out = _assign(rows, ["doc_id"], new_index(spark), "doc_id")
+    index = new_index(spark)
+    out = _assign(rows, ["doc_id"], index, "doc_id")
+    index.drop()  # the result reads the rows written from it
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 

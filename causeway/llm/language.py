@@ -22,11 +22,10 @@ from causeway.llm.tokens import chunks
 
 #: Hashed n-grams of ``N`` characters fall into this many buckets; the model has this many numbers per language.
 BUCKETS, N = 1 << 15, 3
-#: Most languages a model may have: with BUCKETS, the bound of what is broadcast (128 MB).
-MAX_LANGUAGES = 1000
 #: Prediction for texts without a letter.
 UNDETERMINED = "und"
 STEPS = 12
+#: Letters, and numbers that are no digits.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -39,6 +38,11 @@ def grams(text: str) -> np.ndarray:
     return (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
+def has_letter(text: str) -> bool:
+    """Whether the text has a character of Unicode's category L."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]
@@ -78,7 +82,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, its proportion times its share of the evidence against the runner-up, from 0 to 1)."""
-        if not self.languages or text is None or not _LETTER.search(text):
+        if not self.languages or text is None or not has_letter(text):
             return UNDETERMINED, 0.0
         seen = np.bincount(grams(text), minlength=BUCKETS)
         buckets = np.flatnonzero(seen)
@@ -113,11 +117,10 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> LanguageModel:
-    """Learns from all rows of ``labelled``. What reaches the driver is one number per language and bucket."""
-    known = [r["lang"] for r in labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(known) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(known)
+    """Learns from all rows of ``labelled`` (text, lang); rows with a null in either don't count, and an empty table gives a model of no
+    language. What reaches the driver, and later each worker, is one number per language and bucket: 128 KB a language, whatever the rows.
+    """
+    languages = sorted(r["lang"] for r in labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang").distinct().collect())
     counts = np.zeros((BUCKETS, len(languages)), np.float64)
     column = {x: i for i, x in enumerate(languages)}
     if languages:

@@ -1,16 +1,19 @@
-"""Near-duplicate documents: ProbMinHash signatures of sets of word shingles, banding, and verification.
+"""Near-duplicate documents: ProbMinHash signatures of weighted word shingles, banding, and exact verification.
 
 Each shingle is a Poisson process whose rate is its weight: its points arrive at growing times and fall on random registers, and a
 register keeps the shingle that came first. A shingle stops as soon as its next point is later than all registers, so that most
 shingles of a long text stop after one point. Two documents agree on a register with the probability Jaccard similarity of their
-weighted shingles. All distinct shingles weigh the same here, however often they occur, so that this is the Jaccard similarity of
-the sets, by which pairs are verified; weights by occurrence would lose pairs of which one text repeats what the other says once.
-
-Equal texts are one node. Nodes that share a band's registers share a bucket. A bucket emits a star, not all pairs: one member is compared with all others, and pairs count only if the Jaccard similarity of their sets of shingles is at least
-the threshold. Buckets that still hold several groups then go through further stars, led by members of the smaller groups. What is
-still mixed then goes through all pairs of members of different groups. Of these, those whose registers differ too often for the
-threshold are left out by the join itself (four bits of each register are compared; a pair of similarity 0.8 is left out once in
-15,000 times), so that many unlike texts that share a passage cost comparisons of a few longs and make no rows.
+weighted shingles. A shingle weighs the same in every text, the more the more letters it has (``letters``) or always 1 (``even``), and
+counts once however often a text repeats it. So the probability Jaccard is the weight of the common shingles over that of all, and
+this is what verification works out exactly for each pair, from the same weights.
+
+Equal texts are one node. Nodes that share a band's registers share a bucket. A bucket emits a star, not all pairs: one member is
+compared with all others. Buckets that still hold several groups then go through further stars, led by members of the smaller groups.
+What is still mixed then goes through members of different groups, dealt to parts of bounded size. There the registers' estimate of
+the similarity decides first, within the join, so that many unlike texts that share a passage cost comparisons of a few longs and
+make no rows. Registers are independent (each sees its own share of every Poisson process), so that the differing ones of a pair of
+similarity 0.8 are binomial, and ``SURE`` standard deviations above their mean leave out such a pair less than 2 times in a million.
+No band in common is the other way to lose one: 5 times in 100,000 at a similarity of exactly 0.8, and less often above it.
 
 The member of a bucket that shares most buckets with others leads it, so that the original of a group of edited copies, which is
 nearer to each of them than they are to each other, is compared with them first.
@@ -32,11 +35,12 @@ from causeway.llm.components import components
 from causeway.llm.tokens import chunks, ragged
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Bands of registers: two documents of similarity 0.8 share none of them once in 20,000 times.
 BANDS, ROWS = 25, 5
 REGISTERS = 256
-#: Further stars before the rest of mixed buckets is compared pair by pair.
-STARS = 1
+#: Further stars before the rest of mixed buckets is compared member by member, in parts of so many members; see above.
+STARS, PART, SURE = 1, 1000, 5
+#: Weights are whole numbers, so that sums are exact.
+UNIT = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,10 +55,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(texts: pa.Array, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the distinct shingles of all texts, in order: text number, 44-bit hash, times it occurs.
+def shingles(texts: pa.Array, words: int = SHINGLE, weigh: str = "letters") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct shingles of all texts (2**20 at most), in order: text number, 44-bit hash, weight (uint16).
 
-    Words are what ASCII white space separates, lower-cased. A text of fewer words is one shingle, one without words has none.
+    Words are what ASCII white space separates, lower-cased. A text of fewer words is one shingle, one without words has none; no
+    text is null. The weight of a shingle is ``UNIT`` times the binary logarithm of its code points plus one, or ``UNIT``.
     """
     lower = pc.ascii_trim(pc.utf8_lower(texts.cast(pa.large_string())), " \t\n\x0b\x0c\r")
     parts = pc.split_pattern_regex(lower, r"[\x09-\x0D\x20]+")
@@ -63,6 +68,7 @@ def shingles(texts: pa.Array, words: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     flat = parts.flatten().dictionary_encode()
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))
     w = hashes[flat.indices.to_numpy()]
+    letters = pc.utf8_length(flat.dictionary).to_numpy()[flat.indices.to_numpy()].astype(np.int64)
     starts = parts.offsets.to_numpy()[:-1] - (parts.offsets[0].as_py() if len(parts) else 0)
     n = np.where(counts > 0, np.maximum(counts - words + 1, 1), 0)
     at = ragged(starts, n)
@@ -71,9 +77,14 @@ def shingles(texts: pa.Array, words: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     for i in range(words):
         inside = size > i
         h = np.where(inside, mixed(h + gold(i + 1)) ^ w[np.minimum(at + i, len(w) - 1)] if len(w) else h, h)
-    keys = np.sort(np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(44) | mixed(h) >> np.uint64(20))
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return (keys[first] >> np.uint64(44)).astype(np.int64), keys[first] & np.uint64((1 << 44) - 1), np.diff(first, append=len(keys))
+    if weigh == "letters":
+        ends = np.r_[0, np.cumsum(letters)]
+        weights = (UNIT * np.log2(1.0 + ends[at + size] - ends[at])).astype(np.uint16)
+    else:
+        weights = np.full(len(at), UNIT, np.uint16)
+    keys = np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(44) | mixed(h) >> np.uint64(20)
+    keys, first = np.unique(keys, return_index=True)
+    return (keys >> np.uint64(44)).astype(np.int64), keys & np.uint64((1 << 44) - 1), weights[first]
 
 
 def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_docs: int, registers: int = REGISTERS) -> np.ndarray:
@@ -124,73 +135,88 @@ def differing(a: str, b: str, longs: int) -> Column:
     return total
 
 
-def signed(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, node, keys, few, n``: keys of the bands and ``nibbles`` of the registers (null for texts without words), number of shingles."""
+def signed(docs: DataFrame, words: int, weigh: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, node, keys, few, weight``: keys of the bands and ``nibbles`` of the registers (null for texts without words), sum of the weights."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, most=4_000_000):
-                doc, hashes, _ = shingles(part.column("text"), words)
-                registers = signatures(doc, hashes, np.ones(len(hashes)), part.num_rows)
-                n = np.bincount(doc, minlength=part.num_rows)
+            for part in chunks(batch):
+                doc, hashes, weights = shingles(part.column("text"), words, weigh)
+                registers = signatures(doc, hashes, weights, part.num_rows)
+                total = np.bincount(doc, weights, part.num_rows).astype(np.int64)
 
-                def listed(keys: np.ndarray, n: np.ndarray = n) -> pa.Array:
-                    return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()), mask=pa.array(n == 0))
+                def listed(keys: np.ndarray, total: np.ndarray = total) -> pa.Array:
+                    return pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()), mask=pa.array(total == 0))
 
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), listed(band_keys(registers, bands, rows)), listed(nibbles(registers)), pa.array(n)], names=["doc_id", "node", "keys", "few", "n"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), listed(band_keys(registers, bands, rows)), listed(nibbles(registers)), pa.array(total)], names=["doc_id", "node", "keys", "few", "weight"])
 
-    return docs.mapInArrow(sign, "doc_id long, node binary, keys array<bigint>, few array<bigint>, n long")
+    return docs.mapInArrow(sign, "doc_id long, node binary, keys array<bigint>, few array<bigint>, weight long")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``node, items``: the sorted 32-bit hashes of each text's shingles."""
+def shingle_sets(docs: DataFrame, words: int, weigh: str) -> DataFrame:
+    """``node, items, weights``: the sorted 32-bit hashes of each text's shingles, and their weights in the same order."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, most=4_000_000):
-                doc, hashes, _ = shingles(part.column("text"), words)
+            for part in chunks(batch):
+                doc, hashes, weights = shingles(part.column("text"), words, weigh)
                 items = (hashes >> np.uint64(12)).astype("<u4")
+                weights = weights.astype("<u2")
                 ends = np.searchsorted(doc, np.arange(part.num_rows), side="right")
                 begins = np.r_[0, ends[:-1]] if len(ends) else ends
-                sets = [items[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "items"])
+                of = list(zip(begins.tolist(), ends.tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([part.column("node"), *(pa.array([x[a:b].tobytes() for a, b in of], pa.binary()) for x in (items, weights))], names=["node", "items", "weights"])
+
+    return docs.select("node", "text").mapInArrow(listed, "node binary, items binary, weights binary")
+
 
-    return docs.select("node", "text").mapInArrow(listed, "node binary, items binary")
+def similarity(p: np.ndarray, wp: np.ndarray, q: np.ndarray, wq: np.ndarray) -> float:
+    """The probability Jaccard of two sets of sorted shingles, each with its weights (the same for a shingle of both)."""
+    both = np.concatenate([p, q])
+    order = np.argsort(both, kind="stable")
+    both, weights = both[order], np.concatenate([wp, wq])[order].astype(np.int64)
+    common = int(weights[1:][both[1:] == both[:-1]].sum())
+    every = int(weights.sum()) - common
+    return common / every if every else 0.0
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets have a Jaccard similarity of at least ``threshold``."""
+    """The ``pairs`` (a, b) of nodes whose weighted shingles have a probability Jaccard of at least ``threshold``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = (np.frombuffer(s.as_buffer(), "<u4") for s in (x, y))
-                if min(len(p), len(q)) < threshold * max(len(p), len(q)):
+            for x, wx, y, wy in zip(*(batch.column(c) for c in ("x", "wx", "y", "wy")), strict=True):
+                wp, wq = (np.frombuffer(s.as_buffer(), "<u2") for s in (wx, wy))
+                if min(wp.sum(), wq.sum()) < threshold * max(wp.sum(), wq.sum()):
                     good.append(False)
                     continue
-                p, q = (np.unique(s) for s in (p, q))
-                both = np.sort(np.concatenate([p, q]))
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(common >= threshold * (len(both) - common))
+                p, q = (np.frombuffer(s.as_buffer(), "<u4") for s in (x, y))
+                good.append(similarity(p, wp, q, wq) >= threshold)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"), F.col("weights").alias("wx"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"), F.col("weights").alias("wy"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "wx", "y", "wy").mapInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float = THRESHOLD, stars: int = STARS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float = THRESHOLD, weigh: str = "letters", stars: int = STARS) -> DataFrame:
     """``doc_id, node, class_id, class_size, kept`` for every row of ``docs`` (doc_id, text).
 
     ``node`` is the digest of the text; documents whose texts are equal or linked, directly or through others, have one class. ``class_id``
     is the class's smallest doc_id, whose row is kept. A null text counts as empty; texts without words are linked to equal texts
     alone. Null ids are allowed and kept only in a class without others; rows that repeat id and text are all in their class and all
-    kept if that id is the class's. An empty table gives an empty table.
+    kept if that id is the class's. Texts are read whole, however long. An empty table gives an empty table. ``weigh`` is ``letters`` or
+    ``even`` (see the module).
     """
+    if weigh not in ("letters", "even"):
+        raise ValueError("weigh is 'letters' or 'even'")
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     texts = rows_in.withColumn("node", F.unhex(F.md5("text")))
-    table = materialize(signed(texts, words), "signatures")
-    nodes = materialize(table.groupBy("node").agg(*[F.first(c).alias(c) for c in ("keys", "few", "n")]).filter("keys IS NOT NULL"), "nodes")
+    # one row stands for all of a text; its id finds the text again without bringing copies together
+    known_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    table = materialize(signed(texts, words, weigh), "signatures")
+    nodes = materialize(table.groupBy("node").agg(*[F.first(c).alias(c) for c in ("keys", "few", "weight")], F.min(known_id).alias("row")).filter("keys IS NOT NULL"), "nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("together")).filter("together > 1")
     members = materialize(keyed.join(buckets, "key"), "members")
@@ -199,9 +225,10 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float =
     leaders = members.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("leader"))
     pairs = materialize(ordered_pairs(members.join(leaders, "key").filter("leader <> node"), "leader", "node"), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = asked.join(nodes.select("node", "row"), "node")
     # every member of a bucket is in a pair of that bucket, so these sets serve all later rounds
-    held = texts.select("node", "text").hint("merge").join(asked.hint("merge"), "node", "left_semi")
-    sets = materialize(shingle_sets(held.dropDuplicates(["node"]), words), "sets")
+    held = texts.select(known_id.alias("row"), "node", "text").hint("merge").join(asked.hint("merge"), ["row", "node"], "left_semi")
+    sets = materialize(shingle_sets(held.dropDuplicates(["row", "node"]), words, weigh), "sets")
     links = materialize(verified(pairs, sets, threshold), "links")
     tried = pairs
     for k in range(stars + 1):
@@ -209,9 +236,9 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float =
         placed = members.join(groups, "node", "left").select("key", "node", "degree", F.coalesce("component", "node").alias("component"))
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.max(F.struct("degree", "node")).alias("lead"))
         sizes = materialize(sizes, f"sizes{k}")
-        open_keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("groups")).filter("groups > 1")
+        open_keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("groups"), F.sum("n").alias("together")).filter("groups > 1")
         smaller = sizes.join(open_keys, "key").filter("component <> largest")
-        several = smaller.groupBy("key").agg(F.first("largest").alias("largest"), F.max("lead")["node"].alias("leader"))
+        several = smaller.groupBy("key").agg(F.first("largest").alias("largest"), F.first("together").alias("together"), F.max("lead")["node"].alias("leader"))
         several = materialize(several, f"mixed{k}")
         if several.isEmpty():
             break
@@ -232,16 +259,18 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float =
 def across(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs of members of a bucket that are of different groups; those within the largest group, which may hold most rows, never meet.
 
-    Sets whose sizes differ too much can't be similar enough and don't meet either.
+    Sets whose weights differ too much can't be similar enough and don't meet either. A large bucket is dealt to parts of ``PART`` members,
+    each of which meets the members outside of the largest group.
     """
-    known = members.join(nodes.select("node", "keys", "few", F.col("n").alias("size")), "node").select("key", "node", "component", "largest", "size", "few", "keys")
-    outside = known.filter("component <> largest").select("key", F.col("node").alias("leader"), F.col("component").alias("other"), F.col("size").alias("other_size"), F.col("few").alias("other_few"), F.col("keys").alias("other_keys"))
-    p = (1 - threshold) * 15 / 16  # that a register of a pair just similar enough differs
-    most = REGISTERS * p + 4 * (REGISTERS * p * (1 - p)) ** 0.5
-    apart = (differing("few", "other_few", REGISTERS // 16) <= int(most)) & (F.col("component") != F.col("other")) & (F.least("size", "other_size") >= F.lit(threshold) * F.greatest("size", "other_size"))
+    known = members.join(nodes.select("node", "keys", "few", "weight"), "node").select("key", "node", "component", "largest", "weight", "few", "keys", F.ceil(F.col("together") / PART).cast("int").alias("parts"))
+    outside = known.filter("component <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("leader"), F.col("component").alias("other"), F.col("weight").alias("other_weight"), F.col("few").alias("other_few"), F.col("keys").alias("other_keys"))
+    known = known.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    p = (1 - threshold) * 15 / 16  # that the four bits of a register of a pair just similar enough differ
+    most = REGISTERS * p + SURE * (REGISTERS * p * (1 - p)) ** 0.5
+    near = (differing("few", "other_few", REGISTERS // 16) <= int(most)) & (F.col("component") != F.col("other")) & (F.least("weight", "other_weight") >= F.lit(threshold) * F.greatest("weight", "other_weight"))
     # a pair that shares several buckets meets in one of them
     once = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
-    return ordered_pairs(known.join(outside, "key").filter(apart & once), "leader", "node")
+    return ordered_pairs(known.join(outside, ["key", "part"]).filter(near & once), "leader", "node")
 
 
 def ordered_pairs(df: DataFrame, a: str, b: str) -> DataFrame:

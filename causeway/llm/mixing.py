@@ -2,7 +2,7 @@
 
 Every document of a source has the same number of expected copies, ``target / source_size``. The documents of a source
 stand in one order; the prefix sum of expected copies plus one random offset per source crosses an integer once for each
-copy that a document gets; of ``OFFSETS`` such offsets, the one whose words come nearest to the target counts. Documents stand by classes of size, so that the words taken follow the target closely.
+copy that a document gets. Documents stand by narrow classes of size, so that the words taken follow the target closely.
 
 The prefix sum needs no window over a whole source: documents fall into blocks (source, size class, hash of the id), a
 block's rows are ranked within it, and the offsets of the blocks come from a table of counts per block.
@@ -20,9 +20,7 @@ from causeway.llm.common import WORD, materialize, read_table, text_of
 #: Blocks of one size class of one source; a class of a source that holds a third of all rows falls into so many tasks.
 BLOCKS = 256
 #: Size classes per doubling of the size.
-STEPS = 4
-#: Offsets tried per source: one random offset and those at equal distances from it; that counts whose words come nearest to the target.
-OFFSETS = 32
+STEPS = 16
 
 
 def source_key(col: Column) -> Column:
@@ -73,20 +71,14 @@ def mix(docs: DataFrame, size: Column, *, weights: Sequence[float] = (5, 2, 1),
     whole, part = F.floor(each), each - F.floor(each)
     at = F.col("__before") + F.col("__rank")
 
-    def crossed(try_: Column | int) -> Column:
-        offset = F.pmod(F.xxhash64(F.lit(seed), F.col("__key")) + F.lit(1 << 20) * try_ / OFFSETS, F.lit(1 << 20)) / float(1 << 20)
-        return F.floor(offset + part * at) - F.floor(offset + part * (at - 1))
-
-    ranked = rows.select(*keep, "__size", *place, F.row_number().over(Window.partitionBy(*place).orderBy(F.col(doc_id), "__size", F.xxhash64(*keep))).alias("__rank"))
-    tried = ranked.select("__size", *place, "__rank").join(blocks, place).groupBy("__key").agg(*[F.sum(F.col("__size") * crossed(k)).alias(f"o{k}") for k in range(OFFSETS)])
-    over = plan.join(tried, plan["key"] == tried["__key"]).select("key", F.array(*[F.abs(whole * F.col("source_size") + F.col(f"o{k}") - F.col("target")) for k in range(OFFSETS)]).alias("miss"))
-    chosen = over.select("key", (F.array_position("miss", F.array_min("miss")) - 1).alias("__offset"))
-    blocks = blocks.join(chosen, blocks["__key"] == chosen["key"]).drop("key")
-    return ranked.join(blocks, place).select(*keep, F.col("__size").alias("size"), "source_size", "target", (whole + crossed(F.col("__offset"))).cast("long").alias("copies"))
+    offset = F.pmod(F.xxhash64(F.lit(seed), F.col("__key")), F.lit(1 << 20)) / float(1 << 20)
+    crossed = F.floor(offset + part * at) - F.floor(offset + part * (at - 1))
+    ranked = rows.select(*keep, "__size", *place, F.row_number().over(Window.partitionBy(*place).orderBy("__size", F.col(doc_id), F.xxhash64(*keep))).alias("__rank"))
+    return ranked.join(blocks, place).select(*keep, F.col("__size").alias("size"), "source_size", "target", (whole + crossed).cast("long").alias("copies"))
 
 
 def repeat_rows(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each row as often as its ``copies`` say."""
+    """Each row as often as its ``copies`` say; a row whose copies are null or 0 is gone. Rows that repeat count each for itself."""
     return mixed.filter("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
 
 

@@ -127,20 +127,20 @@ def with_neighbours(ids: DataFrame) -> DataFrame:
 def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited texts (the last quarter replaced from the next document).
 
-    One row per distinct pair of doc_id and text; rows that repeat an id stand in the order of a hash of their text. Null ids come
-    first. A single document is its own next one; an empty table gives an empty table.
+    One row per row of ``docs``; those that repeat an id stand in the order of a hash of their text, those that repeat both stand there as
+    one. Null ids come first. Texts are whole, however long. A single document is its own next one; an empty table gives an empty table.
     """
     body = text_of(docs)
-    ids = keyed_rows(docs, F.col("doc_id"), F.length(body).cast("long").alias("n")).dropDuplicates(["id0", "h"])
+    ids = keyed_rows(docs, F.col("doc_id"), F.length(body).cast("long").alias("n")).groupBy("id0", "h").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("times"))
     ring = materialize(with_neighbours(ids), "ring")
     texts = keyed_rows(docs, body.alias("text"))
     heads = texts.join(ring.select("id0", "h", "prev"), ["id0", "h"])
     heads = heads.select(F.col("prev.id0").alias("id0"), F.col("prev.h").alias("h"), F.substring("text", F.lit(1), F.floor(F.col("prev.n") / 4).cast("int")).alias("head"))
-    both = texts.join(ring.select("id0", "h", "doc_id", "n", "next"), ["id0", "h"]).join(heads, ["id0", "h"])
+    both = texts.join(ring.select("id0", "h", "doc_id", "n", "times", "next"), ["id0", "h"]).join(heads, ["id0", "h"])
     own = F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int"))
-    both = both.select("id0", "h", "doc_id", "n", F.col("next.id0").alias("next0"), F.col("next.h").alias("nexth"), "text", F.concat(own, "head").alias("edited"))
+    both = both.select("id0", "h", "doc_id", "n", "times", F.col("next.id0").alias("next0"), F.col("next.h").alias("nexth"), "text", F.concat(own, "head").alias("edited"))
     both = both.withColumn("sha", F.sha2("edited", 256))
-    keys = ["id0", "h", "doc_id", "n", "next0", "nexth", "sha", "part"]
+    keys = ["id0", "h", "doc_id", "n", "times", "next0", "nexth", "sha", "part"]
     parts = both.select(*keys[:-1], F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("text").alias("t")), F.struct(F.lit(1).alias("part"), F.col("edited").alias("t")))).alias("p"))
     # a text without words still has one empty term, of no weight, so that its row stays
     words = F.when(F.btrim("p.t", F.lit(" \t\n\x0b\x0c\r")) == "", F.array(F.lit(""))).otherwise(words_of(F.col("p.t")))
@@ -149,7 +149,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     wide = votes.groupBy(*keys[:-1]).agg(*[F.max(F.when(F.col("part") == p, F.col(f))).alias(name) for p, f, name in ((0, "f1", "f1"), (0, "f2", "f2"), (1, "f1", "e1"), (1, "f2", "e2"))])
     prints = materialize(wide, "fingerprints")
     following = prints.select(F.col("id0").alias("next0"), F.col("h").alias("nexth"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    return prints.join(following, ["next0", "nexth"])
+    return prints.join(following, ["next0", "nexth"]).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("time", "times")
 
 
 def op3_simhash(spark, sf_dir):
