@@ -54,17 +54,17 @@ def _regions(t: a.Tables) -> DataFrame:
 
 @query(_blast_sql("SELECT 'region:0' AS origin", 3, 1000, "SELECT * FROM blast"))
 def blast_radius_region(t):
-    return graph.blast_radius(a.edges(t), a.origins(t, "region:0"), 3, 1000)
+    return graph.blast_radius(a.edges(t, repeats=True), a.origins(t, "region:0"), 3, 1000)
 
 
 @query(_blast_sql("SELECT 'region:0' AS origin", 3, 100, "SELECT * FROM blast"))
 def blast_radius_top100(t):
-    return graph.blast_radius(a.edges(t), a.origins(t, "region:0"), 3, 100)
+    return graph.blast_radius(a.edges(t, repeats=True), a.origins(t, "region:0"), 3, 100)
 
 
 @query(_blast_sql("SELECT 'supplier:0' AS origin", 2, 1000, "SELECT * FROM blast"))
 def blast_radius_cycles(t):
-    return graph.blast_radius(a.edges(t), a.origins(t, "supplier:0"), 2, 1000)
+    return graph.blast_radius(a.edges(t, repeats=True), a.origins(t, "supplier:0"), 2, 1000)
 
 
 _SUMMARY = "SELECT origin, count(DISTINCT entity) FILTER (category = 'DIRECT') AS direct, count(DISTINCT entity) FILTER (category = 'INDIRECT') AS indirect, count(DISTINCT entity) AS affected, max(severity) AS max_severity FROM blast GROUP BY origin"
@@ -77,7 +77,7 @@ def blast_radius_summary(t):
 
 @query(_blast_sql(_ALL_REGIONS, 2, 500, "SELECT * FROM blast"))
 def blast_radius_multi_target(t):
-    return graph.blast_radius(a.edges(t), _regions(t), 2, 500)
+    return graph.blast_radius(a.edges(t, repeats=True), _regions(t), 2, 500)
 
 
 @query(_blast_sql(_ALL_REGIONS, 2, 500, "SELECT count(*) FILTER (category = 'DIRECT') AS direct, count(*) FILTER (category = 'INDIRECT') AS indirect, count(DISTINCT entity) AS affected FROM blast"))
@@ -88,7 +88,7 @@ def blast_radius_merged_summary(t):
 @query(_blast_sql("SELECT 'supplier:' || s_suppkey AS origin FROM supplier", 1, 1000, "SELECT entity, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins, count(DISTINCT origin)::INT AS n_origins FROM blast GROUP BY entity HAVING count(DISTINCT origin) >= 2"))
 def convergence(t):
     starts = t.supplier.select(a.node("supplier", "s_suppkey").alias("origin"))
-    return graph.convergence(graph.blast_radius(a.edges(t), starts, 1, 1000))
+    return graph.convergence(graph.blast_radius(a.edges(t, repeats=True), starts, 1, 1000))
 
 
 @query(f"WITH {a.TRANSITIONS_SQL}, {_grown(chr(39).join(['SELECT ', 'event:click', ' AS origin']), 5)} SELECT origin, array_to_string(nodes, '>') AS path, hops::INT AS hops FROM found")
@@ -98,7 +98,7 @@ def downstream_paths_events(t):
 
 @query(f"WITH {a.EDGES_SQL}, {_grown(chr(39).join(['SELECT ', 'region:0', ' AS origin']), 3)} SELECT origin, hops::INT AS hops, array_to_string(nodes, '>') AS path FROM found WHERE nodes[-1] = 'part:1' ORDER BY hops, nodes LIMIT 1")
 def canonical_path(t):
-    return graph.canonical_path(a.edges(t), a.origins(t, "region:0"), "part:1", 3)
+    return graph.canonical_path(a.edges(t, repeats=True), a.origins(t, "region:0"), "part:1", 3)
 
 
 _REACH = "r0 AS (SELECT {o} AS node, 0 AS hop), r1 AS (SELECT DISTINCT target AS node, 1 AS hop FROM {e} e JOIN r0 ON e.source = r0.node), r2 AS (SELECT DISTINCT target AS node, 2 AS hop FROM {e} e JOIN r1 ON e.source = r1.node), r3 AS (SELECT DISTINCT target AS node, 3 AS hop FROM {e} e JOIN r2 ON e.source = r2.node), seen AS (SELECT node, min(hop)::INT AS hop FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) GROUP BY node)"
@@ -106,12 +106,12 @@ _REACH = "r0 AS (SELECT {o} AS node, 0 AS hop), r1 AS (SELECT DISTINCT target AS
 
 @query(f"WITH {a.EDGES_SQL}, {_REACH.format(o=repr('region:1'), e='edges')} SELECT node, hop FROM seen")
 def reachable_set(t):
-    return graph.reachable(a.edges(t), a.origins(t, "region:1"), 3)
+    return graph.reachable(a.edges(t, repeats=True), a.origins(t, "region:1"), 3)
 
 
 @query(f"WITH {a.EDGES_SQL}, back AS (SELECT target AS source, source AS target FROM edges), {_REACH.format(o=repr('part:1'), e='back')} SELECT node, hop FROM seen")
 def reverse_chain(t):
-    return graph.reachable(graph.reversed_edges(a.edges(t)), a.origins(t, "part:1"), 3)
+    return graph.reachable(graph.reversed_edges(a.edges(t, repeats=True)), a.origins(t, "part:1"), 3)
 
 
 @query(f"WITH {a.EDGES_SQL}, {_REACH.format(o=repr('region:1'), e='edges')} SELECT hop, count(*) AS n_nodes, min(node) AS first_node FROM seen GROUP BY hop")
@@ -208,12 +208,12 @@ def pick_contract_file(t):
     return snapshots.pick_first(a.files(t, True), "openapi.yaml")
 
 
-@query("WITH e AS (SELECT event_id, event_id // 6000 AS archive, event_id % 6000 AS ordinal, CASE event_id % 97 WHEN 0 THEN '../x' WHEN 1 THEN '/abs' WHEN 2 THEN 'C:\\x' ELSE 'ok/f' || event_id END AS name, event_id % 19 = 0 AS link, CASE WHEN event_id % 211 = 0 THEN 21000000 WHEN event_id % 101 = 0 THEN 1500000 ELSE (event_id * 997) % 40000 END AS fs, (event_id * 31) % 50000 AS cs FROM events), s AS (SELECT *, sum(fs) OVER (PARTITION BY archive ORDER BY ordinal) AS total FROM e) SELECT archive, ordinal, total::BIGINT AS total, CASE WHEN name LIKE '../%' OR name LIKE '/%' OR name LIKE 'C:%' THEN 'UNSAFE_PATH' WHEN link THEN 'SYMLINK' WHEN ordinal >= 5000 THEN 'TOO_MANY' WHEN fs > 20971520 THEN 'TOO_LARGE' WHEN fs > 1048576 AND fs > 200.0 * greatest(cs, 1) THEN 'BOMB' WHEN total > 157286400 THEN 'TOTAL' ELSE 'OK' END AS verdict FROM s")
+@query("WITH e AS (SELECT event_id, event_id // 6000 AS archive, event_id % 6000 AS ordinal, CASE event_id % 97 WHEN 0 THEN '../x' WHEN 1 THEN '/abs' WHEN 2 THEN 'C:\\x' ELSE 'ok/f' || event_id END AS name, event_id % 19 = 0 AS link, event_id % 23 = 0 AS dir, CASE WHEN event_id % 211 = 0 THEN 21000000 WHEN event_id % 101 = 0 THEN 1500000 WHEN event_id % 103 = 0 THEN 1048576 ELSE (event_id * 997) % 40000 END AS fs, CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 103 = 0 THEN 5000 ELSE (event_id * 31) % 50000 END AS cs FROM events), s AS (SELECT *, sum(CASE WHEN dir THEN 0 ELSE fs END) OVER (PARTITION BY archive ORDER BY ordinal) AS total FROM e) SELECT archive, ordinal, total::BIGINT AS total, CASE WHEN name LIKE '../%' OR name LIKE '/%' OR name LIKE 'C:%' THEN 'UNSAFE_PATH' WHEN dir THEN CASE WHEN ordinal >= 5000 THEN 'TOO_MANY' ELSE 'OK' END WHEN link THEN 'SYMLINK' WHEN ordinal >= 5000 THEN 'TOO_MANY' WHEN fs > 20971520 THEN 'TOO_LARGE' WHEN fs >= 1048576 AND cs > 0 AND fs > 200.0 * cs THEN 'BOMB' WHEN total > 157286400 THEN 'TOTAL' ELSE 'OK' END AS verdict FROM s")
 def archive_plan(t):
     key = F.col("event_id")
     name = F.when(key % 97 == 0, "../x").when(key % 97 == 1, "/abs").when(key % 97 == 2, "C:\\x").otherwise(F.concat(F.lit("ok/f"), key.cast("string")))
-    size = F.when(key % 211 == 0, 21000000).when(key % 101 == 0, 1500000).otherwise((key * 997) % 40000).cast("long")
-    listing = t.events.select(F.floor(key / 6000).alias("archive"), (key % 6000).alias("ordinal"), name.alias("name"), F.lit(False).alias("is_dir"), (key % 19 == 0).alias("is_symlink"), size.alias("file_size"), ((key * 31) % 50000).alias("compress_size"))
+    size = F.when(key % 211 == 0, 21000000).when(key % 101 == 0, 1500000).when(key % 103 == 0, 1048576).otherwise((key * 997) % 40000).cast("long")
+    listing = t.events.select(F.floor(key / 6000).alias("archive"), (key % 6000).alias("ordinal"), name.alias("name"), (key % 23 == 0).alias("is_dir"), (key % 19 == 0).alias("is_symlink"), size.alias("file_size"), F.when(key % 3 == 0, 0).when(key % 103 == 0, 5000).otherwise((key * 31) % 50000).alias("compress_size"))
     return snapshots.archive_plan(listing).select("archive", "ordinal", "total", "verdict")
 
 
@@ -232,6 +232,20 @@ def schema_evolution(t):
     return schema.evolve(a.columns(t, False), schema.changes(a.migration(t)))
 
 
+@query(f"""WITH RECURSIVE {a.COLUMNS_SQL}, {a.SEQUENCES_SQL},
+cols AS (SELECT "table", "column" FROM old_columns UNION SELECT "table", object_name FROM seq WHERE kind = 'ADD_COLUMN'),
+ev AS (SELECT c."table", c."column", s.kind, s.after, row_number() OVER (PARTITION BY c."table", c."column" ORDER BY s.ordinal) AS i FROM cols c JOIN seq s ON s."table" = c."table" AND (s.object_name = c."column" OR s.kind IN ('DROP_TABLE', 'ADD_TABLE'))),
+fold AS (SELECT c."table", c."column", 0::BIGINT AS i, EXISTS (SELECT 1 FROM old_columns x WHERE x."table" = c."table") AS tbl, o.data_type IS NOT NULL AS there, o.data_type, o.nullable FROM cols c LEFT JOIN old_columns o ON o."table" = c."table" AND o."column" = c."column"
+  UNION ALL SELECT f."table", f."column", e.i, CASE e.kind WHEN 'DROP_TABLE' THEN false WHEN 'ADD_TABLE' THEN true ELSE f.tbl END,
+    CASE WHEN e.kind IN ('DROP_TABLE', 'DROP_COLUMN') THEN false WHEN e.kind = 'ADD_COLUMN' THEN f.tbl ELSE f.there END,
+    CASE WHEN e.kind IN ('ADD_COLUMN', 'ALTER_COLUMN_TYPE') THEN e.after ELSE f.data_type END,
+    CASE WHEN e.kind = 'ADD_COLUMN' THEN true WHEN e.kind = 'ALTER_NULLABILITY' THEN false ELSE f.nullable END
+  FROM fold f JOIN ev e ON e."table" = f."table" AND e."column" = f."column" AND e.i = f.i + 1)
+SELECT "table", "column", data_type, nullable FROM fold QUALIFY row_number() OVER (PARTITION BY "table", "column" ORDER BY i DESC) = 1 AND tbl AND there""")
+def schema_evolution_sequence(t):
+    return schema.evolve(a.columns(t, False), a.change_sequences(t))
+
+
 @query(f"WITH {a.MIGRATION_SQL} SELECT \"table\", ordinal, kind FROM (SELECT *, row_number() OVER (PARTITION BY \"table\" ORDER BY CASE category WHEN 'DESTRUCTIVE' THEN 5 WHEN 'DATA_DEPENDENT' THEN 4 WHEN 'ADDITIVE' THEN 2 WHEN 'UNSUPPORTED' THEN 1 ELSE 0 END DESC, CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END DESC, ordinal) AS r FROM changes) WHERE r = 1")
 def primary_change(t):
     return schema.primary(schema.changes(a.migration(t)), ["table"]).select("table", "ordinal", "kind")
@@ -265,7 +279,7 @@ def endpoint_diff(t):
     return contract.endpoints(a.operations(t, False), a.operations(t, True))
 
 
-@query(f"WITH {a.OPERATIONS_SQL} SELECT o.path, o.method, 'API-SECURITY-REQUIRED' AS rule_id, 'security' AS location, 'CAUTION' AS compatibility FROM old_ops o JOIN new_ops n ON o.key = n.key WHERE o.key % 5 = 0")
+@query(f"WITH {a.OPERATIONS_SQL} SELECT o.path, o.method, 'API-SECURITY-REQUIRED' AS rule_id, 'security' AS location, 'CAUTION' AS compatibility FROM old_ops o JOIN new_ops n ON o.key = n.key WHERE len(o.scopes) = 0 AND len(n.scopes_new) > 0")
 def security_diff(t):
     return contract.security(a.operations(t, False), a.operations(t, True))
 
@@ -296,7 +310,7 @@ def response_diff(t):
 @query(f"""WITH {a.NODES_SQL}, r AS (
 SELECT *, 'API-PROPERTY-REMOVED' AS rule_id, CASE WHEN direction = 'RESPONSE' THEN 'BREAKING' ELSE 'CAUTION' END AS compatibility FROM joined WHERE nt IS NULL
 UNION ALL SELECT *, 'API-REQUIRED-ADDED', 'BREAKING' FROM joined WHERE ot IS NULL AND nreq
-UNION ALL SELECT *, 'API-REQUIRED-ADDED', 'BREAKING' FROM joined WHERE ot IS NOT NULL AND nt IS NOT NULL AND nreq AND NOT oreq
+UNION ALL SELECT j.* REPLACE ('required.' || location AS location), 'API-REQUIRED-ADDED', 'BREAKING' FROM joined j WHERE nreq AND NOT coalesce(oreq, false) AND EXISTS (SELECT 1 FROM old_nodes o WHERE o.path = j.path AND o.method = j.method AND o.direction = j.direction AND o.required)
 UNION ALL SELECT *, 'API-TYPE-NARROWED', 'BREAKING' FROM joined WHERE ot <> nt
 UNION ALL SELECT *, 'API-ENUM-VALUE-REMOVED', 'BREAKING' FROM joined WHERE ov > 0 AND nv > 0 AND ov > nv
 UNION ALL SELECT *, 'API-ENUM-CONSTRAINT-ADDED', 'BREAKING' FROM joined WHERE ov = 0 AND nv > 0)
@@ -305,6 +319,16 @@ def schema_node_diff(t):
     return contract.schema_nodes(a.nodes(t, False), a.nodes(t, True))
 
 
+@query(f"""WITH RECURSIVE {a.TREES_SQL}, r AS (
+SELECT *, 'API-PROPERTY-REMOVED' AS rule_id, CASE WHEN direction = 'RESPONSE' THEN 'BREAKING' ELSE 'CAUTION' END AS compatibility, names AS spot FROM walk WHERE nt IS NULL AND names[-1] <> '[]'
+UNION ALL SELECT *, 'API-REQUIRED-ADDED', 'BREAKING', names FROM walk WHERE ot IS NULL AND nreq AND names[-1] <> '[]'
+UNION ALL SELECT *, 'API-REQUIRED-ADDED', 'BREAKING', list_concat(names[:-2], ['required', names[-1]]) FROM walk w WHERE nreq AND NOT coalesce(oreq, false) AND EXISTS (SELECT 1 FROM old_t o WHERE o.path = w.path AND o.direction = w.direction AND len(o.names) = len(w.names) AND o.names[:-2] = w.names[:-2] AND o.required)
+UNION ALL SELECT *, 'API-TYPE-NARROWED', 'BREAKING', names FROM walk WHERE ot <> nt)
+SELECT path, method, rule_id, direction || '.' || array_to_string(spot, '.') AS location, compatibility FROM r""")
+def schema_tree_diff(t):
+    return contract.schema_nodes(a.trees(t, False), a.trees(t, True))
+
+
 _RB = f"""WITH {a.COLUMNS_SQL}, {a.DEPENDENCIES_SQL}, j AS (SELECT dependency, o.data_type AS ot, o.nullable AS oin, n.data_type AS nt, n.nullable AS nin FROM deps LEFT JOIN old_columns o ON dependency = o."table" || '.' || o."column" LEFT JOIN new_columns n ON dependency = n."table" || '.' || n."column"),
 rb AS (SELECT dependency, CASE WHEN ot IS NOT NULL AND nt IS NULL THEN 'RB-SCHEMA-REMOVED-OLD-DEPENDENCY' WHEN ot <> nt THEN 'RB-SCHEMA-TYPE-CHANGED' WHEN ot IS NOT NULL AND oin AND NOT nin THEN 'RB-SCHEMA-NOT-NULL-OLD-DEPENDENCY' END AS rule_id FROM j),
 out AS (SELECT dependency, rule_id, CASE WHEN rule_id LIKE '%REMOVED%' THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity, CASE WHEN rule_id LIKE '%REMOVED%' THEN 'UNSAFE' ELSE 'CAUTION' END AS status FROM rb WHERE rule_id IS NOT NULL)"""
@@ -320,6 +344,27 @@ def rollback_status(t):
     return rollback.status(rollback_schema(t))
 
 
+@query(f"""WITH {a.COLUMNS_SQL}, o AS (SELECT DISTINCT "table" FROM old_columns), n AS (SELECT DISTINCT "table" FROM new_columns WHERE "table" NOT IN ('t3', 't7'))
+SELECT "table" AS dependency, 'RB-SCHEMA-REMOVED-OLD-DEPENDENCY' AS rule_id, 'CRITICAL' AS severity, 'UNSAFE' AS status FROM o WHERE "table" NOT IN (SELECT "table" FROM n)""")
+def rollback_table_dependencies(t):
+    tables = a.columns(t, False).select(F.col("table").alias("dependency")).distinct()
+    return rollback.schema_dependencies(tables, a.columns(t, False), a.columns(t, True).filter(~F.col("table").isin("t3", "t7")))
+
+
+@query("""WITH r AS (SELECT c_custkey AS request, c_custkey % 2 = 0 AS app, c_custkey % 3 <> 0 AS win, c_custkey % 5 <> 0 AS os, c_custkey % 7 <> 0 AS ns, c_custkey % 4 <> 0 AS oa, c_custkey % 9 <> 0 AS na, c_custkey % 6 = 0 AS dyn FROM customer)
+SELECT request, dependency, rule_id, 'MEDIUM' AS severity, 'UNKNOWN' AS status FROM (
+SELECT request, 'old_application' AS dependency, 'RB-MISSING-OLD-APPLICATION' AS rule_id FROM r WHERE NOT app
+UNION ALL SELECT request, 'deployment_context', 'RB-ROLLBACK-WINDOW-UNKNOWN' FROM r WHERE NOT win
+UNION ALL SELECT request, 'old_schema/new_schema', 'RB-MISSING-SCHEMA-SNAPSHOT' FROM r WHERE NOT (os AND ns)
+UNION ALL SELECT request, 'old_api/new_api', 'RB-MISSING-API-SNAPSHOT' FROM r WHERE NOT (oa AND na)
+UNION ALL SELECT request, 'old_application.dynamic_dependencies', 'RB-DYNAMIC-DEPENDENCY' FROM r WHERE app AND dyn)""")
+def rollback_missing_evidence(t):
+    key = F.col("c_custkey")
+    flags = {"old_application": key % 2 == 0, "deployment_context": key % 3 != 0, "old_schema": key % 5 != 0, "new_schema": key % 7 != 0, "old_api": key % 4 != 0, "new_api": key % 9 != 0}
+    names = F.when(key % 6 == 0, F.array(F.lit("getattr"))).otherwise(F.array().cast("array<string>"))
+    return rollback.missing_evidence(t.customer.select(key.alias("request"), *[f.alias(n) for n, f in flags.items()], names.alias("dynamic_dependencies")), "request")
+
+
 @query(f"WITH {a.OPERATIONS_SQL} SELECT method || ' ' || path AS dependency, 'RB-API-ENDPOINT-REMOVED' AS rule_id, 'CRITICAL' AS severity, 'UNSAFE' AS status FROM old_ops WHERE key % 2 = 1 AND key NOT IN (SELECT key FROM new_ops)")
 def rollback_api(t):
     return rollback.api_dependencies(a.operations(t, False).filter("key % 2 = 1").select("path", "method"), a.operations(t, False), a.operations(t, True))
@@ -335,7 +380,7 @@ def expand_contract(t):
     return rollback.expand_contract(schema.changes(a.migration(t)), a.dependencies(t))
 
 
-@query(_RB + ", src AS (SELECT CASE WHEN p_partkey = 5 THEN '' ELSE 't' || (p_partkey % 50) || '.c' || p_partkey END AS entity, p_brand || '.py' AS source_file, p_size AS line FROM part) SELECT dependency, rule_id, source_file, line FROM out JOIN src ON entity = dependency OR entity = ''")
+@query(_RB + ", src AS (SELECT CASE WHEN p_partkey = 5 THEN '' ELSE 't' || (p_partkey % 50) || '.c' || p_partkey END AS entity, p_brand || '.py' AS source_file, p_size AS line FROM part) SELECT dependency, rule_id, source_file, line FROM out JOIN src ON entity = dependency UNION ALL SELECT NULL, NULL, source_file, line FROM src WHERE entity = ''")
 def provenance_lookup(t):
     key = F.col("p_partkey")
     sources = t.part.select(F.when(key == 5, "").otherwise(F.concat(F.lit("t"), (key % 50).cast("string"), F.lit(".c"), key.cast("string"))).alias("entity"), F.concat("p_brand", F.lit(".py")).alias("source_file"), F.col("p_size").alias("line"))
@@ -414,9 +459,9 @@ def api_class_name(t):
 _ROUTE = "WITH r AS (SELECT page_id, coalesce(" + _SERVICE + ", '') AS service, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '[0-9]+', '{id}', 'g'), '^https?://[^/]*', ''), '/+$', '') AS x FROM pages), routes AS (SELECT page_id, service, CASE WHEN x = '' THEN '/' ELSE x END AS route FROM r)"
 
 
-@query(_ROUTE + " SELECT page_id, service, route FROM routes WHERE page_id % 2 = 0")
+@query(_ROUTE + " SELECT page_id, service, route FROM routes")
 def route_normalize(t):
-    return a.calls(t)[0]
+    return a.routes(t)
 
 
 @query(_ROUTE + ", providers AS (SELECT DISTINCT service, route FROM routes WHERE page_id % 2 = 1) SELECT page_id, count(p.service) AS n_providers, CASE WHEN count(p.service) = 1 THEN 'MATCHED' WHEN count(p.service) = 0 THEN 'UNRESOLVED' ELSE 'AMBIGUOUS' END AS state FROM routes c LEFT JOIN providers p ON c.route = p.route WHERE c.page_id % 2 = 0 GROUP BY page_id")
@@ -465,7 +510,7 @@ def impact_score(t):
 
 @query(f"WITH {a.EDGES_SQL}, {_REACH.format(o="unnest(['supplier:0', 'supplier:1', 'customer:1'])", e='edges')} SELECT node, hop FROM seen")
 def graph_context(t):
-    return graph.reachable(a.edges(t), a.origins(t, "supplier:0", "supplier:1", "customer:1"), 3)
+    return graph.reachable(a.edges(t, repeats=True), a.origins(t, "supplier:0", "supplier:1", "customer:1"), 3)
 
 
 @query(f"WITH {a.FILES_SQL}, f AS (SELECT regexp_replace(path, '^docs/n([0-9]+)[.]md$', 'docs/n\\1/schema.sql') AS path FROM new_files WHERE NOT starts_with(path, 'node_modules/')), s AS (SELECT min(path) AS schema_path FROM f WHERE path LIKE '%/schema.sql') SELECT schema_path, (SELECT max(path) FROM f WHERE path LIKE '%/migration/%.sql') AS migration_path FROM s")

@@ -76,7 +76,7 @@ def service_of(url: Column) -> Column:
 def class_name(service: Column) -> Column:
     """Words of a host joined with capitals; known acronyms in capitals throughout."""
     words = F.filter(F.split(F.trim(service), r"[-_.\s]+"), lambda w: w != "")
-    cased = F.transform(words, lambda w: F.when(F.lower(w).isin(*ACRONYMS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10000)))))
+    cased = F.transform(words, lambda w: F.when(F.lower(w).isin(*ACRONYMS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))))
     return F.when(F.size(words) > 0, F.array_join(cased, ""))
 
 

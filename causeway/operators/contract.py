@@ -40,29 +40,47 @@ def responses(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def security(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Operations (path, method, security array) that ask for more than before."""
+    """Operations (path, method, security array) that ask for a scheme now and asked for none before."""
     both = old.select("path", "method", F.col("security").alias("o")).join(new.select("path", "method", F.col("security").alias("n")), ["path", "method"])
-    return _rule(both.filter(F.size(F.array_except("n", "o")) > 0), "API-SECURITY-REQUIRED", "CAUTION", F.lit("security"))
+    return _rule(both.filter((F.size("n") > 0) & (F.coalesce(F.size("o"), F.lit(0)) <= 0)), "API-SECURITY-REQUIRED", "CAUTION", F.lit("security"))
 
 
 def schema_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Nodes (path, method, direction, location, type, required, enum) of flattened schemas: types, values and properties."""
+    """Nodes (path, method, direction, location, type, required, enum) of flattened schemas: types, values and properties.
+
+    A location is the names down to the node, joined by dots; ``[]`` stands for the items of an array, and the whole schema has the empty
+    location. Of a subtree that went or came, the top alone is told; items that went or came say nothing. A property that became
+    required counts where its object had required ones before.
+    """
     key = ["path", "method", "direction", "location"]
     both = old.select(*key, F.struct("type", "required", "enum").alias("o")).join(new.select(*key, F.struct("type", "required", "enum").alias("n")), key, "full_outer")
-    kept = F.col("o").isNotNull() & F.col("n").isNotNull()
-    at = F.concat_ws(".", "direction", "location")
+    name = F.substring_index("location", ".", -1)
+    both = both.withColumn("name", name).withColumn("parent", F.when(F.col("location") != "", F.regexp_extract("location", r"^(.*)\.", 1)))
+    up = [*key[:3], "parent"]
+    lone = both.filter("o IS NULL OR n IS NULL")
+    below = lone.select(*key[:3], F.col("location").alias("parent"), F.lit(True).alias("inside"))
+    # the node above is there on both sides, or is the schema itself
+    tops = lone.join(below.filter("parent <> ''"), up, "left").filter("inside IS NULL AND name <> '[]'")
+    kept = both.filter("o IS NOT NULL AND n IS NOT NULL")
+    held = both.filter("o.required").select(*up).distinct()
+    at = F.when(F.col("location") == "", F.col("direction")).otherwise(F.concat_ws(".", "direction", "location"))
     new_values = F.size(F.coalesce("n.enum", F.array().cast("array<string>"))) > 0
     old_values = F.size(F.coalesce("o.enum", F.array().cast("array<string>"))) > 0
     removed = F.when(F.col("direction") == "RESPONSE", "BREAKING").otherwise("CAUTION")
-    rules = [
-        (F.col("n").isNull(), "API-PROPERTY-REMOVED", removed),
-        (F.col("o").isNull() & F.col("n.required"), "API-REQUIRED-ADDED", "BREAKING"),
-        (kept & F.col("n.required") & ~F.col("o.required"), "API-REQUIRED-ADDED", "BREAKING"),
-        (kept & (F.col("o.type") != F.col("n.type")), "API-TYPE-NARROWED", "BREAKING"),
-        (kept & new_values & old_values & (F.size(F.array_except("o.enum", "n.enum")) > 0), "API-ENUM-VALUE-REMOVED", "BREAKING"),
-        (kept & new_values & ~old_values, "API-ENUM-CONSTRAINT-ADDED", "BREAKING"),
-    ]
-    return reduce(DataFrame.unionByName, [_rule(both.filter(test), rule, status, at) for test, rule, status in rules])
+    named = F.when(F.col("parent") == "", F.concat_ws(".", "direction", F.lit("required"), "name")).otherwise(F.concat_ws(".", "direction", "parent", F.lit("required"), "name"))
+    newly = both.filter(F.col("n.required") & ~F.coalesce("o.required", F.lit(False))).join(held, up, "left_semi")
+    newly = newly.join(below.filter("parent <> ''"), up, "left_anti")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _rule(tops.filter(F.col("n").isNull() & ((F.col("location") != "") | (F.col("direction") == "RESPONSE"))), "API-PROPERTY-REMOVED", removed, at),
+            _rule(tops.filter(F.col("o").isNull() & F.col("n.required")), "API-REQUIRED-ADDED", "BREAKING", at),
+            _rule(newly, "API-REQUIRED-ADDED", "BREAKING", named),
+            _rule(kept.filter(F.col("o.type") != F.col("n.type")), "API-TYPE-NARROWED", "BREAKING", at),
+            _rule(kept.filter(new_values & old_values & (F.size(F.array_except("o.enum", "n.enum")) > 0)), "API-ENUM-VALUE-REMOVED", "BREAKING", at),
+            _rule(kept.filter(new_values & ~old_values), "API-ENUM-CONSTRAINT-ADDED", "BREAKING", at),
+        ],
+    )
 
 
 def status(changes: DataFrame) -> DataFrame:

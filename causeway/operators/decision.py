@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.storage import materialize
+
 # Worth of severities, weights of scores, multipliers of compound risks and their limit.
 SEVERITY = {"INFO": 0.0, "LOW": 0.25, "MEDIUM": 0.5, "HIGH": 0.75, "CRITICAL": 1.0}
 BLAST, DEPLOYMENT, ROLLBACK = 0.40, 0.35, 0.25
@@ -119,9 +121,24 @@ def from_rollback(found: DataFrame) -> DataFrame:
     return found.select(F.lit("ROLLBACK").alias("category"), "rule_id", "severity", F.col("dependency").alias("entity"), (F.col("status") == "UNSAFE").alias("blocking"))
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``rows`` with ``place`` (from 0) among those of their group ``by``, in ``order``.
+
+    Ranges of group and order are dealt to tasks, each numbers its part of a group, and the sizes of the parts before it (one row per part
+    and group) are added: a group of any size is no single task's.
+    """
+    parts = materialize(rows.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return parts.withColumn("__rank", inside).join(sizes, [F.col("__part") == F.col("__at"), *same]).select(*rows.columns, (F.col("__before") + F.col("__rank")).alias("place"))
+
+
 def positions(findings: DataFrame, by: list[str]) -> DataFrame:
     """``findings`` with their place (from 0) among those of their group, by finding_id."""
-    return findings.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("finding_id")) - 1)
+    return numbered(findings, by, [F.col("finding_id").asc()])
 
 
 def unknowns(findings: DataFrame) -> DataFrame:
@@ -131,9 +148,8 @@ def unknowns(findings: DataFrame) -> DataFrame:
 
 def from_blast(found: DataFrame) -> DataFrame:
     """Findings of ``graph.blast_radius`` with ids that number them, from 0, within their origin: worst, nearest and first by name first."""
-    order = Window.partitionBy("origin").orderBy(F.desc("severity"), "hops", "entity", F.split("path", ">"))
-    place = (F.row_number().over(order) - 1).cast("string")
-    return found.select("origin", F.concat(F.lit("blast:"), "entity", F.lit(":"), place).alias("finding_id"), F.lit("BLAST_RADIUS").alias("category"), F.col("level").alias("severity"), F.lit("BLAST-DOWNSTREAM-IMPACT").alias("rule_id"), "entity")
+    order = [F.desc("severity"), F.asc("hops"), F.asc("entity"), F.split("path", ">").asc()]
+    return numbered(found, ["origin"], order).select("origin", F.concat(F.lit("blast:"), "entity", F.lit(":"), F.col("place").cast("string")).alias("finding_id"), F.lit("BLAST_RADIUS").alias("category"), F.col("level").alias("severity"), F.lit("BLAST-DOWNSTREAM-IMPACT").alias("rule_id"), "entity")
 
 
 def capabilities(stats: DataFrame, by: list[str]) -> DataFrame:

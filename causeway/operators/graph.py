@@ -58,31 +58,35 @@ def kind_histogram(edges: DataFrame) -> DataFrame:
     return edges.groupBy("kind").agg(F.count("*").alias("n_edges"))
 
 
-def _steps(edges: DataFrame) -> DataFrame:
-    """The collapsed edges with their weights, written once for all hops."""
-    return materialize(collapse(edges).withColumn("w", weight(F.col("kind"))), "steps")
+def _grow(front: DataFrame, edges: DataFrame, hop: int) -> DataFrame:
+    """The paths of ``front``, each longer by an edge; written, so that the next hop's join is planned by their true size.
 
-
-def _grow(front: DataFrame, step: DataFrame, hop: int) -> DataFrame:
-    """The paths of ``front``, each longer by an edge; written, so that the next hop's join is planned by their true size."""
-    grown = front.join(step, F.element_at("nodes", -1) == step["source"]).filter(~F.array_contains("nodes", F.col("target")))
-    return materialize(grown.select("origin", F.array_append("nodes", F.col("target")).alias("nodes"), F.array_append("kinds", F.col("kind")).alias("kinds"), (F.col("product") * F.col("w")).alias("product"), F.lit(hop).alias("hops")), f"paths{hop}")
+    Parallel edges are collapsed (as by ``collapse``) only after they met the paths, so that the edge table itself is never dealt or
+    written as a whole when few paths grow.
+    """
+    near = front.join(edges.select("source", "target", "kind"), F.element_at("nodes", -1) == F.col("source")).filter(~F.array_contains("nodes", F.col("target")))
+    near = near.groupBy("origin", "nodes", "kinds", "product", "target").agg(F.max("kind").alias("kind"))
+    return materialize(near.select("origin", F.array_append("nodes", F.col("target")).alias("nodes"), F.array_append("kinds", F.col("kind")).alias("kinds"), (F.col("product") * weight(F.col("kind"))).alias("product"), F.lit(hop).alias("hops")), f"paths{hop}")
 
 
 def _start(origins: DataFrame) -> DataFrame:
     return origins.select("origin", F.array("origin").alias("nodes"), F.array().cast("array<string>").alias("kinds"), F.lit(1.0).alias("product"))
 
 
-def paths(edges: DataFrame, origins: DataFrame, max_hops: int | None) -> DataFrame:
+def paths(edges: DataFrame, origins: DataFrame, max_hops: int | None, enough: int | None = None) -> DataFrame:
     """All simple paths of 1 to ``max_hops`` edges from ``origins`` (origin): ``origin, nodes, kinds, product, hops``.
 
-    Without ``max_hops``, of any length, until no path grows: for small or acyclic graphs.
+    Without ``max_hops``, of any length, until no path grows: for small or acyclic graphs. Origins that have ``enough`` paths after a
+    hop go no further, since longer paths come after them.
     """
-    step, front, found, hop = _steps(edges), _start(origins), None, 0
+    front, found, hop = _start(origins), None, 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        front = _grow(front, step, hop)
+        front = _grow(front, edges, hop)
         found = front if found is None else found.unionByName(front)
+        if enough is not None and hop != max_hops:
+            full = found.groupBy("origin").agg(F.count("*").alias("n")).filter(F.col("n") >= enough)
+            front = front.join(full, "origin", "left_anti")
         if front.isEmpty():
             break
     return found
@@ -107,7 +111,7 @@ def findings(found: DataFrame) -> DataFrame:
 
 def blast_radius(edges: DataFrame, origins: DataFrame, max_hops: int = 3, max_paths: int = 100) -> DataFrame:
     """Findings of every origin: paths cut by length and nodes first, then scored."""
-    return findings(first_paths(paths(edges, origins, max_hops), max_paths))
+    return findings(first_paths(paths(edges, origins, max_hops, max_paths), max_paths))
 
 
 def impact_summary(found: DataFrame) -> DataFrame:
@@ -128,12 +132,11 @@ def convergence(found: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, origins: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``node, hop`` of every node that the origins reach, with the least number of hops; origins themselves have hop 0."""
-    step = materialize(edges.select("source", "target").distinct(), "steps")
     seen = front = materialize(origins.select(F.col("origin").alias("node"), F.lit(0).alias("hop")).distinct(), "front")
     hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        near = front.join(step, front["node"] == step["source"]).select(F.col("target").alias("node")).distinct()
+        near = front.join(edges.select("source", "target"), F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
         front = materialize(near.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hop")), f"front{hop}")
         if front.isEmpty():
             break
@@ -146,9 +149,26 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 
 def canonical_path(edges: DataFrame, origins: DataFrame, terminal: str, max_hops: int) -> DataFrame:
-    """The shortest path of each origin to ``terminal``, the first by nodes among equals."""
-    found = paths(edges, origins, max_hops).filter(F.element_at("nodes", -1) == terminal)
-    return first_paths(found, 1).select("origin", "hops", F.concat_ws(">", "nodes").alias("path"))
+    """The shortest path of each origin to ``terminal``, the first by nodes among equals.
+
+    Each step keeps one path per origin and node reached for the first time, the first by nodes: a shortest path's beginnings are shortest
+    paths themselves, so no other can become the first.
+    """
+    front = materialize(origins.select("origin", F.col("origin").alias("node"), F.array("origin").alias("nodes")).distinct(), "first0")
+    seen = front.select("origin", "node")
+    found = front.limit(0)
+    for hop in range(1, max_hops + 1):
+        grown = front.join(edges.select("source", "target"), front["node"] == F.col("source")).groupBy("origin", F.col("target").alias("node")).agg(F.min("nodes").alias("nodes"))
+        fresh = grown.join(seen, ["origin", "node"], "left_anti").select("origin", "node", F.array_append("nodes", F.col("node")).alias("nodes"))
+        fresh = materialize(fresh, f"first{hop}")
+        here = fresh.filter(F.col("node") == terminal)
+        found = found.unionByName(here)
+        # origins that arrived are done
+        front = fresh.join(here.select("origin"), "origin", "left_anti")
+        seen = seen.unionByName(fresh.select("origin", "node"))
+        if front.isEmpty():
+            break
+    return found.select("origin", (F.size("nodes") - 1).alias("hops"), F.concat_ws(">", "nodes").alias("path"))
 
 
 def correlate(entities: DataFrame, objects: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# How a literal reads columns.
 SELECT = r"(?i)^\s*SELECT\s+(.+?)\s+FROM\s+([A-Za-z_]\w*)"
 # What a statement must look like for each operation that names no columns.
 WHOLE = {"UPDATE": r"(?i)^\s*UPDATE\s+([A-Za-z_]\w*)\s+SET\s+.", "INSERT": r"(?i)^\s*INSERT\s+INTO\s+([A-Za-z_]\w*)", "DELETE": r"(?i)^\s*DELETE\s+FROM\s+([A-Za-z_]\w*)"}

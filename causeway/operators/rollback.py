@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def schema_dependencies(deps: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """Findings for ``deps`` (dependency = table.column) of the old version against both schemas."""
+    """Findings for ``deps`` (dependency = table.column, or a table alone) of the old version against both schemas."""
+
     def keyed(df: DataFrame, p: str) -> DataFrame:
-        return df.select(F.concat_ws(".", "table", "column").alias("dependency"), F.col("data_type").alias(f"{p}t"), F.col("nullable").alias(f"{p}n"))
+        # a dot follows the table, so that a table alone never meets a column
+        each = df.select(F.concat_ws(".", "table", "column").alias("dependency"), F.col("data_type").alias(f"{p}t"), F.col("nullable").alias(f"{p}n"), F.lit(True).alias(f"{p}has"))
+        whole = df.select(F.col("table").alias("dependency"), F.lit(None).cast("string").alias(f"{p}t"), F.lit(None).cast("boolean").alias(f"{p}n"), F.lit(True).alias(f"{p}has"))
+        return each.unionByName(whole.distinct())
 
     both = deps.join(keyed(old, "o"), "dependency", "left").join(keyed(new, "n"), "dependency", "left")
-    kept = F.col("ot").isNotNull() & F.col("nt").isNotNull()
-    rule = F.when(F.col("ot").isNotNull() & F.col("nt").isNull(), "RB-SCHEMA-REMOVED-OLD-DEPENDENCY").when(kept & (F.col("ot") != F.col("nt")), "RB-SCHEMA-TYPE-CHANGED").when(kept & F.col("on") & ~F.col("nn"), "RB-SCHEMA-NOT-NULL-OLD-DEPENDENCY")
+    kept = F.col("ohas") & F.col("nhas")
+    rule = F.when(F.col("ohas") & F.col("nhas").isNull(), "RB-SCHEMA-REMOVED-OLD-DEPENDENCY").when(kept & (F.col("ot") != F.col("nt")), "RB-SCHEMA-TYPE-CHANGED").when(kept & F.col("on") & ~F.col("nn"), "RB-SCHEMA-NOT-NULL-OLD-DEPENDENCY")
     out = both.withColumn("rule_id", rule).filter("rule_id IS NOT NULL")
     removed = F.col("rule_id") == "RB-SCHEMA-REMOVED-OLD-DEPENDENCY"
     return out.select("dependency", "rule_id", F.when(removed, "CRITICAL").otherwise("MEDIUM").alias("severity"), F.when(removed, "UNSAFE").otherwise("CAUTION").alias("status"))
 
 
+def missing_evidence(requests: DataFrame, *keep: str) -> DataFrame:
+    """UNKNOWN findings of requests (``keep``, old_application, deployment_context, old_schema, new_schema, old_api, new_api: whether each was
+    given; dynamic_dependencies: array): what was not given, and what can't be resolved without running. Null counts as not given."""
+    lacks = lambda *names: F.lit(False) if not names else ~reduce(lambda a, b: a & b, [F.coalesce(n, F.lit(False)) for n in names])
+    rules = [
+        (lacks("old_application"), "RB-MISSING-OLD-APPLICATION", "old_application"),
+        (lacks("deployment_context"), "RB-ROLLBACK-WINDOW-UNKNOWN", "deployment_context"),
+        (lacks("old_schema", "new_schema"), "RB-MISSING-SCHEMA-SNAPSHOT", "old_schema/new_schema"),
+        (lacks("old_api", "new_api"), "RB-MISSING-API-SNAPSHOT", "old_api/new_api"),
+        (~lacks("old_application") & (F.size("dynamic_dependencies") > 0), "RB-DYNAMIC-DEPENDENCY", "old_application.dynamic_dependencies"),
+    ]
+    found = F.filter(F.array(*[F.when(test, F.struct(F.lit(rule).alias("rule_id"), F.lit(what).alias("dependency"))) for test, rule, what in rules]), lambda x: x.isNotNull())
+    return requests.select(*keep, F.explode(found).alias("f")).select(*keep, "f.dependency", "f.rule_id", F.lit("MEDIUM").alias("severity"), F.lit("UNKNOWN").alias("status"))
+
+
 def api_dependencies(deps: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Findings for ``deps`` (method, path) of the old version: operations that the old contract has and the new one lacks."""
     key = ["path", "method"]
@@ -51,10 +72,11 @@ def forward_status(deps: DataFrame, missing: DataFrame) -> DataFrame:
 
 
 def provenance(findings: DataFrame, sources: DataFrame) -> DataFrame:
-    """Sources (entity, source_file, line) of each finding; those without an entity belong to all."""
+    """Sources (entity, source_file, line) of each finding. Those without an entity belong to all findings and come once, with a null
+    dependency and rule, instead of once for each."""
     own = findings.join(sources, findings["dependency"] == sources["entity"]).select("dependency", "rule_id", "source_file", "line")
-    general = sources.filter("coalesce(entity, '') = ''").select(F.array_sort(F.collect_list(F.struct("source_file", "line"))).alias("g"))
-    return own.unionByName(findings.join(general).select("dependency", "rule_id", F.explode("g").alias("s")).select("dependency", "rule_id", "s.source_file", "s.line"))
+    none = F.lit(None).cast("string")
+    return own.unionByName(sources.filter("coalesce(entity, '') = ''").select(none.alias("dependency"), none.alias("rule_id"), "source_file", "line"))
 
 
 def parse_dependency(value: Column) -> list[Column]:

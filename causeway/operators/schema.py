@@ -61,15 +61,32 @@ def changes(stmts: DataFrame) -> DataFrame:
 
 
 def evolve(columns: DataFrame, changed: DataFrame) -> DataFrame:
-    """Columns (table, column, data_type, nullable) after ``changed``, in the order of ordinal: the last change of a column counts."""
-    last = Window.partitionBy("table", "object_name").orderBy(F.desc("ordinal"))
-    final = changed.filter("object_name IS NOT NULL").withColumn("r", F.row_number().over(last)).filter("r = 1").select("table", F.col("object_name").alias("column"), "kind", "after")
-    gone = changed.filter("kind = 'DROP_TABLE'").select("table").distinct()
-    both = columns.join(final, ["table", "column"], "full_outer").filter("kind IS NULL OR kind <> 'DROP_COLUMN'")
-    kind = F.coalesce("kind", F.lit(""))
-    both = both.filter(F.col("data_type").isNotNull() | (kind == "ADD_COLUMN"))
-    out = both.select("table", "column", F.when(kind.isin("ADD_COLUMN", "ALTER_COLUMN_TYPE"), F.col("after")).otherwise(F.col("data_type")).alias("data_type"), F.when(kind == "ALTER_NULLABILITY", False).otherwise(F.coalesce("nullable", F.lit(True))).alias("nullable"))
-    return out.join(gone, "table", "left_anti")
+    """Columns (table, column, data_type, nullable) after ``changed`` (ordinal, kind, table, object_name, after), in the order of ordinal.
+
+    DROP_TABLE takes all columns, ADD_TABLE makes an empty table where there is none, and changes of a table or column that isn't there
+    do nothing. Nothing goes through the changes one by one: a table's last drop and what made it anew tell which changes count, and a
+    column's last ADD or DROP among these tells where its type and nullability start from.
+    """
+    tables = changed.filter(F.col("kind").isin("DROP_TABLE", "ADD_TABLE")).groupBy("table").agg(F.max(F.when(F.col("kind") == "DROP_TABLE", F.col("ordinal"))).alias("dropped"))
+    made = changed.filter("kind = 'ADD_TABLE'").select("table", F.col("ordinal").alias("made_at"))
+    made = made.join(tables, "table").filter("dropped IS NULL OR made_at > dropped").groupBy("table").agg(F.min("made_at").alias("made"))
+    tables = columns.select("table").distinct().withColumn("was", F.lit(True)).join(tables, "table", "full_outer").join(made, "table", "left")
+    stays = F.col("dropped").isNull() & F.coalesce("was", F.lit(False))
+    tables = tables.filter(stays | F.col("made").isNotNull()).select("table", stays.alias("stays"), F.when(~stays, F.col("made")).alias("since"))
+
+    at = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("ordinal")))
+    counted = changed.filter("object_name IS NOT NULL").join(tables, "table").filter("since IS NULL OR ordinal > since")
+    counted = counted.select("table", F.col("object_name").alias("column"), "ordinal", "kind", "after")
+    born = counted.groupBy("table", "column").agg(F.max_by("kind", F.when(F.col("kind").isin("ADD_COLUMN", "DROP_COLUMN"), F.col("ordinal"))).alias("last"), at("ADD_COLUMN", "DROP_COLUMN").alias("from"))
+    typed = counted.filter("after IS NOT NULL AND kind IN ('ADD_COLUMN', 'ALTER_COLUMN_TYPE')").join(born, ["table", "column"]).filter("from IS NULL OR ordinal >= from")
+    typed = typed.groupBy("table", "column").agg(F.max_by("after", "ordinal").alias("new_type"))
+    strict = counted.filter("kind = 'ALTER_NULLABILITY'").join(born, ["table", "column"]).filter("from IS NULL OR ordinal > from").select("table", "column", F.lit(True).alias("strict")).distinct()
+    old = columns.join(tables.filter("stays").select("table"), "table", "left_semi").select("table", "column", "data_type", "nullable", F.lit(True).alias("had"))
+    both = old.join(born, ["table", "column"], "full_outer").join(typed, ["table", "column"], "left").join(strict, ["table", "column"], "left")
+    added = F.coalesce(F.col("last") == "ADD_COLUMN", F.lit(False))
+    there = both.filter(added | (F.col("from").isNull() & F.col("had")))
+    kind = F.coalesce("new_type", F.when(added, "UNKNOWN").otherwise(F.col("data_type")))
+    return there.select("table", "column", kind.alias("data_type"), (F.coalesce("strict", F.lit(False)) == F.lit(False)).alias("open"), added.alias("added"), "nullable").select("table", "column", "data_type", (F.col("open") & (F.col("added") | F.coalesce("nullable", F.lit(True)))).alias("nullable"))
 
 
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -107,10 +107,14 @@ def unsafe(name: Column) -> Column:
 
 
 def archive_plan(entries: DataFrame, max_file: int = 20 * 2**20, max_total: int = 150 * 2**20, max_ratio: float = 200.0, ratio_from: int = 2**20, max_entries: int = 5000) -> DataFrame:
-    """Adds ``total`` (bytes so far) and ``verdict`` to listings (archive, ordinal, name, is_dir, is_symlink, file_size, compress_size)."""
+    """Adds ``total`` (bytes of files so far) and ``verdict`` to listings (archive, ordinal, name, is_dir, is_symlink, file_size, compress_size).
+
+    A folder needs a safe path only.
+    """
     from pyspark.sql import Window
 
-    total = F.sum("file_size").over(Window.partitionBy("archive").orderBy("ordinal"))
-    bomb = (F.col("file_size") > ratio_from) & (F.col("file_size") > max_ratio * F.greatest("compress_size", F.lit(1)))
-    verdict = F.when(unsafe(F.col("name")), "UNSAFE_PATH").when(F.col("is_symlink"), "SYMLINK").when(F.col("ordinal") >= max_entries, "TOO_MANY").when(F.col("file_size") > max_file, "TOO_LARGE").when(bomb, "BOMB").when(total > max_total, "TOTAL").otherwise("OK")
+    total = F.sum(F.when(F.col("is_dir"), 0).otherwise(F.col("file_size"))).over(Window.partitionBy("archive").orderBy("ordinal"))
+    bomb = (F.col("file_size") >= ratio_from) & (F.col("compress_size") > 0) & (F.col("file_size") > max_ratio * F.col("compress_size"))
+    count = F.col("ordinal") >= max_entries
+    verdict = F.when(unsafe(F.col("name")), "UNSAFE_PATH").when(F.col("is_dir"), F.when(count, "TOO_MANY").otherwise("OK")).when(F.col("is_symlink"), "SYMLINK").when(count, "TOO_MANY").when(F.col("file_size") > max_file, "TOO_LARGE").when(bomb, "BOMB").when(total > max_total, "TOTAL").otherwise("OK")
     return entries.withColumn("total", total).withColumn("verdict", verdict)

@@ -22,14 +22,13 @@ def node(kind: str, key: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
-def edges(t: Tables, parallel: bool = False) -> DataFrame:
-    """The release graph: regions, nations, customers, suppliers, orders and parts."""
+def edges(t: Tables, parallel: bool = False, repeats: bool = False) -> DataFrame:
+    """The release graph: regions, nations, customers, suppliers, orders and parts. With ``repeats``, an edge comes once per line item."""
 
     def edge(df: DataFrame, source: Column, target: Column, kind: str) -> DataFrame:
         return df.select(source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"))
 
-    supplied = t.lineitem.select("l_suppkey", "l_partkey").distinct()
-    ordered = t.lineitem.select("l_orderkey", "l_partkey").distinct()
+    supplied, ordered = (t.lineitem.select(*c) if repeats else t.lineitem.select(*c).distinct() for c in (("l_suppkey", "l_partkey"), ("l_orderkey", "l_partkey")))
     parts = [
         edge(t.nation, node("region", "n_regionkey"), node("nation", "n_nationkey"), "CONFIG_DEPENDENCY"),
         edge(t.supplier, node("nation", "s_nationkey"), node("supplier", "s_suppkey"), "HTTP_CALL"),
@@ -158,7 +157,7 @@ def operations(t: Tables, new: bool) -> DataFrame:
 
 
 OPERATIONS_SQL = """
-ops AS (SELECT c_custkey AS key, '/' || lower(c_mktsegment) || '/' || c_custkey AS path, ['GET', 'POST', 'PUT', 'DELETE'][c_custkey % 4 + 1] AS method FROM customer),
+ops AS (SELECT c_custkey AS key, '/' || lower(c_mktsegment) || '/' || c_custkey AS path, ['GET', 'POST', 'PUT', 'DELETE'][c_custkey % 4 + 1] AS method, CASE WHEN c_custkey % 3 = 0 THEN ['oauth'] ELSE [] END AS scopes, CASE WHEN c_custkey % 5 = 0 THEN ['oauth', 'mfa'] WHEN c_custkey % 3 = 0 THEN ['oauth'] ELSE [] END AS scopes_new FROM customer),
 old_ops AS (SELECT * FROM ops WHERE key % 10 <> 0), new_ops AS (SELECT * FROM ops WHERE key % 10 <> 1)"""
 
 
@@ -245,13 +244,18 @@ def dependencies(t: Tables) -> DataFrame:
 DEPENDENCIES_SQL = """deps AS (SELECT 't' || (p_partkey % 50) || '.c' || p_partkey AS dependency FROM part WHERE p_partkey % 3 = 0)"""
 
 
-def calls(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Consumers and providers of routes, from urls of pages with even and odd keys."""
+def routes(t: Tables) -> DataFrame:
+    """Service and normalised route of every page's url."""
     from causeway.functions import text
 
     url = F.col("url")
     path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "[0-9]+", "{n}")
-    rows = t.pages.select("page_id", F.coalesce(text.service_of(url), F.lit("")).alias("service"), text.route(path).alias("route"))
+    return t.pages.select("page_id", F.coalesce(text.service_of(url), F.lit("")).alias("service"), text.route(path).alias("route"))
+
+
+def calls(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Consumers and providers of routes: pages with even and odd keys."""
+    rows = routes(t)
     return rows.filter("page_id % 2 = 0"), rows.filter("page_id % 2 = 1").select("service", "route").distinct()
 
 
@@ -285,3 +289,59 @@ pairs AS (SELECT c.method, c.host, c.route, o.entity FROM calls c LEFT JOIN offe
   AND len(list_filter(range(1, len(a) + 1), lambda i: NOT (a[i] = b[i] OR regexp_matches(a[i], '^[{].*[}]$') OR regexp_matches(b[i], '^[{].*[}]$')))) = 0),
 found AS (SELECT method, host, route, count(DISTINCT entity) AS n, min(entity) AS one, count(DISTINCT entity) FILTER (entity NOT LIKE '%Client') AS m, min(entity) FILTER (entity NOT LIKE '%Client') AS other FROM pairs GROUP BY ALL),
 matched AS (SELECT method, host, route, CASE WHEN m > 0 THEN m ELSE n END AS n_candidates, coalesce(other, one) AS e FROM found)"""
+
+
+def change_sequences(t: Tables) -> DataFrame:
+    """Many changes per column and table, one per order, with tables dropped and made again, and some that never were."""
+    key = F.col("o_orderkey")
+    p = key % 211
+    kind = (key * 31 + F.floor(key / 211) * 17) % 9
+    rare = p % 13 == 0
+    name = F.when(kind == 6, F.when(rare & (F.floor(key / 211) % 5 == 0), "DROP_TABLE").otherwise("ALTER_NULLABILITY")).when(kind == 7, F.when(rare, "ADD_TABLE").otherwise("ADD_COLUMN"))
+    name = name.when(kind == 0, "ADD_COLUMN").when(kind == 3, "DROP_COLUMN").when(kind == 4, "UNSUPPORTED_SCHEMA_CHANGE").when(kind.isin(2, 5), "ALTER_COLUMN_TYPE").otherwise("ALTER_NULLABILITY")
+    table = F.concat(F.when(p % 17 == 0, "u").otherwise("t"), (p % 50).cast("string"))
+    out = t.orders.select(key.alias("ordinal"), name.alias("kind"), table.alias("table"), F.concat(F.lit("c"), p.cast("string")).alias("object_name"), F.concat(F.lit("T"), (key % 5).cast("string")).alias("after"))
+    of_table = F.col("kind").isin("DROP_TABLE", "ADD_TABLE", "UNSUPPORTED_SCHEMA_CHANGE")
+    return out.select("ordinal", "kind", "table", F.when(~of_table, F.col("object_name")).alias("object_name"), F.when(F.col("kind").isin("ADD_COLUMN", "ALTER_COLUMN_TYPE"), F.col("after")).alias("after"))
+
+
+SEQUENCES_SQL = """
+raw AS (SELECT o_orderkey AS ordinal, o_orderkey % 211 AS p, o_orderkey // 211 AS q, (o_orderkey * 31 + (o_orderkey // 211) * 17) % 9 AS k FROM orders),
+named AS (SELECT ordinal, p, CASE k WHEN 0 THEN 'ADD_COLUMN' WHEN 3 THEN 'DROP_COLUMN' WHEN 4 THEN 'UNSUPPORTED_SCHEMA_CHANGE' WHEN 2 THEN 'ALTER_COLUMN_TYPE' WHEN 5 THEN 'ALTER_COLUMN_TYPE'
+  WHEN 6 THEN CASE WHEN p % 13 = 0 AND q % 5 = 0 THEN 'DROP_TABLE' ELSE 'ALTER_NULLABILITY' END WHEN 7 THEN CASE WHEN p % 13 = 0 THEN 'ADD_TABLE' ELSE 'ADD_COLUMN' END ELSE 'ALTER_NULLABILITY' END AS kind FROM raw),
+seq AS (SELECT ordinal, kind, CASE WHEN p % 17 = 0 THEN 'u' ELSE 't' END || (p % 50) AS "table", CASE WHEN kind NOT IN ('DROP_TABLE', 'ADD_TABLE', 'UNSUPPORTED_SCHEMA_CHANGE') THEN 'c' || p END AS object_name, CASE WHEN kind IN ('ADD_COLUMN', 'ALTER_COLUMN_TYPE') THEN 'T' || (ordinal % 5) END AS after FROM named)"""
+
+
+def trees(t: Tables, new: bool) -> DataFrame:
+    """Nested schema nodes: an object per ten parts, a property per part, items and a property in them per property."""
+    key, group = F.col("p_partkey"), F.floor(F.col("p_partkey") / 10)
+    gone, hidden = (1, 3) if new else (0, 2)
+    none = F.array().cast("array<string>")
+    base = t.part.filter(group % 5 != gone).select(key.alias("k"), group.alias("g"))
+    place = [F.concat(F.lit("/t/"), (F.col("g") % 7).cast("string")).alias("path"), F.lit("POST").alias("method"), F.when(F.col("g") % 2 == 0, "RESPONSE").otherwise("REQUEST").alias("direction")]
+    top = F.concat(F.lit("g"), F.col("g").cast("string"))
+    leaf = F.concat(top, F.lit(".f"), F.col("k").cast("string"))
+    required = (F.col("k") % 3 == 0) | (F.lit(new) & (F.col("k") % 4 == 0))
+    tops = base.select("g").distinct().select(*place, top.alias("location"), F.lit("object").alias("type"), (F.col("g") % 3 == 0).alias("required"), none.alias("enum"))
+    held = base.filter(F.col("k") % 8 != hidden)
+    leaves = held.select(*place, leaf.alias("location"), F.lit("array").alias("type"), required.alias("required"), none.alias("enum"))
+    items = held.filter(F.col("k") % 9 != hidden)
+    arrays = items.select(*place, F.concat(leaf, F.lit(".[]")).alias("location"), F.lit("object").alias("type"), F.lit(False).alias("required"), none.alias("enum"))
+    inner = items.select(*place, F.concat(leaf, F.lit(".[].x")).alias("location"), F.lit("string").alias("type"), (F.lit(new) & (F.col("k") % 2 == 0)).alias("required"), none.alias("enum"))
+    return tops.unionByName(leaves).unionByName(arrays).unionByName(inner)
+
+
+def _trees_sql(name: str, gone: int, hidden: int, new: bool) -> str:
+    place = "'/t/' || (g % 7) AS path, 'POST' AS method, CASE WHEN g % 2 = 0 THEN 'RESPONSE' ELSE 'REQUEST' END AS direction"
+    base = f"(SELECT p_partkey AS k, p_partkey // 10 AS g FROM part WHERE (p_partkey // 10) % 5 <> {gone})"
+    return f"""{name} AS (SELECT DISTINCT {place}, ['g' || g] AS names, 'object' AS type, g % 3 = 0 AS required FROM {base}
+UNION ALL SELECT {place}, ['g' || g, 'f' || k], 'array', k % 3 = 0 OR ({new} AND k % 4 = 0) FROM {base} WHERE k % 8 <> {hidden}
+UNION ALL SELECT {place}, ['g' || g, 'f' || k, '[]'], 'object', false FROM {base} WHERE k % 8 <> {hidden} AND k % 9 <> {hidden}
+UNION ALL SELECT {place}, ['g' || g, 'f' || k, '[]', 'x'], 'string', {new} AND k % 2 = 0 FROM {base} WHERE k % 8 <> {hidden} AND k % 9 <> {hidden})"""
+
+
+#: Walks both schemas from the top: only nodes that stand on both sides are gone into.
+TREES_SQL = f"""{_trees_sql("old_t", 0, 2, False)}, {_trees_sql("new_t", 1, 3, True)},
+j AS (SELECT coalesce(o.path, n.path) AS path, coalesce(o.method, n.method) AS method, coalesce(o.direction, n.direction) AS direction, coalesce(o.names, n.names) AS names, o.type AS ot, n.type AS nt, o.required AS oreq, n.required AS nreq
+  FROM old_t o FULL JOIN new_t n ON o.path = n.path AND o.method = n.method AND o.direction = n.direction AND o.names = n.names),
+walk AS (SELECT *, 1 AS depth FROM j WHERE len(names) = 1 UNION ALL SELECT j.*, depth + 1 FROM walk w JOIN j ON j.path = w.path AND j.method = w.method AND j.direction = w.direction AND len(j.names) = depth + 1 AND j.names[:depth] = w.names WHERE w.ot IS NOT NULL AND w.nt IS NOT NULL)"""

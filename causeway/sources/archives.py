@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import stat
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,23 +14,24 @@ from pyspark.sql import functions as F
 
 from causeway.operators.snapshots import archive_plan
 
-#: Largest archive that is opened.
+#: Largest archive that is opened; a larger one is refused by name.
 MAX_ARCHIVE = 25 * 2**20
 LISTING = "archive string, ordinal long, name string, is_dir boolean, is_symlink boolean, file_size long, compress_size long"
 
 
 def _archives(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(root).filter(F.col("length") <= MAX_ARCHIVE).select(F.col("path").alias("archive"), "content")
+    return spark.read.format("binaryFile").load(root).select(F.col("path").alias("archive"), "length", "content")
 
 
-def listings(spark: SparkSession, root: str) -> DataFrame:
-    """The entries of all archives at ``root``; a file that is no archive has one entry without a name, which the plan refuses."""
+def listings(spark: SparkSession, root: str, max_archive: int = MAX_ARCHIVE) -> DataFrame:
+    """The entries of all archives at ``root``; a file that is no archive, or is larger than ``max_archive``, has one entry without a name,
+    which the plan refuses."""
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for archive, content in zip(batch["archive"], batch["content"], strict=True):
+            for archive, length, content in zip(batch["archive"], batch["length"], batch["content"], strict=True):
                 try:
-                    infos = zipfile.ZipFile(io.BytesIO(content)).infolist()
+                    infos = zipfile.ZipFile(io.BytesIO(content)).infolist() if length <= max_archive else [zipfile.ZipInfo("")]
                 except zipfile.BadZipFile:
                     infos = [zipfile.ZipInfo("")]
                 rows = [(archive, i, e.filename, e.is_dir() if e.filename else False, stat.S_ISLNK(e.external_attr >> 16), e.file_size, e.compress_size) for i, e in enumerate(infos)]
@@ -38,21 +40,36 @@ def listings(spark: SparkSession, root: str) -> DataFrame:
     return _archives(spark, root).mapInPandas(entries, LISTING)
 
 
-def extract(spark: SparkSession, root: str, max_file: int = 20 * 2**20) -> DataFrame:
-    """``archive, path, content`` of all files in the archives whose entries all pass the plan. An entry that holds more than it declares fails."""
-    plan = archive_plan(listings(spark, root), max_file=max_file)
-    refused = plan.filter("verdict <> 'OK'").select("archive").distinct()
+def extract(spark: SparkSession, root: str, max_file: int = 20 * 2**20, max_archive: int = MAX_ARCHIVE) -> DataFrame:
+    """``archive, path, content`` of all files that ``unpack`` doesn't refuse."""
+    return unpack(spark, root, max_file, max_archive).filter("refused IS NULL").drop("refused")
+
+
+def unpack(spark: SparkSession, root: str, max_file: int = 20 * 2**20, max_archive: int = MAX_ARCHIVE) -> DataFrame:
+    """``archive, path, content, refused`` of all files in the archives whose entries all pass the plan.
+
+    Any other archive has one row with a null path and content and the plan's verdict in ``refused``; so has an entry that can't be read
+    or holds more than it declares, with its path.
+    """
+    plan = archive_plan(listings(spark, root, max_archive), max_file=max_file)
+    refused = plan.filter("verdict <> 'OK'").groupBy("archive").agg(F.min_by("verdict", "ordinal").alias("refused"))
+    shape = "archive string, path string, content binary, refused string"
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, content in zip(batch["archive"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for e in z.infolist():
-                        if not e.is_dir():
+                        if e.is_dir():
+                            continue
+                        try:
                             with z.open(e) as f:
-                                data = f.read(max_file + 1)
-                            if len(data) > max_file:
-                                raise ValueError(f"{e.filename} in {archive} is larger than it declares")
-                            yield pd.DataFrame({"archive": [archive], "path": [e.filename.replace("\\", "/")], "content": [data]})
+                                data, why = f.read(max_file + 1), None
+                        except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError):
+                            data, why = None, "UNREADABLE"
+                        if data is not None and len(data) > max_file:
+                            data, why = None, "TOO_LARGE"
+                        yield pd.DataFrame({"archive": [archive], "path": [e.filename.replace("\\", "/")], "content": [data], "refused": [why]})
 
-    return _archives(spark, root).join(refused, "archive", "left_anti").mapInPandas(contents, "archive string, path string, content binary")
+    good = _archives(spark, root).join(refused, "archive", "left_anti").select("archive", "content").mapInPandas(contents, shape)
+    return good.unionByName(refused.select("archive", F.lit(None).cast("string").alias("path"), F.lit(None).cast("binary").alias("content"), "refused"))
