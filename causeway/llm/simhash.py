@@ -124,11 +124,11 @@ def with_neighbours(ids: DataFrame) -> DataFrame:
     return near.select(*cols, F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
 
 
-def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
+def fingerprint_with_edits(docs: DataFrame, *, repeats: bool = False) -> DataFrame:
     """Fingerprints of all texts and of their edited texts (the last quarter replaced from the next document).
 
-    One row per row of ``docs``; those that repeat an id stand in the order of a hash of their text, those that repeat both stand there as
-    one. Null ids come first. Texts are whole, however long. A single document is its own next one; an empty table gives an empty table.
+    One row per distinct pair of doc_id and text, or with ``repeats`` per row of ``docs``; rows that repeat an id stand in the order of a
+    hash of their text, those that repeat both stand there as one. Null ids come first. Texts are whole, however long. A single document is its own next one; an empty table gives an empty table.
     """
     body = text_of(docs)
     ids = keyed_rows(docs, F.col("doc_id"), F.length(body).cast("long").alias("n")).groupBy("id0", "h").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("times"))
@@ -149,12 +149,15 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     wide = votes.groupBy(*keys[:-1]).agg(*[F.max(F.when(F.col("part") == p, F.col(f))).alias(name) for p, f, name in ((0, "f1", "f1"), (0, "f2", "f2"), (1, "f1", "e1"), (1, "f2", "e2"))])
     prints = materialize(wide, "fingerprints")
     following = prints.select(F.col("id0").alias("next0"), F.col("h").alias("nexth"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    return prints.join(following, ["next0", "nexth"]).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("time", "times")
+    out = prints.join(following, ["next0", "nexth"])
+    if repeats:
+        out = out.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("time")
+    return out.drop("times")
 
 
 def op3_simhash(spark, sf_dir):
     """Fingerprints every document and its edited text."""
-    out = fingerprint_with_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = fingerprint_with_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text"), repeats=True)
     like = lambda *f: 1 - distance(*map(F.col, f)) / F.lit(float(BITS))
     return out.select("doc_id", F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"), shown(F.col("f1"), F.col("f2")).alias("fingerprint"), shown(F.col("e1"), F.col("e2")).alias("edited_fingerprint"), like("f1", "f2", "e1", "e2").alias("near_edited"), like("f1", "f2", "g1", "g2").alias("near_next"))
 
