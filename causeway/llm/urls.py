@@ -4,8 +4,8 @@ Each rule is stored as the string host + path. A url's candidates are all suffix
 prefixes of its path that have the length of some rule's path. Their xxhash64 keys are probed in the sorted key array by
 vectorised binary search, and the stored string confirms each hit, so that a collision of keys never decides.
 
-The array is one file, which Spark ships to each executor and the tasks memory-map. This holds up to ``MAX_ENTRIES`` rules;
-beyond it, candidates meet the rules in a shuffled join.
+The array is one file, which Spark ships to each executor and the tasks memory-map: for a list of rules, which the driver holds anyway.
+Rules in a table, of any number, never come to the driver: candidates meet them in a shuffled join, with the same results.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import read_table
 
-#: Most rules that go into one memory-mapped array (about 60 bytes each).
-MAX_ENTRIES = 5_000_000
 #: Verdict of a url that no rule fits.
 DEFAULT = "allow"
 #: (verdict, host, path) of the query.
@@ -92,19 +90,23 @@ def suffixes(host: str) -> list[str]:
     return [".".join(labels[i:]) for i in range(len(labels))]
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, url: str = "url", default: str = DEFAULT, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, *, url: str = "url", default: str = DEFAULT, max_entries: int | None = None) -> DataFrame:
     """All rows of ``pages`` with ``host``, ``path``, ``rule`` and ``verdict`` added (columns of these names are replaced).
 
     A rule fits its host and all subdomains if the path starts with the rule's. The longest rule (host and path together)
     wins, then the one with the longer host. A null url, or one without ``://``, has an empty host and path and the default
-    verdict. Repeated rows stay; an empty table or an empty rule list is fine.
+    verdict. Repeated rows stay; an empty table or an empty rule list is fine; urls are read whole, however long. ``rules`` are a list of
+    (verdict, host, path), of which the last of a host and path counts, or a table of these columns, one row a host and path. Lists
+    longer than ``max_entries``, if given, are taken as a table.
     """
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     split = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    if isinstance(rules, DataFrame):
+        return _by_join(split, keep, rules, default)
     rules = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    if max_entries is not None and len(rules) > max_entries:
+        return _by_join(split, keep, pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string"), default)
     lengths = sorted({len(p) for _, _, p in rules})
-    if len(rules) > max_entries:
-        return _by_join(split, keep, rules, lengths, default)
     name = f"digest-array-{uuid.uuid4().hex}.bin"
     local = os.path.join(tempfile.mkdtemp(), name)
     build_array(rules, local)
@@ -129,10 +131,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, url:
     return split.mapInPandas(judge, f"{kinds}, rule string, verdict string")
 
 
-def _by_join(split: DataFrame, keep: list[str], rules: list[tuple[str, str, str]], lengths: list[int], default: str) -> DataFrame:
-    """The same by a join of candidates with the rules, for lists of any length."""
-    spark = split.sparkSession
-    table = spark.createDataFrame(rules, "r_verdict string, r_host string, r_path string")
+def _by_join(split: DataFrame, keep: list[str], rules: DataFrame, default: str) -> DataFrame:
+    """The same by a join of candidates with the rules. Only the different lengths of the rules' paths reach the driver."""
+    table = rules.select(F.col("verdict").alias("r_verdict"), F.col("host").alias("r_host"), F.col("path").alias("r_path"))
+    lengths = sorted(r["n"] for r in table.select(F.length("r_path").alias("n")).distinct().collect())
     rows = split.withColumn("__row", F.struct(*keep, "host", "path"))
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
