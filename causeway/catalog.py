@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions import text
-from causeway.operators import contract, decision, evidence, graph, resolution, rollback, schema, snapshots
+from causeway.operators import contract, decision, evidence, extraction, graph, resolution, rollback, schema, snapshots
 from causeway.plans import adapters as a
+from causeway.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -729,3 +730,55 @@ def unsafe_paths(t):
     key = F.col("event_id")
     name = F.when(key % 97 == 0, "../x").when(key % 97 == 1, "/abs").when(key % 97 == 2, "C:\\x").otherwise(F.concat(F.lit("ok/f"), key.cast("string")))
     return t.events.select("event_id", name.alias("name")).filter(snapshots.unsafe(F.col("name")))
+
+
+@query(f"""WITH {a.EXTRACTION_SQL}, files AS (SELECT DISTINCT file, CASE WHEN file LIKE '%1.py' THEN 'kotlin' ELSE 'python' END AS language FROM declared)
+SELECT language, count(*) AS n_files, sum((SELECT count(*) FROM declared d WHERE d.file = f.file))::BIGINT AS n_symbols, sum((SELECT count(*) FROM referred r WHERE r.file = f.file))::BIGINT AS n_references,
+  sum((SELECT count(*) FROM referred r WHERE r.file = f.file AND status IN ('EXACT', 'IMPORTED', 'QUALIFIED', 'PROJECT_UNIQUE')))::BIGINT AS n_resolved, sum((SELECT count(*) FROM referred r WHERE r.file = f.file AND status = 'UNRESOLVED'))::BIGINT AS n_unresolved FROM files f GROUP BY language""")
+def extraction_counts(t):
+    symbols = a.declared(t)
+    files = symbols.select("file").distinct().select("file", F.when(F.col("file").endswith("1.py"), "kotlin").otherwise("python").alias("language"))
+    return extraction.counts(files, symbols, a.referred(t))
+
+
+@query(f"WITH {a.EXTRACTION_SQL} SELECT file, entity_id FROM firsts")
+def primary_entities(t):
+    return extraction.primary_entities(a.declared(t))
+
+
+@query(f"""WITH {a.EXTRACTION_SQL} SELECT DISTINCT f.entity_id AS source, d.entity_id AS target, 'IMPORT' AS kind FROM referred r JOIN firsts f ON f.file = r.file JOIN declared d ON d.symbol_id = r.resolved_symbol_id
+WHERE r.status IN ('EXACT', 'IMPORTED', 'QUALIFIED') AND r.import_kind IN ('import', 'from_import') AND d.entity_id IS NOT NULL AND f.entity_id <> d.entity_id""")
+def import_edges(t):
+    return extraction.import_edges(a.referred(t), a.declared(t))
+
+
+@query(f"WITH {_SYMBOLS}, failed AS (SELECT DISTINCT p_brand || '.py' AS file FROM part WHERE p_brand LIKE '%3'), c AS (SELECT *, 'REMOVED' AS change FROM (SELECT * FROM old EXCEPT SELECT * FROM new) UNION ALL SELECT *, 'ADDED' FROM (SELECT * FROM new EXCEPT SELECT * FROM old)) SELECT * FROM c WHERE file NOT IN (SELECT file FROM failed)")
+def structural_changes(t):
+    files = t.part.select(F.concat("p_brand", F.lit(".py")).alias("file"), F.when(F.col("p_brand").endswith("3"), "FAILED").otherwise("SUCCESS").alias("status"))
+    return extraction.structural_changes(_symbols(t, False), _symbols(t, True), files, files.filter("status = 'SUCCESS'"))
+
+
+@query("""SELECT 't' || p_partkey AS "table", c.n AS "column", c.k AS data_type, c.o AS nullable, c.p AS primary_key, c.u AS is_unique FROM part,
+(SELECT unnest([{n: 'id', k: 'BIGINT', o: false, p: true, u: false}, {n: 'c', k: 'VARCHAR', o: false, p: false, u: false}, {n: 'price', k: 'DECIMAL', o: true, p: false, u: true}, {n: 'note', k: 'TEXT', o: true, p: false, u: false}]) AS c) WHERE p_partkey % 5 <> 0""".replace("c.n AS", "CASE c.n WHEN 'c' THEN 'c' || p_partkey ELSE c.n END AS"))
+def created_tables(t):
+    return schema.create_tables(a.create_statements(t))
+
+
+@query("SELECT r_regionkey, r_name, sha256('{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey || '}') AS deterministic_hash FROM region")
+def report_hash(t):
+    return sinks.with_hash(t.region.select("r_regionkey", "r_name", F.lit("old").alias("deterministic_hash")))
+
+
+@query("SELECT sum(len(regexp_split_to_array(p_type, ' '))) ::BIGINT AS n_evidence FROM part WHERE p_partkey % 3 <> 0")
+def evidence_total(t):
+    return graph.evidence_total(t.part.select(F.when(F.col("p_partkey") % 3 != 0, F.split("p_type", " ")).alias("provenance")))
+
+
+@query(f"WITH {a.EDGES_SQL}, {a.ENTITIES_SQL}, w AS (SELECT 'part:' || (p_partkey * 2) AS origin FROM part) SELECT origin FROM w WHERE origin IN (SELECT entity_id FROM entities)")
+def known_targets(t):
+    return graph.known_targets(t.part.select(F.concat(F.lit("part:"), (F.col("p_partkey") * 2).cast("string")).alias("origin")), a.entities(t))
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, count(DISTINCT entity) AS n_affected FROM findings WHERE category = 'BLAST_RADIUS' GROUP BY scope")
+def explained_blast(t):
+    return decision.explained_blast(a.findings(t), ["scope"])

@@ -141,6 +141,11 @@ def positions(findings: DataFrame, by: list[str]) -> DataFrame:
     return numbered(findings, by, [F.col("finding_id").asc()])
 
 
+def explained_blast(findings: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group: the distinct entities that its findings of blast radius name."""
+    return findings.filter("category = 'BLAST_RADIUS'").groupBy(*by).agg(F.count_distinct("entity").alias("n_affected"))
+
+
 def unknowns(findings: DataFrame) -> DataFrame:
     """Findings that say that evidence is missing."""
     return findings.filter(F.col("uncertainty").isNotNull() | (F.col("confidence") == 0))

@@ -214,6 +214,16 @@ def evidence_count(items: DataFrame) -> DataFrame:
     return items.groupBy("source", "target", "kind").agg(F.count("*").alias("n_evidence"))
 
 
+def evidence_total(rows: DataFrame, provenance: str = "provenance") -> DataFrame:
+    """One row ``n_evidence``: how many pieces of evidence all rows hold; a null list holds none."""
+    return rows.agg(F.coalesce(F.sum(F.greatest(F.size(provenance), F.lit(0)).cast("long")), F.lit(0)).alias("n_evidence"))
+
+
+def known_targets(targets: DataFrame, entities: DataFrame) -> DataFrame:
+    """Those of ``targets`` (origin) that the graph has."""
+    return targets.join(entities.select(F.col("entity_id").alias("origin")), "origin", "left_semi").distinct()
+
+
 def causal_paths(edges: DataFrame, starts: DataFrame, kinds: tuple[str, ...] = ("DEPENDS_ON", "AFFECTS")) -> DataFrame:
     """The path that leads to each of ``starts`` (node) by each node's first parent over edges of ``kinds``: ``node, path``.
 

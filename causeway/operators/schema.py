@@ -43,6 +43,24 @@ def statements(files: DataFrame, text: str = "text") -> DataFrame:
     return parts.select("path", "ordinal", F.trim(F.regexp_replace("s", r"\s+", " ")).alias("statement")).filter("statement <> ''")
 
 
+def create_tables(stmts: DataFrame) -> DataFrame:
+    """``table, column, data_type, nullable, primary_key, is_unique`` of the CREATE TABLE statements in ``stmts`` (statement); others go.
+
+    Types lose their parameters; constraints of a whole table make no columns.
+    """
+    head = rf"(?i)^CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\((.*)\)"
+    body = F.regexp_extract("statement", head, 2)
+    # the innermost parentheses first, so that only commas between columns are left
+    for _ in range(3):
+        body = F.regexp_replace(body, r"\([^()]*\)", " ")
+    parts = stmts.filter(F.col("statement").rlike(head)).select(F.regexp_extract("statement", head, 1).alias("table"), F.explode(F.split(body, ",")).alias("part"))
+    part, column = F.trim("part"), rf"(?i)^{NAME}\s+([A-Za-z_]+)"
+    is_column = part.rlike(column) & ~part.rlike(r"(?i)^(PRIMARY|FOREIGN|UNIQUE|CHECK|CONSTRAINT|KEY|INDEX|EXCLUDE)\b")
+    key, unique = part.rlike(r"(?i)\bPRIMARY\s+KEY\b"), part.rlike(r"(?i)\bUNIQUE\b")
+    open_ = ~(key | part.rlike(r"(?i)\bNOT\s+NULL\b"))
+    return parts.filter(is_column).select("table", F.regexp_extract(part, column, 1).alias("column"), F.upper(F.regexp_extract(part, column, 2)).alias("data_type"), open_.alias("nullable"), key.alias("primary_key"), unique.alias("is_unique"))
+
+
 def changes(stmts: DataFrame) -> DataFrame:
     """``stmts`` with kind, table, object_name, after (type), category and severity."""
     s = F.col("statement")

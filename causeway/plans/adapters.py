@@ -345,3 +345,31 @@ TREES_SQL = f"""{_trees_sql("old_t", 0, 2, False)}, {_trees_sql("new_t", 1, 3, T
 j AS (SELECT coalesce(o.path, n.path) AS path, coalesce(o.method, n.method) AS method, coalesce(o.direction, n.direction) AS direction, coalesce(o.names, n.names) AS names, o.type AS ot, n.type AS nt, o.required AS oreq, n.required AS nreq
   FROM old_t o FULL JOIN new_t n ON o.path = n.path AND o.method = n.method AND o.direction = n.direction AND o.names = n.names),
 walk AS (SELECT *, 1 AS depth FROM j WHERE len(names) = 1 UNION ALL SELECT j.*, depth + 1 FROM walk w JOIN j ON j.path = w.path AND j.method = w.method AND j.direction = w.direction AND len(j.names) = depth + 1 AND j.names[:depth] = w.names WHERE w.ot IS NOT NULL AND w.nt IS NOT NULL)"""
+
+
+def declared(t: Tables) -> DataFrame:
+    """Symbols (file, symbol_id, kind, name, line, column, entity_id), one per part; only classes are entities."""
+    key = F.col("p_partkey")
+    kind = F.get(F.array(*map(F.lit, ("CLASS", "FUNCTION", "DATA_CLASS", "METHOD"))), (key % 4).cast("int"))
+    return t.part.select(F.concat("p_brand", F.lit(".py")).alias("file"), F.concat(F.lit("s"), key.cast("string")).alias("symbol_id"), kind.alias("kind"), "p_name", F.col("p_size").alias("line"), (key % 7).cast("int").alias("column"), F.when(key % 2 == 0, F.concat(F.lit("svc."), (key % 50).cast("string"))).alias("entity_id"))
+
+
+def referred(t: Tables) -> DataFrame:
+    """References (file, status, import_kind, resolved_symbol_id), one per line item."""
+    key = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    pick = lambda k, *names: F.get(F.array(*map(F.lit, names)), (k % len(names)).cast("int"))
+    rows = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return rows.select(F.concat("p_brand", F.lit(".py")).alias("file"), pick(key, "EXACT", "UNRESOLVED", "IMPORTED", "AMBIGUOUS", "QUALIFIED").alias("status"), pick(key, "import", "call", "from_import").alias("import_kind"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("resolved_symbol_id"))
+
+
+EXTRACTION_SQL = """
+declared AS (SELECT p_brand || '.py' AS file, 's' || p_partkey AS symbol_id, ['CLASS', 'FUNCTION', 'DATA_CLASS', 'METHOD'][p_partkey % 4 + 1] AS kind, p_size AS line, p_partkey % 7 AS "column", CASE WHEN p_partkey % 2 = 0 THEN 'svc.' || (p_partkey % 50) END AS entity_id FROM part),
+referred AS (SELECT p_brand || '.py' AS file, ['EXACT', 'UNRESOLVED', 'IMPORTED', 'AMBIGUOUS', 'QUALIFIED'][(l_orderkey * 7 + l_linenumber) % 5 + 1] AS status, ['import', 'call', 'from_import'][(l_orderkey * 7 + l_linenumber) % 3 + 1] AS import_kind, 's' || l_suppkey AS resolved_symbol_id FROM lineitem JOIN part ON p_partkey = l_partkey),
+firsts AS (SELECT DISTINCT file, first_value(entity_id) OVER (PARTITION BY file ORDER BY line, "column", symbol_id) AS entity_id FROM declared WHERE kind IN ('CLASS', 'DATA_CLASS') AND entity_id IS NOT NULL)"""
+
+
+def create_statements(t: Tables) -> DataFrame:
+    """CREATE TABLE statements of four columns and a table constraint, one per part, among others."""
+    key = F.col("p_partkey").cast("string")
+    made = F.concat(F.lit("create table if not exists t"), key, F.lit(" (id bigint PRIMARY KEY, c"), key, F.lit(" Varchar(20) not null, price DECIMAL(10, 2) UNIQUE, note text DEFAULT coalesce('a', lower('b')), FOREIGN KEY (id) REFERENCES u (id, x))"))
+    return t.part.select(F.when(F.col("p_partkey") % 5 == 0, F.lit("CREATE INDEX i ON t (id)")).otherwise(made).alias("statement"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +43,68 @@ def parameters(contracts: DataFrame) -> DataFrame:
 def responses(contracts: DataFrame) -> DataFrame:
     """``contract, path, method, status``."""
     return _operations(contracts).select("contract", "path", "method", F.explode(F.map_keys(_part("operation", "$.responses", "map<string,string>"))).alias("status"))
+
+
+NODES = "contract string, path string, method string, direction string, location string, type string, required boolean, enum array<string>"
+
+
+def _resolved(value: object, components: dict, seen: frozenset) -> object:
+    """``value`` with references into ``components`` replaced by what they name; one that is met again within itself stays."""
+    if isinstance(value, list):
+        return [_resolved(x, components, seen) for x in value]
+    if not isinstance(value, dict):
+        return value
+    ref, found = value.get("$ref"), None
+    if isinstance(ref, str) and ref.startswith("#/components/") and ref not in seen:
+        found, seen = components, seen | {ref}
+        for name in ref.split("/")[2:]:
+            found = found.get(name) if isinstance(found, dict) else None
+    own = {k: _resolved(v, components, seen) for k, v in value.items() if not (k == "$ref" and isinstance(found, dict))}
+    return {**_resolved(found, components, seen), **own} if isinstance(found, dict) else own
+
+
+def _body(part: object) -> object:
+    """The schema of the first media type that has one."""
+    content = part.get("content") if isinstance(part, dict) else None
+    return next((c["schema"] for _, c in sorted((content or {}).items()) if isinstance(c, dict) and c.get("schema") is not None), None)
+
+
+def _nodes(schema: object, location: str, required: bool) -> Iterator[tuple]:
+    if not isinstance(schema, dict):
+        return
+    yield location, schema.get("type"), required, [v if isinstance(v, str) else json.dumps(v) for v in schema.get("enum", [])]
+    below, names = f"{location}." if location else "", schema.get("required") or []
+    for name, part in (schema.get("properties") or {}).items():
+        yield from _nodes(part, below + name, name in names)
+    yield from _nodes(schema.get("items"), f"{below}[]", False)
+
+
+def schema_nodes(contracts: DataFrame) -> DataFrame:
+    """Nodes of the request and response schemas of contracts (path, text), as ``operators.contract.schema_nodes`` compares them.
+
+    Locations of responses start with their status. References within the contract are followed, but not into themselves. A contract
+    is one row and one small document; a text that is no JSON object has no nodes.
+    """
+
+    def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for contract, text in zip(batch["path"], batch["text"], strict=True):
+                try:
+                    whole = json.loads(text or "")
+                except ValueError:
+                    continue
+                if not isinstance(whole, dict):
+                    continue
+                parts = whole.get("components") if isinstance(whole.get("components"), dict) else {}
+                for path, methods in (whole.get("paths") or {}).items():
+                    for method, operation in methods.items() if isinstance(methods, dict) else ():
+                        if method.lower() not in METHODS or not isinstance(operation, dict):
+                            continue
+                        found = _resolved({k: operation.get(k) or {} for k in ("requestBody", "responses")}, parts, frozenset())
+                        of = [("REQUEST", "", found["requestBody"])]
+                        of += [("RESPONSE", str(status), r) for status, r in found["responses"].items()] if isinstance(found["responses"], dict) else []
+                        rows += [(contract, path, method.upper(), side, *node) for side, at, part in of for node in _nodes(_body(part), at, False)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
+
+    return contracts.select("path", "text").mapInPandas(flat, NODES)

@@ -17,3 +17,9 @@ def digest(df: DataFrame) -> DataFrame:
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
     buckets = df.select(row.alias("h")).groupBy(F.substring("h", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
     return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ","), 256).alias("sha256"))
+
+
+def with_hash(df: DataFrame, name: str = "deterministic_hash") -> DataFrame:
+    """``df`` with the digest of each row's other columns, by name and with nulls, as ``name``; an older digest there doesn't count."""
+    columns = sorted(c for c in df.columns if c != name)
+    return df.select(*[c for c in df.columns if c != name], F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias(name))

@@ -58,3 +58,34 @@ def test_resolution_levels(spark):
     first, second = (spark.createDataFrame([(x,) for x in xs], "key string") for xs in ("a", "abb"))
     got = {r["name"]: (r["level"], r["state"]) for r in resolution.resolve(refs, [(F.col("name"), first), (F.col("name"), second)]).collect()}
     assert got == {"a": (1, "RESOLVED"), "b": (2, "AMBIGUOUS"), "c": (0, "UNRESOLVED"), None: (0, "UNRESOLVED")}
+
+
+def test_refused_archives_have_a_row(spark, tmp_path):
+    for name, size in (("small", 10), ("large", 5000)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("a.txt", b"x" * size)
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    rows = archives.unpack(spark, str(tmp_path), max_file=1000, max_archive=4000).collect()
+    got = {r["archive"].rsplit("/", 1)[1]: (r["path"], r["content"] and len(r["content"]), r["refused"]) for r in rows}
+    assert got == {"small.zip": ("a.txt", 10, None), "large.zip": (None, None, "UNSAFE_PATH"), "broken.zip": (None, None, "UNSAFE_PATH")}
+
+
+def test_entries_that_lie_do_not_end_the_job(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "lies.zip", "w") as z:
+        z.writestr("a.txt", b"x" * 50)
+        z.writestr("b.txt", b"y" * 20)
+    raw = bytearray((tmp_path / "lies.zip").read_bytes())
+    raw[raw.index(b"x" * 50)] = 0
+    (tmp_path / "lies.zip").write_bytes(bytes(raw))
+    rows = archives.unpack(spark, str(tmp_path)).collect()
+    assert sorted((r["path"], r["refused"]) for r in rows) == [("a.txt", "UNREADABLE"), ("b.txt", None)]
+
+
+def test_schema_nodes_follow_references(spark):
+    pet = {"type": "object", "required": ["name"], "properties": {"name": {"type": "string", "enum": ["a", "b"]}, "mother": {"$ref": "#/components/schemas/Pet"}, "tags": {"type": "array", "items": {"type": "string"}}}}
+    body = {"content": {"application/json": {"schema": {"$ref": "#/components/schemas/Pet"}}}}
+    whole = {"components": {"schemas": {"Pet": pet}}, "paths": {"/p": {"post": {"requestBody": body, "responses": {"200": body}}}}}
+    docs = spark.createDataFrame([("a.json", json.dumps(whole)), ("b.json", "no json"), ("c.json", None)], "path string, text string")
+    got = {(r["direction"], r["location"]): (r["type"], r["required"], r["enum"]) for r in contracts.schema_nodes(docs).collect()}
+    want = {"": ("object", False, []), "name": ("string", True, ["a", "b"]), "mother": (None, False, []), "tags": ("array", False, []), "tags.[]": ("string", False, [])}
+    assert got == {(d, f"{at}.{k}".strip(".")): v for d, at in (("REQUEST", ""), ("RESPONSE", "200")) for k, v in want.items()}
