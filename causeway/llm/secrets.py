@@ -113,4 +113,4 @@ def op7_secrets(spark, sf_dir):
     """Secrets in all documents."""
     found = find_secrets(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
     counts = [counted(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.concat("base", "added"), KINDS).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.concat("base", "added"), KINDS).alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
