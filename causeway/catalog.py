@@ -782,3 +782,34 @@ def known_targets(t):
 @query(f"WITH {a.FINDINGS_SQL} SELECT scope, count(DISTINCT entity) AS n_affected FROM findings WHERE category = 'BLAST_RADIUS' GROUP BY scope")
 def explained_blast(t):
     return decision.explained_blast(a.findings(t), ["scope"])
+
+
+def _impact(t):
+    changes = t.supplier.filter("s_suppkey < 8").select(F.when(F.col("s_suppkey") % 2 == 0, "DROP_COLUMN").otherwise("ADD_COLUMN").alias("kind"), F.concat(F.lit("supplier:"), (F.col("s_suppkey") * 3 - 3).cast("string")).alias("schema_object"))
+    return changes, graph.paths(a.edges(t, repeats=True), a.origins(t, "supplier:0", "nation:1"), 2), a.entities(t).filter("entity_id NOT LIKE '%9'")
+
+
+_IMPACT = f"""WITH {a.EDGES_SQL}, {a.ENTITIES_SQL}, {_grown("SELECT unnest(['supplier:0', 'nation:1']) AS origin", 2)}, e AS (SELECT * FROM entities WHERE entity_id NOT LIKE '%9'),
+changes AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'DROP_COLUMN' ELSE 'ADD_COLUMN' END AS kind, 'supplier:' || (s_suppkey * 3 - 3) AS schema_object FROM supplier WHERE s_suppkey < 8)"""
+
+
+@query(_IMPACT + """, met AS (SELECT unnest(nodes) AS entity_id, unnest(range(len(nodes))) AS layer FROM found UNION ALL SELECT schema_object, 0 FROM changes)
+SELECT DISTINCT 'change:' || kind || ':' || schema_object AS node_id, 'CHANGE' AS kind, kind AS label, 0 AS layer FROM changes
+UNION ALL SELECT 'entity:' || m.entity_id, CASE e.kind WHEN 'DATABASE' THEN 'SCHEMA_ENTITY' WHEN 'SERVICE' THEN 'SERVICE' WHEN 'API' THEN 'API_ENDPOINT' WHEN 'CLIENT' THEN 'CLIENT' ELSE 'SOURCE_SYMBOL' END, m.entity_id, min(layer)::INT FROM met m JOIN e ON e.entity_id = m.entity_id GROUP BY m.entity_id, e.kind""")
+def evidence_impact_nodes(t):
+    return evidence.impact_nodes(*_impact(t))
+
+
+@query(_IMPACT + """, s AS (SELECT DISTINCT origin, nodes[i] AS a, nodes[i + 1] AS b, kinds[i] AS label FROM (SELECT *, unnest(range(1, len(kinds) + 1)) AS i FROM found))
+SELECT DISTINCT 'change:' || kind || ':' || schema_object AS source, 'entity:' || schema_object AS target, 'AFFECTS' AS kind, kind AS label, schema_object AS via_target FROM changes WHERE schema_object IN (SELECT entity_id FROM e)
+UNION ALL SELECT 'entity:' || a, 'entity:' || b, 'DEPENDS_ON', label, origin FROM s WHERE a IN (SELECT entity_id FROM e) AND b IN (SELECT entity_id FROM e)""")
+def evidence_impact_edges(t):
+    return evidence.impact_edges(*_impact(t))
+
+
+@query(_IMPACT + """, s AS (SELECT DISTINCT nodes[i] AS a, nodes[i + 1] AS b FROM (SELECT *, unnest(range(1, len(kinds) + 1)) AS i FROM found)), n AS (SELECT entity_id FROM e WHERE entity_id LIKE '%1')
+SELECT a AS source, b AS target FROM s WHERE a IN (SELECT entity_id FROM n) AND b IN (SELECT entity_id FROM n)""")
+def evidence_drawn_edges(t):
+    _, found, entities = _impact(t)
+    edges = found.select("nodes", F.posexplode("kinds").alias("i", "k")).select(F.get("nodes", F.col("i")).alias("source"), F.get("nodes", F.col("i") + 1).alias("target")).distinct()
+    return evidence.drawn(edges, entities.filter("entity_id LIKE '%1'").select(F.col("entity_id").alias("node_id")), [])

@@ -66,6 +66,50 @@ def edges(findings: DataFrame, decided: DataFrame, by: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# What a node of the graph is, by the kind of its entity; any other is a SOURCE_SYMBOL.
+NODE_KINDS = {"DATABASE": "SCHEMA_ENTITY", "SERVICE": "SERVICE", "API": "API_ENDPOINT", "CLIENT": "CLIENT", "SYMBOL": "SOURCE_SYMBOL"}
+
+
+def node_kind(kind: Column) -> Column:
+    out = F.lit("SOURCE_SYMBOL")
+    for name, node in NODE_KINDS.items():
+        out = F.when(kind == name, node).otherwise(out)
+    return out
+
+
+def _change(changes: DataFrame) -> Column:
+    return F.concat_ws(":", F.lit("change"), "kind", F.coalesce("schema_object", F.lit("unresolved")))
+
+
+def impact_nodes(changes: DataFrame, paths: DataFrame, entities: DataFrame) -> DataFrame:
+    """``node_id, kind, label, layer`` of changes (kind, schema_object), of the entities they name, and of those on ``paths`` (origin, nodes).
+
+    Only entities that the graph has (entity_id, kind) are nodes; one that is met at several distances has the least as its layer.
+    """
+    made = changes.select(_change(changes).alias("node_id"), F.lit("CHANGE").alias("kind"), F.col("kind").alias("label"), F.lit(0).alias("layer")).distinct()
+    met = paths.select(F.posexplode("nodes").alias("layer", "entity_id")).unionByName(changes.select(F.lit(0).alias("layer"), F.col("schema_object").alias("entity_id")))
+    met = met.groupBy("entity_id").agg(F.min("layer").alias("layer")).join(entities.select("entity_id", "kind"), "entity_id")
+    return made.unionByName(met.select(_id("entity", "entity_id").alias("node_id"), node_kind(F.col("kind")).alias("kind"), F.col("entity_id").alias("label"), "layer"))
+
+
+def impact_edges(changes: DataFrame, paths: DataFrame, entities: DataFrame) -> DataFrame:
+    """``source, target, kind, label, via_target``: a change AFFECTS the entity it names, and along ``paths`` (origin, nodes, kinds) each
+    entity is one that the next DEPENDS_ON, once per origin. Edges whose ends the graph lacks aren't drawn."""
+    here = entities.select("entity_id")
+    affects = changes.join(here, F.col("schema_object") == F.col("entity_id")).select(_change(changes).alias("source"), _id("entity", "entity_id").alias("target"), F.lit("AFFECTS").alias("kind"), F.col("kind").alias("label"), F.col("entity_id").alias("via_target"))
+    steps = paths.select("origin", "nodes", F.posexplode("kinds").alias("i", "label")).select("origin", F.get("nodes", F.col("i")).alias("a"), F.get("nodes", F.col("i") + 1).alias("b"), "label").distinct()
+    steps = steps.join(here.withColumnRenamed("entity_id", "a"), "a", "left_semi").join(here.withColumnRenamed("entity_id", "b"), "b", "left_semi")
+    depends = steps.select(_id("entity", "a").alias("source"), _id("entity", "b").alias("target"), F.lit("DEPENDS_ON").alias("kind"), "label", F.col("origin").alias("via_target"))
+    return affects.unionByName(depends).distinct()
+
+
+def drawn(edges: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """Those of ``edges`` whose ends are both among ``nodes`` of their group."""
+    for end in ("source", "target"):
+        edges = edges.join(nodes.select(*by, F.col("node_id").alias(end)).distinct(), [*by, end], "left_semi")
+    return edges
+
+
 def ungrounded(claims: DataFrame, findings: DataFrame) -> DataFrame:
     """Claims (evidence_id) that name a finding which isn't there; an explanation is valid only if there are none."""
     return claims.join(findings.select(F.col("finding_id").alias("evidence_id")), "evidence_id", "left_anti")
