@@ -813,3 +813,34 @@ def evidence_drawn_edges(t):
     _, found, entities = _impact(t)
     edges = found.select("nodes", F.posexplode("kinds").alias("i", "k")).select(F.get("nodes", F.col("i")).alias("source"), F.get("nodes", F.col("i") + 1).alias("target")).distinct()
     return evidence.drawn(edges, entities.filter("entity_id LIKE '%1'").select(F.col("entity_id").alias("node_id")), [])
+
+
+@query("""WITH v AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ' http://Svc' || c_custkey || '.Local:8080 ' WHEN 1 THEN 'https://API.x' WHEN 2 THEN 'plain' END AS h, CASE c_custkey % 4 WHEN 0 THEN ' post ' WHEN 1 THEN '' WHEN 2 THEN 'Put' END AS m, CASE c_custkey % 7 WHEN 0 THEN ' select' WHEN 1 THEN 'insert' WHEN 2 THEN 'Delete ' WHEN 3 THEN 'db_write' WHEN 4 THEN 'merge' WHEN 5 THEN 'DB_READ' END AS o FROM customer)
+SELECT c_custkey, lower(split_part(replace(replace(trim(h), 'http://', ''), 'https://', ''), ':', 1)) AS host, upper(trim(CASE WHEN coalesce(m, '') = '' THEN 'GET' ELSE m END)) AS method,
+  CASE WHEN upper(trim(coalesce(o, ''))) IN ('SELECT', 'DB_READ') THEN 'DB_READ' WHEN upper(trim(coalesce(o, ''))) IN ('INSERT', 'UPDATE', 'DELETE', 'DB_WRITE') THEN 'DB_WRITE' ELSE upper(trim(coalesce(o, ''))) END AS operation FROM v""")
+def call_keys(t):
+    key = F.col("c_custkey")
+    pick = lambda n, *values: F.get(F.array(*map(F.lit, values)), (key % n).cast("int"))
+    host = F.when(key % 4 == 0, F.concat(F.lit(" http://Svc"), key.cast("string"), F.lit(".Local:8080 "))).otherwise(pick(4, "", "https://API.x", "plain", None))
+    operation = pick(7, " select", "insert", "Delete ", "db_write", "merge", "DB_READ", None)
+    return t.customer.select("c_custkey", text.host(host).alias("host"), text.method(pick(4, " post ", "", "Put", None)).alias("method"), text.db_operation(operation).alias("operation"))
+
+
+@query("""WITH v AS (SELECT p_partkey, '/a/' || (p_partkey % 3) || '/{id}' AS x, CASE p_partkey % 4 WHEN 0 THEN '/a/' || (p_partkey % 6) || '/7' WHEN 1 THEN '/a/{n}/b' WHEN 2 THEN '/a/1' ELSE '/{k}/2/z' END AS y FROM part)
+SELECT p_partkey, len(str_split(x, '/')) = len(str_split(y, '/')) AND len(list_filter(list_zip(str_split(x, '/'), str_split(y, '/')), lambda z: NOT coalesce(z[1] = z[2] OR z[1] LIKE '{%}' OR z[2] LIKE '{%}', false))) = 0 AS fits FROM v""")
+def route_pairs(t):
+    key = F.col("p_partkey")
+    left = F.concat(F.lit("/a/"), (key % 3).cast("string"), F.lit("/{id}"))
+    right = F.when(key % 4 == 0, F.concat(F.lit("/a/"), (key % 6).cast("string"), F.lit("/7"))).when(key % 4 == 1, "/a/{n}/b").when(key % 4 == 2, "/a/1").otherwise("/{k}/2/z")
+    return t.part.select("p_partkey", text.route_matches(left, right).alias("fits"))
+
+
+@query("SELECT 'part:' || p_partkey AS entity_id, 2 AS n FROM part WHERE p_partkey % 4 = 0")
+def graph_validate_entities(t):
+    rows = t.part.select(a.node("part", "p_partkey").alias("entity_id"))
+    return graph.duplicate_entities(rows.unionByName(t.part.filter("p_partkey % 4 = 0").select(a.node("part", "p_partkey").alias("entity_id"))))
+
+
+@query(f"WITH {a.COLUMNS_SQL}, {a.DEPENDENCIES_SQL}, m AS (SELECT count(*) AS m FROM deps WHERE dependency NOT IN (SELECT \"table\" || '.' || \"column\" FROM new_columns)) SELECT CASE WHEN (SELECT count(*) FROM deps) = 0 THEN 'SAFE' WHEN m > 0 THEN 'UNSAFE' ELSE 'UNKNOWN' END AS status FROM m")
+def rollback_forward_status(t):
+    return rollback.forward_status(a.dependencies(t), forward_missing(t))
