@@ -12,8 +12,8 @@ compared with all others. Buckets that still hold several groups then go through
 What is still mixed then goes through members of different groups, dealt to parts of bounded size. There the registers' estimate of
 the similarity decides first, within the join, so that many unlike texts that share a passage cost comparisons of a few longs and
 make no rows. Registers are independent (each sees its own share of every Poisson process), so that the differing ones of a pair of
-similarity 0.8 are binomial, and ``SURE`` standard deviations above their mean leave out such a pair less than 2 times in a million.
-No band in common is the other way to lose one: 5 times in 100,000 at a similarity of exactly 0.8, and less often above it.
+similarity 0.8 are binomial, and ``SURE`` standard deviations above their mean leave out such a pair 96 times in a million.
+No band in common is the other way to lose one: 49 times in a million at a similarity of exactly 0.8. Both fall fast above it.
 
 The member of a bucket that shares most buckets with others leads it, so that the original of a group of edited copies, which is
 nearer to each of them than they are to each other, is compared with them first.
@@ -38,7 +38,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = 256
 #: Further stars before the rest of mixed buckets is compared member by member, in parts of so many members; see above.
-STARS, PART, SURE = 1, 1000, 5
+STARS, PART, SURE = 1, 1000, 4
 #: Weights are whole numbers, so that sums are exact.
 UNIT = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
