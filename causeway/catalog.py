@@ -225,7 +225,7 @@ def schema_diff(t):
 
 @query(f"WITH {a.MIGRATION_SQL} SELECT ordinal, kind, \"table\", object_name, after, category, severity FROM changes")
 def schema_changes(t):
-    return schema.changes(a.migration(t)).drop("statement")
+    return schema.changes(a.migration(t)).drop("statement", "action")
 
 
 @query(f"WITH {a.COLUMNS_SQL}, {a.MIGRATION_SQL}, f AS (SELECT * FROM changes WHERE object_name IS NOT NULL) SELECT coalesce(o.\"table\", f.\"table\") AS \"table\", coalesce(o.\"column\", f.object_name) AS \"column\", CASE WHEN f.kind IN ('ADD_COLUMN', 'ALTER_COLUMN_TYPE') THEN f.after ELSE o.data_type END AS data_type, CASE WHEN f.kind = 'ALTER_NULLABILITY' THEN false ELSE coalesce(o.nullable, true) END AS nullable FROM old_columns o FULL JOIN f ON o.\"table\" = f.\"table\" AND o.\"column\" = f.object_name WHERE coalesce(f.kind, '') <> 'DROP_COLUMN' AND (o.data_type IS NOT NULL OR f.kind = 'ADD_COLUMN')")
@@ -844,3 +844,6 @@ def graph_validate_entities(t):
 @query(f"WITH {a.COLUMNS_SQL}, {a.DEPENDENCIES_SQL}, m AS (SELECT count(*) AS m FROM deps WHERE dependency NOT IN (SELECT \"table\" || '.' || \"column\" FROM new_columns)) SELECT CASE WHEN (SELECT count(*) FROM deps) = 0 THEN 'SAFE' WHEN m > 0 THEN 'UNSAFE' ELSE 'UNKNOWN' END AS status FROM m")
 def rollback_forward_status(t):
     return rollback.forward_status(a.dependencies(t), forward_missing(t))
+
+
+from causeway import scenarios  # noqa: E402, F401  (registers its queries here)

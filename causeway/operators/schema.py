@@ -1,6 +1,6 @@
 """Schema changes: statements, evolution, differences, and what they mean for a deployment.
 
-Statements are rows; patterns of built-in functions recognise the forms that matter and call the rest unsupported.
+Statements are rows, which ``statements`` reads; this module knows what their changes are worth and what they leave of a schema.
 """
 
 from __future__ import annotations
@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NAME = r'["`]?([A-Za-z_][A-Za-z0-9_.]*)["`]?'
+from causeway.operators.statements import actions, create_tables, statements
+from causeway.storage import materialize
+
+__all__ = ["actions", "changes", "create_tables", "deployment_status", "difference", "evolve", "explanation_key", "lookup", "primary", "statements"]
+
 # kind: category, severity
 KINDS = {
     "DROP_TABLE": ("DESTRUCTIVE", "HIGH"),
@@ -18,13 +22,6 @@ KINDS = {
     "ALTER_COLUMN_TYPE": ("DATA_DEPENDENT", "MEDIUM"),
     "UNSUPPORTED_SCHEMA_CHANGE": ("UNSUPPORTED", "INFO"),
 }
-FORMS = {
-    "DROP_TABLE": rf"(?i)^DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?{NAME}",
-    "DROP_COLUMN": rf"(?i)^ALTER\s+TABLE\s+{NAME}\s+DROP\s+COLUMN\s+(?:IF\s+EXISTS\s+)?{NAME}",
-    "ADD_COLUMN": rf"(?i)^ALTER\s+TABLE\s+{NAME}\s+ADD\s+COLUMN\s+{NAME}\s+([A-Za-z]+)",
-    "ALTER_NULLABILITY": rf"(?i)^ALTER\s+TABLE\s+{NAME}\s+ALTER\s+COLUMN\s+{NAME}\s+SET\s+NOT\s+NULL",
-    "ALTER_COLUMN_TYPE": rf"(?i)^ALTER\s+TABLE\s+{NAME}\s+ALTER\s+COLUMN\s+{NAME}\s+(?:SET\s+DATA\s+)?TYPE\s+([A-Za-z]+)",
-}
 # Rank of a category for the primary change.
 PRIORITY = {"DESTRUCTIVE": 5, "DATA_DEPENDENT": 4, "LOCKING": 3, "ADDITIVE": 2, "UNSUPPORTED": 1}
 
@@ -36,75 +33,44 @@ def lookup(col: Column, table: dict[str, object], other: object = None) -> Colum
     return out
 
 
-def statements(files: DataFrame, text: str = "text") -> DataFrame:
-    """One row per statement of ``files`` (path, text), with its place; comments and empty statements go."""
-    bare = F.regexp_replace(text, r"--[^\n]*", " ")
-    parts = files.select("path", F.posexplode(F.split(bare, ";")).alias("ordinal", "s"))
-    return parts.select("path", "ordinal", F.trim(F.regexp_replace("s", r"\s+", " ")).alias("statement")).filter("statement <> ''")
-
-
-def create_tables(stmts: DataFrame) -> DataFrame:
-    """``table, column, data_type, nullable, primary_key, is_unique`` of the CREATE TABLE statements in ``stmts`` (statement); others go.
-
-    Types lose their parameters; constraints of a whole table make no columns.
-    """
-    head = rf"(?i)^CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\((.*)\)"
-    body = F.regexp_extract("statement", head, 2)
-    # the innermost parentheses first, so that only commas between columns are left
-    for _ in range(3):
-        body = F.regexp_replace(body, r"\([^()]*\)", " ")
-    parts = stmts.filter(F.col("statement").rlike(head)).select(F.regexp_extract("statement", head, 1).alias("table"), F.explode(F.split(body, ",")).alias("part"))
-    part, column = F.trim("part"), rf"(?i)^{NAME}\s+([A-Za-z_]+)"
-    is_column = part.rlike(column) & ~part.rlike(r"(?i)^(PRIMARY|FOREIGN|UNIQUE|CHECK|CONSTRAINT|KEY|INDEX|EXCLUDE)\b")
-    key, unique = part.rlike(r"(?i)\bPRIMARY\s+KEY\b"), part.rlike(r"(?i)\bUNIQUE\b")
-    open_ = ~(key | part.rlike(r"(?i)\bNOT\s+NULL\b"))
-    return parts.filter(is_column).select("table", F.regexp_extract(part, column, 1).alias("column"), F.upper(F.regexp_extract(part, column, 2)).alias("data_type"), open_.alias("nullable"), key.alias("primary_key"), unique.alias("is_unique"))
-
-
 def changes(stmts: DataFrame) -> DataFrame:
-    """``stmts`` with kind, table, object_name, after (type), category and severity."""
-    s = F.col("statement")
-    kind = F.lit("UNSUPPORTED_SCHEMA_CHANGE")
-    table, name, after = F.lit("UNKNOWN"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k, form in FORMS.items():
-        hit = s.rlike(form)
-        kind = F.when(hit, k).otherwise(kind)
-        table = F.when(hit, F.regexp_extract(s, form, 1)).otherwise(table)
-        if k != "DROP_TABLE":
-            name = F.when(hit, F.regexp_extract(s, form, 2)).otherwise(name)
-        if k in ("ADD_COLUMN", "ALTER_COLUMN_TYPE"):
-            after = F.when(hit, F.upper(F.regexp_extract(s, form, 3))).otherwise(after)
-    out = stmts.withColumns({"kind": kind, "table": table, "object_name": name, "after": after})
+    """``stmts`` (statement) with action, kind, table, object_name, after (type), category and severity; one row per action."""
+    out = actions(stmts)
     return out.withColumns({"category": lookup(F.col("kind"), {k: v[0] for k, v in KINDS.items()}), "severity": lookup(F.col("kind"), {k: v[1] for k, v in KINDS.items()})})
 
 
-def evolve(columns: DataFrame, changed: DataFrame) -> DataFrame:
-    """Columns (table, column, data_type, nullable) after ``changed`` (ordinal, kind, table, object_name, after), in the order of ordinal.
+def evolve(columns: DataFrame, changed: DataFrame, order: str = "ordinal") -> DataFrame:
+    """Columns (table, column, data_type, nullable) after ``changed`` (kind, table, object_name, after), in the order of ``order``.
 
     DROP_TABLE takes all columns, ADD_TABLE makes an empty table where there is none, and changes of a table or column that isn't there
-    do nothing. Nothing goes through the changes one by one: a table's last drop and what made it anew tell which changes count, and a
-    column's last ADD or DROP among these tells where its type and nullability start from.
+    do nothing. Nothing goes through the changes one by one: a table's last drop and what made it anew tell which changes count, and one
+    aggregate per column finds its birth (in the old schema, or its last ADD or DROP), the last type and the last NOT NULL since.
     """
-    tables = changed.filter(F.col("kind").isin("DROP_TABLE", "ADD_TABLE")).groupBy("table").agg(F.max(F.when(F.col("kind") == "DROP_TABLE", F.col("ordinal"))).alias("dropped"))
-    made = changed.filter("kind = 'ADD_TABLE'").select("table", F.col("ordinal").alias("made_at"))
-    made = made.join(tables, "table").filter("dropped IS NULL OR made_at > dropped").groupBy("table").agg(F.min("made_at").alias("made"))
-    tables = columns.select("table").distinct().withColumn("was", F.lit(True)).join(tables, "table", "full_outer").join(made, "table", "left")
-    stays = F.col("dropped").isNull() & F.coalesce("was", F.lit(False))
-    tables = tables.filter(stays | F.col("made").isNotNull()).select("table", stays.alias("stays"), F.when(~stays, F.col("made")).alias("since"))
-
-    at = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("ordinal")))
-    counted = changed.filter("object_name IS NOT NULL").join(tables, "table").filter("since IS NULL OR ordinal > since")
-    counted = counted.select("table", F.col("object_name").alias("column"), "ordinal", "kind", "after")
-    born = counted.groupBy("table", "column").agg(F.max_by("kind", F.when(F.col("kind").isin("ADD_COLUMN", "DROP_COLUMN"), F.col("ordinal"))).alias("last"), at("ADD_COLUMN", "DROP_COLUMN").alias("from"))
-    typed = counted.filter("after IS NOT NULL AND kind IN ('ADD_COLUMN', 'ALTER_COLUMN_TYPE')").join(born, ["table", "column"]).filter("from IS NULL OR ordinal >= from")
-    typed = typed.groupBy("table", "column").agg(F.max_by("after", "ordinal").alias("new_type"))
-    strict = counted.filter("kind = 'ALTER_NULLABILITY'").join(born, ["table", "column"]).filter("from IS NULL OR ordinal > from").select("table", "column", F.lit(True).alias("strict")).distinct()
-    old = columns.join(tables.filter("stays").select("table"), "table", "left_semi").select("table", "column", "data_type", "nullable", F.lit(True).alias("had"))
-    both = old.join(born, ["table", "column"], "full_outer").join(typed, ["table", "column"], "left").join(strict, ["table", "column"], "left")
-    added = F.coalesce(F.col("last") == "ADD_COLUMN", F.lit(False))
-    there = both.filter(added | (F.col("from").isNull() & F.col("had")))
-    kind = F.coalesce("new_type", F.when(added, "UNKNOWN").otherwise(F.col("data_type")))
-    return there.select("table", "column", kind.alias("data_type"), (F.coalesce("strict", F.lit(False)) == F.lit(False)).alias("open"), added.alias("added"), "nullable").select("table", "column", "data_type", (F.col("open") & (F.col("added") | F.coalesce("nullable", F.lit(True)))).alias("nullable"))
+    first = F.lit(-(1 << 63))
+    had = columns.select("table", F.col("column").alias("name"), F.lit("HAD").alias("kind"), F.col("data_type").alias("after"), "nullable", first.alias("at"))
+    rows = changed.select("table", F.col("object_name").alias("name"), "kind", "after", F.lit(True).alias("nullable"), F.col(order).cast("long").alias("at"))
+    rows = materialize(rows.filter("kind <> 'UNSUPPORTED_SCHEMA_CHANGE'"), "changes")
+
+    # of a table: its last drop, and the first ADD_TABLE after it, which is one that no other ADD_TABLE precedes
+    whole = rows.filter("kind IN ('DROP_TABLE', 'ADD_TABLE')")
+    before = F.lag("kind").over(Window.partitionBy("table").orderBy("at"))
+    whole = whole.withColumn("makes", (F.col("kind") == "ADD_TABLE") & ~before.eqNullSafe(F.lit("ADD_TABLE")))
+    tables = whole.unionByName(had.select("table", "kind", "at").distinct(), allowMissingColumns=True).groupBy("table").agg(
+        F.max(F.when(F.col("kind") == "DROP_TABLE", F.col("at"))).alias("dropped"), F.max(F.when(F.col("makes"), F.col("at"))).alias("made"), F.bool_or(F.col("kind") == "HAD").alias("was")
+    )
+    stays = F.col("dropped").isNull() & F.col("was")
+    again = F.col("made").isNotNull() & (F.col("dropped").isNull() | (F.col("made") > F.col("dropped")))
+    since = tables.filter(stays | again).select("table", F.when(stays, first).otherwise(F.col("made")).alias("since"), stays.alias("stays"))
+
+    counted = rows.filter("name IS NOT NULL AND kind NOT IN ('DROP_TABLE', 'ADD_TABLE')").unionByName(had).join(since, "table").filter(F.when(F.col("kind") == "HAD", F.col("stays")).otherwise(F.col("at") > F.col("since")))
+    last = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("at"))
+    births, types = last("HAD", "ADD_COLUMN", "DROP_COLUMN"), F.when(F.col("after").isNotNull(), last("HAD", "ADD_COLUMN", "ALTER_COLUMN_TYPE"))
+    facts = counted.groupBy("table", "name").agg(
+        F.max(births).alias("born"), F.max_by("kind", births).alias("birth"), F.max_by("nullable", births).alias("open"), F.max(types).alias("typed"), F.max_by("after", types).alias("type"), F.max(last("ALTER_NULLABILITY")).alias("strict")
+    )
+    kind = F.when(F.col("typed") >= F.col("born"), F.col("type")).otherwise(F.when(F.col("birth") == "ADD_COLUMN", "UNKNOWN"))
+    nullable = F.coalesce("open", F.lit(True)) & ~F.coalesce(F.col("strict") > F.col("born"), F.lit(False))
+    return facts.filter("birth IN ('HAD', 'ADD_COLUMN')").select("table", F.col("name").alias("column"), kind.alias("data_type"), nullable.alias("nullable"))
 
 
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -116,9 +82,9 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def primary(changed: DataFrame, by: list[str]) -> DataFrame:
-    """Of each group the change of the highest category, then severity, then first in order."""
+    """Of each group the change of the highest category, then severity, then first in order (statement, then action)."""
     rank = lookup(F.col("severity"), {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}, 0)
-    order = Window.partitionBy(*by).orderBy(F.desc(lookup(F.col("category"), PRIORITY, 0)), F.desc(rank), "ordinal")
+    order = Window.partitionBy(*by).orderBy(F.desc(lookup(F.col("category"), PRIORITY, 0)), F.desc(rank), "ordinal", *(["action"] if "action" in changed.columns else []))
     return changed.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
 
 

@@ -142,7 +142,7 @@ changes AS (
     CASE p_partkey % 6 WHEN 0 THEN 'DROP_COLUMN' WHEN 1 THEN 'ADD_COLUMN' WHEN 2 THEN 'ALTER_NULLABILITY' WHEN 3 THEN 'ALTER_COLUMN_TYPE' WHEN 4 THEN 'UNSUPPORTED_SCHEMA_CHANGE' ELSE 'DROP_TABLE' END AS kind,
     CASE p_partkey % 6 WHEN 4 THEN 'UNKNOWN' WHEN 5 THEN 'old' || p_partkey ELSE 't' || (p_partkey % 50) END AS "table",
     CASE p_partkey % 6 WHEN 1 THEN 'n' || p_partkey WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE 'c' || p_partkey END AS object_name,
-    CASE p_partkey % 6 WHEN 1 THEN 'INTEGER' WHEN 3 THEN 'BIGINT' END AS after,
+    CASE p_partkey % 6 WHEN 1 THEN 'INT' WHEN 3 THEN 'BIGINT' END AS after,
     CASE p_partkey % 6 WHEN 0 THEN 'DESTRUCTIVE' WHEN 5 THEN 'DESTRUCTIVE' WHEN 1 THEN 'ADDITIVE' WHEN 4 THEN 'UNSUPPORTED' ELSE 'DATA_DEPENDENT' END AS category,
     CASE p_partkey % 6 WHEN 0 THEN 'HIGH' WHEN 5 THEN 'HIGH' WHEN 1 THEN 'LOW' WHEN 4 THEN 'INFO' ELSE 'MEDIUM' END AS severity
   FROM part)"""
@@ -373,3 +373,58 @@ def create_statements(t: Tables) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     made = F.concat(F.lit("create table if not exists t"), key, F.lit(" (id bigint PRIMARY KEY, c"), key, F.lit(" Varchar(20) not null, price DECIMAL(10, 2) UNIQUE, note text DEFAULT coalesce('a', lower('b')), FOREIGN KEY (id) REFERENCES u (id, x))"))
     return t.part.select(F.when(F.col("p_partkey") % 5 == 0, F.lit("CREATE INDEX i ON t (id)")).otherwise(made).alias("statement"))
+
+
+def scripts(t: Tables) -> DataFrame:
+    """Migration scripts (path, text), one per part: several statements, ALTERs of several actions, quotes, comments, and a null text."""
+    k = F.col("p_partkey").cast("string")
+    table = F.concat(F.lit("t"), (F.col("p_partkey") % 50).cast("string"))
+    texts = (
+        ("-- drops; of ", k, "\nALTER TABLE ", table, " DROP COLUMN c", k, ", DROP d", k, ";\nDROP INDEX IF EXISTS i", k, ";"),
+        ("/* a; b\n' */ ALTER TABLE IF EXISTS s.", table, " ADD \"weird; ", k, "\" integer DEFAULT 'x;y, z', ADD COLUMN n", k, " DECIMAL(10, 2) DEFAULT f(1, 2); SELECT 'a; b' -- c;\n"),
+        ("alter table \"T, ", k, "\" alter \"c ", k, "\" set not null, ALTER COLUMN d TYPE double precision USING d::double precision;;"),
+        ("DROP VIEW v", k, " ; DROP TABLE \"old, ", k, "\" CASCADE"),
+        ("ALTER TABLE ", table, " ADD CONSTRAINT k CHECK (a > 0, b), RENAME TO u, ALTER q DROP NOT NULL; CREATE TABLE z (a int)"),
+    )
+    text = F.lit(None).cast("string")
+    for i, parts in enumerate(texts):
+        text = F.when(F.col("p_partkey") % 6 == i, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])).otherwise(text)
+    return t.part.select(F.concat(F.lit("db/m"), k, F.lit(".sql")).alias("path"), text.alias("text"))
+
+
+def _row(**fields: str) -> str:
+    return "{" + ", ".join(f"{k}: {v}" for k, v in fields.items()) + "}"
+
+
+def _scripts_sql() -> str:
+    """What each script says, statement by statement and action by action, written from what it was made of."""
+    t, k = "('t' || (p_partkey % 50))", "p_partkey"
+
+    def action(statement: int, place: int, kind: str, table: str, name: str = "NULL", after: str = "NULL") -> str:
+        return _row(o=str(statement), a=str(place), kind=f"'{kind}'", t=table, n=f"{name}::VARCHAR", f=f"{after}::VARCHAR")
+
+    cases = (
+        (action(0, 0, "DROP_COLUMN", t, f"'c' || {k}"), action(0, 1, "DROP_COLUMN", t, f"'d' || {k}"), action(1, 0, "DROP_TABLE", f"'i' || {k}")),
+        (action(0, 0, "ADD_COLUMN", t, f"'weird; ' || {k}", "'INT'"), action(0, 1, "ADD_COLUMN", t, f"'n' || {k}", "'DECIMAL'"), action(1, 0, "UNSUPPORTED_SCHEMA_CHANGE", "'UNKNOWN'")),
+        (action(0, 0, "ALTER_NULLABILITY", f"'T, ' || {k}", f"'c ' || {k}"), action(0, 1, "ALTER_COLUMN_TYPE", f"'T, ' || {k}", "'d'", "'DOUBLE'")),
+        (action(0, 0, "DROP_TABLE", f"'v' || {k}"), action(1, 0, "DROP_TABLE", f"'old, ' || {k}")),
+        (*[action(0, i, "UNSUPPORTED_SCHEMA_CHANGE", t) for i in range(3)], action(1, 0, "UNSUPPORTED_SCHEMA_CHANGE", "'UNKNOWN'")),
+    )
+    said = " ".join(f"WHEN {i} THEN [{', '.join(c)}]" for i, c in enumerate(cases))
+    return f"""said AS (SELECT p_partkey, 'db/m' || p_partkey || '.sql' AS path, unnest(CASE p_partkey % 6 {said} END) AS x FROM part),
+acts AS (SELECT p_partkey, path, x.o::INT AS ordinal, x.a::INT AS action, x.kind AS kind, x.t AS "table", x.n AS object_name, x.f AS after,
+  CASE WHEN x.kind LIKE 'DROP%' THEN 'DESTRUCTIVE' WHEN x.kind = 'ADD_COLUMN' THEN 'ADDITIVE' WHEN x.kind LIKE 'ALTER%' THEN 'DATA_DEPENDENT' ELSE 'UNSUPPORTED' END AS category,
+  CASE WHEN x.kind LIKE 'DROP%' THEN 'HIGH' WHEN x.kind = 'ADD_COLUMN' THEN 'LOW' WHEN x.kind LIKE 'ALTER%' THEN 'MEDIUM' ELSE 'INFO' END AS severity FROM said)"""
+
+
+SCRIPTS_SQL = _scripts_sql()
+
+
+def quoted_tables(t: Tables) -> DataFrame:
+    """CREATE TABLE statements, one per part, with quoted names, defaults that hold commas and types of several words."""
+    k = F.col("p_partkey").cast("string")
+    body = (
+        "create table \"s x\".t", k, " (id INTEGER primary key, \"weird, ", k, "\" INT4 not null, note VARCHAR DEFAULT 'a, b c NOT NULL', d numeric(10, 2) check (d is not null and d in (1, (2), 3)) unique, e, ",
+        "f primary key, constraint pk primary key (id, d), \"primary\" text, ts timestamp with time zone default (now(), 1), /* g int, */ h double precision) partition by (x)",
+    )
+    return t.part.select(F.lit("p").alias("path"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in body]).alias("text"))
