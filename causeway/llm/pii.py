@@ -33,13 +33,8 @@ PATTERNS = (
 CANDIDATE = r"(?<!\S)(?:\S++\x20(?i:at)\x20[^\s.]++(?:\x20(?i:dot)\x20[^\s.]++)++|\S+?\x20?[(\[{](?i:at)[)\]}]\x20?\S++(?:\x20?[(\[{](?i:dot)[)\]}]\x20?\S++)*+|\S*?[0-9@]\S*+(?:\x20[^\s0-9]*+[0-9]\S*+)*+)"
 #: Punctuation around a candidate.
 EDGE = r"""["'(<\[{,;:!?)>\]}.=]"""
-#: What a candidate of any shape must look like to be of a kind, and how many digits it may have.
-LOOSE = (
-    (r"^[^\s@]+@[^\s@]+$|(?i)^\S+ at \S+(?: dot \S+)+$|^\S+? ?[(\[{]at[)\]}] ?\S+", 0, 1000),
-    (r"^[0-9]+(?:(?:\.|[\[(](?:\.|dot)[\])])[0-9]+){3}(?:[:/][0-9]+)?$|^[0-9A-Fa-f]*(?::[0-9A-Fa-f]+){7}$|^[0-9A-Fa-f:]*::[0-9A-Fa-f:]*$", 0, 1000),
-    (r"^[0-9](?:[-\x20./_]{0,3}[0-9])+$", 12, 19),
-    (r"^(?!(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}$)[+(]*[0-9](?:[-\x20()./]{0,3}[0-9])+(?: ?(?:x|ext\.?) ?[0-9]+)?$", 7, 15),
-)
+#: How many digits a candidate of a kind may have.
+DIGITS = ((0, 1000), (0, 1000), (12, 19), (7, 15))
 #: Seeds a pattern needs, the score from which it extracts, and rounds of scoring.
 MIN_SEEDS, MIN_SCORE, ROUNDS = 3, 0.8, 3
 
@@ -85,10 +80,30 @@ def shape(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, r"[^\W\d_]+", "a"), "[0-9]", "9")
 
 
+def looks_like(value: Column) -> tuple[Column, ...]:
+    """For each kind: whether ``value`` has a form of it. No pattern repeats a group without bound, so that matching never recurses with the length."""
+    # what is left of a spelled-out address without its dots
+    undotted = F.regexp_replace(value, r"(?i)\x20dot\x20\S++", "")
+    spelled = (undotted != value) & undotted.rlike(r"(?i)^\S++\x20at\x20\S++$")
+    colons = value.rlike(r"^[0-9A-Fa-f:]++$") & value.contains("::")
+    # digits, with three separators at most between two of them
+    number = value.rlike(r"^[0-9][-\x20./_0-9]++(?<=[0-9])$") & ~value.rlike(r"[-\x20./_]{4}")
+    phone = value.rlike(r"^[+(]*+[0-9][-\x20()./0-9]++(?:(?<=[0-9]\x20|[0-9])(?:x|ext\.?)\x20?[0-9]++|(?<=[0-9]))$") & ~value.rlike(r"[0-9][-\x20()./]{4}")
+    date = value.rlike(r"^(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}$")
+    return (
+        value.rlike(r"^[^\s@]++@[^\s@]++$") | spelled | value.rlike(r"^\S+?\x20?[(\[{]at[)\]}]\x20?\S"),
+        value.rlike(r"^[0-9]++(?:(?:\.|[\[(](?:\.|dot)[\])])[0-9]++){3}(?:[:/][0-9]++)?$|^[0-9A-Fa-f]*+(?::[0-9A-Fa-f]++){7}$") | colons,
+        number,
+        phone & ~date,
+    )
+
+
 def loosely(value: Column) -> Column:
     """array<int> of the kinds that ``value`` could be of."""
-    n = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    return F.filter(F.array(*[F.when(value.rlike(p) & n.between(least, most), i) for i, (p, least, most) in enumerate(LOOSE)]), lambda k: k.isNotNull())
+    n = F.length(F.regexp_replace(value, "[^0-9]++", ""))
+    # the number of digits first: what can't be of a kind isn't looked at
+    fits = [F.when(n.between(*most), F.when(like, i)) for i, (most, like) in enumerate(zip(DIGITS, looks_like(value), strict=True))]
+    return F.filter(F.array(*fits), lambda k: k.isNotNull())
 
 
 def contextual(seen: DataFrame, min_seeds: int, min_score: float, rounds: int) -> DataFrame:

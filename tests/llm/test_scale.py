@@ -170,3 +170,46 @@ def test_near_copies_of_one_id_stay_apart(spark):
     rows = [(1, " ".join(words), None, "a", 1), (2, " ".join([*words, "end"]), None, "a", 1), (2, "quite another text with its own words", None, "a", 1)]
     got = corpus_pipeline.near(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted(r["text"] for r in got.collect()) == sorted([rows[0][1], rows[2][1]])
+
+
+OLD_LOOSE = (
+    (r"^[^\s@]+@[^\s@]+$|(?i)^\S+ at \S+(?: dot \S+)+$|^\S+? ?[(\[{]at[)\]}] ?\S+", 0, 1000),
+    (r"^[0-9]+(?:(?:\.|[\[(](?:\.|dot)[\])])[0-9]+){3}(?:[:/][0-9]+)?$|^[0-9A-Fa-f]*(?::[0-9A-Fa-f]+){7}$|^[0-9A-Fa-f:]*::[0-9A-Fa-f:]*$", 0, 1000),
+    (r"^[0-9](?:[-\x20./_]{0,3}[0-9])+$", 12, 19),
+    (r"^(?!(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}$)[+(]*[0-9](?:[-\x20()./]{0,3}[0-9])+(?: ?(?:x|ext\.?) ?[0-9]+)?$", 7, 15),
+)
+
+
+def test_loose_forms_equal_plain_patterns(spark):
+    """The forms without unbounded groups accept what the plain patterns accept."""
+    rng = random.Random(11)
+    values = ["2024-01-02", "a at b dot c", "A AT b DOT c dot d", "a at b dot dot c", "x(at)y", "x [at] y", "1[.]2(dot)3.4:80", "::1", "fe80::", "1:2:3:4:5:6:7:8", "+1 555 123 4567 x12", "(555) 123-4567 ext. 9", "555 1234  x9", "((5551234567", "1" * 12]
+    values += ["".join(rng.choice("012345 -./()+x:@adot_") for _ in range(rng.randrange(1, 24))) for _ in range(20_000)]
+    values += ["".join(rng.choice(["12", "345", " ", "-", ".", "   ", "    ", "(", ")", "+", " x", "ext."]) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    n = F.length(F.regexp_replace("value", "[^0-9]", ""))
+    old = F.filter(F.array(*[F.when(F.col("value").rlike(p) & n.between(a, b), i) for i, (p, a, b) in enumerate(OLD_LOOSE)]), lambda k: k.isNotNull())
+    rows = spark.createDataFrame([(v,) for v in values], "value string").select("value", old.alias("a"), pii.loosely(F.col("value")).alias("b"))
+    assert rows.filter("a <> b").take(5) == [] and rows.filter("size(a) > 0").count() > 300
+
+
+REPEATED = ["1 ", "12-", "a.", "a@b.", "1.2.3.4 ", "x dot ", "x at y dot ", "(at)", "+1 ", "555-", "::", "a:", "9", "((", " ", "A", "aB", "a-", "a/", "_", "=", "AKIA", "0f", "0123456789abcdef", "password=", "é", "4" * 16 + " ", "x" * 30 + "-"]
+
+
+@pytest.mark.parametrize("n", [1_000_000])
+def test_patterns_bear_long_repetitions(spark, n):
+    """Every pattern, on 1,000,000 characters that repeat what its groups repeat."""
+    texts = spark.createDataFrame([(x,) for x in REPEATED], "x string").repartition(4).select(F.expr(f"substring(repeat(x, cast({n} / length(x) as int) + 1), 1, {n})").alias("v"))
+    hits = [F.size(pii.loosely(F.col("v"))), *[F.size(F.regexp_extract_all("v", F.lit(p), F.lit(0))) for p in (*pii.PATTERNS, pii.CANDIDATE, *secrets.PATTERNS, secrets.CANDIDATE, secrets.STRETCH)], secrets.allowed(F.col("v")).cast("int")]
+    hits += [pii.valid(k, F.col("v")).cast("int") for k in range(4)] + [secrets.valid(k, F.col("v")).cast("int") for k in range(3)]
+    assert texts.select(F.length("v").alias("n"), *[h.alias(f"h{i}") for i, h in enumerate(hits)]).filter(F.col("n") == n).count() == len(REPEATED)
+    assert texts.select(*[F.sum(h) for h in hits]).count() == 1
+
+
+@pytest.mark.parametrize("n", [4_000, 32_000, 500_000])
+def test_tables_of_numbers_have_no_personal_data(spark, n):
+    """A text of numbers, the form that once overflowed the stack, and a phone after it."""
+    text = "7 " * n + "\nphone +49 30 1234567 ."
+    docs = spark.createDataFrame([(1, text), (2, "1 2 " * n), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in [*r["base"], *r["added"]]] for r in pii.find_pii(docs).collect()}
+    start = text.index("+")
+    assert got == {1: [(start, 3, start + len("+49 30 1234567"))], 2: [], 3: []}
