@@ -491,9 +491,9 @@ def resolve_references(t):
     return resolution.resolve(refs, list(zip(keys, symbols, strict=True))).drop("p")
 
 
-@query(f"WITH {a.FINDINGS_SQL} SELECT scope, 'risk:' || CASE category WHEN 'BLAST_RADIUS' THEN 'blast_severity' WHEN 'ROLLBACK' THEN 'rollback_unsafety' ELSE 'deployment_severity' END AS target, count(*) AS n_edges FROM findings GROUP BY ALL")
+@query(f"WITH {a.FINDINGS_SQL} SELECT scope, 'risk:' || CASE category WHEN 'BLAST_RADIUS' THEN 'blast_severity' WHEN 'API_CONTRACT' THEN 'blast_severity' WHEN 'ROLLBACK' THEN 'rollback_unsafety' ELSE 'deployment_severity' END AS target, count(*) AS n_edges FROM findings GROUP BY ALL")
 def evidence_edges(t):
-    target = F.when(F.col("category") == "BLAST_RADIUS", "risk:blast_severity").when(F.col("category") == "ROLLBACK", "risk:rollback_unsafety").otherwise("risk:deployment_severity")
+    target = F.when(F.col("category").isin("BLAST_RADIUS", "API_CONTRACT"), "risk:blast_severity").when(F.col("category") == "ROLLBACK", "risk:rollback_unsafety").otherwise("risk:deployment_severity")
     return a.findings(t).groupBy("scope", target.alias("target")).agg(F.count("*").alias("n_edges"))
 
 
@@ -542,14 +542,17 @@ def redact_connection(t):
     return t.documents.select("doc_id", F.sha2(text.redact_connection(F.col("text")), 256).alias("redacted_sha256"))
 
 
-@query(_RB + f""", {a.MIGRATION_SQL}, {a.OPERATIONS_SQL}
-SELECT 'DATABASE' AS category, kind AS rule_id, severity, concat_ws('.', "table", object_name) AS entity, category = 'DESTRUCTIVE' AS blocking FROM changes
-UNION ALL SELECT 'API_CONTRACT', 'API-ENDPOINT-REMOVED', 'HIGH', method || ' ' || path, true FROM old_ops WHERE key NOT IN (SELECT key FROM new_ops)
-UNION ALL SELECT 'API_CONTRACT', 'API-ENDPOINT-ADDED', 'LOW', method || ' ' || path, false FROM new_ops WHERE key NOT IN (SELECT key FROM old_ops)
-UNION ALL SELECT 'ROLLBACK', rule_id, severity, dependency, status = 'UNSAFE' FROM out""")
+@query(_RB + f""", {a.MIGRATION_SQL}, {a.OPERATIONS_SQL},
+judged AS (SELECT *, CASE category WHEN 'DESTRUCTIVE' THEN 'UNSAFE' WHEN 'ADDITIVE' THEN 'SAFE' WHEN 'UNSUPPORTED' THEN 'UNKNOWN' ELSE CASE WHEN ordinal % 4 = 0 THEN 'UNSAFE' ELSE 'COMPATIBLE' END END AS status, concat_ws('.', "table", object_name) AS o,
+  row_number() OVER (PARTITION BY "table" ORDER BY CASE category WHEN 'DESTRUCTIVE' THEN 5 WHEN 'DATA_DEPENDENT' THEN 4 WHEN 'ADDITIVE' THEN 2 WHEN 'UNSUPPORTED' THEN 1 ELSE 0 END DESC, CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END DESC, ordinal) AS r FROM changes),
+api AS (SELECT *, 'API-ENDPOINT-REMOVED' AS rule_id, 'HIGH' AS severity, true AS blocking FROM old_ops WHERE key NOT IN (SELECT key FROM new_ops) UNION ALL SELECT *, 'API-ENDPOINT-ADDED', 'LOW', false FROM new_ops WHERE key NOT IN (SELECT key FROM old_ops))
+SELECT sha256(o || '|' || kind)[1:16] AS finding_id, 'DATABASE' AS category, kind AS rule_id, severity, CASE WHEN status = 'UNKNOWN' THEN 0.5::DOUBLE ELSE 1::DOUBLE END AS confidence, status = 'UNSAFE' AS blocking, CASE WHEN status = 'UNKNOWN' THEN 'deployment status is unknown' END AS uncertainty, nullif(o, 'UNKNOWN') AS entity FROM judged WHERE r = 1
+UNION ALL SELECT 'api:' || rule_id || ':' || (row_number() OVER (ORDER BY path, method, rule_id) - 1), 'API_CONTRACT', rule_id, severity, 1, blocking, NULL, method || ' ' || path FROM api
+UNION ALL SELECT 'rollback:' || rule_id || ':' || dependency, 'ROLLBACK', rule_id, severity, 1, status = 'UNSAFE', NULL, dependency FROM out""")
 def findings_union(t):
-    """Findings of schema changes, contract changes and rollback in one table."""
-    return decision.from_schema(schema.changes(a.migration(t))).unionByName(decision.from_contract(endpoint_diff(t))).unionByName(decision.from_rollback(rollback_schema(t)))
+    """Findings of the primary schema change of each table, of contract changes and of rollback in one table."""
+    changes = schema.changes(a.migration(t)).withColumn("status", schema.deployment_status(F.col("category"), F.col("ordinal") % 4 == 0))
+    return decision.from_schema(schema.primary(changes, ["table"])).unionByName(decision.from_contract(endpoint_diff(t))).unionByName(decision.from_rollback(rollback_schema(t)))
 
 
 @query(f"WITH {a.FINDINGS_SQL} SELECT scope, finding_id, (row_number() OVER (PARTITION BY scope, category ORDER BY finding_id) - 1)::INT AS place FROM findings")
@@ -586,7 +589,7 @@ def evidence_nodes(t):
 
 
 @query(_EVIDENCE + """ SELECT scope, 'entity:' || entity AS source, 'finding:' || finding_id AS target, 'PRODUCES' AS kind FROM findings
-UNION ALL SELECT scope, 'finding:' || finding_id, 'risk:' || CASE category WHEN 'BLAST_RADIUS' THEN 'blast_severity' WHEN 'ROLLBACK' THEN 'rollback_unsafety' ELSE 'deployment_severity' END, 'CONTRIBUTES_TO' FROM findings
+UNION ALL SELECT scope, 'finding:' || finding_id, 'risk:' || CASE category WHEN 'BLAST_RADIUS' THEN 'blast_severity' WHEN 'API_CONTRACT' THEN 'blast_severity' WHEN 'ROLLBACK' THEN 'rollback_unsafety' ELSE 'deployment_severity' END, 'CONTRIBUTES_TO' FROM findings
 UNION ALL SELECT scope, 'risk:' || f, 'policy:' || rule, 'TRIGGERS' FROM weighed WHERE value > 0
 UNION ALL SELECT scope, 'policy:' || rule, 'verdict', 'DETERMINES' FROM rules""")
 def evidence_graph_edges(t):
@@ -711,7 +714,7 @@ def evidence_delta(t):
     return evidence.added_nodes(now, before, by).select("scope", "node_id")
 
 
-@query(f"WITH {a.FINDINGS_SQL}, f AS (SELECT scope, 'risk:' || CASE category WHEN 'BLAST_RADIUS' THEN 'blast_severity' WHEN 'ROLLBACK' THEN 'rollback_unsafety' ELSE 'deployment_severity' END AS feature, finding_id, entity FROM findings) SELECT scope, feature, 'finding:' || finding_id AS node_id FROM f UNION ALL SELECT DISTINCT scope, feature, 'entity:' || entity FROM f")
+@query(f"WITH {a.FINDINGS_SQL}, f AS (SELECT scope, 'risk:' || CASE category WHEN 'BLAST_RADIUS' THEN 'blast_severity' WHEN 'API_CONTRACT' THEN 'blast_severity' WHEN 'ROLLBACK' THEN 'rollback_unsafety' ELSE 'deployment_severity' END AS feature, finding_id, entity FROM findings) SELECT scope, feature, 'finding:' || finding_id AS node_id FROM f UNION ALL SELECT DISTINCT scope, feature, 'entity:' || entity FROM f")
 def feature_lineage(t):
     return evidence.lineage(evidence_graph_edges(t), ["scope"])
 

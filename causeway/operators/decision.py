@@ -108,17 +108,65 @@ def remediation(findings: DataFrame) -> DataFrame:
     return findings.filter(F.col("rule_id").isin("DROP_COLUMN", "DROP_TABLE")).select("finding_id", F.explode(steps).alias("s")).select(F.concat_ws(":", "finding_id", "s.step").alias("step_id"), F.col("s.priority").alias("priority"))
 
 
-def from_schema(changes: DataFrame) -> DataFrame:
-    return changes.select(F.lit("DATABASE").alias("category"), F.col("kind").alias("rule_id"), "severity", F.concat_ws(".", "table", "object_name").alias("entity"), (F.col("category") == "DESTRUCTIVE").alias("blocking"))
+# Severity of a contract change by its rule; HIGH where none is listed.
+CONTRACT_SEVERITY = {"API-ENDPOINT-ADDED": "LOW", "API-RESPONSE-ADDED": "LOW", "API-PARAM-LOCATION-CHANGED": "MEDIUM", "API-SECURITY-REQUIRED": "MEDIUM"}
 
 
-def from_contract(changes: DataFrame) -> DataFrame:
-    level = F.when(F.col("compatibility") == "BREAKING", "HIGH").when(F.col("compatibility") == "CAUTION", "MEDIUM").otherwise("LOW")
-    return changes.select(F.lit("API_CONTRACT").alias("category"), "rule_id", level.alias("severity"), F.concat_ws(" ", "method", "path").alias("entity"), (F.col("compatibility") == "BREAKING").alias("blocking"))
+def from_schema(changes: DataFrame, *keep: str) -> DataFrame:
+    """Findings of schema changes (kind, table, object_name, severity, status): UNSAFE ones block, and UNKNOWN ones count half and say so."""
+    unknown, entity = F.col("status") == "UNKNOWN", F.concat_ws(".", "table", "object_name")
+    return changes.select(
+        *keep, F.substring(F.sha2(F.concat_ws("|", entity, "kind"), 256), 1, 16).alias("finding_id"), F.lit("DATABASE").alias("category"), F.col("kind").alias("rule_id"), "severity", F.when(unknown, 0.5).otherwise(1.0).alias("confidence"),
+        (F.col("status") == "UNSAFE").alias("blocking"), F.when(unknown, "deployment status is unknown").alias("uncertainty"), F.when(entity != "UNKNOWN", entity).alias("entity"),
+    )
+
+
+def from_contract(changes: DataFrame, *keep: str) -> DataFrame:
+    """Findings of contract changes (path, method, rule_id, location, compatibility), numbered in the order of their operation, rule and place."""
+    level = F.lit("HIGH")
+    for rule, severity in CONTRACT_SEVERITY.items():
+        level = F.when(F.col("rule_id") == rule, severity).otherwise(level)
+    placed = numbered(changes, list(keep), [F.asc("path"), F.asc("method"), F.asc("rule_id"), F.asc("location")])
+    return placed.select(
+        *keep, F.concat_ws(":", F.lit("api"), "rule_id", F.col("place").cast("string")).alias("finding_id"), F.lit("API_CONTRACT").alias("category"), "rule_id", level.alias("severity"), F.lit(1.0).alias("confidence"),
+        (F.col("compatibility") == "BREAKING").alias("blocking"), F.lit(None).cast("string").alias("uncertainty"), F.concat_ws(" ", "method", "path").alias("entity"),
+    )
+
+
+def from_rollback(found: DataFrame, *keep: str) -> DataFrame:
+    """Findings of rollback (dependency, rule_id, severity, status): an UNKNOWN one tells what is missing, which is no entity."""
+    unknown = F.col("status") == "UNKNOWN"
+    return found.select(
+        *keep, F.concat_ws(":", F.lit("rollback"), "rule_id", "dependency").alias("finding_id"), F.lit("ROLLBACK").alias("category"), "rule_id", "severity", F.when(unknown, 0.0).otherwise(1.0).alias("confidence"),
+        (F.col("status") == "UNSAFE").alias("blocking"), F.when(unknown, "rollback evidence is unknown").alias("uncertainty"), F.when(~unknown, F.col("dependency")).alias("entity"),
+    )
+
+
+def missing(rows: DataFrame, finding_id: Column, category: str, severity: str, rule: str, why: str, *keep: str) -> DataFrame:
+    """Findings that only say that evidence is missing."""
+    return rows.select(*keep, finding_id.alias("finding_id"), F.lit(category).alias("category"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(0.0).alias("confidence"), F.lit(False).alias("blocking"), F.lit(why).alias("uncertainty"), F.lit(None).cast("string").alias("entity"))
+
+
+def without_rollback(unsettled: DataFrame, rollback: DataFrame, *keep: str) -> DataFrame:
+    """RB-UNKNOWN for ``unsettled`` scopes, whose rollback status is unknown, that no finding of ``rollback`` tells about."""
+    silent = unsettled.select(*keep).join(rollback.select(*keep).distinct(), list(keep), "left_anti")
+    return missing(silent, F.lit("rollback:unknown"), "ROLLBACK", "MEDIUM", "RB-UNKNOWN", "rollback evidence is unavailable", *keep)
+
+
+def unavailable(components: DataFrame, *keep: str) -> DataFrame:
+    """ANALYZER-UNAVAILABLE for each of ``components`` (component) that gave no evidence."""
+    return missing(components, F.concat_ws(":", F.lit("missing"), "component"), "DYNAMIC_REFERENCE", "MEDIUM", "ANALYZER-UNAVAILABLE", "required analyzer unavailable", *keep)
+
+
+def without_evidence(scopes: DataFrame, findings: DataFrame, *keep: str) -> DataFrame:
+    """NO_ANALYSIS_EVIDENCE for ``scopes`` that have no finding at all, so that nothing found never looks like nothing wrong."""
+    silent = scopes.select(*keep).join(findings.select(*keep).distinct(), list(keep), "left_anti")
+    return missing(silent, F.lit("analysis:no-evidence"), "DYNAMIC_REFERENCE", "INFO", "NO_ANALYSIS_EVIDENCE", "analysis evidence is unavailable", *keep)
 
 
-def from_rollback(found: DataFrame) -> DataFrame:
-    return found.select(F.lit("ROLLBACK").alias("category"), "rule_id", "severity", F.col("dependency").alias("entity"), (F.col("status") == "UNSAFE").alias("blocking"))
+def in_order(findings: DataFrame, *keep: str) -> DataFrame:
+    """``findings`` with ``place`` (from 0) within their scope, by category, rule and id."""
+    return numbered(findings, list(keep), [F.asc("category"), F.asc("rule_id"), F.asc("finding_id")])
 
 
 def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

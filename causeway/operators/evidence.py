@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The feature that a category feeds, and the features of the risk formula.
-FEATURE_OF = {"BLAST_RADIUS": "blast_severity", "DATABASE": "deployment_severity", "API_CONTRACT": "deployment_severity", "ROLLBACK": "rollback_unsafety"}
+# (a contract change counts for deployment in the score and is drawn to the blast radius; SCHEMA is drawn and counts nowhere)
+FEATURE_OF = {"BLAST_RADIUS": "blast_severity", "API_CONTRACT": "blast_severity", "DATABASE": "deployment_severity", "SCHEMA": "deployment_severity", "ROLLBACK": "rollback_unsafety"}
 FEATURES = ("blast_severity", "deployment_severity", "rollback_unsafety")
 NO_EVIDENCE = "ANALYZER-UNAVAILABLE"
 

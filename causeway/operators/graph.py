@@ -242,3 +242,78 @@ def causal_paths(edges: DataFrame, starts: DataFrame, kinds: tuple[str, ...] = (
         front = reached.filter(more).select("node", F.array_prepend("nodes", F.col("_parent")).alias("nodes"))
         if front.isEmpty():
             return done
+
+
+def _least(edges: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
+    """``node, least``: the least of the nodes from which ``edges`` lead to a node, itself included.
+
+    What a node's label leads to, the node is led to as well, so labels jump to those of their labels and settle in few rounds.
+    """
+    now, k = materialize(nodes.select("node", F.col("node").alias("least")), f"{label}-start"), 0
+    while True:
+        near = edges.join(now, edges["source"] == now["node"]).groupBy(F.col("target").alias("node")).agg(F.min("least").alias("near"))
+        lower = now.join(near, "node", "left").select("node", F.col("least").alias("was"), F.coalesce(F.least("least", "near"), "least").alias("least"))
+        jump = now.select(F.col("node").alias("least"), F.col("least").alias("next"))
+        after = lower.join(jump, "least").select("node", "was", F.least("least", "next").alias("least"))
+        after, k = materialize(after, f"{label}{k}"), k + 1
+        now = after.select("node", "least")
+        if after.filter("was <> least").isEmpty():
+            return now
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, component`` for every node of ``nodes`` (node) and of ``edges``: the least node of those that lead to each other.
+
+    Each round finds for every node the least that leads to it and the least that it leads to. Where both are one, this is the component;
+    all others fall apart by the pair, since nodes of a component have the same, and go into the next round with the edges that are left.
+    """
+    ends = edges.select(F.explode(F.array("source", "target")).alias("node"))
+    rest = materialize(nodes.select("node").unionByName(ends).distinct(), "nodes")
+    left = materialize(edges.filter("source <> target").select("source", "target").distinct(), "links")
+    found, k = None, 0
+    while True:
+        ahead = _least(left, rest, f"ahead{k}")
+        back = _least(left.select(F.col("target").alias("source"), F.col("source").alias("target")), rest, f"back{k}")
+        pair = materialize(ahead.join(back.withColumnRenamed("least", "other"), "node"), f"pairs{k}")
+        done = pair.filter("least = other").select("node", F.col("least").alias("component"))
+        found = done if found is None else found.unionByName(done)
+        open_ = pair.filter("least <> other")
+        a, b = (open_.select(F.col("node").alias(end), F.struct("least", "other").alias(f"of_{end}")) for end in ("source", "target"))
+        left = materialize(left.join(a, "source").join(b, "target").filter("of_source = of_target").select("source", "target"), f"links{k}")
+        rest, k = open_.select("node"), k + 1
+        if left.isEmpty():
+            # nodes without edges are alone
+            return found.unionByName(rest.select("node", F.col("node").alias("component")))
+
+
+def closure(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``start, node`` of everything that each of ``starts`` (start) reaches in an acyclic graph, itself included; all starts in one frontier."""
+    links = materialize(edges.select("source", "target").distinct(), "dag")
+    seen = front = materialize(starts.select("start", F.col("start").alias("node")).distinct(), "reach")
+    hop = 0
+    while True:
+        hop += 1
+        near = front.join(links, front["node"] == links["source"]).select("start", F.col("target").alias("node")).distinct()
+        front = materialize(near.join(seen, ["start", "node"], "left_anti"), f"reach{hop}")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+
+
+def impact(objects: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """``object, n_entities, n_affected``: how many entities each of ``objects`` (object) names (as by ``correlate``), and how many it names or reaches.
+
+    Cycles are condensed, so that nodes of one component are walked once and counted by its size; objects that begin in the same
+    components share their walks.
+    """
+    named = materialize(correlate(entities.select("entity_id").distinct(), objects.select("object").distinct()).distinct(), "named")
+    parts = materialize(strong_components(edges, entities.select(F.col("entity_id").alias("node"))), "components")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    dag = edges.select("source", "target").join(of("source"), "source").join(of("target"), "target").filter("of_source <> of_target")
+    begin = materialize(named.join(of("entity_id"), "entity_id").select("object", F.col("of_entity_id").alias("start")).distinct(), "begin")
+    reach = closure(begin, dag.select(F.col("of_source").alias("source"), F.col("of_target").alias("target")))
+    met = begin.join(reach, "start").select("object", F.col("node").alias("component")).distinct().join(sizes, "component")
+    counts = met.groupBy("object").agg(F.sum("size").alias("n_affected"))
+    own = named.groupBy("object").agg(F.count("*").alias("n_entities"))
+    return objects.select("object").distinct().join(own, "object", "left").join(counts, "object", "left").select("object", F.coalesce("n_entities", F.lit(0)).alias("n_entities"), F.coalesce("n_affected", F.lit(0)).alias("n_affected"))

@@ -428,3 +428,53 @@ def quoted_tables(t: Tables) -> DataFrame:
         "f primary key, constraint pk primary key (id, d), \"primary\" text, ts timestamp with time zone default (now(), 1), /* g int, */ h double precision) partition by (x)",
     )
     return t.part.select(F.lit("p").alias("path"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in body]).alias("text"))
+
+
+REQUESTS = 40
+
+
+def product(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Entities and edges of a product: columns that services read, services that call the API of their nation, clients that consume it, and
+    services that consume an API themselves, so that there are cycles."""
+
+    def edge(df: DataFrame, source: Column, target: Column, kind: str) -> DataFrame:
+        return df.select(source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"))
+
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    column = lambda c: F.concat(F.lit("t"), (F.col(c) % 50).cast("string"), F.lit(".c"), F.col(c).cast("string"))
+    entities = [t.part.filter("p_partkey % 9 <> 4").select(column("p_partkey").alias("entity_id")), t.supplier.select(named("svc.S", "s_suppkey").alias("entity_id")), t.nation.select(named("api.N", "n_nationkey").alias("entity_id")), t.customer.select(named("client.C", "c_custkey").alias("entity_id"))]
+    read = t.lineitem.filter("l_partkey % 9 <> 4").select("l_partkey", "l_suppkey").distinct()
+    consumed = t.supplier.filter("s_suppkey % 4 = 0").select("s_suppkey", ((F.col("s_suppkey") * 7 + 3) % 25).alias("n"))
+    edges = [edge(read, column("l_partkey"), named("svc.S", "l_suppkey"), "DB_READ"), edge(t.supplier, named("svc.S", "s_suppkey"), named("api.N", "s_nationkey"), "HTTP_CALL"), edge(t.customer, named("api.N", "c_nationkey"), named("client.C", "c_custkey"), "API_CONSUMES"), edge(consumed, named("api.N", "n"), named("svc.S", "s_suppkey"), "API_CONSUMES")]
+    return reduce(DataFrame.unionByName, entities), reduce(DataFrame.unionByName, edges)
+
+
+PRODUCT_SQL = """
+p_entities AS (SELECT 't' || (p_partkey % 50) || '.c' || p_partkey AS entity_id FROM part WHERE p_partkey % 9 <> 4 UNION ALL SELECT 'svc.S' || s_suppkey FROM supplier UNION ALL SELECT 'api.N' || n_nationkey FROM nation UNION ALL SELECT 'client.C' || c_custkey FROM customer),
+p_edges AS (SELECT DISTINCT 't' || (l_partkey % 50) || '.c' || l_partkey AS source, 'svc.S' || l_suppkey AS target, 'DB_READ' AS kind FROM lineitem WHERE l_partkey % 9 <> 4
+  UNION ALL SELECT 'svc.S' || s_suppkey, 'api.N' || s_nationkey, 'HTTP_CALL' FROM supplier UNION ALL SELECT 'api.N' || c_nationkey, 'client.C' || c_custkey, 'API_CONSUMES' FROM customer
+  UNION ALL SELECT 'api.N' || ((s_suppkey * 7 + 3) % 25), 'svc.S' || s_suppkey, 'API_CONSUMES' FROM supplier WHERE s_suppkey % 4 = 0)"""
+
+
+def variants(t: Tables) -> DataFrame:
+    """Requests 0 to 39, each as proposed and as an expansion that drops nothing."""
+    return t.spark.range(REQUESTS).select(F.col("id").alias("request"), F.explode(F.array(F.lit("expand"), F.lit("proposed"))).alias("variant"))
+
+
+def requested(t: Tables, changes: DataFrame) -> DataFrame:
+    """``changes`` by variant and request; every tenth request has no migration."""
+    rows = changes.withColumn("request", F.col("ordinal") % REQUESTS).filter("request % 10 <> 9")
+    return rows.join(variants(t), "request").filter("variant = 'proposed' OR category <> 'DESTRUCTIVE'")
+
+
+# Every eighth request has no contract, the old application of some is unknown, and of others whether they roll back.
+REQUESTS_SQL = f"""
+scopes AS (SELECT v || ':' || r AS scope, v AS variant, r AS request FROM range({REQUESTS}) AS x(r), (VALUES ('expand'), ('proposed')) AS y(v)),
+scoped AS (SELECT scope, request, concat_ws('.', "table", object_name) AS o, c.* FROM changes c JOIN scopes ON request = ordinal % {REQUESTS} WHERE request % 10 <> 9 AND (variant = 'proposed' OR category <> 'DESTRUCTIVE')),
+primaries AS (SELECT * FROM scoped QUALIFY row_number() OVER (PARTITION BY scope ORDER BY CASE category WHEN 'DESTRUCTIVE' THEN 5 WHEN 'DATA_DEPENDENT' THEN 4 WHEN 'ADDITIVE' THEN 2 WHEN 'UNSUPPORTED' THEN 1 ELSE 0 END DESC, CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END DESC, ordinal) = 1),
+api AS (SELECT scope, key, path, method, CASE WHEN key % 10 = 1 THEN 'API-ENDPOINT-REMOVED' ELSE 'API-ENDPOINT-ADDED' END AS rule_id FROM ops JOIN scopes ON request = key % {REQUESTS} WHERE key % 10 < 2 AND request % 8 <> 7),
+targets AS (SELECT scope, o AS origin FROM scoped WHERE o IN (SELECT entity_id FROM p_entities) UNION SELECT scope, 'api.N' || (key % 25) FROM api WHERE rule_id = 'API-ENDPOINT-REMOVED' AND 'api.N' || (key % 25) IN (SELECT entity_id FROM p_entities))"""
+
+
+#: The part of the SQL of findings that goes from findings to verdicts.
+DECIDED_SQL = FINDINGS_SQL[FINDINGS_SQL.index("worth AS") :]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from causeway.catalog import query
-from causeway.operators import schema, statements
+from causeway.catalog import _SCORED, _grown, query
+from causeway.operators import assessment, contract, decision, graph, rollback, schema, statements
 from causeway.plans import adapters as a
+from causeway.storage import materialize
 
 
 @query(f"WITH {a.SCRIPTS_SQL} SELECT path, count(DISTINCT ordinal) AS n_statements FROM acts GROUP BY path")
@@ -38,3 +39,92 @@ def script_primary_change(t):
 def quoted_tables(t):
     """Columns of CREATE TABLE statements whose names and defaults are quoted."""
     return schema.create_tables(statements.statements(a.quoted_tables(t)))
+
+
+_REACH = """cand AS (SELECT DISTINCT o, entity_id FROM {objects} JOIN p_entities ON entity_id = o UNION ALL SELECT DISTINCT o, entity_id FROM {objects} JOIN p_entities ON split_part(o, '.', 1) = split_part(entity_id, '.', 1) WHERE o NOT IN (SELECT entity_id FROM p_entities)),
+reach AS (SELECT o, entity_id FROM cand UNION SELECT o, target FROM reach JOIN p_edges ON source = entity_id),
+affected AS (SELECT o, count(*) AS n FROM reach GROUP BY o)"""
+_STATUS = "CASE category WHEN 'DESTRUCTIVE' THEN 'UNSAFE' WHEN 'DATA_DEPENDENT' THEN CASE WHEN coalesce(n, 0) > 0 THEN 'UNSAFE' ELSE 'COMPATIBLE' END WHEN 'ADDITIVE' THEN 'SAFE' ELSE 'UNKNOWN' END"
+_EXPLAINED = "CASE kind WHEN 'DROP_COLUMN' THEN 'drop_column_' || CASE WHEN coalesce(n, 0) > 0 THEN 'active_dependency' ELSE 'no_dependency' END WHEN 'DROP_TABLE' THEN 'drop_table_' || CASE WHEN coalesce(n, 0) > 0 THEN 'active_dependency' ELSE 'no_dependency' END WHEN 'ALTER_NULLABILITY' THEN 'not_null_data_dependent' WHEN 'ALTER_COLUMN_TYPE' THEN 'type_narrowing_data_dependent' WHEN 'ADD_COLUMN' THEN 'additive_safe_change' ELSE 'unsupported_change' END"
+
+
+@query(f"WITH RECURSIVE {a.MIGRATION_SQL}, {a.PRODUCT_SQL}, objects AS (SELECT *, concat_ws('.', \"table\", object_name) AS o FROM changes), {_REACH.format(objects='objects')} SELECT ordinal, o AS object, coalesce(n, 0) AS n_affected, {_STATUS} AS status, {_EXPLAINED} AS explanation FROM objects LEFT JOIN affected USING (o)")
+def change_impact(t):
+    """What each change's object is and reaches, over all changes at once, and the deployment status that follows."""
+    entities, edges = a.product(t)
+    return assessment.rehearse(schema.changes(a.migration(t)), entities, edges).select("ordinal", "object", "n_affected", "status", "explanation")
+
+
+@query(f"WITH RECURSIVE {a.PRODUCT_SQL}, up AS (SELECT entity_id AS a, entity_id AS b FROM p_entities WHERE entity_id NOT LIKE 't%' AND entity_id NOT LIKE 'client%' UNION SELECT a, target FROM up JOIN p_edges ON source = b WHERE target NOT LIKE 'client%') SELECT entity_id AS node, coalesce((SELECT min(x.b) FROM up x JOIN up y ON y.a = x.b AND y.b = x.a WHERE x.a = entity_id), entity_id) AS component FROM p_entities")
+def entity_cycles(t):
+    """The cycle that each entity is part of, named by its least entity; entities in no cycle name themselves."""
+    entities, edges = a.product(t)
+    return graph.strong_components(edges, entities.select(F.col("entity_id").alias("node")))
+
+
+def _evidence(t) -> assessment.Evidence:
+    by = ("variant", "request")
+    entities, edges = a.product(t)
+    scopes, changes = a.variants(t), a.requested(t, schema.changes(a.migration(t)))
+    of_request = lambda df, key: df.withColumn("request", F.col(key) % a.REQUESTS).join(scopes, "request")
+    old, new = a.operations(t, False), a.operations(t, True)
+    keys = old.select("path", "method", "key").unionByName(new.select("path", "method", "key")).distinct()
+    contracts = of_request(contract.endpoints(old, new).join(keys, ["path", "method"]), "key").filter("request % 8 <> 7")
+    registry = keys.select("path", "method", F.concat(F.lit("api.N"), (F.col("key") % 25).cast("string")).alias("entity"), F.col("key").alias("ordinal"))
+    known = scopes.filter("request % 12 NOT IN (5, 11)")
+    deps = a.dependencies(t).join(known)
+    lacking = scopes.filter("request % 12 = 5").select(*by, F.lit(False).alias("old_application"), *[F.lit(True).alias(c) for c in ("deployment_context", "old_schema", "new_schema", "old_api", "new_api")], F.array().cast("array<string>").alias("dynamic_dependencies"))
+    back = assessment.schema_rollback(changes.join(known, list(by), "left_semi"), a.columns(t, False), deps, by).unionByName(rollback.missing_evidence(lacking, *by).select(*by, "dependency", "rule_id", "severity", "status"))
+    components = scopes.filter("request % 10 = 9").withColumn("component", F.lit("deployment_rehearsal")).unionByName(scopes.filter("request % 8 = 7").withColumn("component", F.lit("api_contract")))
+    return assessment.Evidence(by, scopes, changes, entities, edges, contracts, registry, back, scopes.filter("request % 12 = 11"), components)
+
+
+_RUN = f"""WITH RECURSIVE {a.MIGRATION_SQL}, {a.OPERATIONS_SQL}, {a.COLUMNS_SQL}, {a.DEPENDENCIES_SQL}, {a.PRODUCT_SQL}, {a.REQUESTS_SQL}, {_REACH.format(objects='primaries')},
+{_grown('SELECT DISTINCT origin FROM targets', 2, 'p_edges')}, {_SCORED.format(k=100)},
+rehearsed AS (SELECT p.*, {_STATUS} AS status FROM primaries p LEFT JOIN affected USING (o)),
+rolled AS (SELECT scope, o, CASE kind WHEN 'DROP_COLUMN' THEN 'RB-SCHEMA-REMOVED-OLD-DEPENDENCY' WHEN 'ALTER_COLUMN_TYPE' THEN 'RB-SCHEMA-TYPE-CHANGED' END AS rule_id FROM scoped JOIN deps ON dependency = o JOIN old_columns c ON c."table" = scoped."table" AND c."column" = object_name
+  WHERE request % 12 NOT IN (5, 11) AND (kind = 'DROP_COLUMN' OR (kind = 'ALTER_COLUMN_TYPE' AND data_type <> after))),
+lacks AS (SELECT scope, 'deployment_rehearsal' AS component FROM scopes WHERE request % 10 = 9 UNION ALL SELECT scope, 'api_contract' FROM scopes WHERE request % 8 = 7 UNION ALL SELECT scope, 'blast_radius' FROM scopes WHERE scope NOT IN (SELECT scope FROM targets)),
+findings AS (
+  SELECT scope, 'blast:' || entity || ':' || (row_number() OVER (PARTITION BY scope ORDER BY origin, severity DESC, hops, entity, string_split(path, '>')) - 1) AS finding_id, 'BLAST_RADIUS' AS category, 'BLAST-DOWNSTREAM-IMPACT' AS rule_id, level AS severity, 1::DOUBLE AS confidence, false AS blocking, NULL::VARCHAR AS uncertainty, entity FROM targets JOIN blast USING (origin)
+  UNION ALL SELECT scope, sha256(o || '|' || kind)[1:16], 'DATABASE', kind, severity, CASE WHEN status = 'UNKNOWN' THEN 0.5 ELSE 1 END, status = 'UNSAFE', CASE WHEN status = 'UNKNOWN' THEN 'deployment status is unknown' END, nullif(o, 'UNKNOWN') FROM rehearsed
+  UNION ALL SELECT scope, 'api:' || rule_id || ':' || (row_number() OVER (PARTITION BY scope ORDER BY path, method, rule_id) - 1), 'API_CONTRACT', rule_id, CASE WHEN rule_id LIKE '%REMOVED' THEN 'HIGH' ELSE 'LOW' END, 1, rule_id LIKE '%REMOVED', NULL, method || ' ' || path FROM api
+  UNION ALL SELECT scope, 'rollback:' || rule_id || ':' || o, 'ROLLBACK', rule_id, CASE WHEN rule_id LIKE '%REMOVED%' THEN 'CRITICAL' ELSE 'MEDIUM' END, 1, rule_id LIKE '%REMOVED%', NULL, o FROM rolled
+  UNION ALL SELECT scope, 'rollback:RB-MISSING-OLD-APPLICATION:old_application', 'ROLLBACK', 'RB-MISSING-OLD-APPLICATION', 'MEDIUM', 0, false, 'rollback evidence is unknown', NULL FROM scopes WHERE request % 12 = 5
+  UNION ALL SELECT scope, 'rollback:unknown', 'ROLLBACK', 'RB-UNKNOWN', 'MEDIUM', 0, false, 'rollback evidence is unavailable', NULL FROM scopes WHERE request % 12 = 11
+  UNION ALL SELECT scope, 'missing:' || component, 'DYNAMIC_REFERENCE', 'ANALYZER-UNAVAILABLE', 'MEDIUM', 0, false, 'required analyzer unavailable', NULL FROM lacks)"""
+_SPLIT = "split_part(scope, ':', 1) AS variant, split_part(scope, ':', 2)::BIGINT AS request"
+
+
+@query(_RUN + f" SELECT {_SPLIT}, finding_id, category, rule_id, severity, confidence, blocking, uncertainty, entity, row_number() OVER (PARTITION BY scope ORDER BY category, rule_id, finding_id) - 1 AS place FROM findings")
+def assessed_findings(t):
+    """Findings of all six sources for every request and variant, in their order."""
+    e = _evidence(t)
+    return decision.in_order(assessment.findings(e, max_hops=2), *e.by).select(*e.by, "finding_id", "category", "rule_id", "severity", "confidence", "blocking", "uncertainty", "entity", F.col("place").cast("long").alias("place"))
+
+
+@query(_RUN + f", {a.DECIDED_SQL} SELECT {_SPLIT}, base_risk, risk, rules, verdict FROM decided")
+def assessed_verdicts(t):
+    """From changes, contracts and schemas to the verdict of every request and variant, in one run."""
+    e = _evidence(t)
+    return decision.decide(assessment.findings(e, max_hops=2), list(e.by)).select(*e.by, "base_risk", "risk", "rules", "verdict")
+
+
+@query(_RUN + f""", {a.DECIDED_SQL}, d AS (SELECT {_SPLIT}, risk, verdict, rules FROM decided),
+f AS (SELECT DISTINCT {_SPLIT}, category, rule_id, coalesce(entity, finding_id) AS what FROM findings),
+s AS (SELECT request, category, rule_id, what, bool_or(variant = 'proposed') AS b, bool_or(variant = 'expand') AS a FROM f GROUP BY ALL),
+n AS (SELECT request, count(*) FILTER (b AND NOT a) AS n_gone, count(*) FILTER (a AND NOT b) AS n_new, count(*) FILTER (a AND b) AS n_same FROM s GROUP BY request)
+SELECT request, p.risk AS risk_before, x.risk AS risk_after, x.risk - p.risk AS risk_change, p.verdict AS verdict_before, x.verdict AS verdict_after, p.rules AS rules_before, x.rules AS rules_after, n_gone, n_new, n_same
+FROM (SELECT * FROM d WHERE variant = 'proposed') p JOIN (SELECT * FROM d WHERE variant = 'expand') x USING (request) JOIN n USING (request)""")
+def counterfactual_run(t):
+    """Every request as proposed against the same request without what it drops: both go through the whole run as rows of one plan."""
+    e = _evidence(t)
+    found = materialize(assessment.findings(e, max_hops=2), "assessed")
+    return assessment.compare(found, decision.decide(found, list(e.by)), "variant", "proposed", "expand", ["request"])
+
+
+@query(f"WITH {a.FINDINGS_SQL} SELECT r AS scope, 'analysis:no-evidence' AS finding_id, 'NO_ANALYSIS_EVIDENCE' AS rule_id, 'INFO' AS severity FROM (SELECT n_nationkey AS r FROM nation) WHERE r NOT IN (SELECT scope FROM findings)")
+def silent_scopes(t):
+    """Scopes without any finding, which must not look as if nothing were wrong."""
+    scopes = t.nation.select(F.col("n_nationkey").cast("long").alias("scope"))
+    return decision.without_evidence(scopes, a.findings(t), "scope").select("scope", "finding_id", "rule_id", "severity")
