@@ -164,6 +164,27 @@ def without_evidence(scopes: DataFrame, findings: DataFrame, *keep: str) -> Data
     return missing(silent, F.lit("analysis:no-evidence"), "DYNAMIC_REFERENCE", "INFO", "NO_ANALYSIS_EVIDENCE", "analysis evidence is unavailable", *keep)
 
 
+def policy_steps(findings: DataFrame, decided: DataFrame, by: list[str]) -> DataFrame:
+    """``step_id, priority, place`` per scope: the steps of ``remediation``, or, for a scope without any, one for its first policy rule; by priority, then id."""
+    steps = findings.select(*by, "finding_id").join(remediation(findings).withColumn("finding_id", F.regexp_replace("step_id", ":(?:expand|verify)$", "")), "finding_id").select(*by, "step_id", "priority").distinct()
+    silent = decided.join(steps.select(*by).distinct(), by, "left_anti").filter("rules <> ''")
+    policy = silent.select(*by, F.concat(F.lit("policy:"), F.substring_index("rules", ",", 1)).alias("step_id"), F.lit("HIGH").alias("priority"))
+    rank = F.when(F.col("priority") == "CRITICAL", 0).when(F.col("priority") == "HIGH", 1).when(F.col("priority") == "MEDIUM", 2).otherwise(3)
+    return numbered(steps.unionByName(policy).withColumn("rank", rank), by, [F.asc("rank"), F.asc("step_id")]).drop("rank")
+
+
+def stage_flags(analyzers: DataFrame, by: list[str]) -> DataFrame:
+    """``component, stage_status`` per scope of ``capabilities``: COMPLETED if the analyzer looked at its input, and rollback if it came to a status."""
+    done = F.when(F.col("component") == "rollback", F.col("status").isin("SAFE", "CAUTION", "UNSAFE")).otherwise(F.col("status") == "ANALYZED")
+    return analyzers.select(*by, "component", F.when(done, "COMPLETED").otherwise("UNAVAILABLE").alias("stage_status"))
+
+
+def coverage_clean(scopes: DataFrame, components: DataFrame, diagnostics: DataFrame, by: list[str]) -> DataFrame:
+    """``clean`` per scope: no component is unavailable, and nothing was diagnosed."""
+    marks = components.select(*by).unionByName(diagnostics.select(*by)).distinct().withColumn("marked", F.lit(True))
+    return scopes.select(*by).distinct().join(marks, by, "left").select(*by, F.col("marked").isNull().alias("clean"))
+
+
 def in_order(findings: DataFrame, *keep: str) -> DataFrame:
     """``findings`` with ``place`` (from 0) within their scope, by category, rule and id."""
     return numbered(findings, list(keep), [F.asc("category"), F.asc("rule_id"), F.asc("finding_id")])

@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.operators.decision import numbered
+from causeway.storage import materialize
+
 # The feature that a category feeds, and the features of the risk formula.
 # (a contract change counts for deployment in the score and is drawn to the blast radius; SCHEMA is drawn and counts nowhere)
 FEATURE_OF = {"BLAST_RADIUS": "blast_severity", "API_CONTRACT": "blast_severity", "DATABASE": "deployment_severity", "SCHEMA": "deployment_severity", "ROLLBACK": "rollback_unsafety"}
@@ -126,3 +129,50 @@ def lineage(graph_edges: DataFrame, by: list[str]) -> DataFrame:
     feeds = graph_edges.filter("kind = 'CONTRIBUTES_TO'").select(*by, F.col("target").alias("feature"), F.col("source").alias("node_id"))
     made = graph_edges.filter("kind = 'PRODUCES'").select(*by, F.col("target").alias("node_id"), F.col("source").alias("_entity"))
     return feeds.unionByName(feeds.join(made, [*by, "node_id"]).select(*by, "feature", F.col("_entity").alias("node_id")).distinct())
+
+
+def verdict_chain(graph_nodes: DataFrame, graph_edges: DataFrame, by: list[str]) -> DataFrame:
+    """``node_id, kind, label, layer, place`` per group: all nodes from which edges lead to the group's verdict, in the order of layer and id.
+
+    All groups are walked back at once; a step stays within its group's own graph, and a node is met once however many edges lead on.
+    """
+    known = materialize(graph_nodes.select(*by, "node_id", "kind", "label", "layer").distinct(), "nodes")
+    back = materialize(graph_edges.select(*by, F.col("target").alias("node_id"), F.col("source").alias("__next")).distinct(), "back")
+    seen = front = materialize(known.filter("kind = 'VERDICT'").select(*by, "node_id").distinct(), "chain")
+    step = 0
+    while True:
+        step += 1
+        near = front.join(back, [*by, "node_id"]).select(*by, F.col("__next").alias("node_id")).distinct()
+        front = materialize(near.join(seen, [*by, "node_id"], "left_anti"), f"chain{step}")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return numbered(known.join(seen, [*by, "node_id"], "left_semi"), by, [F.asc("layer"), F.asc("node_id"), F.asc("label")])
+
+
+# What a claim can state: ids of findings, policy rules, dotted names of entities, and numbers.
+_IDS = r"\b(?:blast|api|rollback|missing|policy|f):[^\s,;]*[^\s,;.]"
+_RULES = r"\b(?:[A-Z]{2,}[-_])+[A-Z0-9_-]+\b"
+_NAMES = r"(?<![\w:.>/])[A-Za-z_]\w*(?:[.:][A-Za-z0-9_]+)+"
+_NUMBERS = r"(?<![\w.:/-])[0-9]+(?:\.[0-9]+)?(?![\w:/-]|\.[0-9])"
+
+
+def stated(text: Column) -> Column:
+    """array<string>: everything checkable that a text states: ids, rules, names of entities and numbers."""
+    rest = F.regexp_replace(text, f"{_IDS}|{_RULES}", " ")
+    found = [F.regexp_extract_all(t, F.lit(p), F.lit(0)) for t, p in ((text, _IDS), (F.regexp_replace(text, _IDS, " "), _RULES), (rest, _NAMES), (rest, _NUMBERS))]
+    return F.array_distinct(F.concat(*found))
+
+
+def known_facts(findings: DataFrame, decided: DataFrame, by: list[str]) -> DataFrame:
+    """``fact`` per group: what findings and the decision bear out: ids, rules, entities, the verdict, and the scores as they are written."""
+    ids = findings.select(*by, F.explode(F.array("finding_id", "rule_id", "entity")).alias("fact"))
+    numbers = decided.select(*by, F.explode(F.array(*[F.col(c).cast("string") for c in ("risk", "base_risk", "critical", "high", "unknown", "affected")], "verdict")).alias("fact"))
+    rules = _rules(decided, by).select(*by, F.explode(F.array(F.col("rule"), F.concat(F.lit("policy:"), "rule"))).alias("fact"))
+    return ids.unionByName(numbers).unionByName(rules).filter("fact IS NOT NULL").distinct()
+
+
+def unfounded(claims: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """``by, claim_id, fact``: each thing that a claim (``by``, claim_id, text) states and no fact of its group bears out."""
+    said = claims.select(*by, "claim_id", F.explode(stated(F.col("text"))).alias("fact"))
+    return said.join(facts.select(*by, "fact"), [*by, "fact"], "left_anti").select(*by, "claim_id", "fact")

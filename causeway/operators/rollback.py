@@ -53,6 +53,18 @@ def forward_missing(deps: DataFrame, schema: DataFrame) -> DataFrame:
     return deps.join(have, "dependency", "left_anti").select("dependency", F.lit("RB-FORWARD-MISSING-DEPENDENCY").alias("rule_id"), F.lit("UNSAFE").alias("status"))
 
 
+def forward_evidence(requests: DataFrame, *keep: str) -> DataFrame:
+    """An UNKNOWN finding for each of ``requests`` (``keep``, new_application, new_schema: whether each was given) that lacks one of the two."""
+    given = F.coalesce("new_application", F.lit(False)) & F.coalesce("new_schema", F.lit(False))
+    return requests.filter(~given).select(*keep, F.lit("new_application/new_schema").alias("dependency"), F.lit("RB-FORWARD-EVIDENCE-MISSING").alias("rule_id"), F.lit("MEDIUM").alias("severity"), F.lit("UNKNOWN").alias("status"), F.lit("FORWARD").alias("direction"))
+
+
+def by_direction(findings: DataFrame, by: list[str]) -> DataFrame:
+    """Findings (direction) per scope, split in those about going back and those about staying ahead, with their worst status."""
+    rank = F.when(F.col("status") == "UNSAFE", 3).when(F.col("status") == "UNKNOWN", 2).when(F.col("status") == "CAUTION", 1).otherwise(0)
+    return findings.groupBy(*by, "direction").agg(F.count("*").alias("n_findings"), F.get(F.array(*map(F.lit, ("SAFE", "CAUTION", "UNKNOWN", "UNSAFE"))), F.max(rank)).alias("status"))
+
+
 def expand_contract(changes: DataFrame, deps: DataFrame) -> DataFrame:
     """Drops of what the old version still reads."""
     drops = changes.filter(F.col("kind").startswith("DROP_")).withColumn("dependency", F.concat_ws(".", "table", "object_name"))

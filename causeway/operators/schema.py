@@ -81,6 +81,12 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("table", "column", status.alias("status"), F.col("o.data_type").alias("old_type"), F.col("n.data_type").alias("new_type"))
 
 
+def shown_differences(diff: DataFrame) -> DataFrame:
+    """The rows of ``difference`` that reports show, with ``rank``: what was removed first, then changed, then added; unchanged ones are hidden."""
+    rank = F.when(F.col("status") == "REMOVED", 0).when(F.col("status") == "CHANGED", 1).otherwise(2)
+    return diff.filter("status <> 'UNCHANGED'").withColumn("rank", rank)
+
+
 def primary(changed: DataFrame, by: list[str]) -> DataFrame:
     """Of each group the change of the highest category, then severity, then first in order (statement, then action)."""
     rank = lookup(F.col("severity"), {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}, 0)

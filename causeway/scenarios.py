@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.catalog import _SCORED, _grown, query
-from causeway.operators import assessment, contract, decision, graph, rollback, schema, statements
+from causeway.operators import assessment, contract, decision, evidence, graph, rollback, schema, snapshots, statements
 from causeway.plans import adapters as a
+from causeway.sources import sinks
 from causeway.storage import materialize
 
 
@@ -128,3 +129,139 @@ def silent_scopes(t):
     """Scopes without any finding, which must not look as if nothing were wrong."""
     scopes = t.nation.select(F.col("n_nationkey").cast("long").alias("scope"))
     return decision.without_evidence(scopes, a.findings(t), "scope").select("scope", "finding_id", "rule_id", "severity")
+
+
+_DECIDED = f"WITH {a.FINDINGS_SQL}"
+_FEEDS = "CASE WHEN category IN ('BLAST_RADIUS', 'API_CONTRACT') THEN 'blast_severity' WHEN category = 'ROLLBACK' THEN 'rollback_unsafety' ELSE 'deployment_severity' END"
+
+
+@query(f"""{_DECIDED}, rule AS (SELECT scope, unnest(string_split(rules, ',')) AS r FROM decided), valued AS (SELECT scope, unnest(['blast_severity', 'deployment_severity', 'rollback_unsafety']) AS f, unnest([blast_severity, deployment_severity, rollback_unsafety]) AS v FROM decided),
+fed AS (SELECT f.scope, f.finding_id, f.rule_id, f.entity FROM findings f JOIN valued v ON v.scope = f.scope AND v.f = {_FEEDS} AND v.v > 0),
+chain AS (SELECT scope, 'verdict' AS node_id, 'VERDICT' AS kind, verdict AS label, 93 AS layer FROM decided UNION ALL SELECT scope, 'policy:' || r, 'POLICY_RULE', r, 92 FROM rule UNION ALL SELECT scope, 'risk:' || f, 'RISK_FEATURE', f, 91 FROM valued WHERE v > 0
+  UNION ALL SELECT scope, 'finding:' || finding_id, 'FINDING', rule_id, 90 FROM fed UNION ALL SELECT DISTINCT scope, 'entity:' || entity, 'SOURCE_SYMBOL', entity, 0 FROM fed)
+SELECT *, row_number() OVER (PARTITION BY scope ORDER BY layer, node_id, label) - 1 AS place FROM chain""")
+def verdict_chain(t):
+    """Of every scope the nodes that led to its verdict, in the order of layer and id."""
+    found, by = a.findings(t), ["scope"]
+    decided = decision.decide(found, by)
+    return evidence.verdict_chain(evidence.nodes(found, decided, by), evidence.edges(found, decided, by), by).withColumn("place", F.col("place").cast("long"))
+
+
+def _claims(t):
+    """A claim per finding, of which every fifth names a wrong finding, every seventh a wrong risk and every eleventh a wrong entity."""
+    found = a.findings(t)
+    key = F.split("finding_id", ":")[1].cast("long")
+    rows = found.join(decision.decide(found, ["scope"]).select("scope", "risk", "verdict"), "scope").withColumn("k", key)
+    name = lambda wrong, right: F.when(wrong, F.concat(right, F.lit("0x"))).otherwise(right)
+    text = F.concat(F.lit("Finding "), name(F.col("k") % 5 == 0, F.col("finding_id")), F.lit(" ("), F.col("rule_id"), F.lit(") touches "), F.when(F.col("k") % 11 == 0, F.concat(F.lit("nobody."), F.col("entity"))).otherwise(F.col("entity")), F.lit("; the risk is "), (F.col("risk") + F.when(F.col("k") % 7 == 0, 1000).otherwise(0)).cast("string"), F.lit("."))
+    return rows.select("scope", F.col("k").alias("claim_id"), text.alias("text"))
+
+
+@query(f"""{_DECIDED}, c AS (SELECT scope, split_part(finding_id, ':', 2)::BIGINT AS claim_id, finding_id, entity, risk FROM findings JOIN decided USING (scope))
+SELECT scope, claim_id, finding_id || '0x' AS fact FROM c WHERE claim_id % 5 = 0 UNION ALL SELECT scope, claim_id, 'nobody.' || entity FROM c WHERE claim_id % 11 = 0 UNION ALL SELECT scope, claim_id, (risk + 1000)::VARCHAR FROM c WHERE claim_id % 7 = 0""")
+def unfounded_claims(t):
+    """What claims state in their texts and no evidence of their scope bears out: ids, rules, entities and numbers."""
+    found, by = a.findings(t), ["scope"]
+    return evidence.unfounded(_claims(t), evidence.known_facts(found, decision.decide(found, by), by), by)
+
+
+@query(f"""{_DECIDED}, d AS (SELECT * FROM findings WHERE scope % 2 = 0 OR rule_id NOT LIKE 'DROP%'), s AS (SELECT scope, finding_id || ':expand' AS step_id, CASE WHEN severity IN ('CRITICAL', 'HIGH', 'MEDIUM') THEN severity ELSE 'LOW' END AS priority FROM d WHERE rule_id LIKE 'DROP%' UNION ALL SELECT scope, finding_id || ':verify', 'HIGH' FROM d WHERE rule_id LIKE 'DROP%'),
+w AS (SELECT * FROM s UNION ALL SELECT scope, 'policy:' || split_part(rules, ',', 1), 'HIGH' FROM decided WHERE scope NOT IN (SELECT scope FROM s))
+SELECT *, row_number() OVER (PARTITION BY scope ORDER BY CASE priority WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, step_id) - 1 AS place FROM w""")
+def policy_steps(t):
+    """Steps of every scope by priority; scopes of odd number have no destructive finding, so that the policy speaks."""
+    found, by = a.findings(t), ["scope"]
+    steps = decision.policy_steps(found.filter("scope % 2 = 0 OR rule_id NOT LIKE 'DROP%'"), decision.decide(found, by), by)
+    return steps.withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {a.COLUMNS_SQL}, d AS (SELECT coalesce(o.\"table\", n.\"table\") AS \"table\", coalesce(o.\"column\", n.\"column\") AS \"column\", CASE WHEN o.\"table\" IS NULL THEN 'ADDED' WHEN n.\"table\" IS NULL THEN 'REMOVED' WHEN o.data_type = n.data_type AND o.nullable = n.nullable THEN 'UNCHANGED' ELSE 'CHANGED' END AS status FROM old_columns o FULL JOIN new_columns n ON o.\"table\" = n.\"table\" AND o.\"column\" = n.\"column\") SELECT \"table\", \"column\", status, CASE status WHEN 'REMOVED' THEN 0 WHEN 'CHANGED' THEN 1 ELSE 2 END AS rank FROM d WHERE status <> 'UNCHANGED'")
+def shown_differences(t):
+    """Schema differences as reports show them."""
+    return schema.shown_differences(schema.difference(a.columns(t, False), a.columns(t, True))).select("table", "column", "status", "rank")
+
+
+_STATS = "s AS (SELECT p_partkey, p_partkey % 3 AS nodes, p_partkey % 2 AS unsupported, p_partkey % 5 <> 0 AS has_migration, p_partkey % 7 = 0 AS migration_failed, p_partkey % 11 <> 0 AS has_target, p_partkey % 4 <> 0 AS has_contract, p_partkey % 13 = 0 AS contract_failed, ['SAFE', 'CAUTION', 'UNSAFE', 'UNKNOWN'][p_partkey % 4 + 1] AS rollback FROM part)"
+
+
+def _stats(t):
+    k = F.col("p_partkey")
+    status = F.get(F.array(*map(F.lit, ("SAFE", "CAUTION", "UNSAFE", "UNKNOWN"))), (k % 4).cast("int"))
+    stats = t.part.select("p_partkey", (k % 3).alias("nodes"), (k % 2).alias("unsupported"), (k % 5 != 0).alias("has_migration"), (k % 7 == 0).alias("migration_failed"), (k % 11 != 0).alias("has_target"), (k % 4 != 0).alias("has_contract"), (k % 13 == 0).alias("contract_failed"), status.alias("rollback"))
+    return decision.capabilities(stats, ["p_partkey"])
+
+
+@query(f"""WITH {_STATS} SELECT p_partkey, unnest(['source', 'database', 'blast_radius', 'api_contract', 'rollback']) AS component, CASE WHEN unnest([nodes > 0, has_migration AND NOT migration_failed, nodes > 0 AND has_target, has_contract AND NOT contract_failed, rollback <> 'UNKNOWN']) THEN 'COMPLETED' ELSE 'UNAVAILABLE' END AS stage_status FROM s""")
+def stage_flags(t):
+    return decision.stage_flags(_stats(t), ["p_partkey"])
+
+
+@query(f"WITH {_STATS} SELECT p_partkey, nodes > 0 AND has_migration AND NOT migration_failed AND has_contract AND NOT contract_failed AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7) AS clean FROM s")
+def coverage_clean(t):
+    """Parts whose analyzers all ran and of which nothing was diagnosed (a returned seventh line stands for a diagnosis)."""
+    lacking = _stats(t).filter("component IN ('source', 'database', 'api_contract') AND status <> 'ANALYZED'")
+    diagnosed = t.lineitem.filter("l_returnflag = 'R' AND l_linenumber = 7").select(F.col("l_partkey").alias("p_partkey"))
+    return decision.coverage_clean(t.part.select("p_partkey"), lacking, diagnosed, ["p_partkey"])
+
+
+@query(f"WITH {a.COLUMNS_SQL}, {a.DEPENDENCIES_SQL}, f AS (SELECT p_partkey % 10 AS release, 'FORWARD' AS direction, 2 AS r FROM part WHERE p_partkey % 4 < 2 UNION ALL SELECT CAST(regexp_extract(dependency, 'c([0-9]+)', 1) AS BIGINT) % 10, 'ROLLBACK', CASE WHEN nt IS NULL THEN 3 ELSE 1 END FROM (SELECT dependency, o.data_type AS ot, o.nullable AS oin, n.data_type AS nt, n.nullable AS nin FROM deps JOIN old_columns o ON dependency = o.\"table\" || '.' || o.\"column\" LEFT JOIN new_columns n ON dependency = n.\"table\" || '.' || n.\"column\") WHERE nt IS NULL OR ot <> nt OR (oin AND NOT nin)) SELECT release, direction, count(*) AS n_findings, ['SAFE', 'CAUTION', 'UNKNOWN', 'UNSAFE'][max(r) + 1] AS status FROM f GROUP BY ALL")
+def rollback_directions(t):
+    """Findings about going back and about staying ahead, per release; where the new application or schema wasn't given, the latter are unknown."""
+    key = F.col("p_partkey")
+    requests = t.part.select((key % 10).alias("release"), (key % 4 > 0).alias("new_application"), (key % 4 != 1).alias("new_schema"))
+    forward = rollback.forward_evidence(requests, "release")
+    back = rollback.schema_dependencies(a.dependencies(t), a.columns(t, False), a.columns(t, True)).select((F.regexp_extract("dependency", "c([0-9]+)", 1).cast("long") % 10).alias("release"), "status", F.lit("ROLLBACK").alias("direction"))
+    return rollback.by_direction(forward.select("release", "status", "direction").unionByName(back), ["release"])
+
+
+def _placed(df, by, *order):
+    """``df`` with ``place`` within ``by``, in an order that a report fixes."""
+    return decision.numbered(df, by, [F.asc(c) for c in order]).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {a.EDGES_SQL}, {_grown(chr(39).join(['SELECT ', 'region:0', ' AS origin']), 2)} SELECT array_to_string(nodes, '>') AS path, hops::INT AS hops, row_number() OVER (ORDER BY hops, nodes) - 1 AS place FROM found")
+def ordered_paths(t):
+    """Paths downstream of a region in the order of length, then nodes."""
+    found = graph.paths(a.edges(t, repeats=True), a.origins(t, "region:0"), 2)
+    return _placed(found.select("hops", "nodes"), [], "hops", "nodes").select(F.concat_ws(">", "nodes").alias("path"), "hops", "place")
+
+
+@query(f"WITH {a.EDGES_SQL} SELECT source, target, kind, row_number() OVER (ORDER BY source, target, kind) - 1 AS place FROM edges")
+def ordered_edges(t):
+    """All edges of the graph in their canonical order."""
+    return _placed(a.edges(t), [], "source", "target", "kind")
+
+
+@query("""WITH r AS (SELECT l_partkey AS file, l_linenumber AS line, l_suppkey AS "column", 'r' || l_orderkey AS text FROM lineitem) SELECT *, row_number() OVER (PARTITION BY file ORDER BY line, "column", text) - 1 AS place FROM r""")
+def ordered_references(t):
+    """References of each file by line, column and text."""
+    rows = t.lineitem.select(F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("column"), F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("text"))
+    return _placed(rows, ["file"], "line", "column", "text")
+
+
+@query(f"WITH {a.COLUMNS_SQL}, {a.DEPENDENCIES_SQL}, f AS (SELECT dependency AS entity, CASE WHEN nt IS NULL THEN 'RB-SCHEMA-REMOVED-OLD-DEPENDENCY' WHEN ot <> nt THEN 'RB-SCHEMA-TYPE-CHANGED' ELSE 'RB-SCHEMA-NOT-NULL-OLD-DEPENDENCY' END AS rule_id, 'ROLLBACK' AS direction FROM (SELECT dependency, o.data_type AS ot, o.nullable AS oin, n.data_type AS nt, n.nullable AS nin FROM deps JOIN old_columns o ON dependency = o.\"table\" || '.' || o.\"column\" LEFT JOIN new_columns n ON dependency = n.\"table\" || '.' || n.\"column\") WHERE nt IS NULL OR ot <> nt OR (oin AND NOT nin)) SELECT *, row_number() OVER (ORDER BY rule_id, entity, direction) - 1 AS place FROM f")
+def ordered_rollback(t):
+    """Findings of rollback by rule, entity and direction."""
+    found = rollback.schema_dependencies(a.dependencies(t), a.columns(t, False), a.columns(t, True))
+    return _placed(found.select(F.col("dependency").alias("entity"), "rule_id", F.lit("ROLLBACK").alias("direction")), [], "rule_id", "entity", "direction")
+
+
+@query(f"{_DECIDED}, r AS (SELECT DISTINCT severity FROM findings), t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'Critical' WHEN 2 THEN 'severe' END AS said FROM events) SELECT event_id, CASE WHEN upper(said) IN ('INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL') THEN upper(said) ELSE 'MEDIUM' END AS severity FROM t")
+def severity_texts(t):
+    """Severities as texts have them; what is unknown or missing is medium."""
+    said = F.when(F.col("event_id") % 4 == 0, "high").when(F.col("event_id") % 4 == 1, "Critical").when(F.col("event_id") % 4 == 2, "severe")
+    return t.events.select("event_id", decision.severity_of_text(said).alias("severity"))
+
+
+@query(f"""WITH {a.FILES_SQL}, j AS (SELECT sha256('{{"new_sha256":' || coalesce('"' || new_sha256 || '"', 'null') || ',"old_sha256":' || coalesce('"' || old_sha256 || '"', 'null') || ',"path":"' || path || '","status":"' || status || '"}}') AS h FROM diff), l AS (SELECT h[1:4] AS b, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM j GROUP BY 1) SELECT sha256(string_agg(h, ',' ORDER BY b)) AS sha256 FROM l""")
+def change_set_digest(t):
+    """One digest of all changes between two snapshots, whatever the order in which they are found."""
+    return sinks.change_set_hash(snapshots.difference(a.files(t, False), a.files(t, True)))
+
+
+@query("""WITH u AS (SELECT doc_id, lang, source, text AS head FROM documents), e AS (SELECT doc_id, lang, source, head, CASE WHEN head IS NULL THEN 'null' ELSE '"' || array_to_string(list_transform(string_split(head, ''), lambda c: CASE WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t' WHEN unicode(c) < 128 THEN c ELSE '\\u' || lpad(lower(hex(unicode(c))), 4, '0') END), '') || '"' END AS h FROM u)
+SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"head":' || h || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || '}') AS row_sha256 FROM e""")
+def ascii_row_hash(t):
+    """The digest of each document's ASCII JSON: letters beyond ASCII are escaped."""
+    rows = t.documents.select("doc_id", "lang", "source", F.col("text").alias("head"))
+    return rows.select("doc_id", F.sha2(sinks.ascii_json(sinks.sorted_struct(rows)), 256).alias("row_sha256"))

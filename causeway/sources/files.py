@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.operators.snapshots import classify, digest, ignored, language
+from causeway.sources.store import list_files
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """``path`` (below root), ``size`` and ``content`` of all files below ``root``, but for folders that analyses leave out.
 
-    Queries that don't ask for the content don't read it. Spark gives no rows for empty files, so these come from its listing of names.
+    Queries that don't ask for the content don't read it. Spark gives no rows for empty files, so these come from a listing of folders in tasks.
     """
     below = F.regexp_replace("path", r"^.*?\Q" + root.rstrip("/").split("://")[-1] + r"\E/", "").alias("path")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     full = files.select(below, F.col("length").alias("size"), "content")
-    listed = spark.createDataFrame([(unquote(name),) for name in files.inputFiles()], "path string").select(below)
-    empty = listed.join(full.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("size"), F.lit("").cast("binary").alias("content"))
+    empty = list_files(spark, root).filter("size = 0").select("path", "size", F.lit("").cast("binary").alias("content"))
     return full.unionByName(empty).filter(~ignored(F.col("path")))
 
 

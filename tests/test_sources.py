@@ -1,10 +1,11 @@
 """Sources and sinks on small folders."""
 
+import hashlib
 import json
 import zipfile
 
 from causeway.operators import contract, resolution, schema, snapshots
-from causeway.sources import archives, contracts, files, sinks
+from causeway.sources import archives, contracts, files, sinks, store
 from pyspark.sql import functions as F
 
 
@@ -67,7 +68,7 @@ def test_refused_archives_have_a_row(spark, tmp_path):
     (tmp_path / "broken.zip").write_bytes(b"no archive")
     rows = archives.unpack(spark, str(tmp_path), max_file=1000, max_archive=4000).collect()
     got = {r["archive"].rsplit("/", 1)[1]: (r["path"], r["content"] and len(r["content"]), r["refused"]) for r in rows}
-    assert got == {"small.zip": ("a.txt", 10, None), "large.zip": (None, None, "UNSAFE_PATH"), "broken.zip": (None, None, "UNSAFE_PATH")}
+    assert got == {"small.zip": ("a.txt", 10, None), "large.zip": (None, None, "ARCHIVE_TOO_LARGE"), "broken.zip": (None, None, "NOT_AN_ARCHIVE")}
 
 
 def test_entries_that_lie_do_not_end_the_job(spark, tmp_path):
@@ -89,3 +90,73 @@ def test_schema_nodes_follow_references(spark):
     got = {(r["direction"], r["location"]): (r["type"], r["required"], r["enum"]) for r in contracts.schema_nodes(docs).collect()}
     want = {"": ("object", False, []), "name": ("string", True, ["a", "b"]), "mother": (None, False, []), "tags": ("array", False, []), "tags.[]": ("string", False, [])}
     assert got == {(d, f"{at}.{k}".strip(".")): v for d, at in (("REQUEST", ""), ("RESPONSE", "200")) for k, v in want.items()}
+
+
+def test_archives_beyond_a_cell_and_of_many_entries(spark, tmp_path):
+    # the first bytes are a hole in the file, so that it is larger than any cell and takes no room
+    with open(tmp_path / "huge.zip", "wb") as f:
+        f.seek(2_300_000_000)
+        with zipfile.ZipFile(f, "w") as z:
+            z.writestr("deep/a.txt", b"x" * 10)
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
+        for i in range(100_000):
+            z.writestr(f"f{i}", str(i))
+    most = {"max_archive": 1 << 40, "max_entries": 200_000}
+    rows = archives.unpack(spark, str(tmp_path), **most)
+    n = rows.filter("refused IS NULL AND archive LIKE '%many.zip'").agg(F.count("*"), F.sum(F.decode("content", "UTF-8").cast("long"))).first()
+    assert tuple(n) == (100_000, sum(range(100_000)))
+    assert [(r["path"], len(r["content"])) for r in rows.filter("archive LIKE '%huge.zip'").collect()] == [("deep/a.txt", 10)]
+    verdicts = {r["archive"].rsplit("/", 1)[1]: r["refused"] for r in archives.unpack(spark, str(tmp_path)).collect()}
+    assert verdicts == {"huge.zip": "ARCHIVE_TOO_LARGE", "many.zip": "TOO_MANY"}
+
+
+def test_entry_that_holds_more_than_it_may(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a", b"x" * 5000)
+    raw = (tmp_path / "a.zip").read_bytes().replace((5000).to_bytes(4, "little"), (50).to_bytes(4, "little"))
+    (tmp_path / "a.zip").write_bytes(raw)
+    assert [r["refused"] for r in archives.unpack(spark, str(tmp_path), max_file=1000).collect()][0] in ("TOO_LARGE", "UNREADABLE")
+
+
+def test_written_archives_are_the_same_each_time(spark, tmp_path):
+    files = spark.createDataFrame([("one.zip", f"d/{i:03}.txt", f"text {i}".encode()) for i in range(300)] + [("two.zip", "é", b"x"), ("two.zip", "empty", None)], "archive string, path string, content binary")
+    new = spark.createDataFrame([("one.zip", "d/007.txt", b"replaced"), ("one.zip", "not there", b"x")], files.schema)
+    made = [sorted(tuple(r) for r in archives.write_archives(archives.replaced(files.repartition(n), new), str(tmp_path / f"out{n}")).collect()) for n in (1, 7)]
+    assert made[0] == made[1] and [r[:2] for r in made[0]] == [("one.zip", 300), ("two.zip", 2)]
+    a, b = ((tmp_path / f"out{n}" / "one.zip").read_bytes() for n in (1, 7))
+    assert a == b and len(a) == made[0][0][2] and hashlib.sha256(a).hexdigest() == made[0][0][3]
+    with zipfile.ZipFile(tmp_path / "out1" / "one.zip") as z:
+        assert z.namelist() == sorted(z.namelist()) and z.read("d/007.txt") == b"replaced" and z.read("d/008.txt") == b"text 8"
+    back = archives.extract(spark, str(tmp_path / "out7"))
+    assert back.count() == 302
+
+
+def test_folders_are_listed_in_tasks(spark, tmp_path):
+    for name, content in {"a/b/c d.txt": "1", "a/e%20.txt": "", "f": "22", "a/b/g/h": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    (tmp_path / "none").mkdir()
+    assert sorted((r["path"], r["size"]) for r in store.list_files(spark, str(tmp_path)).collect()) == [("a/b/c d.txt", 1), ("a/b/g/h", 0), ("a/e%20.txt", 0), ("f", 2)]
+    assert sorted((r["path"], bytes(r["content"])) for r in files.scan(spark, f"file://{tmp_path}").collect()) == [("a/b/c d.txt", b"1"), ("a/b/g/h", b""), ("a/e%20.txt", b""), ("f", b"22")]
+
+
+def test_ascii_json_equals_the_standard_library(spark):
+    values = ["plain", "é ß \u00a0", "日本", "💡𐀀\U0010ffff", "\" \\ \n\t\r", "", None]
+    rows = spark.createDataFrame([(i, v, None) for i, v in enumerate(values)], "b int, a string, c string")
+    got = {r["b"]: r["j"] for r in rows.select("b", sinks.ascii_json(sinks.sorted_struct(rows)).alias("j")).collect()}
+    assert got == {i: json.dumps({"a": v, "b": i, "c": None}, sort_keys=True, separators=(",", ":"), ensure_ascii=True) for i, v in enumerate(values)}
+
+
+def test_digest_tree_grows(spark, monkeypatch):
+    hashes = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    small = sinks.digest_of(hashes).first()[0]
+    monkeypatch.setattr(sinks, "FAN", 0.01)
+    deep = sinks.digest_of(hashes).first()[0]
+    assert small != deep == sinks.digest_of(hashes.repartition(5)).first()[0]
+
+
+def test_graph_document(spark):
+    entities = spark.createDataFrame([("b", "é"), ("a", "x")], "entity_id string, kind string")
+    edges = spark.createDataFrame([("b", "a", "CALL"), ("a", "b", "IMPORT"), ("a", "b", "CALL")], "source string, target string, kind string")
+    rows = sorted((r["section"], r["place"], r["line"]) for r in sinks.graph_document(entities, edges).collect())
+    assert rows == [("edges", 0, '{"kind":"CALL","source":"a","target":"b"}'), ("edges", 1, '{"kind":"IMPORT","source":"a","target":"b"}'), ("edges", 2, '{"kind":"CALL","source":"b","target":"a"}'), ("nodes", 0, '{"entity_id":"a","kind":"x"}'), ("nodes", 1, '{"entity_id":"b","kind":"\\u00e9"}')]
