@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 
 from causeway.operators.snapshots import archive_plan
 from causeway.sources.store import opened, place
+from causeway.storage import materialize
 
 #: Largest archive that is opened; a larger one is refused by its size.
 MAX_ARCHIVE = 25 * 2**20
-#: Entries of an archive that one task reads, and bytes that are read at a time.
-ENTRIES, PIECE = 500, 1 << 20
+#: Entries of an archive that are dealt to a task together, bytes that are read at a time, and bytes that are handed on together.
+ENTRIES, PIECE, HELD = 500, 1 << 20, 8 << 20
 LISTING = "archive string, ordinal long, name string, is_dir boolean, is_symlink boolean, file_size long, compress_size long"
 CONTENTS = "archive string, path string, content binary, refused string"
+COLUMNS = [c.split()[0] for c in CONTENTS.split(", ")]
 # Fixed value: the time that all written entries have.
 WRITTEN_AT = (2026, 1, 1, 0, 0, 0)
 #: Verdicts of archives that aren't opened or can't be.
@@ -75,7 +77,7 @@ def unpack(spark: SparkSession, root: str, max_file: int = 20 * 2**20, max_archi
     Any other archive has one row with a null path and content and the plan's verdict in ``refused``; so has an entry that can't be read
     or holds more than it declares, with its path. Entries of one archive are dealt to tasks in stretches.
     """
-    plan = judged(spark, root, max_file, max_archive, **limits)
+    plan = materialize(judged(spark, root, max_file, max_archive, **limits), "plan")
     refused = plan.filter("verdict <> 'OK'").groupBy("archive").agg(F.min_by("verdict", "ordinal").alias("refused"))
 
     def read(z: zipfile.ZipFile, e: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
@@ -95,10 +97,15 @@ def unpack(spark: SparkSession, root: str, max_file: int = 20 * 2**20, max_archi
         for batch in batches:
             for archive, ordinals in batch.groupby("archive")["ordinal"]:
                 with opened(archive) as f, zipfile.ZipFile(f) as z:
-                    infos = z.infolist()
+                    infos, rows, held = z.infolist(), [], 0
                     for i in ordinals:
                         data, why = read(z, infos[i])
-                        yield pd.DataFrame({"archive": [archive], "path": [infos[i].filename.replace("\\", "/")], "content": [data], "refused": [why]})
+                        rows.append((archive, infos[i].filename.replace("\\", "/"), data, why))
+                        held += len(data or b"")
+                        if held > HELD or len(rows) == ENTRIES:
+                            yield pd.DataFrame(rows, columns=COLUMNS)
+                            rows, held = [], 0
+                    yield pd.DataFrame(rows, columns=COLUMNS)
 
     wanted = plan.join(refused, "archive", "left_anti").filter("NOT is_dir").select("archive", "ordinal")
     stretches = wanted.repartition("archive", F.floor(F.col("ordinal") / ENTRIES)).sortWithinPartitions("archive", "ordinal")
