@@ -45,35 +45,41 @@ def security(old: DataFrame, new: DataFrame) -> DataFrame:
     return _rule(both.filter((F.size("n") > 0) & (F.coalesce(F.size("o"), F.lit(0)) <= 0)), "API-SECURITY-REQUIRED", "CAUTION", F.lit("security"))
 
 
+def path_of(nodes: DataFrame) -> Column:
+    """The names down to a node: its column ``names``, or else its location, cut at dots."""
+    return F.col("names") if "names" in nodes.columns else F.when(F.col("location") == "", F.array().cast("array<string>")).otherwise(F.split("location", r"\."))
+
+
 def schema_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Nodes (path, method, direction, location, type, required, enum) of flattened schemas: types, values and properties.
+    """Nodes (path, method, direction, names, type, required, enum) of flattened schemas: types, values and properties.
 
-    A location is the names down to the node, joined by dots; ``[]`` stands for the items of an array, and the whole schema has the empty
-    location. Of a subtree that went or came, the top alone is told; items that went or came say nothing. A property that became
-    required counts where its object had required ones before.
+    ``names`` lead down to the node; ``[]`` stands for the items of an array, and the whole schema has none. Without that column a location
+    of names joined by dots is read, in which a name with a dot looks like two. Of a subtree that went or came, the top alone is
+    told; items that went or came say nothing. A property that became required counts where its object had required ones before.
     """
-    key = ["path", "method", "direction", "location"]
-    both = old.select(*key, F.struct("type", "required", "enum").alias("o")).join(new.select(*key, F.struct("type", "required", "enum").alias("n")), key, "full_outer")
-    name = F.substring_index("location", ".", -1)
-    both = both.withColumn("name", name).withColumn("parent", F.when(F.col("location") != "", F.regexp_extract("location", r"^(.*)\.", 1)))
+    key = ["path", "method", "direction", "names"]
+    rows = lambda df, side: df.select(*key[:3], path_of(df).alias("names"), F.struct("type", "required", "enum").alias(side))
+    both = rows(old, "o").join(rows(new, "n"), key, "full_outer")
+    deep = F.size("names") > 0
+    both = both.withColumn("name", F.when(deep, F.element_at("names", -1)).otherwise("")).withColumn("parent", F.when(deep, F.slice("names", 1, F.size("names") - 1)))
     up = [*key[:3], "parent"]
     lone = both.filter("o IS NULL OR n IS NULL")
-    below = lone.select(*key[:3], F.col("location").alias("parent"), F.lit(True).alias("inside"))
+    below = lone.filter(deep).select(*key[:3], F.col("names").alias("parent"), F.lit(True).alias("inside"))
     # the node above is there on both sides, or is the schema itself
-    tops = lone.join(below.filter("parent <> ''"), up, "left").filter("inside IS NULL AND name <> '[]'")
+    tops = lone.join(below, up, "left").filter("inside IS NULL AND name <> '[]'")
     kept = both.filter("o IS NOT NULL AND n IS NOT NULL")
     held = both.filter("o.required").select(*up).distinct()
-    at = F.when(F.col("location") == "", F.col("direction")).otherwise(F.concat_ws(".", "direction", "location"))
+    at = F.concat_ws(".", "direction", "names")
     new_values = F.size(F.coalesce("n.enum", F.array().cast("array<string>"))) > 0
     old_values = F.size(F.coalesce("o.enum", F.array().cast("array<string>"))) > 0
     removed = F.when(F.col("direction") == "RESPONSE", "BREAKING").otherwise("CAUTION")
-    named = F.when(F.col("parent") == "", F.concat_ws(".", "direction", F.lit("required"), "name")).otherwise(F.concat_ws(".", "direction", "parent", F.lit("required"), "name"))
+    named = F.concat_ws(".", "direction", "parent", F.lit("required"), "name")
     newly = both.filter(F.col("n.required") & ~F.coalesce("o.required", F.lit(False))).join(held, up, "left_semi")
-    newly = newly.join(below.filter("parent <> ''"), up, "left_anti")
+    newly = newly.join(below, up, "left_anti")
     return reduce(
         DataFrame.unionByName,
         [
-            _rule(tops.filter(F.col("n").isNull() & ((F.col("location") != "") | (F.col("direction") == "RESPONSE"))), "API-PROPERTY-REMOVED", removed, at),
+            _rule(tops.filter(F.col("n").isNull() & (deep | (F.col("direction") == "RESPONSE"))), "API-PROPERTY-REMOVED", removed, at),
             _rule(tops.filter(F.col("o").isNull() & F.col("n.required")), "API-REQUIRED-ADDED", "BREAKING", at),
             _rule(newly, "API-REQUIRED-ADDED", "BREAKING", named),
             _rule(kept.filter(F.col("o.type") != F.col("n.type")), "API-TYPE-NARROWED", "BREAKING", at),

@@ -48,3 +48,11 @@ def import_edges(references: DataFrame, symbols: DataFrame) -> DataFrame:
     targets = symbols.filter("entity_id IS NOT NULL").select("symbol_id", F.col("entity_id").alias("target"))
     edges = wanted.join(primary_entities(symbols).withColumnRenamed("entity_id", "source"), "file").join(targets, "symbol_id")
     return edges.filter("source <> target").select("source", "target", F.lit("IMPORT").alias("kind")).distinct()
+
+
+def inspection(symbols: DataFrame, references: DataFrame, entities: DataFrame, digest: DataFrame) -> DataFrame:
+    """One row: files, symbols, references by whether they were resolved, entities, and the ``digest`` (sha256) of the graph."""
+    resolved = F.col("status").isin(*RESOLVED)
+    of_symbols = symbols.agg(F.count_distinct("file").alias("n_files"), F.count("*").alias("n_symbols"))
+    of_references = references.agg(F.count("*").alias("n_references"), F.count_if(resolved).alias("n_resolved"), F.count_if(F.col("status") == "UNRESOLVED").alias("n_unresolved"))
+    return of_symbols.join(of_references).join(entities.agg(F.count("*").alias("n_entities"))).join(digest.select(F.col("sha256").alias("graph_sha256")))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.operators.contract import path_of
+
 
 def schema_dependencies(deps: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Findings for ``deps`` (dependency = table.column, or a table alone) of the old version against both schemas."""
@@ -103,5 +105,5 @@ def api_fields(deps: DataFrame, old: DataFrame, new: DataFrame, new_nodes: DataF
     key = ["path", "method"]
     named = deps.select("dependency", *parse_dependency(F.col("dependency"))).filter("field IS NOT NULL AND field <> ''")
     kept = named.join(old.select(*key).distinct(), key, "left_semi").join(new.select(*key).distinct(), key, "left_semi")
-    have = new_nodes.select(*key, F.substring_index("location", ".", -1).alias("field"))
+    have = new_nodes.select(*key, F.try_element_at(path_of(new_nodes), F.lit(-1)).alias("field"))
     return kept.join(have, [*key, "field"], "left_anti").select("dependency", F.lit("RB-API-FIELD-REMOVED").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("UNSAFE").alias("status"))

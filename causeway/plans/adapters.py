@@ -478,3 +478,15 @@ targets AS (SELECT scope, o AS origin FROM scoped WHERE o IN (SELECT entity_id F
 
 #: The part of the SQL of findings that goes from findings to verdicts.
 DECIDED_SQL = FINDINGS_SQL[FINDINGS_SQL.index("worth AS") :]
+
+
+def documents_of_contracts(t: Tables, new: bool) -> DataFrame:
+    """API contracts in JSON (path, text), one per nation: an operation per customer, whose body refers to a schema that refers to itself."""
+    key = F.col("c_custkey")
+    name = F.concat(F.lit("f."), key.cast("string"))
+    ref = '"content":{"application/json":{"schema":{"$ref":"#/components/schemas/Node"}}}'
+    kept = t.customer.filter(key % 10 != (1 if new else 0))
+    operation = F.concat(F.lit('"/c/'), key.cast("string"), F.lit('":{"post":{"operationId":"c'), key.cast("string"), F.lit('","requestBody":{'), F.lit(ref), F.lit('},"responses":{"200":{"content":{"application/json":{"schema":{"type":"object","required":["'), name, F.lit('"],"properties":{"'), name, F.lit('":{"type":"'), F.when(F.lit(new) & (key % 7 == 0), "integer").otherwise("string"), F.lit('"}}}}}}}}}'))
+    whole = kept.select("c_nationkey", key.alias("k"), operation.alias("o")).groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("k", "o"))).alias("a"))
+    node = '{"type":"object","properties":{"next":{"$ref":"#/components/schemas/Node"},"v":{"type":"string","enum":["a","b"]}}}'
+    return whole.select(F.concat(F.lit("api/"), F.col("c_nationkey").cast("string"), F.lit(".json")).alias("path"), F.concat(F.lit('{"openapi":"3.0.0","components":{"schemas":{"Node":' + node + '}},"paths":{'), F.array_join(F.transform("a", lambda x: x["o"]), ","), F.lit("}}")).alias("text"))

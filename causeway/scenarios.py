@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.catalog import _SCORED, _grown, query
-from causeway.operators import assessment, contract, decision, evidence, graph, rollback, schema, snapshots, statements
+from causeway.functions import text as redactions
+from causeway.operators import assessment, contract, decision, evidence, extraction, graph, rollback, schema, snapshots, statements
 from causeway.plans import adapters as a
-from causeway.sources import sinks
+from causeway.sources import contracts, sinks
 from causeway.storage import materialize
 
 
@@ -265,3 +266,58 @@ def ascii_row_hash(t):
     """The digest of each document's ASCII JSON: letters beyond ASCII are escaped."""
     rows = t.documents.select("doc_id", "lang", "source", F.col("text").alias("head"))
     return rows.select("doc_id", F.sha2(sinks.ascii_json(sinks.sorted_struct(rows)), 256).alias("row_sha256"))
+
+
+@query("""WITH k AS (SELECT 'api/' || c_nationkey || '.json' AS contract, '/c/' || c_custkey AS path, c_custkey AS k FROM customer WHERE c_custkey % 10 <> 0)
+SELECT contract, path, 'POST' AS method, 'REQUEST' AS direction, unnest(['', 'next', 'v']) AS location, unnest(['object', NULL, 'string']) AS type, false AS required, unnest([0, 0, 2]) AS n_values FROM k
+UNION ALL SELECT contract, path, 'POST', 'RESPONSE', unnest(['200', '200.f.' || k]), unnest(['object', 'string']), unnest([false, true]), 0 FROM k""")
+def contract_nodes(t):
+    """Schema nodes read from contracts in JSON; a schema that refers to itself is followed once."""
+    nodes = contracts.schema_nodes(a.documents_of_contracts(t, False))
+    return nodes.select("contract", "path", "method", "direction", "location", "type", "required", F.size("enum").alias("n_values"))
+
+
+@query("""SELECT '/c/' || c_custkey AS path, 'POST' AS method, 'API-TYPE-NARROWED' AS rule_id, 'RESPONSE.200.f.' || c_custkey AS location, 'BREAKING' AS compatibility FROM customer WHERE c_custkey % 10 > 1 AND c_custkey % 7 = 0
+UNION ALL SELECT '/c/' || c_custkey, 'POST', 'API-ENDPOINT-REMOVED', 'endpoint', 'BREAKING' FROM customer WHERE c_custkey % 10 = 1 UNION ALL SELECT '/c/' || c_custkey, 'POST', 'API-ENDPOINT-ADDED', 'endpoint', 'SAFE' FROM customer WHERE c_custkey % 10 = 0""")
+def contract_files_diff(t):
+    """Two sets of contracts, from their texts to what changed: operations, and schema nodes of those that both have."""
+    old, new = a.documents_of_contracts(t, False), a.documents_of_contracts(t, True)
+    operations = contract.endpoints(contracts.operations(old).select("path", "method"), contracts.operations(new).select("path", "method"))
+    both = contracts.operations(old).select("path", "method").join(contracts.operations(new).select("path", "method"), ["path", "method"], "left_semi")
+    nodes = [contracts.schema_nodes(d).join(both, ["path", "method"], "left_semi") for d in (old, new)]
+    return operations.unionByName(contract.schema_nodes(*nodes))
+
+
+@query("SELECT doc_id, sha256(CASE WHEN text LIKE '%Bearer %' OR text LIKE '%postgres://%' OR text LIKE '%mysql://%' THEN '[REDACTED]' ELSE text END) AS shown_sha256 FROM documents")
+def redact_rollback(t):
+    """Values of rollback evidence; a text with a bearer token or a connection isn't shown at all."""
+    shown = redactions.redact_evidence(F.create_map(F.lit("text"), F.col("text")), redactions.ROLLBACK_MARKS)["text"]
+    return t.documents.select("doc_id", F.sha2(shown, 256).alias("shown_sha256"))
+
+
+_SYMBOLS = "old AS (SELECT DISTINCT p_brand || '.py' AS file, p_name AS symbol FROM part WHERE p_partkey % 10 <> 0), new AS (SELECT DISTINCT p_brand || '.py' AS file, p_name AS symbol FROM part WHERE p_partkey % 10 <> 1), c AS (SELECT *, 'REMOVED' AS kind FROM (SELECT * FROM old EXCEPT SELECT * FROM new) UNION ALL SELECT *, 'ADDED' FROM (SELECT * FROM new EXCEPT SELECT * FROM old))"
+
+
+@query(f"WITH {_SYMBOLS} SELECT *, row_number() OVER (ORDER BY file, symbol, kind) - 1 AS place FROM c")
+def ordered_structural_changes(t):
+    """Symbols that came or went, by file, name and kind."""
+    side = lambda gone: t.part.filter(F.col("p_partkey") % 10 != gone).select(F.concat("p_brand", F.lit(".py")).alias("file"), F.lit("FUNCTION").alias("kind"), F.col("p_name").alias("name")).distinct()
+    old, new = side(0), side(1)
+    change = lambda df, kind: df.select("file", F.col("name").alias("symbol"), F.lit(kind).alias("kind"))
+    return _placed(change(snapshots.symbols_missing(old, new), "REMOVED").unionByName(change(snapshots.symbols_missing(new, old), "ADDED")), [], "file", "symbol", "kind")
+
+
+@query(f"{_DECIDED} SELECT scope, 'entity:' || entity AS source, 'finding:' || finding_id AS target, 'PRODUCES' AS kind, row_number() OVER (PARTITION BY scope ORDER BY 'entity:' || entity, 'finding:' || finding_id) - 1 AS place FROM findings")
+def ordered_evidence_edges(t):
+    """Edges from entities to findings of every scope, by source, target and kind."""
+    found, by = a.findings(t), ["scope"]
+    made = evidence.edges(found, decision.decide(found, by), by).filter("kind = 'PRODUCES'")
+    return _placed(made, by, "source", "target", "kind")
+
+
+@query(f"""WITH {a.EXTRACTION_SQL}, e AS (SELECT DISTINCT entity_id FROM declared WHERE entity_id IS NOT NULL), h AS (SELECT sha256('{{"entity_id":"' || entity_id || '"}}') AS h FROM e), l AS (SELECT h[1:4] AS b, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM h GROUP BY 1)
+SELECT (SELECT count(DISTINCT file) FROM declared) AS n_files, (SELECT count(*) FROM declared) AS n_symbols, (SELECT count(*) FROM referred) AS n_references, (SELECT count(*) FROM referred WHERE status IN ('EXACT', 'IMPORTED', 'QUALIFIED', 'PROJECT_UNIQUE')) AS n_resolved, (SELECT count(*) FROM referred WHERE status = 'UNRESOLVED') AS n_unresolved, (SELECT count(*) FROM e) AS n_entities, (SELECT sha256(string_agg(h, ',' ORDER BY b)) FROM l) AS graph_sha256""")
+def inspection(t):
+    """Counts of an extraction with the digest of its entities, of which repeated ones count once."""
+    entities = a.declared(t).filter("entity_id IS NOT NULL").select("entity_id").dropDuplicates()
+    return extraction.inspection(a.declared(t), a.referred(t), entities, sinks.digest(entities))

@@ -45,7 +45,7 @@ def responses(contracts: DataFrame) -> DataFrame:
     return _operations(contracts).select("contract", "path", "method", F.explode(F.map_keys(_part("operation", "$.responses", "map<string,string>"))).alias("status"))
 
 
-NODES = "contract string, path string, method string, direction string, location string, type string, required boolean, enum array<string>"
+NODES = "contract string, path string, method string, direction string, location string, names array<string>, type string, required boolean, enum array<string>"
 
 
 def _resolved(value: object, components: dict, seen: frozenset) -> object:
@@ -69,20 +69,20 @@ def _body(part: object) -> object:
     return next((c["schema"] for _, c in sorted((content or {}).items()) if isinstance(c, dict) and c.get("schema") is not None), None)
 
 
-def _nodes(schema: object, location: str, required: bool) -> Iterator[tuple]:
+def _nodes(schema: object, names: list[str], required: bool) -> Iterator[tuple]:
     if not isinstance(schema, dict):
         return
-    yield location, schema.get("type"), required, [v if isinstance(v, str) else json.dumps(v) for v in schema.get("enum", [])]
-    below, names = f"{location}." if location else "", schema.get("required") or []
+    yield ".".join(names), names, schema.get("type"), required, [v if isinstance(v, str) else json.dumps(v) for v in schema.get("enum", [])]
+    needed = schema.get("required") or []
     for name, part in (schema.get("properties") or {}).items():
-        yield from _nodes(part, below + name, name in names)
-    yield from _nodes(schema.get("items"), f"{below}[]", False)
+        yield from _nodes(part, [*names, name], name in needed)
+    yield from _nodes(schema.get("items"), [*names, "[]"], False)
 
 
 def schema_nodes(contracts: DataFrame) -> DataFrame:
     """Nodes of the request and response schemas of contracts (path, text), as ``operators.contract.schema_nodes`` compares them.
 
-    Locations of responses start with their status. References within the contract are followed, but not into themselves. A contract
+    ``names`` (and ``location``, which joins them by dots) lead down to a node; those of responses start with their status. References within the contract are followed, but not into themselves. A contract
     is one row and one small document; a text that is no JSON object has no nodes.
     """
 
@@ -102,8 +102,8 @@ def schema_nodes(contracts: DataFrame) -> DataFrame:
                         if method.lower() not in METHODS or not isinstance(operation, dict):
                             continue
                         found = _resolved({k: operation.get(k) or {} for k in ("requestBody", "responses")}, parts, frozenset())
-                        of = [("REQUEST", "", found["requestBody"])]
-                        of += [("RESPONSE", str(status), r) for status, r in found["responses"].items()] if isinstance(found["responses"], dict) else []
+                        of = [("REQUEST", [], found["requestBody"])]
+                        of += [("RESPONSE", [str(status)], r) for status, r in found["responses"].items()] if isinstance(found["responses"], dict) else []
                         rows += [(contract, path, method.upper(), side, *node) for side, at, part in of for node in _nodes(_body(part), at, False)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
 

@@ -160,3 +160,13 @@ def test_graph_document(spark):
     edges = spark.createDataFrame([("b", "a", "CALL"), ("a", "b", "IMPORT"), ("a", "b", "CALL")], "source string, target string, kind string")
     rows = sorted((r["section"], r["place"], r["line"]) for r in sinks.graph_document(entities, edges).collect())
     assert rows == [("edges", 0, '{"kind":"CALL","source":"a","target":"b"}'), ("edges", 1, '{"kind":"IMPORT","source":"a","target":"b"}'), ("edges", 2, '{"kind":"CALL","source":"b","target":"a"}'), ("nodes", 0, '{"entity_id":"a","kind":"x"}'), ("nodes", 1, '{"entity_id":"b","kind":"\\u00e9"}')]
+
+
+def test_property_names_with_dots(spark):
+    def document(*names):
+        schema = {"type": "object", "properties": {n: {"type": "string"} for n in names}}
+        return json.dumps({"paths": {"/p": {"get": {"responses": {"200": {"content": {"application/json": {"schema": schema}}}}}}}})
+
+    nodes = [contracts.schema_nodes(spark.createDataFrame([("c", document(*n))], "path string, text string")) for n in (("a.b", "a"), ("a",))]
+    found = contract.schema_nodes(*nodes).select("rule_id", "location", "compatibility").collect()
+    assert [tuple(r) for r in found] == [("API-PROPERTY-REMOVED", "RESPONSE.200.a.b", "BREAKING")]
