@@ -1,12 +1,17 @@
 """Source divergence audit: how far the sources of each language differ in their words, and which words set a source apart.
 
-Terms are counted per language and source, with the number of documents, in one pass. The counts of a term over the sources of its language
-become one wide vector, an array indexed by source; functions of arrays turn it into smoothed shares and then into one contribution per
-pair of sources, which partial aggregation sums before anything is shuffled. All arithmetic is on whole numbers.
+Terms are counted per language and source, with the number of documents, in one pass over Arrow batches: a task keeps counts, not texts, and
+hands them on when they are many. The counts of a term over the sources of its language become one wide vector, an array indexed by
+source; functions of arrays turn it into smoothed shares and then into one contribution per pair of sources, which partial
+aggregation sums before anything is shuffled. All arithmetic is on whole numbers.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +25,41 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text in their order; only A-Z are lower-cased."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.when(w.rlike("[A-Z]"), F.translate(w, UPPER, LOWER)).otherwise(w))
+#: The bytes of UTF-8 text as terms have them: A-Z lower-cased, other letters and what is beyond ASCII as they are, anything else a space.
+_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+#: Counts that a task keeps before it hands them on.
+KEPT = 500_000
+
+
+def terms(text: bytes) -> list[bytes]:
+    """The terms of a text (UTF-8) in their order; only A-Z are lower-cased."""
+    return text.translate(_BYTES).split()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, n_docs`` of ``docs`` (text, lang, source): occurrences, and documents (rows) that have the term."""
-    # in sorted terms, the first of equal ones counts for the document
-    ordered = docs.select("lang", "source", F.sort_array(terms(F.col("text"))).alias("t"))
-    ordered = ordered.withColumn("t", let(F.col("t"), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("term"), F.when(F.get(t, i - 1) == w, 0).otherwise(1).alias("first")))))
-    words = ordered.select("lang", "source", F.explode("t").alias("w")).select("lang", "source", "w.term", "w.first")
-    return words.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("n_docs"))
+
+    def rows(counts: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, n_docs) in counts.items():
+            found = [pa.array([lang], pa.string()).take(pa.array([0] * len(n))), pa.array([source], pa.string()).take(pa.array([0] * len(n))), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([n_docs[t] for t in n], pa.int64())]
+            yield pa.RecordBatch.from_arrays(found, names=["lang", "source", "term", "n", "n_docs"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            for text, lang, source in zip(texts, batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True):
+                words = terms(text.as_py())
+                n, n_docs = counts.setdefault((lang, source), (Counter(), Counter()))
+                n.update(words)
+                n_docs.update(set(words))
+            if sum(len(n) for n, _ in counts.values()) > KEPT:
+                yield from rows(counts)
+                counts = {}
+        yield from rows(counts)
+
+    parts = docs.select("text", "lang", "source").mapInArrow(count, "lang string, source string, term string, n long, n_docs long")
+    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def share(n: Column, total: Column) -> Column:
@@ -73,22 +101,21 @@ def divergence(docs: DataFrame, *, text: str = "text", lang: str = "lang", sourc
     slots = materialize(slots.groupBy("lang").agg(F.array_sort(F.collect_list("slot")).alias("slots"), F.first("total_lang").alias("total_lang")), "slots")
 
     def dense(by: Column, slots: Column) -> Column:
-        found = let(F.map_from_entries(by), lambda m: F.transform(slots, lambda s: F.struct(s["source"].alias("source"), F.coalesce(F.try_element_at(m, s["source"]), F.lit(0)).alias("n"), s["total"].alias("total"))))
-        return F.transform(found, lambda x: F.struct(x["source"].alias("source"), x["n"].alias("n"), share(x["n"], x["total"]).alias("p")))
-
-    vectors = wide.join(slots, "lang").select("lang", "term", dense(F.col("by"), F.col("slots")).alias("x"), share(F.col("total"), F.col("total_lang")).alias("q"))
-    vectors = materialize(vectors, "vectors")
+        return let(F.map_from_entries(by), lambda m: F.transform(slots, lambda s: F.coalesce(F.try_element_at(m, s["source"]), F.lit(0))))
 
-    def contributions(x: Column) -> Column:
-        after = lambda a, i: F.transform(F.slice(x, i + 2, F.size(x)), lambda b, j: F.struct(i.alias("i"), (i + j + 1).alias("j"), apart(a["p"], b["p"]).alias("f")))
-        return F.filter(F.flatten(F.transform(x, after)), lambda c: c["f"] > 0)
+    vectors = wide.join(slots, "lang").select("lang", "term", "slots", dense(F.col("by"), F.col("slots")).alias("n"), share(F.col("total"), F.col("total_lang")).alias("q"))
+    vectors = materialize(vectors.select("lang", "term", "n", "q", F.zip_with("n", "slots", lambda n, s: share(n, s["total"])).alias("p")), "vectors")
 
-    one_way = vectors.select("lang", F.explode(contributions(F.col("x"))).alias("c")).groupBy("lang", "c.i", "c.j").agg(F.sum("c.f").alias("f"))
-    both = one_way.unionByName(one_way.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), "f"))
-    pairs = slots.select("lang", "slots", F.posexplode("slots").alias("i", "a")).select("lang", "i", F.col("a.source").alias("source"), F.posexplode("slots").alias("j", "b"))
-    pairs = pairs.filter("i <> j").join(both, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), F.col("b.source").alias("item"), F.coalesce("f", F.lit(0)).cast("long").alias("value"))
+    # one number for each pair of places, in the order (0, 1), (0, 2), ..., (1, 2), ...
+    after = lambda p: F.flatten(F.transform(p, lambda a, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda b: apart(a, b))))
+    one_way = vectors.select("lang", F.posexplode(let(F.col("p"), after)).alias("at", "f")).groupBy("lang", "at").agg(F.sum("f").alias("f"))
+    pairs = slots.select("lang", "slots", F.posexplode("slots").alias("i", "a")).select("lang", F.size("slots").alias("s"), "i", F.col("a.source").alias("source"), F.posexplode("slots").alias("j", "b")).filter("i <> j")
+    low, high = F.least("i", "j"), F.greatest("i", "j")
+    at = low * F.col("s") - F.floor(low * (low + 1) / 2) + high - low - 1
+    pairs = pairs.withColumn("at", at.cast("int")).join(one_way, ["lang", "at"], "left").select("lang", "source", F.lit("pair").alias("part"), F.col("b.source").alias("item"), F.coalesce("f", F.lit(0)).cast("long").alias("value"))
 
-    marks = vectors.select("lang", "term", "q", F.explode(F.filter("x", lambda s: s["n"] > 0)).alias("s")).filter("s.p > q")
+    marked = F.filter(F.arrays_zip("n", "p", "slots.source"), lambda s: (s["n"] > 0) & (s["p"] > F.col("q")))
+    marks = vectors.join(slots, "lang").select("lang", "term", "q", F.explode(marked).alias("s"))
     marks = marks.select("lang", "s.source", F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("s.p"), F.col("q")).alias("value"))
     order = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), F.asc("item")))
     return pairs.withColumn("rank", order).unionByName(marks.withColumn("rank", order).filter(F.col("rank") <= top))
