@@ -70,13 +70,21 @@ def deduplicate(docs: DataFrame, index: DigestIndex, *, doc_id: str = "doc_id",
 def _assign(rows: DataFrame, keep: list[str], index: DigestIndex, doc_id: str) -> DataFrame:
     key = F.col(doc_id).cast("long")
     rows = rows.withColumn("__salt", F.pmod(F.xxhash64(key, F.col("__chars")), F.lit(SALTS)).cast("int"))
-    best = F.max(F.struct(F.col("__chars").alias("c"), key.isNotNull().alias("known"), (-key).alias("i"))).alias("best")
+    best = F.max(F.struct(F.col("__chars").alias("c"), key.isNotNull().alias("known"), F.bitwise_not(key).alias("i"))).alias("best")
     parts = materialize(rows.groupBy("digest", "__salt").agg(best, F.count("*").alias("n")), "parts")
     groups = parts.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
-    index.append_new(groups.select("digest", (-F.col("best.i")).alias("keep_id"), F.col("best.c").alias("keep_chars"), "group_size"))
-    owner = materialize(parts.select("digest", "__salt").join(index.table(), "digest"), "owners")
+    index.append_new(groups.select("digest", F.bitwise_not(F.col("best.i")).alias("keep_id"), F.col("best.c").alias("keep_chars"), "group_size"))
+    owner = materialize(parts.select("digest", "__salt").join(index.table().select("digest", "keep_id", F.col("keep_chars").alias("__keep_chars"), "group_size"), "digest"), "owners")
     out = rows.join(owner, ["digest", "__salt"])
-    return out.select(*keep, "digest", "keep_id", "group_size", (key.eqNullSafe(F.col("keep_id")) & (F.col("__chars") == F.col("keep_chars"))).alias("kept"))
+    return out.select(*keep, "digest", "keep_id", "group_size", (key.eqNullSafe(F.col("keep_id")) & (F.col("__chars") == F.col("__keep_chars"))).alias("kept"))
+
+
+def second_delivery(docs: DataFrame, index: DigestIndex, first: Column) -> DataFrame:
+    """``delivery, doc_id, keep_id, kept`` of ``docs`` (doc_id, text) in two deliveries: rows of the condition ``first``, whose digests make the
+    index, and all others, which meet it. A null condition counts as false."""
+    early = F.coalesce(first, F.lit(False))
+    parts = [deduplicate(docs.filter(test).select("doc_id", "text"), index).select(F.lit(k).alias("delivery"), "doc_id", "keep_id", "kept") for k, test in ((1, early), (2, ~early))]
+    return parts[0].unionByName(parts[1])
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
@@ -94,6 +102,20 @@ def op9_exact_dedup(spark, sf_dir):
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def exact_dedup_deliveries(spark, sf_dir):
+    """Documents of the sources up to src14 are delivered first; those of the others are held against the standing index of their digests."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = new_index(spark)
+    out = materialize(second_delivery(docs, index, F.col("source") <= "src14"), "deliveries")
+    index.drop()
+    return out
+
+
+ORACLE_DELIVERIES = r"""
+WITH d AS (SELECT doc_id, CASE WHEN source <= 'src14' THEN 1 ELSE 2 END AS delivery, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h FROM documents),
+k AS (SELECT h, doc_id AS keep_id FROM d QUALIFY row_number() OVER (PARTITION BY h ORDER BY delivery, n DESC, doc_id) = 1)
+SELECT delivery, doc_id, keep_id, doc_id = keep_id AS kept FROM d JOIN k USING (h)"""
+
 ORACLE_OP9 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h FROM documents)

@@ -200,14 +200,15 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "wx", "y", "wy").mapInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float = THRESHOLD, weigh: str = "letters", stars: int = STARS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float = THRESHOLD, weigh: str = "letters", stars: int = STARS, sure: int | None = SURE) -> DataFrame:
     """``doc_id, node, class_id, class_size, kept`` for every row of ``docs`` (doc_id, text).
 
     ``node`` is the digest of the text; documents whose texts are equal or linked, directly or through others, have one class. ``class_id``
     is the class's smallest doc_id, whose row is kept. A null text counts as empty; texts without words are linked to equal texts
     alone. Null ids are allowed and kept only in a class without others; rows that repeat id and text are all in their class and all
     kept if that id is the class's. Texts are read whole, however long. An empty table gives an empty table. ``weigh`` is ``letters`` or
-    ``even`` (see the module).
+    ``even`` (see the module). ``sure`` is the number of standard deviations within which the last comparison in mixed buckets trusts the
+    registers' estimate; with None every pair there is verified, and only bands decide which texts meet.
     """
     if weigh not in ("letters", "even"):
         raise ValueError("weigh is 'letters' or 'even'")
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float =
         if k < stars:
             more = ordered_pairs(open_members.filter("node <> leader"), "leader", "node")
         else:
-            more = across(open_members.drop("leader"), nodes, threshold)
+            more = across(open_members.drop("leader"), nodes, threshold, sure)
         more = materialize(more.join(tried, ["a", "b"], "left_anti"), f"more{k}")
         if more.isEmpty() and k == stars:
             break
@@ -256,18 +257,20 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float =
     return classed(table.select("doc_id", "node"), groups)
 
 
-def across(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def across(members: DataFrame, nodes: DataFrame, threshold: float, sure: int | None = SURE) -> DataFrame:
     """Pairs of members of a bucket that are of different groups; those within the largest group, which may hold most rows, never meet.
 
     Sets whose weights differ too much can't be similar enough and don't meet either. A large bucket is dealt to parts of ``PART`` members,
-    each of which meets the members outside of the largest group.
+    each of which meets the members outside of the largest group. Pairs whose registers differ by more than ``sure`` standard deviations of
+    a pair just similar enough don't meet; with None, all do.
     """
     known = members.join(nodes.select("node", "keys", "few", "weight"), "node").select("key", "node", "component", "largest", "weight", "few", "keys", F.ceil(F.col("together") / PART).cast("int").alias("parts"))
     outside = known.filter("component <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("leader"), F.col("component").alias("other"), F.col("weight").alias("other_weight"), F.col("few").alias("other_few"), F.col("keys").alias("other_keys"))
     known = known.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     p = (1 - threshold) * 15 / 16  # that the four bits of a register of a pair just similar enough differ
-    most = REGISTERS * p + SURE * (REGISTERS * p * (1 - p)) ** 0.5
-    near = (differing("few", "other_few", REGISTERS // 16) <= int(most)) & (F.col("component") != F.col("other")) & (F.least("weight", "other_weight") >= F.lit(threshold) * F.greatest("weight", "other_weight"))
+    most = REGISTERS * p + (sure or 0) * (REGISTERS * p * (1 - p)) ** 0.5
+    alike = F.lit(True) if sure is None else differing("few", "other_few", REGISTERS // 16) <= int(most)
+    near = alike & (F.col("component") != F.col("other")) & (F.least("weight", "other_weight") >= F.lit(threshold) * F.greatest("weight", "other_weight"))
     # a pair that shares several buckets meets in one of them
     once = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
     return ordered_pairs(known.join(outside, ["key", "part"]).filter(near & once), "leader", "node")

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.common import WORD, materialize, read_table, text_of
+from causeway.llm.common import WORD, hashable, materialize, read_table, text_of
 
 #: Blocks of one size class of one source; a class of a source that holds a third of all rows falls into so many tasks.
 BLOCKS = 256
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, size: Column, *, weights: Sequence[float] = (5, 2, 1),
 
     offset = F.pmod(F.xxhash64(F.lit(seed), F.col("__key")), F.lit(1 << 20)) / float(1 << 20)
     crossed = F.floor(offset + part * at) - F.floor(offset + part * (at - 1))
-    ranked = rows.select(*keep, "__size", *place, F.row_number().over(Window.partitionBy(*place).orderBy("__size", F.col(doc_id), F.xxhash64(*keep))).alias("__rank"))
+    ranked = rows.select(*keep, "__size", *place, F.row_number().over(Window.partitionBy(*place).orderBy("__size", F.col(doc_id), F.xxhash64(*hashable(docs, keep)))).alias("__rank"))
     return ranked.join(blocks, place).select(*keep, F.col("__size").alias("size"), "source_size", "target", (whole + crossed).cast("long").alias("copies"))
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.common import materialize, read_table
+from causeway.llm.common import hashable, materialize, read_table
 from causeway.llm.tokens import chunks, tokenizer, vocabulary
 
 CAPACITY = 2048
@@ -126,16 +126,18 @@ def pieces(docs: DataFrame, *, path: str, capacity: int = CAPACITY, doc_id: str
 
 def pack(items: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (with ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``; rows that repeat are packed each for itself.
+    Columns of the names added are replaced; names that start with two underscores are this function's own.
 
     ``items`` is read twice, so pass a written table. Only the histogram of lengths (at most ``capacity`` rows) reaches the driver, and
     only the plan made from it (at most four runs per length and open run of sequences) goes back.
     """
     cols = [c for c in items.columns if c not in ("sequence_id", "offset")]
-    rows = items.withColumn("__block", F.pmod(F.xxhash64(*cols), F.lit(BLOCKS)).cast("int"))
-    counts = rows.groupBy("length", "__block").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = materialize(counts.select(F.col("length").alias("__length"), F.col("__block").alias("__at"), "n", before.alias("__before")), "blocks")
-    histogram = {r["__length"]: r["n"] for r in counts.groupBy("__length").agg(F.sum("n").alias("n")).collect()}
+    keys = hashable(items, cols)
+    rows = items.withColumn("__block", F.pmod(F.xxhash64(*keys), F.lit(BLOCKS)).cast("int"))
+    counts = rows.groupBy("length", "__block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = materialize(counts.select(F.col("length").alias("__length"), F.col("__block").alias("__at"), "__n", before.alias("__before")), "blocks")
+    histogram = {r["__length"]: r["__n"] for r in counts.groupBy("__length").agg(F.sum("__n").alias("__n")).collect()}
     runs = plan(histogram, capacity)
     wide = runs["length"].to_numpy(np.int64) * 2**44 + runs["rank"].to_numpy(np.int64)  # ascending lengths for the search
     order = np.argsort(wide)
@@ -150,7 +152,7 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             out = [batch.column(c) for c in cols]
             yield pa.RecordBatch.from_arrays([*out, pa.array(sequence[i] + k // per[i]), pa.array(offset[i] + k % per[i] * length)], names=[*cols, "sequence_id", "offset"])
 
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__block").orderBy(*cols)))
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__block").orderBy(*keys)))
     ranked = ranked.join(counts, (F.col("length") == F.col("__length")) & (F.col("__block") == F.col("__at")))
     ranked = ranked.select(*cols, (F.col("__before") + F.col("__rank") - 1).alias("__rank"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*cols).schema.fields)

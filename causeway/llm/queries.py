@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from causeway.llm.binary import op4_token_ids
 from causeway.llm.divergence import ORACLE_OP13, op13_source_divergence
-from causeway.llm.exact import ORACLE_OP9, op9_exact_dedup
+from causeway.llm.exact import ORACLE_DELIVERIES, ORACLE_OP9, exact_dedup_deliveries, op9_exact_dedup
 from causeway.llm.language import op8_language
 from causeway.llm.minhash import op1_minhash
 from causeway.llm.mixing import op2_mix_sources
@@ -31,5 +31,6 @@ QUERIES = {
     "op12_hard_negatives": op12_hard_negatives,
     "op13_source_divergence": op13_source_divergence,
     "simhash_search": simhash_search,
+    "exact_dedup_deliveries": exact_dedup_deliveries,
 }
-ORACLES = {"op9_exact_dedup": ORACLE_OP9, "op10_url_filter": ORACLE_OP10, "op12_hard_negatives": ORACLE_OP12, "op13_source_divergence": ORACLE_OP13}
+ORACLES = {"exact_dedup_deliveries": ORACLE_DELIVERIES, "op9_exact_dedup": ORACLE_OP9, "op10_url_filter": ORACLE_OP10, "op12_hard_negatives": ORACLE_OP12, "op13_source_divergence": ORACLE_OP13}

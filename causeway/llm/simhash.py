@@ -164,9 +164,21 @@ def op3_simhash(spark, sf_dir):
 
 def simhash_search(spark, sf_dir):
     """Documents whose id is divisible by 50, searched against all: how many other rows are within 3 bits of each."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    prints = materialize(fingerprints(docs, key=["doc_id"]), "prints")
-    asked = prints.filter("doc_id % 50 = 0")
-    held = prints.groupBy("f1", "f2").agg(F.count("*").alias("n_rows"))
+    return near_counts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 50 == 0)
+
+
+def near_counts(docs: DataFrame, queries: Column) -> DataFrame:
+    """``doc_id, n_near`` for every row of ``docs`` (doc_id, text) of the condition ``queries``: how many other rows are within 3 bits.
+
+    Rows are told apart by id and text: rows that repeat an id with different texts have a fingerprint each, and rows with a null id are found
+    by others. A null text counts as empty; an empty table gives an empty table.
+    """
+    rows = materialize(keyed_rows(docs, F.col("doc_id"), queries.alias("asks")).groupBy("id0", "h", "doc_id", "asks").agg(F.count("*").alias("times")), "rows")
+    texts = keyed_rows(docs, text_of(docs).alias("text"))
+    prints = materialize(fingerprints(texts, key=["id0", "h"]).join(rows, ["id0", "h"]), "prints")
+    asked = prints.filter("asks")
+    held = prints.groupBy("f1", "f2").agg(F.sum("times").alias("n_rows"))
     found = hamming_search(asked, prints).join(held, ["f1", "f2"]).groupBy("q1", "q2").agg(F.sum("n_rows").alias("n"))
-    return asked.join(found, (asked["f1"] == found["q1"]) & (asked["f2"] == found["q2"])).select("doc_id", (F.col("n") - 1).alias("n_near"))
+    # rows that repeat both id and text come back as often
+    each = asked.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.join(found, (each["f1"] == found["q1"]) & (each["f2"] == found["q2"])).select("doc_id", (F.col("n") - 1).alias("n_near"))

@@ -96,7 +96,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFr
     A rule fits its host and all subdomains if the path starts with the rule's. The longest rule (host and path together)
     wins, then the one with the longer host. A null url, or one without ``://``, has an empty host and path and the default
     verdict. Repeated rows stay; an empty table or an empty rule list is fine; urls are read whole, however long. ``rules`` are a list of
-    (verdict, host, path), of which the last of a host and path counts, or a table of these columns, one row a host and path. Lists
+    (verdict, host, path), of which the last of a host and path counts, or a table of these columns, of whose rows with
+    one host and path that with the greatest verdict, by name, counts. Lists
     longer than ``max_entries``, if given, are taken as a table.
     """
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
@@ -133,18 +134,19 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFr
 
 def _by_join(split: DataFrame, keep: list[str], rules: DataFrame, default: str) -> DataFrame:
     """The same by a join of candidates with the rules. Only the different lengths of the rules' paths reach the driver."""
-    table = rules.select(F.col("verdict").alias("r_verdict"), F.col("host").alias("r_host"), F.col("path").alias("r_path"))
+    table = rules.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
     lengths = sorted(r["n"] for r in table.select(F.length("r_path").alias("n")).distinct().collect())
-    rows = split.withColumn("__row", F.struct(*keep, "host", "path"))
+    # host and path alone decide, so that equal urls are judged once
+    urls = split.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    near = rows.select("__row", "path", F.explode(hosts).alias("r_host")).filter("r_host <> ''")
-    near = near.select("__row", "r_host", F.explode(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")])).alias("r_path"))
+    near = urls.select("host", "path", F.explode(hosts).alias("r_host")).filter("r_host <> ''")
+    near = near.select("host", "path", "r_host", F.explode(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")])).alias("r_path"))
     hits = near.join(table, ["r_host", "r_path"])
     size = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"))
-    best = hits.groupBy("__row").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), size).alias("b"))
-    out = rows.join(best, "__row", "left")
-    return out.select("__row.*", F.col("b.rule").alias("rule"), F.coalesce(F.col("b.verdict"), F.lit(default)).alias("verdict"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), size).alias("b"))
+    out = split.join(best, ["host", "path"], "left")
+    return out.select(*keep, "host", "path", F.col("b.rule").alias("rule"), F.coalesce(F.col("b.verdict"), F.lit(default)).alias("verdict"))
 
 
 def op10_url_filter(spark, sf_dir):

@@ -79,10 +79,10 @@ def test_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     stats = quality.statistics(spark.read.parquet(f"{sf}/documents.parquet"), keep=["doc_id"])
     rows = quality.labelled_rows(stats, spark.read.parquet(f"{sf}/labels.parquet")).cache()
-    rules = quality.learn(rows.filter("doc_id % 3 <> 0"))
+    rules = quality.learn(rows.filter("doc_id % 3 <> 0").filter(~quality.base_failed()))
     seen = quality.judge(rows.filter("doc_id % 3 = 0"), rules).groupBy("good").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
     kept = {r["good"]: r["k"] for r in seen}
-    assert kept[True] >= 0.95 and kept[False] <= 0.35
+    assert kept[True] >= 0.95 and kept[False] <= 0.1
 
 
 def mined(rows, every, positives=5, n=10):
