@@ -4,10 +4,10 @@ A block's ids are cut into lanes of ``LANE`` ids, which numpy codes side by side
 mixture of three predictions: order 0 gives the frequencies of all ids; order 1 and order 2 give the id that followed the same id, or
 the same two ids, before. The weights of the mixture depend on how often order 1 and order 2 were right in this context (16 pairs of
 confidences), and move towards each prediction's share in the probability of the ids seen (one step of expectation-maximisation an
-epoch). All of it is learned from the block itself, anew after each ``EPOCH`` steps, so that writer and reader hold the same model;
-nothing is kept from block to block.
+epoch). All of it is learned from the block itself, anew after each epoch, so that writer and reader hold the same model; epochs are one step
+long at first and grow to ``EPOCH`` steps, so that little is coded by a model that knows nothing. Nothing is kept from block to block.
 
-Layout (little-endian): ``CXR3``, u32 documents, u64 ids, u32 vocabulary, the documents' ids (i64, nulls by a bit mask) and numbers of ids (u32),
+Layout (little-endian): ``CXR4``, u32 documents, u64 ids, u32 vocabulary, the documents' ids (i64, nulls by a bit mask) and numbers of ids (u32),
 the lanes' numbers of 16-bit words (u32), the words, u32 crc32 of all before.
 """
 
@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"CXR3"
+MAGIC = b"CXR4"
 LANE, EPOCH = 256, 16
 #: Bits of the weights of a mixture and of the frequencies of order 0; their products share out a step's range.
 MIX_BITS, ID_BITS = 12, 20
@@ -108,6 +109,15 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, n - (lanes - 1) * LANE
 
 
+def _epochs(steps: int) -> Iterator[tuple[int, int]]:
+    """(first step, steps) of each epoch: as many steps as came before, one at least and EPOCH at most."""
+    at = 0
+    while at < steps:
+        size = min(max(1, at), EPOCH)
+        yield at, size
+        at += size
+
+
 def _moving(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
     """Lanes whose first 16 bits are settled or whose range is too small."""
     return ((low ^ (low + rng)) < _TOP) | (rng < _BOT)
@@ -183,26 +193,26 @@ def code_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((LANE + 2, lanes), np.int64)  # two rows of 0 stand before the lanes' ids
     x[2:] = lane.reshape(lanes, LANE).T
     model, out = Model(vocabulary), _Writer(lanes)
-    for at in range(0, LANE if lanes > 1 else last, EPOCH):
-        ids, one, two = x[at + 2 : at + 2 + EPOCH], x[at + 1 : at + 1 + EPOCH], x[at : at + EPOCH]
+    for at, size in _epochs(LANE if lanes > 1 else last):
+        ids, one, two = x[at + 2 : at + 2 + size], x[at + 1 : at + 1 + size], x[at : at + size]
         place, first, second = model.look(one, two)
         cum, freq = model.interval(ids, first >> 2, second >> 2, *model.weights(first, second)[1:])
-        for s in range(EPOCH):
+        for s in range(size):
             m = lanes if at + s < last else lanes - 1
             if m:
                 out.put(cum[s, :m], freq[s, :m], m)
-        _learn(model, at, lanes, last, ids, one, place, first, second)
+        _learn(model, at, size, lanes, last, ids, one, place, first, second)
     out.close()
     return out.words[np.arange(out.words.shape[1]) < out.used[:, None]], out.used.astype(np.uint32)
 
 
-def _learn(model: Model, at: int, lanes: int, last: int, *rows: np.ndarray) -> None:
-    """The model takes in the epoch from step ``at`` on, but for what the last lane doesn't have."""
-    if at + EPOCH <= last:
+def _learn(model: Model, at: int, size: int, lanes: int, last: int, *rows: np.ndarray) -> None:
+    """The model takes in the ``size`` steps from ``at`` on, but for what the last lane doesn't have."""
+    if at + size <= last:
         model.learn(*(r.ravel() for r in rows))
     else:
-        there = np.ones((EPOCH, lanes), bool)
-        there[:, -1] = np.arange(at, at + EPOCH) < last
+        there = np.ones((size, lanes), bool)
+        there[:, -1] = np.arange(at, at + size) < last
         model.learn(*(r[there] for r in rows))
 
 
@@ -214,9 +224,9 @@ def decode_ids(words: np.ndarray, used: np.ndarray, n: int, vocabulary: int) ->
     x = np.zeros((LANE + 2, lanes), np.int64)
     model, source = Model(vocabulary), _Reader(words, used.astype(np.int64))
     place, first, second = (np.zeros((EPOCH, lanes), np.int64) for _ in range(3))
-    for at in range(0, LANE if lanes > 1 else last, EPOCH):
+    for at, size in _epochs(LANE if lanes > 1 else last):
         names = model.names()
-        for s in range(EPOCH):
+        for s in range(size):
             m = lanes if at + s < last else lanes - 1
             if not m:
                 break
@@ -240,7 +250,7 @@ def decode_ids(words: np.ndarray, used: np.ndarray, n: int, vocabulary: int) ->
             cum, freq = model.parts(ids, w)
             source.take(cum + added, freq + is_a * wa + is_b * wb, m)
             x[at + s + 2, :m] = ids
-        _learn(model, at, lanes, last, x[at + 2 : at + 2 + EPOCH], x[at + 1 : at + 1 + EPOCH], place, first, second)
+        _learn(model, at, size, lanes, last, x[at + 2 : at + 2 + size], x[at + 1 : at + 1 + size], place[:size], first[:size], second[:size])
     return x[2:].T.ravel()[:n].astype(np.uint32)
 
 

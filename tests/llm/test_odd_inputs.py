@@ -3,10 +3,14 @@
 import random
 from collections import Counter
 
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import tokenizers
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from causeway.llm import exact, minhash, mixing, packing, simhash, urls
+from causeway.llm import exact, minhash, mixing, packing, rangecoder, simhash, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +88,17 @@ def test_classes_with_and_without_the_estimate(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     classes = [sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in minhash.near_duplicates(docs, sure=sure).collect()) for sure in (minhash.SURE, None)]
     assert classes[0] == classes[1] and any(size > 1 for _, _, size in classes[0])
+
+
+def test_three_orders_beat_a_fixed_table_of_order_0():
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    t = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    ids = np.concatenate([np.array([*e.ids, 0], np.uint32) for e in t.encode_batch(texts, add_special_tokens=False)])
+    words, used = rangecoder.code_ids(ids, t.get_vocab_size())
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    order0 = -(share * np.log2(share)).sum() / 8
+    # the table itself, which order 0 would need besides, isn't even counted
+    assert (2 * len(words) + 4 * len(used)) / len(ids) < 0.97 * order0
+    for n in (1, 2, 3, 17, 255, 256, 257, 5000, 70_001):
+        w, u = rangecoder.code_ids(ids[:n], t.get_vocab_size())
+        assert (rangecoder.decode_ids(w, u, n, t.get_vocab_size()) == ids[:n]).all()
