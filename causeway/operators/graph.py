@@ -317,3 +317,10 @@ def impact(objects: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFra
     counts = met.groupBy("object").agg(F.sum("size").alias("n_affected"))
     own = named.groupBy("object").agg(F.count("*").alias("n_entities"))
     return objects.select("object").distinct().join(own, "object", "left").join(counts, "object", "left").select("object", F.coalesce("n_entities", F.lit(0)).alias("n_entities"), F.coalesce("n_affected", F.lit(0)).alias("n_affected"))
+
+
+def convergence_links(found: DataFrame) -> DataFrame:
+    """``entity, origin, n_origins`` of entities that two origins or more reach: a row per pair, so that no hub's origins meet in one list."""
+    pairs = found.select("entity", "origin").distinct()
+    shared = pairs.groupBy("entity").agg(F.count("*").alias("n_origins")).filter("n_origins >= 2")
+    return pairs.join(shared, "entity")

@@ -321,3 +321,10 @@ def inspection(t):
     """Counts of an extraction with the digest of its entities, of which repeated ones count once."""
     entities = a.declared(t).filter("entity_id IS NOT NULL").select("entity_id").dropDuplicates()
     return extraction.inspection(a.declared(t), a.referred(t), entities, sinks.digest(entities))
+
+
+@query(f"WITH {a.EDGES_SQL}, p AS (SELECT DISTINCT target AS entity, source AS origin FROM edges WHERE source LIKE 'supplier:%') SELECT entity, origin, count(*) OVER (PARTITION BY entity) AS n_origins FROM p QUALIFY n_origins >= 2")
+def convergent_pairs(t):
+    """Parts that several suppliers' blast radius reaches, with each of these."""
+    starts = t.supplier.select(a.node("supplier", "s_suppkey").alias("origin"))
+    return graph.convergence_links(graph.blast_radius(a.edges(t, repeats=True), starts, 1, 1_000_000))
