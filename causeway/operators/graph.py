@@ -244,21 +244,23 @@ def causal_paths(edges: DataFrame, starts: DataFrame, kinds: tuple[str, ...] = (
             return done
 
 
-def _least(edges: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
-    """``node, least``: the least of the nodes from which ``edges`` lead to a node, itself included.
+def _least(links: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
+    """``node, ahead, back``: the least node that leads to a node, and the least that it leads to, itself included.
 
-    What a node's label leads to, the node is led to as well, so labels jump to those of their labels and settle in few rounds.
+    Both are found at once, over links (back, source, target) of both directions. What a node's label leads to, the node is led to as
+    well, so labels jump to those of their labels and settle in few rounds.
     """
-    now, k = materialize(nodes.select("node", F.col("node").alias("least")), f"{label}-start"), 0
+    both = nodes.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("back"), "node")
+    now, k = materialize(both.select("back", "node", F.col("node").alias("least")), f"{label}-start"), 0
     while True:
-        near = edges.join(now, edges["source"] == now["node"]).groupBy(F.col("target").alias("node")).agg(F.min("least").alias("near"))
-        lower = now.join(near, "node", "left").select("node", F.col("least").alias("was"), F.coalesce(F.least("least", "near"), "least").alias("least"))
-        jump = now.select(F.col("node").alias("least"), F.col("least").alias("next"))
-        after = lower.join(jump, "least").select("node", "was", F.least("least", "next").alias("least"))
+        near = now.withColumnRenamed("node", "source").join(links, ["back", "source"]).groupBy("back", F.col("target").alias("node")).agg(F.min("least").alias("near"))
+        lower = now.join(near, ["back", "node"], "left").select("back", "node", F.col("least").alias("was"), F.coalesce(F.least("least", "near"), "least").alias("least"))
+        jump = now.select("back", F.col("node").alias("least"), F.col("least").alias("next"))
+        after = lower.join(jump, ["back", "least"]).select("back", "node", "was", F.least("least", "next").alias("least"))
         after, k = materialize(after, f"{label}{k}"), k + 1
-        now = after.select("node", "least")
+        now = after.select("back", "node", "least")
         if after.filter("was <> least").isEmpty():
-            return now
+            return now.groupBy("node").agg(F.max(F.when(~F.col("back"), F.col("least"))).alias("ahead"), F.max(F.when(F.col("back"), F.col("least"))).alias("back"))
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -272,13 +274,13 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     left = materialize(edges.filter("source <> target").select("source", "target").distinct(), "links")
     found, k = None, 0
     while True:
-        ahead = _least(left, rest, f"ahead{k}")
-        back = _least(left.select(F.col("target").alias("source"), F.col("source").alias("target")), rest, f"back{k}")
-        pair = materialize(ahead.join(back.withColumnRenamed("least", "other"), "node"), f"pairs{k}")
-        done = pair.filter("least = other").select("node", F.col("least").alias("component"))
+        forth = left.select(F.lit(False).alias("back"), "source", "target")
+        links = materialize(forth.unionByName(left.select(F.lit(True).alias("back"), F.col("target").alias("source"), F.col("source").alias("target"))), f"both{k}")
+        pair = materialize(_least(links, rest, f"least{k}-"), f"pairs{k}")
+        done = pair.filter("ahead = back").select("node", F.col("ahead").alias("component"))
         found = done if found is None else found.unionByName(done)
-        open_ = pair.filter("least <> other")
-        a, b = (open_.select(F.col("node").alias(end), F.struct("least", "other").alias(f"of_{end}")) for end in ("source", "target"))
+        open_ = pair.filter("ahead <> back")
+        a, b = (open_.select(F.col("node").alias(end), F.struct("ahead", "back").alias(f"of_{end}")) for end in ("source", "target"))
         left = materialize(left.join(a, "source").join(b, "target").filter("of_source = of_target").select("source", "target"), f"links{k}")
         rest, k = open_.select("node"), k + 1
         if left.isEmpty():
