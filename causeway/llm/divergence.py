@@ -41,7 +41,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     def rows(counts: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, n_docs) in counts.items():
-            found = [pa.array([lang], pa.string()).take(pa.array([0] * len(n))), pa.array([source], pa.string()).take(pa.array([0] * len(n))), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([n_docs[t] for t in n], pa.int64())]
+            found = [*(pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in (lang, source)), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([n_docs[t] for t in n], pa.int64())]
             yield pa.RecordBatch.from_arrays(found, names=["lang", "source", "term", "n", "n_docs"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
