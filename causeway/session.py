@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     here = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="causeway-")) / "causeway.zip"
+    folder = tempfile.mkdtemp(prefix="causeway-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch the file while the application runs
+    target = Path(folder) / "causeway.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, f"causeway/{p.relative_to(here)}")
