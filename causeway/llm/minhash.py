@@ -14,6 +14,9 @@ the similarity decides first, within the join, so that many unlike texts that sh
 make no rows. Registers are independent (each sees its own share of every Poisson process), so that the differing ones of a pair of
 similarity 0.8 are binomial, and ``SURE`` standard deviations above their mean leave out such a pair 96 times in a million.
 No band in common is the other way to lose one: 49 times in a million at a similarity of exactly 0.8. Both fall fast above it.
+Pairs that the estimate lets through but that are less alike, of which a group of loosely edited copies has as many as pairs, are then
+left out within the join by a bound that loses none: weights are summed up in ``BINS`` bins by their hash, and two texts have no more in
+common than the lesser sums of all bins.
 
 The member of a bucket that shares most buckets with others leads it, so that the original of a group of edited copies, which is
 nearer to each of them than they are to each other, is compared with them first.
@@ -39,6 +42,8 @@ BANDS, ROWS = 25, 5
 REGISTERS = 256
 #: Further stars before the rest of mixed buckets is compared member by member, in parts of so many members; see above.
 STARS, PART, SURE = 1, 1000, 4
+#: Bins of the bound on what two texts have in common, a power of two.
+BINS = 512
 #: Weights are whole numbers, so that sums are exact.
 UNIT = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -170,6 +175,20 @@ def shingle_sets(docs: DataFrame, words: int, weigh: str) -> DataFrame:
     return docs.select("node", "text").mapInArrow(listed, "node binary, items binary, weights binary")
 
 
+def binned(sets: DataFrame) -> DataFrame:
+    """``node, bins``: sums of the weights of ``shingle_sets`` by the hash of the shingle."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((batch.num_rows, BINS), np.int32)
+            for i, (x, wx) in enumerate(zip(batch.column("items"), batch.column("weights"), strict=True)):
+                found[i] = np.bincount(np.frombuffer(x.as_buffer(), "<u4") & np.uint32(BINS - 1), np.frombuffer(wx.as_buffer(), "<u2"), BINS)
+            bins = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BINS), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), bins], names=["node", "bins"])
+
+    return sets.mapInArrow(sums, "node binary, bins array<int>")
+
+
 def similarity(p: np.ndarray, wp: np.ndarray, q: np.ndarray, wq: np.ndarray) -> float:
     """The probability Jaccard of two sets of sorted shingles, each with its weights (the same for a shingle of both)."""
     both = np.concatenate([p, q])
@@ -247,7 +266,7 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float =
         if k < stars:
             more = ordered_pairs(open_members.filter("node <> leader"), "leader", "node")
         else:
-            more = across(open_members.drop("leader"), nodes, threshold, sure)
+            more = across(open_members.drop("leader"), nodes, sets, threshold, sure)
         more = materialize(more.join(tried, ["a", "b"], "left_anti"), f"more{k}")
         if more.isEmpty() and k == stars:
             break
@@ -257,15 +276,17 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, threshold: float =
     return classed(table.select("doc_id", "node"), groups)
 
 
-def across(members: DataFrame, nodes: DataFrame, threshold: float, sure: int | None = SURE) -> DataFrame:
+def across(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, sure: int | None = SURE) -> DataFrame:
     """Pairs of members of a bucket that are of different groups; those within the largest group, which may hold most rows, never meet.
 
     Sets whose weights differ too much can't be similar enough and don't meet either. A large bucket is dealt to parts of ``PART`` members,
     each of which meets the members outside of the largest group. Pairs whose registers differ by more than ``sure`` standard deviations of
-    a pair just similar enough don't meet; with None, all do.
+    a pair just similar enough don't meet; with None, all do. Of the rest, pairs whose ``binned`` weights (of ``sets``) show that they can't
+    be similar enough don't meet.
     """
-    known = members.join(nodes.select("node", "keys", "few", "weight"), "node").select("key", "node", "component", "largest", "weight", "few", "keys", F.ceil(F.col("together") / PART).cast("int").alias("parts"))
-    outside = known.filter("component <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("leader"), F.col("component").alias("other"), F.col("weight").alias("other_weight"), F.col("few").alias("other_few"), F.col("keys").alias("other_keys"))
+    bins = materialize(binned(sets.join(members.select("node").distinct(), "node", "left_semi")), "bins")
+    known = members.join(nodes.select("node", "keys", "few", "weight"), "node").join(bins, "node").select("key", "node", "component", "largest", "weight", "few", "keys", "bins", F.ceil(F.col("together") / PART).cast("int").alias("parts"))
+    outside = known.filter("component <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("leader"), F.col("component").alias("other"), F.col("weight").alias("other_weight"), F.col("few").alias("other_few"), F.col("keys").alias("other_keys"), F.col("bins").alias("other_bins"))
     known = known.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     p = (1 - threshold) * 15 / 16  # that the four bits of a register of a pair just similar enough differ
     most = REGISTERS * p + (sure or 0) * (REGISTERS * p * (1 - p)) ** 0.5
@@ -273,7 +294,9 @@ def across(members: DataFrame, nodes: DataFrame, threshold: float, sure: int | N
     near = alike & (F.col("component") != F.col("other")) & (F.least("weight", "other_weight") >= F.lit(threshold) * F.greatest("weight", "other_weight"))
     # a pair that shares several buckets meets in one of them
     once = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
-    return ordered_pairs(known.join(outside, ["key", "part"]).filter(near & once), "leader", "node")
+    common = F.aggregate(F.zip_with("bins", "other_bins", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda total, x: total + x)
+    possible = common * (1 + threshold) >= F.lit(threshold - 1e-9) * (F.col("weight") + F.col("other_weight"))
+    return ordered_pairs(known.join(outside, ["key", "part"]).filter(near & once & possible), "leader", "node")
 
 
 def ordered_pairs(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """Work that grows with the input and not with the square of a group's size."""
 
+import random
+
+import pyarrow as pa
+
 from causeway.operators import graph
 
 
@@ -45,3 +49,34 @@ def test_nodes_on_no_cycle_stay_out_of_the_search(spark, monkeypatch):
     got = {r["node"]: r["component"] for r in graph.strong_components(e, spark.createDataFrame([("alone",)], "node string")).collect()}
     assert got == {**{f"c{i}": f"c{i}" for i in range(n)}, **{f"k{i}": f"k{i}" for i in range(n)}, "s0": "s0", "s1": "s0", "s2": "s2", "alone": "alone"}
     assert all(rows < n for label, rows in written.items() if label != "links")
+
+
+def test_loosely_edited_copies_make_few_pairs(spark, monkeypatch):
+    from causeway.llm import minhash
+
+    rng, written, write = random.Random(3), {}, minhash.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    # a group of copies whose edits make any two of them less similar than 0.8, and one copy that is nearer to the first
+    original = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for i in range(80):
+        at = rng.randrange(260)
+        texts.append([*original[:at], *[f"e{i}x{k}" for k in range(40)], *original[at + 40 :]])
+    texts.append([*texts[0][:-4], "near", "copy", "of", "it"])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    doc, hashes, weights = minhash.shingles(pa.array([t for _, t in rows]))
+    sets = [(hashes[doc == i], weights[doc == i]) for i, _ in rows]
+    near = {(i, j) for i, _ in rows for j in range(i) if minhash.similarity(*sets[i], *sets[j]) >= minhash.THRESHOLD}
+    least = {i: i for i, _ in rows}
+    for _ in rows:
+        for i, j in near:
+            least[i] = least[j] = min(least[i], least[j])
+    assert (80, 0) in near and got == least
+    assert written["more1"] <= 4 * len(rows) < len(rows) ** 2 / 10
