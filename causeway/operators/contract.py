@@ -14,8 +14,12 @@ def _rule(df: DataFrame, rule: str, compatibility: Column | str, location: Colum
 
 
 def endpoints(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Operations (path, method) that went or came."""
-    gone, came = old.join(new, ["path", "method"], "left_anti"), new.join(old, ["path", "method"], "left_anti")
+    """Operations (path, method) that went or came.
+
+    Either side may be read from few large texts, whose size says little of the rows: they are merged, so that none is planned to be sent whole
+    through the driver.
+    """
+    gone, came = old.join(new.hint("merge"), ["path", "method"], "left_anti"), new.join(old.hint("merge"), ["path", "method"], "left_anti")
     return _rule(gone, "API-ENDPOINT-REMOVED", "BREAKING", F.lit("endpoint")).unionByName(_rule(came, "API-ENDPOINT-ADDED", "SAFE", F.lit("endpoint")))
 
 
@@ -66,7 +70,7 @@ def schema_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     lone = both.filter("o IS NULL OR n IS NULL")
     below = lone.filter(deep).select(*key[:3], F.col("names").alias("parent"), F.lit(True).alias("inside"))
     # the node above is there on both sides, or is the schema itself
-    tops = lone.join(below, up, "left").filter("inside IS NULL AND name <> '[]'")
+    tops = lone.join(below.hint("merge"), up, "left").filter("inside IS NULL AND name <> '[]'")
     kept = both.filter("o IS NOT NULL AND n IS NOT NULL")
     held = both.filter("o.required").select(*up).distinct()
     at = F.concat_ws(".", "direction", "names")
@@ -74,8 +78,8 @@ def schema_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     old_values = F.size(F.coalesce("o.enum", F.array().cast("array<string>"))) > 0
     removed = F.when(F.col("direction") == "RESPONSE", "BREAKING").otherwise("CAUTION")
     named = F.concat_ws(".", "direction", "parent", F.lit("required"), "name")
-    newly = both.filter(F.col("n.required") & ~F.coalesce("o.required", F.lit(False))).join(held, up, "left_semi")
-    newly = newly.join(below, up, "left_anti")
+    newly = both.filter(F.col("n.required") & ~F.coalesce("o.required", F.lit(False))).join(held.hint("merge"), up, "left_semi")
+    newly = newly.join(below.hint("merge"), up, "left_anti")
     return reduce(
         DataFrame.unionByName,
         [
