@@ -79,16 +79,23 @@ def _nodes(schema: object, names: list[str], required: bool) -> Iterator[tuple]:
     yield from _nodes(schema.get("items"), [*names, "[]"], False)
 
 
+#: Nodes that a task hands on at once.
+HANDED = 20_000
+
+
 def schema_nodes(contracts: DataFrame) -> DataFrame:
     """Nodes of the request and response schemas of contracts (path, text), as ``operators.contract.schema_nodes`` compares them.
 
     ``names`` (and ``location``, which joins them by dots) lead down to a node; those of responses start with their status. References within the contract are followed, but not into themselves. A contract
-    is one row and one small document; a text that is no JSON object has no nodes.
+    is one row, of which a task holds one at a time as objects, and ``HANDED`` nodes or those of one more operation; a text that is no JSON object has no nodes.
     """
 
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
+
     def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for batch in batches:
-            rows = []
             for contract, text in zip(batch["path"], batch["text"], strict=True):
                 try:
                     whole = json.loads(text or "")
@@ -105,6 +112,10 @@ def schema_nodes(contracts: DataFrame) -> DataFrame:
                         of = [("REQUEST", [], found["requestBody"])]
                         of += [("RESPONSE", [str(status)], r) for status, r in found["responses"].items()] if isinstance(found["responses"], dict) else []
                         rows += [(contract, path, method.upper(), side, *node) for side, at, part in of for node in _nodes(_body(part), at, False)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
+                        if len(rows) >= HANDED:
+                            yield table(rows)
+                            rows = []
+        if rows:
+            yield table(rows)
 
     return contracts.select("path", "text").mapInPandas(flat, NODES)

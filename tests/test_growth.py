@@ -1,7 +1,9 @@
 """Work that grows with the input and not with the square of a group's size."""
 
+import json
 import random
 
+import pandas as pd
 import pyarrow as pa
 
 from causeway.operators import graph
@@ -80,3 +82,33 @@ def test_loosely_edited_copies_make_few_pairs(spark, monkeypatch):
             least[i] = least[j] = min(least[i], least[j])
     assert (80, 0) in near and got == least
     assert written["more1"] <= 4 * len(rows) < len(rows) ** 2 / 10
+
+
+def test_contracts_hand_on_nodes_in_parts(spark, monkeypatch):
+    from causeway.sources import contracts
+
+    seen = []
+
+    class Handed:
+        """Runs the function of ``mapInPandas`` here and looks at what it yields."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, flat, schema):
+            seen.extend(flat(iter([pd.DataFrame({"path": ["a.json", "b.json"], "text": [text, text]})])))
+
+    operation = {"post": {"requestBody": {"content": {"application/json": {"schema": {"type": "object", "properties": {"v": {"type": "string"}}}}}}}}
+    text = json.dumps({"paths": {f"/c/{i}": operation for i in range(50)}})
+    monkeypatch.setattr(contracts, "HANDED", 10, raising=False)
+    contracts.schema_nodes(Handed())
+    assert sum(len(x) for x in seen) == 200 and max(len(x) for x in seen) <= 11
+
+
+def test_differing_contracts_are_not_broadcast(spark):
+    from causeway.operators import contract
+
+    old, new = (spark.createDataFrame([(f"/c/{i}", "POST") for i in r], "path string, method string") for r in (range(5), range(2, 7)))
+    found = contract.endpoints(old, new)
+    assert sorted((r["path"], r["rule_id"]) for r in found.collect()) == [("/c/0", "API-ENDPOINT-REMOVED"), ("/c/1", "API-ENDPOINT-REMOVED"), ("/c/5", "API-ENDPOINT-ADDED"), ("/c/6", "API-ENDPOINT-ADDED")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
