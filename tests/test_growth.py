@@ -112,3 +112,18 @@ def test_differing_contracts_are_not_broadcast(spark):
     found = contract.endpoints(old, new)
     assert sorted((r["path"], r["rule_id"]) for r in found.collect()) == [("/c/0", "API-ENDPOINT-REMOVED"), ("/c/1", "API-ENDPOINT-REMOVED"), ("/c/5", "API-ENDPOINT-ADDED"), ("/c/6", "API-ENDPOINT-ADDED")]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _same_rows(a, b):
+    return sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_adjacency_is_dealt_once_and_hubs_by_bucket(spark, monkeypatch):
+    rows = [("hub", f"n{i}", "CALL") for i in range(300)] + [(f"s{i}", f"n{i % 7}", "CALL") for i in range(50)]
+    once, twice = _edges(spark, *rows), _edges(spark, *rows, *rows[::2])
+    plain = graph.adjacency_digest(once)
+    found = graph.adjacency_digest(twice, 4, repeats=True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(source#") == 3  # one of sources, two of hubs
+    assert _same_rows(found, plain)
+    monkeypatch.setattr(graph, "HUB", 100)
+    assert _same_rows(graph.adjacency_digest(twice, 4, repeats=True), plain)
