@@ -127,3 +127,23 @@ def test_adjacency_is_dealt_once_and_hubs_by_bucket(spark, monkeypatch):
     assert _same_rows(found, plain)
     monkeypatch.setattr(graph, "HUB", 100)
     assert _same_rows(graph.adjacency_digest(twice, 4, repeats=True), plain)
+
+
+def test_statements_of_parts_are_dealt_to_tasks(spark, monkeypatch):
+    from causeway.plans import adapters as a
+
+    t = a.Tables(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(a, "STATEMENTS", 50, raising=False)
+    for made in (a.migration, a.create_statements, a.scripts, a.quoted_tables):
+        assert made(t).rdd.getNumPartitions() == 1 + t.part.count() // 50
+
+
+def test_depths_are_worked_out_at_parentheses_alone(spark, monkeypatch):
+    from causeway.operators import statements
+    from pyspark.sql import functions as F
+
+    line = "CREATE TABLE x ( a int , b DECIMAL ( 1 , ( 2 ) ) UNIQUE , c " + "word " * 500 + ")"
+    shown = spark.range(1).select(statements.runs(F.lit(line)).alias("r")).select(F.size("r"), statements.outside(F.slice("r", 3, 9)))
+    assert shown.first() == (12, "a int , b DECIMAL UNIQUE , c " + ("word " * 500).strip())
+    stmts = spark.createDataFrame([('create table x (a int, "b,\n(c" text not null, d numeric(1, (2)))',)], "statement string")
+    assert [(r["column"], r["data_type"]) for r in statements.create_tables(stmts).collect()] == [("a", "INT"), ("b,\n(c", "TEXT"), ("d", "DECIMAL")]
