@@ -147,3 +147,30 @@ def test_depths_are_worked_out_at_parentheses_alone(spark, monkeypatch):
     assert shown.first() == (12, "a int , b DECIMAL UNIQUE , c " + ("word " * 500).strip())
     stmts = spark.createDataFrame([('create table x (a int, "b,\n(c" text not null, d numeric(1, (2)))',)], "statement string")
     assert [(r["column"], r["data_type"]) for r in statements.create_tables(stmts).collect()] == [("a", "INT"), ("b,\n(c", "TEXT"), ("d", "DECIMAL")]
+
+
+def test_edges_are_dealt_in_proportion_to_the_tables(spark, monkeypatch):
+    from causeway import catalog, scenarios
+    from causeway.plans import adapters as a
+
+    t = a.Tables(spark, "/root/testdata/sf0.001")
+    before = {q: q(t).collect() for q in (catalog.graph_validate_duplicates, catalog.graph_validate_dangling, catalog.impact_score, catalog.parallel_edge_collapse, scenarios.convergent_pairs)}
+    monkeypatch.setattr(a, "LINES", 200, raising=False)
+    n = 1 + (t.lineitem.count() + t.orders.count()) // 200
+    for q, rows in before.items():
+        found = q(t)
+        assert f", {n}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString(), q.__name__
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows))
+
+
+def test_places_are_given_without_dealing_again(spark, monkeypatch):
+    from causeway.operators import decision
+    from pyspark.sql import functions as F
+
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 50 > 0, (F.col("id") * 37) % 101).alias("v"), "id")
+    found = decision.numbered(rows, ["g"], [F.asc("v"), F.desc("id")])
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    for g in range(3):
+        want = sorted((r for r in rows.collect() if r["g"] == g), key=lambda r: (r["v"] is not None, r["v"] or 0, -r["id"]))
+        assert [r["id"] for r in found.filter(F.col("g") == g).orderBy("place").collect()] == [r["id"] for r in want]
+        assert sorted(r["place"] for r in found.filter(F.col("g") == g).collect()) == list(range(len(want)))
