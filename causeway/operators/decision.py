@@ -193,16 +193,16 @@ def in_order(findings: DataFrame, *keep: str) -> DataFrame:
 def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """``rows`` with ``place`` (from 0) among those of their group ``by``, in ``order``.
 
-    Ranges of group and order are dealt to tasks, each numbers its part of a group, and the sizes of the parts before it (one row per part
-    and group) are added: a group of any size is no single task's.
+    Ranges of group and order are dealt to tasks, each numbers its rows as they stand, and what stands before them in their group (one row per
+    part and group) is added: a group of any size is no single task's, and rows are dealt and sorted once.
     """
-    parts = materialize(rows.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
-    sizes = parts.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    placed = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__id", F.monotonically_increasing_id())
+    parts = materialize(placed, "ranges").withColumn("__part", F.shiftright("__id", 33))
+    sizes = parts.groupBy(*by, "__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)) - 1
+    sizes = materialize(sizes.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__at"), (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__less")), "sizes")
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    return parts.withColumn("__rank", inside).join(sizes, [F.col("__part") == F.col("__at"), *same]).select(*rows.columns, (F.col("__before") + F.col("__rank")).alias("place"))
+    return parts.join(sizes, [F.col("__part") == F.col("__at"), *same]).select(*rows.columns, (F.col("__id") + F.col("__less")).alias("place"))
 
 
 def positions(findings: DataFrame, by: list[str]) -> DataFrame:
