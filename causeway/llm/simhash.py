@@ -7,7 +7,9 @@ adds up while it goes through the terms; no Python runs.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,32 +24,31 @@ LANES = 0x0000000100000001
 
 
 def words_of(text: Column) -> Column:
-    body = F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE))
+    """The lower-cased words; a text without words has an empty one, of no weight, so that its row stays."""
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), SPACE)
 
 
 def with_votes(texts: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """One row per ``keys`` of ``texts`` that has words, with the fingerprint ``f1``, ``f2`` (64 bits each) of the array ``words``."""
+    """One row per ``keys`` of ``texts`` with the fingerprint ``f1``, ``f2`` (64 bits each) of the array ``words``, and ``__rows``, how many rows have these keys.
 
-    def term(i: Column) -> Column:
-        parts = [F.get(F.col(words), i + j) for j in range(SHINGLE)]
-        return F.struct(F.xxhash64(*parts).alias("h"), sum((F.coalesce(F.length(p), F.lit(0)) for p in parts[1:]), F.length(parts[0])).alias("w"))
-
-    last = F.greatest(F.size(words) - SHINGLE, F.lit(0))
-    terms = texts.filter(F.size(words) > 0).select(*keys, F.explode(F.transform(F.sequence(F.lit(0), last), term)).alias("t"))
-    terms = terms.select(*keys, F.col("t.h").alias("h0"), F.xxhash64("t.h").alias("h1"), F.col("t.w").cast("long").alias("w"))
+    Terms are the array beside itself moved by one word and by two, and hashed as rows, all in generated code; ``transform`` would interpret each.
+    """
+    n = F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))
+    parts = [f"__p{j}" for j in range(SHINGLE)]
+    zipped = F.arrays_zip(*[F.slice(words, j + 1, n) for j in range(SHINGLE)], F.array(F.lit(1)))
+    terms = texts.select(*keys, F.inline(zipped).alias(*parts, "__first"))
+    weight = reduce(add, [F.coalesce(F.length(p), F.lit(0)) for p in parts])
+    terms = terms.select(*keys, "__first", F.xxhash64(*parts).alias("h0"), weight.cast("long").alias("w")).withColumn("h1", F.xxhash64("h0"))
     lanes = [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(LANES)) * F.col("w")).alias(f"{h}_{i}") for h in ("h0", "h1") for i in range(32)]
-    sums = terms.groupBy(*keys).agg(F.sum("w").alias("w"), *lanes)
+    sums = terms.groupBy(*keys).agg(F.count("__first").alias("__rows"), F.sum("w").alias("w"), *lanes)
 
     def bits(h: str) -> Column:
-        out = F.lit(0).cast("long")
-        for i in range(32):
-            low = F.when(F.col(f"{h}_{i}").bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("w"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-            high = F.when(F.shiftrightunsigned(f"{h}_{i}", 32) * 2 > F.col("w"), F.shiftleft(F.lit(1).cast("long"), 32 + i)).otherwise(F.lit(0).cast("long"))
-            out = out.bitwiseOR(low).bitwiseOR(high)
-        return out
+        lanes = F.array(*[F.col(f"{h}_{i}") for i in reversed(range(32))])
+        most = lambda votes, bit: F.when(votes * 2 > F.col("w"), F.lit(bit)).otherwise(F.lit(0)).cast("long")
+        two = lambda lane: most(lane.bitwiseAND(F.lit(0xFFFFFFFF)), 1).bitwiseOR(most(F.shiftrightunsigned(lane, 32), 1 << 32))
+        return F.aggregate(lanes, F.lit(0).cast("long"), lambda out, lane: F.shiftleft(out, 1).bitwiseOR(two(lane)))
 
-    return sums.select(*keys, bits("h0").alias("f1"), bits("h1").alias("f2"))
+    return sums.select(*keys, bits("h0").alias("f1"), bits("h1").alias("f2"), "__rows")
 
 
 def shown(f1: Column, f2: Column) -> Column:
@@ -65,9 +66,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", key: list[str]) -> Data
     Rows of equal text have equal fingerprints; a text without words has all bits 0. Rows that repeat a key are one row (their
     terms vote together), so give a key that is unique where each row counts; null keys are grouped like values.
     """
-    rows = docs.select(*key, words_of(text_of(docs, text)).alias("__words"))
-    none = rows.groupBy(*key).agg(F.max(F.size("__words")).alias("__n")).filter("__n = 0").select(*key, F.lit(0).cast("long").alias("f1"), F.lit(0).cast("long").alias("f2"))
-    return with_votes(rows, key, "__words").unionByName(none)
+    return with_votes(docs.select(*key, words_of(text_of(docs, text)).alias("__words")), key, "__words").drop("__rows")
 
 
 def block_tables(radius: int, spare: int = 0) -> list[tuple[list[tuple[int, int]], ...]]:
@@ -142,9 +141,7 @@ def fingerprint_with_edits(docs: DataFrame, *, repeats: bool = False) -> DataFra
     both = both.withColumn("sha", F.sha2("edited", 256))
     keys = ["id0", "h", "doc_id", "n", "times", "next0", "nexth", "sha", "part"]
     parts = both.select(*keys[:-1], F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("text").alias("t")), F.struct(F.lit(1).alias("part"), F.col("edited").alias("t")))).alias("p"))
-    # a text without words still has one empty term, of no weight, so that its row stays
-    words = F.when(F.btrim("p.t", F.lit(" \t\n\x0b\x0c\r")) == "", F.array(F.lit(""))).otherwise(words_of(F.col("p.t")))
-    parts = parts.select(*keys[:-1], F.col("p.part").alias("part"), words.alias("words"))
+    parts = parts.select(*keys[:-1], F.col("p.part").alias("part"), words_of(F.col("p.t")).alias("words"))
     votes = with_votes(parts, keys, "words")
     wide = votes.groupBy(*keys[:-1]).agg(*[F.max(F.when(F.col("part") == p, F.col(f))).alias(name) for p, f, name in ((0, "f1", "f1"), (0, "f2", "f2"), (1, "f1", "e1"), (1, "f2", "e2"))])
     prints = materialize(wide, "fingerprints")
@@ -173,9 +170,8 @@ def near_counts(docs: DataFrame, queries: Column) -> DataFrame:
     Rows are told apart by id and text: rows that repeat an id with different texts have a fingerprint each, and rows with a null id are found
     by others. A null text counts as empty; an empty table gives an empty table.
     """
-    rows = materialize(keyed_rows(docs, F.col("doc_id"), queries.alias("asks")).groupBy("id0", "h", "doc_id", "asks").agg(F.count("*").alias("times")), "rows")
-    texts = keyed_rows(docs, text_of(docs).alias("text"))
-    prints = materialize(fingerprints(texts, key=["id0", "h"]).join(rows, ["id0", "h"]), "prints")
+    rows = keyed_rows(docs, F.col("doc_id"), queries.alias("asks"), words_of(text_of(docs)).alias("words"))
+    prints = materialize(with_votes(rows, ["id0", "h", "doc_id", "asks"], "words").withColumnRenamed("__rows", "times"), "prints")
     asked = prints.filter("asks")
     held = prints.groupBy("f1", "f2").agg(F.sum("times").alias("n_rows"))
     found = hamming_search(asked, prints).join(held, ["f1", "f2"]).groupBy("q1", "q2").agg(F.sum("n_rows").alias("n"))

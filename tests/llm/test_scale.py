@@ -151,6 +151,23 @@ def test_repeated_rows(spark):
         assert sorted((r["page_id"], r["verdict"]) for r in urls.filter_urls(pages, rules).collect()) == [(1, "block"), (1, "block"), (2, "block")]
 
 
+def test_search_reads_texts_once(spark, monkeypatch):
+    """Texts are read and cut into words in one place, and terms aren't made by an interpreted function."""
+    plans, write = [], simhash.materialize
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", kept)
+    rows = [(50, "A b"), (1, " a\t\nB"), (100, "a b c"), (2, "a b  C "), (150, None), (3, " \t"), (200, "a b c d"), (4, "a b c e"), (250, "é"), (250, "é"), (5, "É")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = simhash.near_counts(docs, docs["doc_id"] % 50 == 0).collect()
+    assert sorted((r["doc_id"], r["n_near"]) for r in out) == [(50, 1), (100, 1), (150, 1), (200, 0), (250, 2), (250, 2)]
+    assert sum(p.count("split(") for p in plans) == 1 and sum("LogicalRDD" in line or "LocalRelation" in line for p in plans for line in p.splitlines()) == 1
+    assert "transform(" not in "".join(plans)
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string")
     table = spark.createDataFrame([], "verdict string, host string, path string")
